@@ -28,9 +28,10 @@ def words(text: Column) -> Column:
 
 
 def _windows(x: Column, made) -> Column:
-    """made(window) of every SHINGLE elements in a row of the array x, distinct; of all of them if there are fewer; none if x is empty."""
-    starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - (SHINGLE - 1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: made(F.slice(x, i, F.lit(SHINGLE)))))
+    """made(five columns) of every SHINGLE elements in a row of the array x, distinct; of all of them, then nulls, if there are fewer; none if x is empty."""
+    starts = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x) - SHINGLE))).otherwise(F.array().cast("array<int>"))
+    # single elements, as slice() copies the whole array each time
+    return F.array_distinct(F.transform(starts, lambda i: made(*(F.get(x, i + k) for k in range(SHINGLE)))))
 
 
 def _hashes(text: Column) -> Column:
@@ -38,7 +39,7 @@ def _hashes(text: Column) -> Column:
 
 
 def _shingles(text: Column) -> Column:
-    return _let(words(text), lambda w: _windows(w, lambda part: F.array_join(part, " ")))
+    return _let(words(text), lambda w: _windows(w, lambda *part: F.concat_ws(" ", *part)))
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

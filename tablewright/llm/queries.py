@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, simhash, token_counts, toxicity
+from . import decontamination, language, licenses, lines, packing, quality, simhash, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(_table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, language.fit_rows(F.col("doc_id")))
+    held = F.coalesce(~language.fit_rows(F.col("doc_id")), F.lit(True)).alias("held_out")
+    return model.score(docs.select("doc_id", "text")).select("doc_id", held, "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +44,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs, "score").select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, urls.labels_by_number(pages, _table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.judged(docs, lines.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.fit_rows(F.col("doc_id")))
@@ -45,8 +66,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_token_counts, op5_packing, op6_quality, op9_toxicity, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_licenses, op3_token_counts, op4_language, op5_packing, op6_quality, op7_urls, op8_quality_rules, op9_toxicity, op10_simhash)}
 ORACLES: dict[str, str] = {
+    "op2_licenses": licenses.oracle(),
     "op1_decontamination": r"""
         WITH side AS (
             SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
