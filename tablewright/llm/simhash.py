@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, written, without
+from .common import small, without, written
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -106,7 +106,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
     ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # written apart from the aggregate, so that the join's large side isn't bound to its partitions and a hot fingerprint can be split
+    return fps.join(small(written(ids, "ids")), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ MAX_CHILDREN, MIN_SEEN = 20, 5.0
 #: Branches whose shares of good pages differ by fewer standard errors than this from their siblings' are merged.
 SIMILAR = 1.96
 #: A template is rejected when its share of good pages, smoothed by STRENGTH pages of the overall share, is below this.
-PURITY, STRENGTH = 0.7, 5.0
+PURITY, STRENGTH = 0.5, 10.0
 LEVELS = [f"s{i}" for i in range(1, DEPTH + 1)]
 
 
