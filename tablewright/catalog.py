@@ -1,10 +1,807 @@
-"""Registry of the queries on the reference's operators and of their SQL."""
+"""Registry of the queries on the reference's operators and of their DuckDB SQL. Every query reads its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions.columns import md5fold, number, quoted
+from .operators import candidates, experiments, meta, metrics, models, prepare, profile, verdicts
+from .operators.transforms import Step, apply, fit, fit_and_apply
+from .plans import recommend
+from .sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+# Views of the tables, in expressions that both engines understand.
+ITEMS = ["l_quantity AS quantity", "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS gap", "l_extendedprice AS price", "l_discount AS discount", "nullif(l_tax, 0.0) AS tax", "l_returnflag AS flag", "l_linestatus AS status", "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label"]
+ORDERS = ["o_orderkey AS key", "o_custkey AS customer", "o_totalprice AS total", "o_orderstatus AS status", "o_orderpriority AS priority", "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label"]
+SCORED = ["CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label", "round(l_extendedprice / 120000.0, 2) AS score", "CASE WHEN l_extendedprice / 120000.0 >= 0.5 THEN 1 ELSE 0 END AS prediction"]
+NUM, CAT = ["quantity", "gap", "price", "discount", "tax"], ["flag", "status"]
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _items(spark, d):
+    return _table(spark, d, "lineitem").selectExpr(*ITEMS)
+
+
+def _orders(spark, d):
+    return _table(spark, d, "orders").selectExpr(*ORDERS)
+
+
+def _scored(spark, d):
+    return _table(spark, d, "lineitem").selectExpr(*SCORED)
+
+
+def _users(spark, d):
+    return _table(spark, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_nationkey AS nation", "c_acctbal AS balance", "c_mktsegment AS segment")
+
+
+SQL_ITEMS = f"items AS (SELECT {', '.join(ITEMS)} FROM lineitem)"
+SQL_ORDERS = f"ords AS (SELECT {', '.join(ORDERS)} FROM orders)"
+SQL_SCORED = f"scored AS (SELECT {', '.join(SCORED)} FROM lineitem)"
+SQL_FOLD = "('0x' || substr(md5({k}), 1, 8))::bigint % {n}"
+FOLD = SQL_FOLD.format(k="key::varchar", n=5)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__.strip("_")
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def _each(columns: list[str], sql: str) -> str:
+    return " UNION ALL ".join(sql.format(c=c) for c in columns)
+
+
+def _r(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
+    """df with its doubles rounded, as the SQL does; own: digits of single columns."""
+    return df.select(*(F.round(quoted(c), own.get(c, digits)).alias(c) if t == "double" else quoted(c) for c, t in df.dtypes))
+
+
+# --- preparation ---
+
+
+@query(f"WITH {SQL_ORDERS} SELECT key, (dense_rank() OVER (ORDER BY priority) - 1)::double AS code FROM ords")
+def encode_target(spark, d):
+    return prepare.encode_target(_orders(spark, d), "priority", "code").select("key", "code")
+
+
+@query(f"WITH {SQL_ORDERS}, n AS (SELECT customer, count(*) AS c FROM ords GROUP BY 1) SELECT key, customer FROM ords WHERE customer IN (SELECT customer FROM n WHERE c >= 16)")
+def filter_rare_classes(spark, d):
+    return prepare.filter_rare_classes(_orders(spark, d), "customer", 5, 3).select("key", "customer")
+
+
+@query(f"WITH {SQL_ITEMS}, n AS (SELECT label, count(*) AS c FROM items GROUP BY 1) SELECT CASE WHEN count(*) = 2 THEN max(c) / min(c) ELSE 1.0 END AS scale_pos_weight FROM n")
+def scale_pos_weight(spark, d):
+    return prepare.scale_pos_weight(_items(spark, d), "label")
+
+
+@query(f"WITH {SQL_ITEMS}, n AS (SELECT flag, count(*) AS n FROM items GROUP BY 1) SELECT flag, n, sum(n) OVER () / (count(*) OVER () * n) AS weight FROM n")
+def class_weights(spark, d):
+    return prepare.class_weights(_items(spark, d), "flag")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT key, {FOLD} = 4 AS is_test FROM ords")
+def stratified_split(spark, d):
+    return prepare.stratified_split(_orders(spark, d), "status", "key").select("key", "is_test")
+
+
+@query(f"WITH {SQL_ORDERS}, r AS (SELECT key, row_number() OVER (PARTITION BY priority ORDER BY md5(key::varchar), key) AS k, count(*) OVER (PARTITION BY priority) AS n FROM ords) SELECT key, n >= 2 AND k <= floor(n * 0.2) AS is_test FROM r")
+def exact_stratified_split(spark, d):
+    return prepare.exact_stratified_split(_orders(spark, d), "priority", "key").select("key", "is_test")
+
+
+@query()
+def quick_sample(spark, d):
+    df = _orders(spark, d)
+    return prepare.quick_sample(df, "status", df.count()).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_ORDERS} SELECT key, " + ", ".join(f"({SQL_FOLD.format(k=f"'r{r}:' || key::varchar", n=5)})::int AS fold_{r}" for r in range(3)) + " FROM ords")
+def repeated_folds(spark, d):
+    return prepare.repeated_folds(_orders(spark, d), "key").select("key", "fold_0", "fold_1", "fold_2")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT key, ({SQL_FOLD.format(k="'g:' || customer::varchar", n=5)})::int AS fold FROM ords")
+def group_folds(spark, d):
+    return prepare.group_folds(_orders(spark, d), "customer").select("key", "fold")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT customer, count(*) AS n FROM ords WHERE {FOLD} = 4 AND customer NOT IN (SELECT customer FROM ords WHERE {FOLD} <> 4) GROUP BY 1")
+def unseen_labels(spark, d):
+    df = _orders(spark, d).withColumn("f", md5fold(F.col("key"), 5))
+    return prepare.unseen_labels(df.where("f <> 4"), df.where("f = 4"), "customer")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT key, total, 0.0::double AS discount FROM ords")
+def aligned_columns(spark, d):
+    return prepare.aligned(_orders(spark, d), ["key", "total", "discount"])[0]
+
+
+_TASK = "SELECT '{c}' AS target, count(DISTINCT {c}) AS k, count({c}) AS n, coalesce(max({x}), false) AS broken, {num} AS num FROM items"
+
+
+@query(
+    f"WITH {SQL_ITEMS}, s AS (" + " UNION ALL ".join(_TASK.format(c=c, x=f"{c} % 1 <> 0", num="true") for c in [*NUM, "label"]) + " UNION ALL " + " UNION ALL ".join(_TASK.format(c=c, x="false", num="false") for c in CAT) + """)
+    SELECT target, CASE WHEN NOT num OR k <= 2 THEN 'classification' WHEN broken AND k > 20 THEN 'regression' WHEN k / n < 0.05 OR (k <= 200 AND k / n < 0.10) THEN 'classification' ELSE 'regression' END AS task FROM s"""
+)
+def task_types(spark, d):
+    return prepare.task_types(_items(spark, d), [*NUM, "label", *CAT])
+
+
+@query(f"WITH {SQL_ITEMS}, n AS (SELECT flag, count(*) AS c FROM items GROUP BY 1) SELECT sum(c)::bigint AS n_rows, 7 AS n_columns, sum(c) >= 500 AS usable FROM n WHERE c >= 16")
+def usable_dataset(spark, d):
+    return prepare.usable(_items(spark, d), "flag")
+
+
+# --- profiling ---
+
+_BASE = "SELECT '{c}' AS \"column\", count(*) AS n_rows, count(DISTINCT {c}) AS n_unique, count(*) - count({c}) AS n_missing FROM items"
+
+
+@query(f"WITH {SQL_ITEMS}, s AS ({_each([*NUM, *CAT, 'label'], _BASE)}) SELECT *, round(n_missing / n_rows, 6) AS missing, round(n_unique / n_rows, 6) AS unique_ratio FROM s")
+def base_stats(spark, d):
+    return _r(profile.base_stats(_items(spark, d)).drop("sample", "numeric"))
+
+
+@query(f"""WITH items AS (SELECT *, 1 AS one, NULL::varchar AS empty, CASE WHEN l_linenumber = 1 THEN l_tax END AS rare FROM lineitem),
+    s AS ({_each(['one', 'empty', 'rare', 'l_linestatus', 'l_shipdate'], _BASE)})
+    SELECT "column", 'constant: all missing' AS problem FROM s WHERE n_unique = 0 UNION ALL SELECT "column", 'constant: one value' FROM s WHERE n_unique = 1
+    UNION ALL SELECT "column", 'high_missing' FROM s WHERE n_missing > 0.5 * n_rows UNION ALL SELECT "column", 'binary' FROM s WHERE "column" NOT IN ('l_linestatus', 'l_shipdate', 'empty') AND n_unique = 2""")
+def simple_problems(spark, d):
+    df = _table(spark, d, "lineitem").selectExpr("1 AS one", "cast(NULL AS string) AS empty", "CASE WHEN l_linenumber = 1 THEN l_tax END AS rare", "l_linestatus", "l_shipdate")
+    return profile.simple_problems(profile.base_stats(df))
+
+
+@query("""WITH s AS (SELECT 'text' AS "column", count(text) AS n, count(DISTINCT text) AS n_unique, round(avg(length(text)), 6) AS mean_length FROM documents
+    UNION ALL SELECT 'lang', count(lang), count(DISTINCT lang), round(avg(length(lang)), 6) FROM documents UNION ALL SELECT 'source', count(source), count(DISTINCT source), round(avg(length(source)), 6) FROM documents)
+    SELECT *, n >= 5 AND mean_length > 30 AND n_unique > 0.1 * n AS is_text FROM s""")
+def text_columns(spark, d):
+    return _r(profile.text_stats(_table(spark, d, "documents")))
+
+
+_DATE_SQL = """SELECT '{c}' AS "column", count({c}) AS n, count(t) AS parsed, count(*) FILTER (hour(t) <> 0) AS with_hour, count(DISTINCT t::date) AS n_days FROM (SELECT {c}, {p} AS t FROM src) AS x"""
+
+
+@query(f"""WITH src AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment, strftime(ts, '%Y-%m-%d') AS day, event_type AS kind FROM events),
+    s AS ({_DATE_SQL.format(c='moment', p="try_strptime(moment, '%Y-%m-%d %H:%M:%S')")} UNION ALL {_DATE_SQL.format(c='day', p="try_strptime(day, '%Y-%m-%d')")} UNION ALL {_DATE_SQL.format(c='kind', p="try_strptime(kind, '%Y-%m-%d')")}),
+    r AS (SELECT "column", n, parsed / n AS parse_rate, with_hour / greatest(parsed, 1) AS hour_share, n_days FROM s)
+    SELECT "column", n, round(parse_rate, 6) AS parse_rate, round(hour_share, 6) AS hour_share, n_days, hour_share >= 0.2 AS has_hour,
+    CASE WHEN parse_rate < 0.7 THEN NULL WHEN hour_share >= 0.2 AND n_days < greatest(3, floor(0.02 * n)) THEN 'time' WHEN hour_share >= 0.2 THEN 'datetime' ELSE 'date' END AS kind FROM r""")
+def date_columns(spark, d):
+    df = _table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("kind"))
+    return _r(profile.date_stats(df))
+
+
+@query("""WITH src AS (SELECT dayname(o_orderdate) AS day, o_orderpriority AS priority FROM orders),
+    s AS (SELECT 'day' AS "column", count(day) AS n, avg((lower(day) IN ('monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'))::int) AS recognised FROM src UNION ALL SELECT 'priority', count(priority), 0.0 FROM src)
+    SELECT "column", n, recognised, recognised >= 1 AS is_weekday FROM s""")
+def weekday_columns(spark, d):
+    df = _table(spark, d, "orders").select(F.date_format("o_orderdate", "EEEE").alias("day"), F.col("o_orderpriority").alias("priority"))
+    return profile.weekday_stats(df)
+
+
+@query("""SELECT 'key' AS "column", true AS rising, false AS falling UNION ALL SELECT 'total', false, false UNION ALL
+    SELECT 'minus', false, min(lag_ok) FROM (SELECT coalesce(-o_orderkey < lag(-o_orderkey) OVER (ORDER BY o_orderkey), true) AS lag_ok FROM orders) AS x""")
+def monotonic_columns(spark, d):
+    df = _table(spark, d, "orders").selectExpr("o_orderkey AS key", "o_totalprice AS total", "-o_orderkey AS minus")
+    return profile.order_flags(df, ["key", "total", "minus"], "key")
+
+
+_CV = """SELECT '{c}' AS "column", round(stddev_pop(d) / abs(avg(d)), 6) AS cv FROM (SELECT {c} - lag({c}) OVER (ORDER BY {c}) AS d FROM ords WHERE {c} IS NOT NULL) AS x"""
+
+
+@query(f"WITH {SQL_ORDERS} {_each(['key', 'total'], _CV)}")
+def step_variation(spark, d):
+    return _r(profile.step_variation(_orders(spark, d), ["key", "total"]))
+
+
+@query("""SELECT 'key' AS "column", 'monotonic' AS reason""")
+def id_columns(spark, d):
+    return profile.id_columns(_users(spark, d), "key")
+
+
+@query("""SELECT * FROM (VALUES ('key', 'ID', true), ('name', 'Categorical', false), ('nation', 'Numerical', false), ('balance', 'Numerical', false), ('segment', 'Categorical', false)) AS v("column", detected, drop_suggested)""")
+def column_types(spark, d):
+    return profile.column_types(_users(spark, d), "key")
+
+
+@query("SELECT detected, count(*) AS n FROM (VALUES ('ID'), ('Categorical'), ('Numerical'), ('Numerical'), ('Categorical')) AS v(detected) GROUP BY 1")
+def type_counts(spark, d):
+    return profile.type_counts(profile.column_types(_users(spark, d), "key"))
+
+
+@query(f"WITH {SQL_ITEMS}, n AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::varchar AS v, count(*) AS n FROM items GROUP BY 2" for c in ("quantity", "gap", "flag")) + ') SELECT "column", round(max(n) / sum(n), 6) AS share FROM n GROUP BY 1')
+def top_shares(spark, d):
+    return _r(profile.top_shares(_items(spark, d), ["quantity", "gap", "flag"]))
+
+
+@query("""SELECT * FROM (VALUES ('twin', 'leakage'), ('one', 'constant'), ('row_id', 'id')) AS v("column", reason)""")
+def pruned_columns(spark, d):
+    df = _table(spark, d, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label", "CASE WHEN l_returnflag = 'R' THEN 2.5 ELSE 1.0 END AS twin", "1 AS one", "l_orderkey AS row_id", "l_quantity AS quantity")
+    return profile.pruned(df, "label")
+
+
+_SUMMARY = """SELECT '{c}' AS "column", avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS lo, max({c}) AS hi,
+    (avg(pow({c}, 3)) - 3 * avg({c}) * avg(pow({c}, 2)) + 2 * pow(avg({c}), 3)) / pow(stddev_pop({c}), 3) AS skew, count(*) FILTER ({c} < (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM items) OR {c} > (SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM items)) / count({c}) AS outliers FROM items"""
+
+
+@query(f"""WITH {SQL_ITEMS}, s AS ({_each(['quantity', 'gap', 'price', 'tax'], _SUMMARY)}) SELECT "column", round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS lo, round(hi, 6) AS hi, round(skew, 4) AS skew, round(outliers, 6) AS outliers FROM s""")
+def numeric_summary(spark, d):
+    return _r(profile.numeric_summary(_items(spark, d), ["quantity", "gap", "price", "tax"]), skew=4)
+
+
+@query(f"""WITH {SQL_ITEMS}, s AS ({_each([*NUM, *CAT], _BASE)}) SELECT "column", n_missing, round(n_missing / n_rows, 6) AS missing FROM s WHERE n_missing > 0 ORDER BY n_missing DESC, "column" LIMIT 5""")
+def missing_summary(spark, d):
+    return _r(profile.missing_summary(profile.base_stats(_items(spark, d))))
+
+
+@query(f"WITH {SQL_ITEMS}, n AS (SELECT flag AS label, count(*) AS n FROM items GROUP BY 1), t AS (SELECT max(n) / min(n) AS r, sum(n) AS t FROM n) SELECT label, n, round(n / t, 6) AS share, CASE WHEN r > 3 THEN 'red' WHEN r > 1.5 THEN 'yellow' ELSE 'green' END AS verdict FROM n, t")
+def class_balance(spark, d):
+    return _r(profile.class_balance(_items(spark, d), "flag"))
+
+
+@query()
+def dataset_advisories(spark, d):
+    return profile.advisories(_table(spark, d, "lineitem").selectExpr("l_returnflag AS flag", "nullif(l_tax, 0.0) AS tax", "CASE WHEN l_linenumber > 3 THEN NULL ELSE l_quantity END AS gap"), "flag")
+
+
+@query()
+def override_checks(spark, d):
+    df = _table(spark, d, "orders").select("o_orderpriority", F.date_format("o_orderdate", "EEEE").alias("day"))
+    out = profile.override_check(df, "day", "Day-of-Week")
+    for c, k in (("o_orderpriority", "Numerical"), ("o_orderpriority", "Binary"), ("day", "Date"), ("day", "Free Text"), ("day", "Categorical")):
+        out = out.unionByName(profile.override_check(df, c, k))
+    return out
+
+
+# --- meta-features ---
+
+
+@query(
+    f"WITH {SQL_ITEMS}, one AS (SELECT count(*) AS n, count(DISTINCT label) AS k, (count(*) * 7 - count(quantity) - count(gap) - count(price) - count(discount) - count(tax) - count(flag) - count(status)) / (count(*) * 7) AS gone, "
+    + ", ".join(f"abs(corr({a}, {b})) AS r{i}" for i, (a, b) in enumerate((a, b) for i, a in enumerate(NUM) for b in NUM[i + 1 :]))
+    + ", "
+    + ", ".join(f"abs(corr({a}, label)) AS t{i}" for i, a in enumerate(NUM))
+    + " FROM items), c AS (SELECT max(n) / min(n) AS r FROM (SELECT count(*) AS n FROM items GROUP BY label) AS x) SELECT n AS n_rows, 7 AS n_cols, 5 AS n_numeric_cols, 2 AS n_cat_cols, round(2 / 7.0, 6)::double AS cat_ratio, round(n / 7, 6) AS row_col_ratio, k AS n_classes, round(gone, 6) AS missing_ratio, round(r, 6) AS class_imbalance_ratio, round(2 * ("
+    + " + ".join(f"r{i}" for i in range(10)) + ") / 25, 6) AS avg_feature_corr, round(greatest(" + ", ".join(f"r{i}" for i in range(10)) + "), 6) AS max_feature_corr, round((" + " + ".join(f"t{i}" for i in range(5)) + ") / 5, 6) AS avg_target_corr, round(greatest(" + ", ".join(f"t{i}" for i in range(5)) + "), 6) AS max_target_corr FROM one, c"
+)
+def dataset_meta(spark, d):
+    return _r(meta.dataset_meta(_items(spark, d), "label"))
+
+
+_FILLED = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM items)) AS x{i}" for i, c in enumerate(NUM))
+_XS = [f"x{i}" for i in range(5)]
+_MEAN = f"(({' + '.join(_XS)}) / 5)"
+_PLACE = "CASE WHEN hi > lo THEN least(4, floor(({x} - lo) / ((hi - lo) / 5)))::int ELSE 2 END"
+
+
+@query(
+    f"WITH {SQL_ITEMS}, f AS (SELECT *, {_FILLED} FROM items), g AS (SELECT *, {_MEAN} AS m, least({', '.join(_XS)}) AS lo, greatest({', '.join(_XS)}) AS hi, "
+    + " + ".join(f"({c} IS NULL)::int" for c in NUM) + " AS gone, " + " + ".join(f"coalesce(({c} = 0)::int, 0)" for c in NUM) + " AS zeros FROM f), "
+    + f"h AS (SELECT *, [{', '.join(_PLACE.format(x=x) for x in _XS)}] AS p FROM g), e AS (SELECT *, list_sum(list_transform(range(0, 5), lambda b: CASE WHEN len(list_filter(p, lambda y: y = b)) > 0 THEN -(len(list_filter(p, lambda y: y = b)) / 5) * log2(len(list_filter(p, lambda y: y = b)) / 5) ELSE 0 END)) AS h FROM h), one AS (SELECT "
+    + f"({' + '.join(f'avg({c})' for c in NUM)}) / 5 AS avg_numeric_mean, ({' + '.join(f'stddev_samp({c})' for c in NUM)}) / 5 AS avg_numeric_std, ({' + '.join(f'avg(({c} IS NULL)::int)' for c in NUM)}) / 5 AS avg_missing_pct, greatest({', '.join(f'avg(({c} IS NULL)::int)' for c in NUM)}) AS max_missing_pct, avg(({' + '.join(f'pow({x} - m, 2)' for x in _XS)}) / 4) AS avg_row_variance, avg((gone > 0)::int) AS pct_rows_with_any_missing, sum(zeros) / (count(*) * 5) AS pct_cells_zero, avg((zeros > 0)::int) AS pct_rows_with_any_zero, "
+    + f"2 * ({' + '.join(f'abs(corr({a}, {b}))' for i, a in enumerate(_XS) for b in _XS[i + 1:])}) / 25 AS numeric_col_corr_mean, greatest({', '.join(f'abs(corr({a}, {b}))' for i, a in enumerate(_XS) for b in _XS[i + 1:])}) AS numeric_col_corr_max, avg(h) AS avg_row_entropy, ({' + '.join(f'max({x}) - min({x})' for x in _XS)}) / 5 / (sqrt(({' + '.join(f'avg({x} * {x})' for x in _XS)}) / 5 - pow(({' + '.join(f'avg({x})' for x in _XS)}) / 5, 2)) + 1e-8) AS numeric_range_ratio FROM e) "
+    + "SELECT 5 AS n_numeric_cols_used, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("avg_numeric_mean", "avg_numeric_std", "avg_missing_pct", "max_missing_pct", "avg_row_variance", "pct_rows_with_any_missing", "pct_cells_zero", "pct_rows_with_any_zero", "numeric_col_corr_mean", "numeric_col_corr_max", "avg_row_entropy", "numeric_range_ratio")) + " FROM one"
+)
+def row_meta(spark, d):
+    return _r(meta.row_meta(_items(spark, d).drop("flag", "status"), "label"), 4)
+
+
+_QM = ["quantity", "gap", "price", "tax"]
+_NUMERIC_META = """SELECT '{c}' AS "column", 1 - count({c}) / count(*) AS null_pct, count(DISTINCT {c}) / count(*) AS unique_ratio, (count(DISTINCT {c}) = 2)::int AS is_binary,
+    count(*) FILTER ({c} < (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM items) OR {c} > (SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM items)) / count({c}) AS outlier_ratio,
+    (max({c}) - min({c})) / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM items) AS range_iqr_ratio,
+    avg(pow({c} - (SELECT avg({c}) FROM items), 3)) / pow(stddev_pop({c}), 3) AS skewness, avg(pow({c} - (SELECT avg({c}) FROM items), 4)) / pow(stddev_pop({c}), 4) - 3 AS kurtosis_val, stddev_samp({c}) / abs(avg({c})) AS coeff_variation,
+    count(*) FILTER ({c} = 0) / count({c}) AS zeros_ratio, count(*) FILTER ({c} < 0) / count({c}) AS pct_negative, count(*) FILTER ({c} BETWEEN 0 AND 1) / count({c}) AS pct_in_0_1_range, count({c}) AS n FROM items"""
+_ENTROPY = """SELECT '{c}' AS "column", -sum(p * log2(p)) AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM (SELECT least(b - 1, floor(({c} - lo) / ((hi - lo) / b))) AS k FROM items, (SELECT min({c}) AS lo, max({c}) AS hi, least(50, greatest(floor(sqrt(count({c}))), 5)) AS b FROM items) AS r WHERE {c} IS NOT NULL) AS z GROUP BY k) AS y"""
+_SPEARMAN = """SELECT '{c}' AS "column", abs(corr(rx, ry)) AS spearman_corr_target FROM (SELECT rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS rx, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2 AS ry FROM items WHERE {c} IS NOT NULL) AS x"""
+
+
+@query(
+    f"""WITH {SQL_ITEMS}, a AS ({_each(_QM, _NUMERIC_META)}), e AS ({_each(_QM, _ENTROPY)}), s AS ({_each(_QM, _SPEARMAN)})
+    SELECT "column", round(null_pct, 6) AS null_pct, round(unique_ratio, 6) AS unique_ratio, is_binary, round(outlier_ratio, 6) AS outlier_ratio, round(range_iqr_ratio, 6) AS range_iqr_ratio, round(skewness, 5) AS skewness, round(kurtosis_val, 5) AS kurtosis_val, round(coeff_variation, 6) AS coeff_variation,
+    round(zeros_ratio, 6) AS zeros_ratio, round(pct_negative, 6) AS pct_negative, round(pct_in_0_1_range, 6) AS pct_in_0_1_range, round(exp(-n / 6 * (skewness * skewness + kurtosis_val * kurtosis_val / 4) / 2), 4) AS normality_p_value, round((skewness * skewness + 1) / (kurtosis_val + 3), 5) AS bimodality_coefficient,
+    round(entropy, 5) AS entropy, round(spearman_corr_target, 5) AS spearman_corr_target FROM a JOIN e USING ("column") JOIN s USING ("column")"""
+)
+def numeric_column_meta(spark, d):
+    return _r(meta.numeric_column_meta(_items(spark, d), _QM, "label"), skewness=5, kurtosis_val=5, bimodality_coefficient=5, entropy=5, spearman_corr_target=5, normality_p_value=4)
+
+
+@query()
+def numeric_mutual_information(spark, d):
+    return _r(meta.binned_mutual_information(_items(spark, d), _QM, "label"))
+
+
+_CAT_META = """SELECT '{c}' AS "column", (SELECT 1 - count({c}) / count(*) FROM src) AS null_pct, count(*) AS n_unique, count(*) / (SELECT count(*) FROM src) AS unique_ratio, max(p) AS top_category_dominance, sum(p) FILTER (k <= 3) AS top3_category_concentration, avg((p < 0.01)::int) AS rare_category_pct, -sum(p * log2(p)) AS entropy
+    FROM (SELECT n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n DESC, {c}) AS k FROM (SELECT {c}, count(*) AS n FROM src WHERE {c} IS NOT NULL GROUP BY 1) AS g) AS h"""
+_CAT_Y = """SELECT '{c}' AS "column", sum(t / (SELECT count(*) FROM src) * h) AS conditional_entropy, any_value(mi) AS mutual_info_score FROM (SELECT t, -sum(c / t * log2(c / t)) AS h FROM (SELECT c, sum(c) OVER (PARTITION BY v) AS t, v FROM (SELECT {c} AS v, label AS y, count(*) AS c FROM src WHERE {c} IS NOT NULL GROUP BY 1, 2) AS a) AS b GROUP BY v, t) AS q,
+    (SELECT sum(c / n * ln(c * n / (a * b))) AS mi FROM (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY v) AS a, sum(c) OVER (PARTITION BY y) AS b FROM (SELECT {c} AS v, label AS y, count(*) AS c FROM src WHERE {c} IS NOT NULL GROUP BY 1, 2) AS a) AS b) AS m"""
+_SRC = "SELECT o_orderstatus AS label, o_orderpriority AS priority, nullif(o_custkey % 60, 0)::varchar AS bucket FROM orders"
+
+
+@query(
+    f"""WITH src AS ({_SRC}), a AS ({_each(['priority', 'bucket'], _CAT_META)}), y AS ({_each(['priority', 'bucket'], _CAT_Y)})
+    SELECT "column", round(null_pct, 6) AS null_pct, n_unique, round(unique_ratio, 6) AS unique_ratio, (n_unique <= 2)::int AS is_binary, (n_unique <= 10)::int AS is_low_cardinality, (n_unique > 50)::int AS is_high_cardinality, round(top_category_dominance, 6) AS top_category_dominance, round(top3_category_concentration, 6) AS top3_category_concentration,
+    round(rare_category_pct, 6) AS rare_category_pct, round(entropy, 6) AS entropy, round(entropy / log2(greatest(n_unique, 2)), 6) AS normalized_entropy, round(conditional_entropy, 6) AS conditional_entropy, round(mutual_info_score, 6) AS mutual_info_score FROM a JOIN y USING ("column")"""
+)
+def categorical_column_meta(spark, d):
+    df = _table(spark, d, "orders").selectExpr("o_orderstatus AS label", "o_orderpriority AS priority", "cast(nullif(o_custkey % 60, 0) AS string) AS bucket")
+    return _r(meta.categorical_column_meta(df, ["priority", "bucket"], "label"))
+
+
+_PAIR = """SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS pearson_corr, greatest(stddev_samp({a}), stddev_samp({b})) / least(stddev_samp({a}), stddev_samp({b})) AS scale_ratio, 2 - (count({a}) + count({b})) / count(*) AS sum_null_pct,
+    (count(DISTINCT {a}) + count(DISTINCT {b})) / count(*) AS sum_unique_ratio, avg({a}) * avg({b}) AS product_of_means, abs(avg({a}) / avg({b})) AS abs_mean_ratio, stddev_samp({a}) / avg({a}) + stddev_samp({b}) / avg({b}) AS sum_cv FROM items"""
+
+
+@query(f"WITH {SQL_ITEMS}, s AS ({_PAIR.format(a='quantity', b='price')} UNION ALL {_PAIR.format(a='price', b='tax')} UNION ALL {_PAIR.format(a='gap', b='discount')}) SELECT a, b, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("pearson_corr", "scale_ratio", "sum_null_pct", "sum_unique_ratio", "product_of_means", "abs_mean_ratio", "sum_cv")) + " FROM s")
+def numeric_pair_meta(spark, d):
+    out = meta.numeric_pair_meta(_items(spark, d), [("quantity", "price"), ("price", "tax"), ("gap", "discount")])
+    return _r(out.select("a", "b", "pearson_corr", "scale_ratio", "sum_null_pct", "sum_unique_ratio", "product_of_means", "abs_mean_ratio", "sum_cv"), 5)
+
+
+@query(f"WITH {SQL_ITEMS} SELECT round(abs(corr(rx, ry)), 6) AS spearman_corr FROM (SELECT rank() OVER (ORDER BY gap) + (count(*) OVER (PARTITION BY gap) - 1) / 2 AS rx, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2 AS ry FROM items WHERE gap IS NOT NULL) AS x")
+def pair_spearman(spark, d):
+    return _r(meta.pair_spearman(_items(spark, d), "gap", "price"))
+
+
+@query()
+def mic_score(spark, d):
+    return _r(meta.mic_score(_items(spark, d), "quantity", "price"))
+
+
+@query(
+    f"""WITH {SQL_ITEMS}, g AS (SELECT flag, count(*) AS n, avg(gap) AS m, var_pop(gap) AS v FROM items WHERE gap IS NOT NULL GROUP BY 1), t AS (SELECT sum(n * m) / sum(n) AS tm FROM g)
+    SELECT round(sum(n * pow(m - tm, 2)) / (sum(n * pow(m - tm, 2)) + sum(n * v) + 1e-10), 8) AS eta_squared, count(*) AS n_groups, round((sum(n * pow(m - tm, 2)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 4) AS anova_f_stat FROM g, t"""
+)
+def mixed_pair_meta(spark, d):
+    out = meta.mixed_pair_meta(_items(spark, d), "gap", "flag")
+    return out.select(F.round("eta_squared", 8).alias("eta_squared"), "n_groups", F.round("anova_f_stat", 4).alias("anova_f_stat"))
+
+
+_V = """c AS (SELECT {a} AS a, {b} AS b, count(*) AS c FROM {t} GROUP BY 1, 2), x AS (SELECT a.a, b.b, a.r, b.s, coalesce(c.c, 0) AS c, (SELECT sum(c) FROM c) AS n FROM (SELECT a, sum(c) AS r FROM c GROUP BY 1) AS a CROSS JOIN (SELECT b, sum(c) AS s FROM c GROUP BY 1) AS b LEFT JOIN c ON c.a = a.a AND c.b = b.b),
+    k AS (SELECT count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM x), chi AS (SELECT sum(CASE WHEN ka = 2 AND kb = 2 THEN pow(abs(c - r * s / n) - least(0.5, abs(c - r * s / n)), 2) ELSE pow(c - r * s / n, 2) END / (r * s / n)) AS chi, max(n) AS n FROM x, k)
+    SELECT round(least(1, sqrt(chi / (n * (least(ka, kb) - 1)))), 6)::double AS cramers_v, (SELECT count(*) FROM c) AS joint_cardinality, round(least(ka, kb) / greatest(ka, kb), 6)::double AS cardinality_ratio, round(1 - (SELECT count(*) FROM c) / (ka * kb), 6)::double AS joint_sparsity FROM chi, k"""
+
+
+@query(f"WITH {SQL_ORDERS}, {_V.format(a='status', b='priority', t='ords')}")
+def category_pair_meta(spark, d):
+    return _r(meta.category_pair_meta(_orders(spark, d), "status", "priority"))
+
+
+@query(f"WITH {SQL_ITEMS}, {_V.format(a='status', b='label::varchar', t='items')}")
+def category_pair_meta_2x2(spark, d):
+    return _r(meta.category_pair_meta(_items(spark, d).withColumn("label", F.col("label").cast("string")), "status", "label"))
+
+
+# --- metrics ---
+
+_RATES = "(tp + tn) / (tp + fp + fn + tn) AS accuracy, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall"
+_CELLS = "count(*) FILTER (label = 1 AND score >= {t}) AS tp, count(*) FILTER (label = 0 AND score >= {t}) AS fp, count(*) FILTER (label = 1 AND score < {t}) AS fn, count(*) FILTER (label = 0 AND score < {t}) AS tn"
+
+
+@query(f"WITH {SQL_SCORED}, c AS (SELECT {_CELLS.format(t=0.4)} FROM scored) SELECT 0.4::double AS threshold, tp, fp, fn, tn, (tp + fp) / (tp + fp + fn + tn) AS positive_rate, {_RATES} FROM c")
+def metrics_at_threshold(spark, d):
+    return metrics.metrics_at_threshold(_scored(spark, d), 0.4)
+
+
+_CURVE = f"WITH {SQL_SCORED}, pts AS (SELECT 0.01::double + i * ((0.99::double - 0.01::double) / 199) AS t FROM range(0, 200) AS r(i)), dist AS (SELECT score, label, count(*) AS n FROM scored GROUP BY 1, 2), c AS (SELECT t, coalesce(sum(n) FILTER (label = 1 AND score >= t), 0) AS tp, coalesce(sum(n) FILTER (label = 0 AND score >= t), 0) AS fp, coalesce(sum(n) FILTER (label = 1 AND score < t), 0) AS fn, coalesce(sum(n) FILTER (label = 0 AND score < t), 0) AS tn FROM pts, dist GROUP BY 1), m AS (SELECT t, {_RATES} FROM c)"
+
+
+@query(f"{_CURVE} SELECT round(t, 9) AS threshold, round(accuracy, 9) AS accuracy, round(f1, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall FROM m")
+def threshold_curve(spark, d):
+    return _r(metrics.threshold_curve(_scored(spark, d)), 9)
+
+
+@query(f"{_CURVE}, l AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, t, {m} AS v FROM m" for m in ("accuracy", "f1", "precision", "recall")) + ") SELECT metric, round(min(t), 9) AS threshold, round(max(v), 9) AS value FROM l WHERE v = (SELECT max(v) FROM l AS k WHERE k.metric = l.metric) GROUP BY metric")
+def optimal_thresholds(spark, d):
+    return _r(metrics.optimal_thresholds(_scored(spark, d)), 9)
+
+
+_DIST = f"WITH {SQL_SCORED}, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM scored GROUP BY 1), c AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
+
+
+@query(f"{_DIST} SELECT score AS threshold, round(fp / nq, 9) AS fpr, round(tp / np, 9) AS tpr FROM c UNION ALL SELECT 'inf'::double, 0, 0")
+def roc_points(spark, d):
+    return _r(metrics.roc_points(_scored(spark, d)), 9)
+
+
+@query(f"{_DIST} SELECT score AS threshold, round(tp / (tp + fp), 9) AS precision, round(tp / np, 9) AS recall FROM c")
+def pr_points(spark, d):
+    return _r(metrics.pr_points(_scored(spark, d)), 9)
+
+
+@query(f"{_DIST} SELECT round(sum(p * (nq - fp + q / 2)) / max(np * nq), 9) AS roc_auc, round(sum(p / np * tp / (tp + fp)), 9) AS average_precision FROM c")
+def ranking_metrics(spark, d):
+    return _r(metrics.ranking_metrics(_scored(spark, d)), 9)
+
+
+@query(
+    f"""WITH prob AS (SELECT l_returnflag AS flag, round(l_extendedprice / 120000.0, 2) AS "A", round(l_discount * 10, 1) AS "N", round(l_tax * 10, 1) AS "R" FROM lineitem), l AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, (flag = '{c}')::int AS y, \"{c}\" AS s FROM prob" for c in 'ANR')}),
+    g AS (SELECT c, s, sum(y) AS p, sum(1 - y) AS q FROM l GROUP BY 1, 2), u AS (SELECT c, p, q, p * (sum(q) OVER (PARTITION BY c ORDER BY s ROWS UNBOUNDED PRECEDING) - q / 2) AS u FROM g), e AS (SELECT c, sum(u) AS u, sum(p) AS np, sum(q) AS nq FROM u GROUP BY 1) SELECT round(sum(u / nq) / sum(np), 9) AS roc_auc FROM e"""
+)
+def multiclass_auc(spark, d):
+    df = _table(spark, d, "lineitem").selectExpr("l_returnflag AS label", "round(l_extendedprice / 120000.0, 2) AS prob_A", "round(l_discount * 10, 1) AS prob_N", "round(l_tax * 10, 1) AS prob_R")
+    return _r(metrics.multiclass_auc(df, ["A", "N", "R"]), 9)
+
+
+@query(f"WITH {SQL_SCORED} SELECT label, prediction, count(*) AS n FROM scored GROUP BY 1, 2")
+def confusion(spark, d):
+    return metrics.confusion(_scored(spark, d))
+
+
+@query(
+    """WITH s AS (SELECT l_returnflag AS y, CASE WHEN l_discount < 0.03 THEN 'A' WHEN l_discount < 0.06 THEN 'N' ELSE 'R' END AS z FROM lineitem), e AS (SELECT c, count(*) FILTER (y = c) AS a, count(*) FILTER (z = c) AS s, count(*) FILTER (y = c AND z = c) AS t FROM s, (VALUES ('A'), ('N'), ('R')) AS v(c) GROUP BY 1)
+    SELECT round(sum(t) / sum(a), 9) AS accuracy, round(sum(a * 2 * t / (a + s)) / sum(a), 9) AS f1, round(sum(a * t / s) / sum(a), 9) AS precision, round(sum(a * t / a) / sum(a), 9) AS recall FROM e"""
+)
+def class_metrics(spark, d):
+    df = _table(spark, d, "lineitem").selectExpr("l_returnflag AS label", "CASE WHEN l_discount < 0.03 THEN 'A' WHEN l_discount < 0.06 THEN 'N' ELSE 'R' END AS prediction")
+    return _r(metrics.class_metrics(df), 9)
+
+
+@query(f"WITH {SQL_SCORED} SELECT round(avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END)), 8) AS log_loss FROM (SELECT label, least(1 - 2.220446049250313e-16, greatest(2.220446049250313e-16, score)) AS p FROM scored) AS x")
+def log_loss(spark, d):
+    return _r(metrics.log_loss(_scored(spark, d)), 8)
+
+
+@query(f"WITH {SQL_SCORED}, l AS (SELECT t::double AS threshold, (score >= t)::int AS predicted FROM scored, (VALUES (0.3), (0.5)) AS v(t)), n AS (SELECT threshold, predicted, count(*) AS n FROM l GROUP BY 1, 2) SELECT *, n / sum(n) OVER (PARTITION BY threshold) AS share FROM n")
+def prediction_shares(spark, d):
+    return metrics.prediction_shares(_scored(spark, d), 0.3)
+
+
+@query(f"WITH {SQL_SCORED}, b AS (SELECT least(49, greatest(0, floor(score / 0.02::double)))::int AS bin FROM scored) SELECT bin, round(bin * 0.02, 6)::double AS lower, count(*) AS n FROM b GROUP BY 1")
+def score_histogram(spark, d):
+    return _r(metrics.histogram(_scored(spark, d), "score"))
+
+
+def _two(spark, d):
+    s = _scored(spark, d)
+    a, b = metrics.metrics_at_threshold(s, 0.5), metrics.metrics_at_threshold(s, 0.3)
+    long = lambda x: x.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "f1", "recall")))))
+    return long(a), long(b)
+
+
+@query(
+    f"WITH {SQL_SCORED}, a AS (SELECT {_RATES} FROM (SELECT {_CELLS.format(t=0.5)} FROM scored) AS x), b AS (SELECT {_RATES} FROM (SELECT {_CELLS.format(t=0.3)} FROM scored) AS x), l AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, a.{m} AS baseline, b.{m} AS enhanced FROM a, b" for m in ("accuracy", "f1", "recall"))
+    + ") SELECT metric, round(baseline, 9) AS baseline, round(enhanced, 9) AS enhanced, round(enhanced - baseline, 9) AS delta, CASE WHEN enhanced > baseline THEN 'enhanced' WHEN enhanced < baseline THEN 'baseline' ELSE 'tie' END AS winner FROM l"
+)
+def compared_metrics(spark, d):
+    return _r(metrics.compared(*_two(spark, d)), 9)
+
+
+# --- transforms, fitted on folds 0-3 of orders and replayed on fold 4 ---
+
+_TRAIN, _TEST = f"train AS (SELECT * FROM ords WHERE {FOLD} <> 4)", f"test AS (SELECT * FROM ords WHERE {FOLD} = 4)"
+_OWN = [*ORDERS, "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS gap", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS level", "o_totalprice - 200000.0 AS signed"]
+_SQL_OWN = f"WITH ords AS (SELECT {', '.join(_OWN)} FROM orders), {_TRAIN}, {_TEST}"
+
+
+def _own(spark, d):
+    df = _table(spark, d, "orders").selectExpr(*_OWN).withColumn("f", md5fold(F.col("key"), 5))
+    return df.where("f <> 4").drop("f"), df.where("f = 4").drop("f")
+
+
+def _transform(name: str, steps: list[Step], columns: list[str], sql: str):
+    """A query that fits on train and replays on test; sql: the columns' expressions over test."""
+
+    @query(f"{_SQL_OWN} SELECT key, {sql} FROM test", name)
+    def run(spark, d):
+        train, test = _own(spark, d)
+        return _r(apply(test, fit(train, steps)).select("key", *(quoted(c) for c in columns)), 6)
+
+
+_MED = "coalesce({c}, (SELECT median({c}) FROM train))"
+_G, _T, _S = _MED.format(c="gap"), _MED.format(c="total"), _MED.format(c="signed")
+_transform("log_transform", [Step("log_transform", "signed")], ["signed"], f"round(ln(1 + {_S} + (SELECT CASE WHEN min(signed) <= 0 THEN abs(min(signed)) + 1 ELSE 0 END FROM train)), 6) AS signed")
+_transform("sqrt_transform", [Step("sqrt_transform", "gap")], ["gap"], f"round(sqrt({_G} + (SELECT CASE WHEN min(gap) < 0 THEN abs(min(gap)) ELSE 0 END FROM train)), 6) AS gap")
+_transform("polynomials", [Step("polynomial_square", "signed"), Step("polynomial_cube", "signed"), Step("reciprocal_transform", "signed")], ["signed_sq", "signed_recip"], f"round({_S} * {_S}, 6) AS signed_sq, round(1 / (abs({_S}) + 1e-5), 6) AS signed_recip")
+_transform("quantile_binning", [Step("quantile_binning", "gap")], ["gap"], "CASE WHEN gap IS NOT NULL THEN (" + " + ".join(f"(gap > (SELECT quantile_cont(gap, {q}) FROM train))::int" for q in (0.2, 0.4, 0.6, 0.8)) + ")::double END AS gap")
+_transform("impute_and_indicate", [Step("impute_median", "gap"), Step("missing_indicator", "gap"), Step("missing_indicator", "level")], ["gap", "gap_is_na", "level_is_na"], f"round({_G}, 6) AS gap, (gap IS NULL)::int AS gap_is_na, (level IS NULL)::int AS level_is_na")
+_LEVEL = "coalesce({t}.level, 'nan')"
+_transform("frequency_encoding", [Step("frequency_encoding", "level")], ["level"], "round(coalesce((SELECT count(*) FROM train WHERE coalesce(train.level, 'nan') = coalesce(test.level, 'nan')) / (SELECT count(*) FROM train), 0), 6) AS level")
+_transform("target_encoding", [Step("target_encoding", "level")], ["level"], "round(coalesce((SELECT (sum(label) + 10 * (SELECT avg(label) FROM train)) / (count(*) + 10) FROM train WHERE coalesce(train.level, 'nan') = coalesce(test.level, 'nan')), (SELECT avg(label) FROM train)), 6) AS level")
+_transform("onehot_encoding", [Step("onehot_encoding", "status")], ["status_O", "status_P"], "(status = 'O')::int AS \"status_O\", (status = 'P')::int AS \"status_P\"")
+_transform("hashing_encoding", [Step("hashing_encoding", "level")], ["level"], "('0x' || substr(md5(coalesce(level, 'nan')), 31, 2))::int % 32 AS level")
+_transform("interactions", [Step(f"{m}_interaction", "gap", "signed") for m in ("product", "division", "addition", "abs_diff")], ["gap_x_signed", "gap_div_signed", "gap_plus_signed", "gap_absdiff_signed"], f"round({_G} * {_S}, 6) AS gap_x_signed, round({_G} / (abs({_S}) + 1e-5), 6) AS gap_div_signed, round({_G} + {_S}, 6) AS gap_plus_signed, round(abs({_G} - {_S}), 6) AS gap_absdiff_signed")
+_SAME = "coalesce(train.level, 'nan') = coalesce(test.level, 'nan')"
+_transform("group_statistics", [Step("group_mean", "gap", "level"), Step("group_std", "gap", "level")], ["grpmean_gap_by_level", "grpstd_gap_by_level"], f"round((SELECT avg(gap) FROM train WHERE {_SAME}), 6) AS grpmean_gap_by_level, round((SELECT stddev_samp(gap) FROM train WHERE {_SAME}), 6) AS grpstd_gap_by_level")
+_transform("cat_concat", [Step("cat_concat", "status", "level")], ["status_concat_level"], "coalesce((SELECT k FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT DISTINCT status || '_' || coalesce(level, 'nan') AS v FROM train) AS a) AS b WHERE v = status || '_' || coalesce(level, 'nan')), -1)::int AS status_concat_level")
+_R3 = [_T, _G, _S]
+_C3 = f"coalesce(customer, (SELECT median(customer) FROM train))::double"
+_R4 = [_C3, *_R3]
+_transform("row_statistics", [Step("row_numeric_stats"), Step("row_zero_stats"), Step("row_missing_stats")], ["row_mean", "row_median", "row_sum", "row_std", "row_min", "row_max", "row_range", "row_zero_count", "row_missing_count", "row_missing_percentage"],
+    f"round(list_avg([{', '.join(_R4)}]), 6) AS row_mean, round(list_median([{', '.join(_R4)}]), 6) AS row_median, round(list_sum([{', '.join(_R4)}]), 6) AS row_sum, round(list_stddev_samp([{', '.join(_R4)}]), 6) AS row_std, round(least({', '.join(_R4)}), 6) AS row_min, round(greatest({', '.join(_R4)}), 6) AS row_max, round(greatest({', '.join(_R4)}) - least({', '.join(_R4)}), 6) AS row_range, (customer = 0)::int + coalesce((total = 0)::int, 0) + coalesce((gap = 0)::int, 0) + coalesce((signed = 0)::int, 0) AS row_zero_count, (gap IS NULL)::int + (level IS NULL)::int AS row_missing_count, round(((gap IS NULL)::int + (level IS NULL)::int) / 7, 6) AS row_missing_percentage")
+
+
+@query(
+    f"""{_SQL_OWN}, s AS (SELECT coalesce(level, 'nan') AS v, {FOLD} AS f, count(*) AS n, sum(label) AS s FROM train GROUP BY 1, 2), t AS (SELECT v, sum(n) AS n, sum(s) AS s FROM s GROUP BY 1)
+    SELECT key, round((t.s - s.s + 10 * (SELECT avg(label) FROM train)) / (t.n - s.n + 10), 6) AS level FROM train JOIN s ON s.v = coalesce(level, 'nan') AND s.f = {FOLD} JOIN t ON t.v = s.v"""
+)
+def target_encoding_out_of_fold(spark, d):
+    return _r(fit_and_apply(_own(spark, d)[0], [Step("target_encoding", "level")])[0].select("key", "level"))
+
+
+_PARTS = ["year", "month", "day", "dayofweek", "is_weekend", "quarter", "weekofyear", "days_since_min", "hour"]
+
+
+@query(
+    """SELECT event_id, year(ts)::int AS ts_year, month(ts)::int AS ts_month, day(ts)::int AS ts_day, (isodow(ts) - 1)::int AS ts_dayofweek, (isodow(ts) > 5)::int AS ts_is_weekend, quarter(ts)::int AS ts_quarter, weekofyear(ts)::int AS ts_weekofyear, floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 86400000000)::int AS ts_days_since_min, hour(ts)::int AS ts_hour,
+    """ + ", ".join(f"round(sin(2 * pi() * {x} / {p}), 6) AS ts_{k}_sin, round(cos(2 * pi() * {x} / {p}), 6) AS ts_{k}_cos" for k, x, p in (("month", "month(ts)", 12), ("dow", "(isodow(ts) - 1)", 7), ("dom", "day(ts)", 31), ("hour", "hour(ts)", 24))) + " FROM events"
+)
+def date_features(spark, d):
+    df = _table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("plain"), "ts").drop("plain")
+    return _r(fit_and_apply(df, [Step("date_features", "ts"), *(Step(f"date_cyclical_{k}", "ts") for k in ("month", "dow", "dom", "hour"))], key="event_id")[0])
+
+
+@query("""SELECT o_orderkey AS key, (isodow(o_orderdate) - 1)::int AS day_dow, round(sin(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS day_dow_sin, round(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS day_dow_cos FROM orders""")
+def weekday_features(spark, d):
+    df = _table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.date_format("o_orderdate", "EEEE").alias("day"))
+    return _r(fit_and_apply(df, [Step("dow_ordinal", "day"), Step("dow_cyclical", "day")])[0])
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, len(w)::int AS text_word_count, length(text)::int AS text_char_count, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) ELSE 0 END, 6) AS text_avg_word_len,
+    round(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) / greatest(length(text), 1), 6) AS text_uppercase_ratio, round(length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) / greatest(length(text), 1), 6) AS text_digit_ratio, round(length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / greatest(length(text), 1), 6) AS text_punct_ratio FROM w"""
+)
+def text_statistics(spark, d):
+    return _r(fit_and_apply(_table(spark, d, "documents").select("doc_id", "text"), [Step("text_stats", "text")], key="doc_id")[0])
+
+
+@query()
+def text_tfidf(spark, d):
+    return _r(fit_and_apply(_table(spark, d, "documents").select("doc_id", "text"), [Step("text_tfidf", "text")], key="doc_id")[0])
+
+
+# --- candidates, on a table of made-up scores derived from the columns' statistics ---
+
+
+def _suggested(spark, d) -> DataFrame:
+    """Suggestions for every column of lineitem, scored by a plain expression of its statistics."""
+    m = meta.numeric_column_meta(_items(spark, d), NUM, "label")
+    rows = candidates._methods(m, candidates.NUMERICAL).select(F.lit("numerical").alias("type"), "column", F.lit(None).cast("string").alias("column_b"), "method", (F.col("unique_ratio") + F.length("method") / 100 - F.length("column") / 50).alias("predicted_delta_raw"), F.lit(False).alias("pinned"), F.lit(None).cast("boolean").alias("auto_checked"))
+    return rows
+
+
+_SUGG = f"""WITH {SQL_ITEMS}, u AS ({_each(NUM, "SELECT '{c}' AS \"column\", count(DISTINCT {c}) / count(*) AS r FROM items")}), s AS (SELECT 'numerical' AS type, "column", method, r + length(method) / 100 - length("column") / 50 AS raw FROM u, (VALUES {', '.join(f"('{m}')" for m in candidates.NUMERICAL)}) AS v(method)), z AS (SELECT *, (raw - avg(raw) OVER ()) / stddev_pop(raw) OVER () AS z FROM s)"""
+_ADD = ", ".join(f"'{m}'" for m in candidates.ADDITIVE)
+
+
+@query(f'{_SUGG} SELECT "column", method, round(raw, 6) AS predicted_delta_raw, round(z, 6) AS predicted_delta FROM z')
+def normalised_suggestions(spark, d):
+    return _r(candidates.normalised(_suggested(spark, d)).select("column", "method", "predicted_delta_raw", "predicted_delta"))
+
+
+@query(f'{_SUGG} SELECT "column", method, round(z, 6) AS predicted_delta FROM z QUALIFY method IN ({_ADD}) OR row_number() OVER (PARTITION BY "column", method IN ({_ADD}) ORDER BY z DESC, method) = 1')
+def deduplicated_suggestions(spark, d):
+    return _r(candidates.deduplicated(candidates.normalised(_suggested(spark, d))).select("column", "method", "predicted_delta"))
+
+
+@query(f'{_SUGG} SELECT count(*) AS evaluated, count(*) FILTER (raw > 0) AS positive, type, round(max(z), 6) AS best_delta FROM z GROUP BY type')
+def suggestions_by_type(spark, d):
+    return _r(candidates.summary_by_type(candidates.normalised(_suggested(spark, d))).drop("best_column", "best_method"))
+
+
+@query(f"""{_SUGG}, p AS (SELECT z, CASE {' '.join(f"WHEN method IN ({', '.join(repr(m) for m in ms)}) THEN '{n}'" for n, ms in candidates.PROBLEMS.items())} ELSE 'other' END AS problem FROM z) SELECT problem, count(*) AS n, round(max(z), 6) AS best_delta FROM p GROUP BY 1""")
+def suggestions_by_problem(spark, d):
+    return _r(candidates.grouped_by_problem(candidates.normalised(_suggested(spark, d))).drop("best_method"))
+
+
+@query("SELECT CASE WHEN n < 500 THEN 3 WHEN n < 2000 THEN 5 WHEN n < 10000 THEN 8 WHEN n < 50000 THEN 12 ELSE 15 END + 1 AS k FROM (SELECT count(*) AS n FROM lineitem) AS x")
+def recommended_top_k(spark, d):
+    return _table(spark, d, "lineitem").agg(F.count("*").alias("n")).select(candidates.recommended_top_k(F.col("n"), F.lit(20)).alias("k"))
+
+
+_GATED = f"""WITH {SQL_ITEMS}, f AS ({_each(NUM, "SELECT '{c}' AS \"column\", 1 - count({c}) / count(*) AS g, count(DISTINCT {c}) / count(*) AS u, count(DISTINCT {c}) = 2 AS b, min({c}) AS lo FROM items")})
+    SELECT "column", method FROM f, (VALUES {', '.join(f"('{m}')" for m in candidates.NUMERICAL)}) AS v(method) WHERE CASE WHEN method IN ('impute_median', 'missing_indicator') THEN g > 0 WHEN g > 0.5 THEN false WHEN method = 'sqrt_transform' THEN lo >= 0 AND NOT b WHEN method = 'quantile_binning' THEN u >= 0.01 AND NOT b ELSE NOT b END"""
+
+
+@query(_GATED)
+def numerical_candidates(spark, d):
+    df = _items(spark, d)
+    least = df.agg(*(F.struct(F.lit(c).alias("column"), F.min(number(c)).alias("min_value")).alias(f"__{i}") for i, c in enumerate(NUM))).select(F.inline(F.array(*(F.col(f"__{i}") for i in range(len(NUM))))))
+    return candidates.numerical_candidates(meta.numeric_column_meta(df, NUM, "label").join(F.broadcast(least), "column")).select("column", "method")
+
+
+@query(f"""WITH src AS ({_SRC}), f AS ({_each(['priority', 'bucket'], "SELECT '{c}' AS \"column\", 1 - count({c}) / count(*) AS g, count(DISTINCT {c}) AS u FROM src")}) SELECT "column", method FROM f, (VALUES {', '.join(f"('{m}')" for m in candidates.CATEGORICAL)}) AS v(method) WHERE CASE method WHEN 'missing_indicator' THEN g > 0 WHEN 'onehot_encoding' THEN u BETWEEN 2 AND 10 WHEN 'hashing_encoding' THEN u > 10 ELSE true END""")
+def categorical_candidates(spark, d):
+    df = _table(spark, d, "orders").selectExpr("o_orderstatus AS label", "o_orderpriority AS priority", "cast(nullif(o_custkey % 60, 0) AS string) AS bucket")
+    return candidates.categorical_candidates(meta.categorical_column_meta(df, ["priority", "bucket"], "label")).select("column", "method")
+
+
+@query("""WITH p AS (SELECT l_returnflag AS x, l_returnflag || '!' AS y FROM lineitem) SELECT 'x' AS a, 'y' AS b, count(DISTINCT x) >= 3 AND count(DISTINCT x) = count(DISTINCT y) AS near_bijection FROM p UNION ALL SELECT 'x', 'z', false""")
+def near_bijections(spark, d):
+    df = _table(spark, d, "lineitem").selectExpr("l_returnflag AS x", "concat(l_returnflag, '!') AS y", "l_linestatus AS z")
+    return candidates.near_bijection(df, "x", "y").unionByName(candidates.near_bijection(df, "x", "z"))
+
+
+# --- experiments: folds of lineitem by supplier stand for datasets ---
+
+_FOLDS_SQL = """folds AS (SELECT 'd' || (l_suppkey % 10) AS dataset_name, l_returnflag AS method, l_linenumber AS fold, 0.6 + avg(l_discount) AS baseline, 0.6 + avg(l_tax) + avg(l_discount) / 2 AS changed FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+def _folds(spark, d):
+    g = _table(spark, d, "lineitem").groupBy(F.concat(F.lit("d"), F.col("l_suppkey") % 10).alias("dataset_name"), F.col("l_returnflag").alias("method"), F.col("l_linenumber").alias("fold"))
+    return g.agg((0.6 + F.avg("l_discount")).alias("baseline"), (0.6 + F.avg("l_tax") + F.avg("l_discount") / 2).alias("changed"))
+
+
+_EFFECT = f"""WITH {_FOLDS_SQL}, g AS (SELECT dataset_name, method, count(*) AS n, avg(baseline) AS baseline, avg(changed) AS changed, avg(changed - baseline) AS delta, stddev_samp(changed - baseline) AS sd, stddev_samp(baseline) AS noise FROM folds GROUP BY 1, 2)"""
+
+
+@query(f"""{_EFFECT} SELECT dataset_name, method, n, round(delta, 8) AS delta, round(delta / greatest(1 - baseline, 0.001) * 100, 6) AS delta_normalized, round(greatest(noise, 0.001), 8) AS noise_floor, round(delta / greatest(noise, 0.001), 5) AS calibrated_delta, round(delta / sd, 5) AS cohens_d, round(delta / (sd / sqrt(n)), 5) AS t_stat FROM g""")
+def fold_effects(spark, d):
+    e = experiments.fold_effects(_folds(spark, d), ["dataset_name", "method"])
+    r = lambda c, k: F.round(c, k).alias(c)
+    return e.select("dataset_name", "method", "n", r("delta", 8), r("delta_normalized", 6), r("noise_floor", 8), r("calibrated_delta", 5), r("cohens_d", 5), r("t_stat", 5))
+
+
+@query()
+def fold_significance(spark, d):
+    e = experiments.fold_effects(_folds(spark, d), ["dataset_name", "method"])
+    return experiments.bonferroni(e).select("dataset_name", "method", F.round("p_value", 8).alias("p_value"), F.round("p_bonferroni", 8).alias("p_bonferroni"), "is_significant")
+
+
+@query(f"""{_EFFECT}, q AS (SELECT delta / sd AS x FROM g) SELECT round(avg(x), 5) AS mean, round(stddev_samp(x), 5) AS std, round(quantile_cont(x, 0.25), 5) AS q25, round(median(x), 5) AS median, round(quantile_cont(x, 0.75), 5) AS q75, avg((x > 0)::int) AS positive_share FROM q""")
+def target_stats(spark, d):
+    return _r(experiments.target_stats(experiments.fold_effects(_folds(spark, d), ["dataset_name", "method"]), "cohens_d"), 5)
+
+
+_RES = """res AS (SELECT 'd' || (o_custkey % 40) AS dataset_name, o_orderpriority AS method, o_orderkey AS task_id, o_totalprice AS delta, o_totalprice > 250000 AS is_significant, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status, o_orderkey % 2 AS part FROM orders)"""
+
+
+def _res(spark, d):
+    return _table(spark, d, "orders").selectExpr("concat('d', o_custkey % 40) AS dataset_name", "o_orderpriority AS method", "o_orderkey AS task_id", "o_totalprice AS delta", "o_totalprice > 250000 AS is_significant", "CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status", "o_orderkey % 2 AS part")
+
+
+@query(f"WITH {_RES} SELECT dataset_name, method, task_id, delta FROM res QUALIFY row_number() OVER (PARTITION BY dataset_name, method ORDER BY part, task_id) = 1")
+def merged_results(spark, d):
+    r = _res(spark, d)
+    return tables.merged([r.where("part = 0"), r.where("part = 1")], ["dataset_name", "method"], ["task_id"]).select("dataset_name", "method", "task_id", "delta")
+
+
+@query(f"WITH {_RES} SELECT method, count(*) AS n_rows, count(DISTINCT dataset_name) AS n_datasets, avg(is_significant::int) AS significant_share FROM res GROUP BY 1 UNION ALL SELECT NULL, count(*), count(DISTINCT dataset_name), avg(is_significant::int) FROM res")
+def results_summary(spark, d):
+    return tables.summary(_res(spark, d))
+
+
+@query(f"WITH {_RES} SELECT status, count(*) AS n FROM res GROUP BY 1")
+def status_counts(spark, d):
+    return tables.status_counts(_res(spark, d))
+
+
+@query(f"WITH {_RES} SELECT task_id, method FROM res WHERE status <> 'ok' ORDER BY task_id LIMIT 20")
+def failed_tasks(spark, d):
+    return tables.failed_tasks(_res(spark, d)).select("task_id", "method")
+
+
+@query(f"WITH {_RES} SELECT task_id FROM res WHERE task_id NOT IN (SELECT task_id FROM res WHERE status = 'ok')")
+def pending_tasks(spark, d):
+    r = _res(spark, d)
+    return experiments.pending(r.select("task_id"), r.where("status = 'ok'"), ["task_id"])
+
+
+_CATALOG = ["o_custkey AS dataset_id", "o_orderkey AS task_id", "CASE WHEN o_orderstatus = 'O' THEN 'Classification' ELSE 'regression' END AS task_type", "CASE WHEN o_orderstatus = 'P' THEN 'draft' ELSE 'active' END AS status", "cast(o_totalprice as bigint) AS n_rows", "4 + o_custkey % 500 AS n_cols", "CASE WHEN o_orderpriority = '1-URGENT' THEN 10 ELSE 5 END AS folds", "o_orderkey % 97 AS runs"]
+
+
+@query(f"""WITH c AS (SELECT {', '.join(_CATALOG)} FROM orders), o AS (SELECT * FROM c WHERE status = 'active' AND n_rows BETWEEN 500 AND 5000000 AND n_cols BETWEEN 4 AND 6000 AND n_rows * n_cols <= 200000000 QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY (folds = 10)::int DESC, runs DESC, task_id) = 1)
+    SELECT dataset_id, task_id FROM o ORDER BY md5(dataset_id::varchar), dataset_id LIMIT 300""")
+def curated_catalog(spark, d):
+    return experiments.curated(_table(spark, d, "orders").selectExpr(*_CATALOG), 300).select("dataset_id", "task_id")
+
+
+@query(f"WITH c AS (SELECT {', '.join(_CATALOG)} FROM orders) SELECT lower(task_type) AS task_type, count(*) AS n FROM c GROUP BY 1")
+def task_counts(spark, d):
+    return experiments.task_counts(_table(spark, d, "orders").selectExpr(*_CATALOG))
+
+
+_CELL = ["l_returnflag AS ctype", "concat('f', l_suppkey % 20) AS formula", "l_extendedprice"]
+
+
+@query("""WITH c AS (SELECT l_returnflag AS ctype, concat('f', l_suppkey % 20) AS formula, round(avg(l_extendedprice) / 100000, 6) AS r2 FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY ctype ORDER BY r2 DESC, formula) AS rank_in_family, row_number() OVER (ORDER BY r2 DESC, formula, ctype) AS rank, row_number() OVER (PARTITION BY ctype ORDER BY r2 DESC, formula) = 1 AS best FROM c""")
+def ranked_ablation(spark, d):
+    cells = _table(spark, d, "lineitem").selectExpr(*_CELL).groupBy("ctype", "formula").agg(F.round(F.avg("l_extendedprice") / 100000, 6).alias("r2"))
+    return experiments.ranked_ablation(cells)
+
+
+# --- verdicts, on importances that stand for a model's: mean prices by part ---
+
+_IMP = """e AS (SELECT p_brand AS "column", avg(p_retailprice) * (p_brand < 'Brand#3')::int + 0.001 AS importance FROM part GROUP BY 1), b AS (SELECT p_brand AS "column", avg(p_size) AS importance FROM part WHERE p_brand < 'Brand#4' GROUP BY 1), es AS (SELECT "column", 100 * importance / sum(importance) OVER () AS share FROM e), bs AS (SELECT "column", 100 * importance / sum(importance) OVER () AS share FROM b)"""
+
+
+def _imps(spark, d):
+    p = _table(spark, d, "part")
+    e = p.groupBy(F.col("p_brand").alias("column")).agg((F.avg("p_retailprice") * (F.col("p_brand") < "Brand#3").cast("int") + 0.001).alias("importance"))
+    b = p.where("p_brand < 'Brand#4'").groupBy(F.col("p_brand").alias("column")).agg(F.avg("p_size").alias("importance"))
+    return e, b
+
+
+def _made(spark, d):
+    return _table(spark, d, "part").select(F.concat(F.lit("date_"), F.substring("p_brand", 7, 1)).alias("transform"), F.col("p_brand").alias("column")).distinct()
+
+
+_MADE = """made AS (SELECT DISTINCT 'date_' || substr(p_brand, 7, 1) AS transform, p_brand AS "column" FROM part)"""
+_VERD = f"""WITH {_IMP}, {_MADE}, v AS (SELECT transform, sum(coalesce(es.share, 0)) AS share, sum(coalesce(es.share, 0)) - sum(bs.share) AS change FROM made LEFT JOIN es USING ("column") LEFT JOIN bs USING ("column") GROUP BY 1), w AS (SELECT *, CASE WHEN share >= 5 THEN 'good' WHEN share >= 1.25 THEN 'marginal' ELSE 'bad' END AS verdict FROM v)"""
+
+
+@query(f"{_VERD} SELECT transform, round(share, 6) AS share, round(change, 6) AS change, verdict FROM w")
+def transform_verdicts(spark, d):
+    e, b = _imps(spark, d)
+    return _r(verdicts.transform_verdicts(_made(spark, d), e, b, 10))
+
+
+@query(f"""{_VERD} SELECT transform, "column", round(es.share, 6) AS share FROM made JOIN es USING ("column") WHERE transform IN (SELECT transform FROM w WHERE verdict = 'good') AND es.share < 1.25""")
+def bad_parts(spark, d):
+    e, b = _imps(spark, d)
+    return _r(verdicts.bad_parts(_made(spark, d), e, verdicts.transform_verdicts(_made(spark, d), e, b, 10), 10))
+
+
+@query(f"""WITH {_IMP} SELECT "column", round(share, 6) AS share FROM es WHERE share < 0.5 AND "column" IN (SELECT "column" FROM bs)""")
+def low_importance_columns(spark, d):
+    e, b = _imps(spark, d)
+    return _r(verdicts.low_importance(e, b))
+
+
+@query(f"""WITH {_IMP} SELECT "column" NOT IN (SELECT "column" FROM bs) AS is_new, round(sum(share), 6) AS share, count(*) AS n FROM es GROUP BY 1""")
+def importance_by_origin(spark, d):
+    e, b = _imps(spark, d)
+    return _r(verdicts.split_by_origin(e, b))
+
+
+@query(f"""WITH {_IMP} SELECT "column", round(share, 6) AS share FROM es WHERE share <= (SELECT quantile_cont(share, 0.02) FROM es) AND share < 0.05""")
+def bottom_features(spark, d):
+    return _r(verdicts.bottom_features(_imps(spark, d)[0]))
+
+
+# --- names and text ---
+
+
+@query("""SELECT c_custkey AS key, trim(replace(replace(replace(replace(replace(coalesce(CASE WHEN c_nationkey = 3 THEN NULL ELSE concat(' a,"', c_name, '"', chr(10), 'x ') END, ''), ',', '_'), '"', ''), '''', ''), chr(13), ' '), chr(10), ' ')) AS clean FROM customer""")
+def cleaned_text(spark, d):
+    df = _table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_nationkey") != 3, F.concat(F.lit(' a,"'), F.col("c_name"), F.lit('"\nx '))).alias("clean"))
+    return tables.clean_text(df, ["clean"])
+
+
+@query(f"WITH {SQL_ORDERS} SELECT key, (total > 200000)::int AS baseline_prediction, (total > 210000)::int AS enhanced_prediction, (total > 200000) = (total > 210000) AS models_agree FROM ords")
+def model_comparison(spark, d):
+    o = _orders(spark, d)
+    return tables.comparison(o.select("key", (F.col("total") > 200000).cast("int").alias("prediction")), o.select("key", (F.col("total") > 210000).cast("int").alias("prediction")), "key")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT avg(((total > 200000) <> (total > 210000))::int) AS disagreement_rate, count(*) AS n FROM ords")
+def disagreement_rate(spark, d):
+    return tables.disagreement(model_comparison(spark, d))
+
+
+# --- plans that fit models: rows only ---
+
+
+@query()
+def suggestions(spark, d):
+    df = _orders(spark, d).drop("key")
+    given = spark.createDataFrame([(c, float(i)) for i, c in enumerate(("customer", "total", "status", "priority"))], "column string, importance double")
+    score = lambda rows, kind: rows.withColumn("predicted_delta_raw", F.length("method") / 100 - F.length("column") / 50)
+    return recommend.suggestions(df, "label", given, score)
+
+
+@query()
+def compared_models(spark, d):
+    df = _table(spark, d, "orders").selectExpr("o_orderkey AS key", "o_totalprice AS total", "o_custkey AS customer", "o_orderpriority AS priority", "CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS label")
+    return recommend.compare_models(df, "label", "key", [Step("log_transform", "total"), Step("frequency_encoding", "priority")], {"maxIter": 3, "maxDepth": 3})
+
+
+@query()
+def baseline_importances(spark, d):
+    df = _table(spark, d, "orders").selectExpr("o_totalprice AS total", "o_custkey AS customer", "o_orderpriority AS priority", "CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS label")
+    return models.baseline_importances(df, "label", 2, {"maxIter": 3, "maxDepth": 3})
