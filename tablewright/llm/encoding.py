@@ -39,12 +39,12 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
                 yield batch.slice(i, j - i)
 
 
-def coded(texts: pa.Array, split: pa.Array, make, whole=None) -> tuple[np.ndarray, np.ndarray]:
+def coded(texts: pa.Array, make, whole=None) -> tuple[np.ndarray, np.ndarray]:
     """16-bit codes of the texts, one after the other, and where each text's begin: make(chunk), bytes, of each chunk between white space.
 
-    split: the texts as they are to be split. whole(text): codes of a text, if some chunk of it matches OTHER.
+    whole(text): codes of a text, if some chunk of it matches OTHER.
     """
-    lists = pc.ascii_split_whitespace(split)
+    lists = pc.ascii_split_whitespace(texts)
     found = lists.flatten().dictionary_encode()
     codes, bounds = found.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     chunks = found.dictionary.to_pylist()
@@ -96,12 +96,12 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORD.findall(chunk)))
+        return b"".join(map(self.words.__getitem__, WORD.findall(chunk.lower())))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other (16 bits), and where each text's begin (one more than texts). Null: no ids."""
         texts = pc.fill_null(texts, "")
-        return coded(texts, pc.utf8_lower(texts), self._chunk, self.whole)
+        return coded(texts, self._chunk, self.whole)
 
 
 @lru_cache(1)

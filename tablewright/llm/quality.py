@@ -46,7 +46,7 @@ _units = _Units()
 
 def _numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "")
-    return coded(texts, texts, _units.__getitem__)
+    return coded(texts, _units.__getitem__)
 
 
 def index_vectors() -> np.ndarray:

@@ -16,8 +16,8 @@ from .common import small, written
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 #: Levels of the tree; what stands deeper is one last segment, **.
 DEPTH = 4
-#: A node with more different children than this, seen fewer than MIN_SEEN times each on average, has a variable segment there.
-MAX_CHILDREN, MIN_SEEN = 20, 5.0
+#: Where a node has more different children than this, those with less than their equal share of its pages are values of a variable segment.
+MAX_CHILDREN = 20
 #: Branches whose shares of good pages differ by fewer standard errors than this from their siblings' are merged.
 SIMILAR = 1.96
 #: A template is rejected when its share of good pages, smoothed by STRENGTH pages of the overall share, is below this.
@@ -61,24 +61,29 @@ def shapes(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 def templates(counted: DataFrame) -> DataFrame:
     """host, s1 .. sDEPTH (of a shape), t1 .. tDEPTH (its template), good, seen and purity (of the template), for each row of shapes().
 
-    Level by level from the root, a node's children become * where they are too many and too rare; then, from the deepest
+    Level by level from the root, the rare ones of too many children of a node become *; then, from the deepest
     level up, siblings alike in their labels become * together. Nodes without labels are alike.
     """
     tree = counted.select("*", *(F.col(s).alias(f"t{i}") for i, s in enumerate(LEVELS, 1)))
     names = [f"t{i}" for i in range(1, DEPTH + 1)]
     for i, t in enumerate(names):
         parent = ["host", *names[:i]]
-        children = tree.where(F.col(t) != "").groupBy(*parent, t).agg(F.sum("n").alias("c")).groupBy(*parent).agg(F.count("*").alias("kinds"), F.sum("c").alias("c"))
-        loose = children.where((F.col("kinds") > MAX_CHILDREN) & (F.col("c") < MIN_SEEN * F.col("kinds"))).select(*parent, F.lit(True).alias("loose"))
-        tree = tree.join(small(loose), parent, "left").withColumn(t, F.when(F.col("loose") & (F.col(t) != ""), F.lit("*")).otherwise(F.col(t))).drop("loose")
+        children = tree.where(F.col(t) != "").groupBy(*parent, t).agg(F.sum("n").alias("c"))
+        crowded = children.groupBy(*parent).agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where(F.col("kinds") > MAX_CHILDREN)
+        # MAX_CHILDREN rows of a crowded node at most
+        often = children.join(crowded, parent).where(F.col("c") * MAX_CHILDREN >= F.col("all")).select(*parent, t, F.lit(True).alias("often"))
+        tree = tree.join(small(crowded.select(*parent, F.lit(True).alias("crowded"))), parent, "left").join(small(often), [*parent, t], "left")
+        tree = tree.withColumn(t, F.when(F.col("crowded") & F.col("often").isNull() & (F.col(t) != ""), F.lit("*")).otherwise(F.col(t))).drop("crowded", "often")
+    tree = written(tree, "generalised")
     for t in reversed(names):
         key, others = ["host", *names], ["host", *(x for x in names if x != t)]
         nodes = tree.groupBy(*key).agg(F.sum("good").alias("g"), F.sum("seen").alias("k"))
         around = nodes.where(F.col(t) != "").groupBy(*others).agg(F.sum("g").alias("ag"), F.sum("k").alias("ak"), F.count("*").alias("kinds"))
         rest_g, rest_k = F.col("ag") - F.col("g"), F.col("ak") - F.col("k")
-        pool = F.col("ag") / F.col("ak")
-        z = F.abs(F.col("g") / F.col("k") - rest_g / rest_k) / F.sqrt(pool * (1 - pool) * (1 / F.col("k") + 1 / rest_k))
-        alike = F.when((F.col("k") == 0) | (rest_k == 0) | (pool == 0) | (pool == 1), F.lit(True)).otherwise(z < SIMILAR)
+        pool = F.try_divide("ag", "ak")
+        gap = F.abs(F.try_divide("g", "k") - F.try_divide(rest_g, rest_k))
+        # null where a side has no labels, and no gap where all are of one kind: alike in both cases
+        alike = F.coalesce(gap < SIMILAR * F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1), F.col("k")) + F.try_divide(F.lit(1), rest_k))), F.lit(True)) | (F.col("ag") == 0) | (F.col("ag") == F.col("ak"))
         merged = nodes.where(F.col(t) != "").join(around.where("kinds > 1"), others).where(alike).select(*key, F.lit(True).alias("merged"))
         tree = written(tree.join(small(merged), key, "left").withColumn(t, F.when(F.col("merged"), F.lit("*")).otherwise(F.col(t))).drop("merged"), "templates")
     good, seen = tree.agg(F.sum("good"), F.sum("seen")).first()
