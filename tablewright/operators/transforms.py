@@ -166,6 +166,10 @@ def _fit_tfidf(train: DataFrame, s: Step) -> None:
     s.params |= {"terms": terms, "idf": [math.log((1 + n) / (1 + d)) + 1 for d in df]}
 
 
+def _equals(term: str):
+    return lambda w: w == term
+
+
 def out_of_fold(train: DataFrame, s: Step, label: str, key: str) -> DataFrame:
     """train with its column target-encoded by the other folds' rows."""
     gm = F.lit(s.params["mean"])
@@ -306,7 +310,7 @@ def _apply_one(df: DataFrame, s: Step, fitted_on: tuple[str, str] | None) -> Dat
     if m == "text_tfidf":
         stop_words()
         df = df.withColumn("__tokens", _tokens(quoted(c)))
-        raw = {t: F.size(F.filter("__tokens", lambda w, t=t: w == t)) * F.lit(i) for t, i in zip(p["terms"], p["idf"], strict=True)}
+        raw = {t: F.size(F.filter("__tokens", _equals(t))) * F.lit(i) for t, i in zip(p["terms"], p["idf"], strict=True)}
         df = df.withColumns({f"__tf_{i}": x for i, x in enumerate(raw.values())})
         norm = F.sqrt(sum((F.col(f"__tf_{i}") * F.col(f"__tf_{i}") for i in range(len(raw))), F.lit(0.0)))
         df = df.withColumn("__norm", norm)
