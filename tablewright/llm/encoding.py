@@ -11,10 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words that one Python worker keeps at most (about 120 MB).
-KEPT_WORDS = 500_000
+#: Words that one Python worker keeps at most (about 35 MB).
+KEPT_WORDS = 150_000
 #: Bytes of text that a task encodes at a time; a longer text stands alone.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 8 << 20
 # How word_bpe_49k cuts a text into words, as its file states.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Outside these characters, normalisation and lower case may depend on more than one character: the tokenizer gets the whole text.

@@ -27,7 +27,7 @@ FIT_ROWS = 5_000
 #: Of the method: learning rate, its smoothing, both penalties, passes; SCALE multiplies term frequencies.
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.3, 1.0, 1e-3, 1e-3, 3, 30.0
 #: Characters, and documents, that a task looks at a time; a longer document stands alone.
-PASS, DOCS = 2_000_000, 256
+PASS, DOCS = 1_000_000, 256
 UNKNOWN = "und"
 
 

@@ -36,7 +36,7 @@ class _Units(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         found = b"".join([(zlib.crc32(u.encode("utf-8", "replace")) % BUCKETS).to_bytes(2, "little") for u in UNIT.findall(chunk)])
-        if len(self) < 300_000:
+        if len(self) < 50_000:
             self[chunk] = found
         return found
 

@@ -42,7 +42,7 @@ class _Flags(dict):
     def __missing__(self, word: str) -> int:
         found = SEED * (word in SEEDS) | LEARNED * (word in self.lexicon) | SECOND * (word in SECOND_PERSON)
         found |= PREFIX * any(f"^{word[:k]}" in self.lexicon for k in range(PREFIXES[0], min(PREFIXES[1], len(word) - 1) + 1))
-        if len(self) < 200_000:
+        if len(self) < 50_000:
             self[word] = found
         return found
 
