@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.columns import md5fold, number, quoted
 from .operators import candidates, experiments, meta, metrics, models, prepare, profile, verdicts
 from .operators.transforms import Step, apply, fit, fit_and_apply
-from .plans import recommend
+from .plans import collect, recommend
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,7 +254,7 @@ def class_balance(spark, d):
     return _r(profile.class_balance(_items(spark, d), "flag"))
 
 
-@query()
+@query("""WITH r AS (SELECT count(*) AS n, (2 * count(*) - count(nullif(l_tax, 0.0)) - count(CASE WHEN l_linenumber > 3 THEN NULL ELSE l_quantity END)) / (2 * count(*)) AS m FROM lineitem) SELECT 'missing' AS category, 'medium' AS severity, 'many missing values' AS title, printf('%.4f missing', m) AS detail FROM r WHERE m > 0.2 UNION ALL SELECT 'size', 'high', 'few rows', n || ' rows' FROM r WHERE n < 500""")
 def dataset_advisories(spark, d):
     return profile.advisories(_table(spark, d, "lineitem").selectExpr("l_returnflag AS flag", "nullif(l_tax, 0.0) AS tax", "CASE WHEN l_linenumber > 3 THEN NULL ELSE l_quantity END AS gap"), "flag")
 
@@ -321,7 +321,11 @@ def numeric_column_meta(spark, d):
     return _r(meta.numeric_column_meta(_items(spark, d), _QM, "label"), skewness=5, kurtosis_val=5, bimodality_coefficient=5, entropy=5, spearman_corr_target=5, normality_p_value=4)
 
 
-@query()
+_MI = """SELECT '{c}' AS "column", greatest(0, sum(c / n * ln(c * n / (a * b)))) AS mi FROM (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY v) AS a, sum(c) OVER (PARTITION BY y) AS b FROM (SELECT len(list_filter((SELECT list_distinct(quantile_cont({c}, [{q}])) FROM items), lambda e: {c} > e)) AS v, label AS y, count(*) AS c FROM items WHERE {c} IS NOT NULL GROUP BY 1, 2) AS g) AS h"""
+_QS = ", ".join(str(i / 20) for i in range(1, 20))
+
+
+@query(f'WITH {SQL_ITEMS}, s AS (' + " UNION ALL ".join(_MI.format(c=c, q=_QS) for c in _QM) + ') SELECT "column", round(mi, 6) AS mi FROM s')
 def numeric_mutual_information(spark, d):
     return _r(meta.binned_mutual_information(_items(spark, d), _QM, "label"))
 
@@ -805,3 +809,41 @@ def compared_models(spark, d):
 def baseline_importances(spark, d):
     df = _table(spark, d, "orders").selectExpr("o_totalprice AS total", "o_custkey AS customer", "o_orderpriority AS priority", "CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS label")
     return models.baseline_importances(df, "label", 2, {"maxIter": 3, "maxDepth": 3})
+
+
+@query()
+def experiment_results(spark, d):
+    df = _table(spark, d, "orders").selectExpr("o_orderkey AS key", "o_totalprice AS total", "o_orderpriority AS priority", "CASE WHEN o_totalprice + 50000 * (o_custkey % 3) > 250000 THEN 1 ELSE 0 END AS label")
+    return collect.results(collect.collect(df, "label", "key", "orders", ("categorical",), 2, 1, {"maxIter": 2, "maxDepth": 3}, max_cells=1))
+
+
+@query()
+def tree_accuracies(spark, d):
+    df = _table(spark, d, "orders").selectExpr("o_orderkey AS key", "o_totalprice AS total", "o_orderpriority AS priority", "CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS label")
+    rows = [("landmarking_score", models.landmarking_score(df, "label", "key")), ("pps_score", models.pps_score(df, "priority", "label", "key"))]
+    return spark.createDataFrame(rows, "measure string, value double")
+
+
+@query(f"WITH {SQL_ITEMS}, i AS (SELECT * FROM (VALUES ('quantity', true, 0.1), ('gap', true, 0.2), ('price', true, 0.3), ('flag', false, 0.4), ('status', false, 0.1)) AS v(c, num, imp)), f AS (SELECT count(*) AS n FROM items) SELECT least(a.c, b.c) AS x, greatest(a.c, b.c) AS y, CASE WHEN a.num AND b.num THEN 'nn' WHEN a.num OR b.num THEN 'nc' ELSE 'cc' END AS kind FROM i AS a JOIN i AS b ON a.c < b.c, f WHERE n > 0")
+def pair_pools(spark, d):
+    given = spark.createDataFrame([("quantity", True, 0.1), ("gap", True, 0.2), ("price", True, 0.3), ("flag", False, 0.4), ("status", False, 0.1)], "column string, numeric boolean, importance double")
+    own = profile.base_stats(_items(spark, d)).select("column").join(F.broadcast(given), "column")
+    return candidates.pair_pool(own).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "kind")
+
+
+@query("""WITH n AS (SELECT CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN 'rare' ELSE l_returnflag END AS label, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT count(*) AS k, max(n) / min(n) AS ratio, max(n) / sum(n) AS dominant FROM n) SELECT 'class_weight_balance' AS method, CASE WHEN k = 2 THEN 'binary' WHEN ratio > 15 OR dominant > 0.65 THEN 'none' ELSE 'multiclass_moderate' END AS strategy, ratio, k <> 2 AND NOT (ratio > 15 OR dominant > 0.65) AS auto_checked FROM o WHERE ratio >= 5""")
+def imbalance_suggestion(spark, d):
+    df = _table(spark, d, "lineitem").selectExpr("CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN 'rare' ELSE l_returnflag END AS label")
+    return candidates.imbalance_suggestion(prepare.class_counts(df, "label"))
+
+
+@query("""WITH d AS (SELECT 'moment' AS "column", 'datetime' AS kind UNION ALL SELECT 'day', 'date') SELECT "column", m AS method, r::double AS predicted_delta_raw, m = 'date_features' AS pinned FROM d, (VALUES ('date_features', 0.5, ''), ('date_cyclical_month', 0.49, ''), ('date_cyclical_dow', 0.489, ''), ('date_cyclical_dom', 0.488, ''), ('date_cyclical_hour', 0.487, 'datetime')) AS v(m, r, k) WHERE k = '' OR k = kind""")
+def date_suggestions(spark, d):
+    df = _table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("kind"))
+    return candidates.date_suggestions(profile.date_stats(df)).select("column", "method", F.round("predicted_delta_raw", 6).alias("predicted_delta_raw"), "pinned")
+
+
+@query()
+def family_model(spark, d):
+    rows = _table(spark, d, "lineitem").selectExpr("concat('d', l_suppkey % 10) AS dataset_name", "l_quantity AS q", "l_discount AS r", "l_extendedprice / l_quantity AS cohens_d")
+    return models.train_family_model(rows, ["q", "r", "absent"], "cohens_d", "dataset_name", 2, {"maxIter": 2, "maxDepth": 3})[1]

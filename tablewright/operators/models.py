@@ -165,7 +165,7 @@ def search(rows: DataFrame, key: str, grid: list[dict], label: str = "label") ->
 
 def train_family_model(results: DataFrame, features: list[str], target: str, group: str, folds: int = 5, params: dict | None = None) -> tuple[object, DataFrame]:
     """A regressor on all results, and its grouped cross-validation: fold, mae, rmse, r2, median_ae."""
-    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(-999.0)) for f in features))
+    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(-999.0)) if f in results.columns else F.lit(-999.0) for f in features))
     from pyspark.ml.functions import array_to_vector
 
     rows = prepare.group_folds(results.where(F.col(target).isNotNull()), group, folds).select("fold", F.col(target).cast("double").alias("label"), array_to_vector(x).alias("features")).cache()
