@@ -216,3 +216,22 @@ def test_models_and_experiments(spark):
     enc = models.fit_encoders(df, "label", skip=("key",))
     new = spark.createDataFrame([(1, "zzz")], "key long, c string")
     assert models.matrix(new, enc, ["key"]).first().features.toArray().tolist() == [0.0, 0.0]
+
+
+def test_evaluation_and_report(spark):
+    from tablewright.plans import evaluate
+
+    df = spark.range(300).select(F.col("id").alias("key"), (F.col("id") * 7919 % 101).cast("double").alias("x"), F.concat(F.lit("c"), F.col("id") % 3).alias("c")).withColumn("label", (F.col("x") > 50).cast("int")).withColumn("kind", (F.col("x") / 40).cast("int"))
+    steps = fit(df.drop("kind"), [Step("frequency_encoding", "c")])
+    model, enc = evaluate.final_model(df.drop("kind"), "label", "key", steps, 2, {"maxIter": 2, "maxDepth": 3})
+    got = evaluate.evaluate_on_set(model, apply(df, steps), enc, 2, "label", 0.4)
+    values = {r.metric: r.value for r in got["metrics"].collect()}
+    assert values["roc_auc"] > 0.99 and values["accuracy"] > 0.95 and got["confusion"].agg(F.sum("n")).first()[0] == 300
+    enc3 = models.fit_encoders(df.drop("label"), "kind", skip=("key",))
+    three = models.train_classifier(models.matrix(df, enc3, ["kind"]), 3, "kind", {"maxIter": 5, "maxDepth": 3})
+    values3 = {r.metric: r.value for r in evaluate.evaluate_on_set(three, df, enc3, 3, "kind")["metrics"].collect()}
+    assert values3["roc_auc"] > 0.95 and values3["log_loss"] < 1
+    sugg = spark.createDataFrame([], candidates.SUGGESTION)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    evaluate.write_report(evaluate.report_tables(df.drop("kind"), "label", sugg, steps, got["metrics"], got["metrics"], "key"), folder)
+    assert spark.read.parquet(f"{folder}/metrics").where("winner = 'tie'").count() == len(values)
