@@ -179,8 +179,9 @@ def fit(docs: DataFrame, keep: Column | None = None) -> LanguageModel:
     def sparse(texts: pd.Series) -> pd.Series:
         return pd.Series([_sparse(x) for x in texts], dtype=object)
 
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep))
-    sample = bounded(usable.select("doc_id", "lang", "text"), "doc_id", FIT_ROWS)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep))
+    # nulls among the texts are left out after the count, which so reads no text
+    sample = bounded(usable.select("doc_id", "lang", "text"), "doc_id", FIT_ROWS).where("text IS NOT NULL")
     rows = sorted(tuple(r) for r in sample.select("doc_id", "lang", sparse("text")).collect())  # FIT_ROWS sparse vectors at most
     classes = sorted({r[1] for r in rows})
     if not classes:
