@@ -72,9 +72,9 @@ def templates(counted: DataFrame) -> DataFrame:
         crowded = children.groupBy(*parent).agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where(F.col("kinds") > MAX_CHILDREN)
         # MAX_CHILDREN rows of a crowded node at most
         often = children.join(crowded, parent).where(F.col("c") * MAX_CHILDREN >= F.col("all")).select(*parent, t, F.lit(True).alias("often"))
-        tree = tree.join(small(crowded.select(*parent, F.lit(True).alias("crowded"))), parent, "left").join(small(often), [*parent, t], "left")
+        tree = tree.join(crowded.select(*parent, F.lit(True).alias("crowded")), parent, "left").join(often, [*parent, t], "left")
         tree = tree.withColumn(t, F.when(F.col("crowded") & F.col("often").isNull() & (F.col(t) != ""), F.lit("*")).otherwise(F.col(t))).drop("crowded", "often")
-    tree = written(tree, "generalised")
+        tree = written(tree, "generalised")  # each level reads the one before more than once
     for t in reversed(names):
         key, others = ["host", *names], ["host", *(x for x in names if x != t)]
         nodes = tree.groupBy(*key).agg(F.sum("good").alias("g"), F.sum("seen").alias("k"))
@@ -85,12 +85,12 @@ def templates(counted: DataFrame) -> DataFrame:
         # null where a side has no labels, and no gap where all are of one kind: alike in both cases
         alike = F.coalesce(gap < SIMILAR * F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1), F.col("k")) + F.try_divide(F.lit(1), rest_k))), F.lit(True)) | (F.col("ag") == 0) | (F.col("ag") == F.col("ak"))
         merged = nodes.where(F.col(t) != "").join(around.where("kinds > 1"), others).where(alike).select(*key, F.lit(True).alias("merged"))
-        tree = written(tree.join(small(merged), key, "left").withColumn(t, F.when(F.col("merged"), F.lit("*")).otherwise(F.col(t))).drop("merged"), "templates")
+        tree = written(tree.join(merged, key, "left").withColumn(t, F.when(F.col("merged"), F.lit("*")).otherwise(F.col(t))).drop("merged"), "templates")
     good, seen = tree.agg(F.sum("good"), F.sum("seen")).first()
     prior = good / seen if seen else 1.0
     nodes = tree.groupBy("host", *names).agg(F.sum("good").alias("g"), F.sum("seen").alias("k"))
     pure = nodes.select("host", *names, F.col("g").alias("t_good"), F.col("k").alias("t_seen"), ((F.col("g") + STRENGTH * prior) / (F.col("k") + STRENGTH)).alias("purity"))
-    return tree.drop("n", "good", "seen").join(small(pure), ["host", *names])
+    return tree.drop("n", "good", "seen").join(pure, ["host", *names])
 
 
 def judged(pages: DataFrame, labelled: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
