@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import release
+
 #: Words that one Python worker keeps at most (about 35 MB).
 KEPT_WORDS = 150_000
 #: Bytes of text that a task encodes at a time; a longer text stands alone.
@@ -37,6 +39,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
         for i, j in zip(starts, starts[1:], strict=False):
             if j > i:
                 yield batch.slice(i, j - i)
+                release()
 
 
 def coded(texts: pa.Array, make, whole=None) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, fold
+from .common import bounded, fold, release
 from .encoding import steps
 
 FEATURES = 1 << 14
@@ -161,6 +161,7 @@ class LanguageModel:
         @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("p", T.DoubleType())]))
         def predicted(texts: pd.Series) -> pd.DataFrame:
             names, scores = self.predict(texts.tolist())
+            release()
             return pd.DataFrame({"lang": names, "p": scores})
 
         columns = [F.col(f"`{c}`") for c in docs.columns]

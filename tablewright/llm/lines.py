@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled
+from .common import labelled, release
 
 #: Labelled documents that the field is fitted on at most, and lines of one of them; longer ones aren't learned from.
 FIT_ROWS, FIT_LINES = 6_000, 400
@@ -195,7 +195,9 @@ def judged(docs: DataFrame, field: LineField | None) -> DataFrame:
 
     @F.pandas_udf(_RESULT)
     def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measures(x, field) for x in texts], columns=_RESULT.names)
+        found = pd.DataFrame([measures(x, field) for x in texts], columns=_RESULT.names)
+        release()
+        return found
 
     return docs.select("doc_id", judge("text").alias("__judged")).select("doc_id", *(F.col(f"__judged.{x}").alias(x) for x in _RESULT.names))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, without, written
+from .common import release, small, without, written
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -46,7 +46,9 @@ def fingerprint(text: str | None) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(x) for x in texts], dtype="int64")
+    found = pd.Series([fingerprint(x) for x in texts], dtype="int64")
+    release()
+    return found
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, labelled
+from .common import fold, labelled, release
 
 #: Labelled rows that the model is fitted on at most: half for the lexicon, three tenths for the trees, the rest for calibration.
 FIT_ROWS = 16_000
@@ -102,7 +102,9 @@ class ToxicityModel:
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def dense(texts: pd.Series) -> pd.Series:
             flags = kept.setdefault(0, _Flags(lexicon))
-            return pd.Series([features(x, flags) for x in texts], dtype=object)
+            found = pd.Series([features(x, flags) for x in texts], dtype=object)
+            release()
+            return found
 
         return df.withColumn("__tox_x", array_to_vector(dense("text")))
 
