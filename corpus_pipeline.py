@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of linked fingerprints."""
+    """One document, that of the smallest doc_id, of each component: fingerprints within 2 bits, or 5-word Jaccard similarity of 0.8."""
     return simhash.deduplicated(docs)
 
 

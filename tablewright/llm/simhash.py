@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import minhash
 from .common import release, small, without, written
 from .components import components
 
@@ -101,9 +102,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest; a group of such rows alone has a null component_id. Repeated rows come out as often as they went in.
     Copies meet in one distinct fingerprint before any pair is formed. An empty table gives an empty one.
     """
-    fps = written(fingerprints(docs), "fingerprints")
+    return _grouped(written(fingerprints(docs), "fingerprints"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """near_duplicates() where texts of an exact 5-word Jaccard similarity of 0.8 (minhash.links) are linked as well."""
+    own = docs.select("doc_id", _fingerprints("text").alias("fp"), minhash.signature("text").alias("s"))
+    fps = written(own.select("doc_id", "fp", "s.*"), "fingerprints")
+    sets = written(fps.where("n > 0").groupBy("cls").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    alike = minhash.links(docs, sets)
+    at = sets.select("cls", F.col("fp").alias("least"))
+    # sets stand for their least fingerprint, to which the others of the set are linked
+    others = fps.select("cls", "fp").distinct().join(at, "cls").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    moved = alike.join(at.toDF("a", "fp_a"), "a").join(at.toDF("b", "fp_b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    return _grouped(fps.select("doc_id", "fp"), written(others.union(moved).distinct(), "alike"))
+
+
+def _grouped(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """fps (doc_id, fp) with component_id, by links() and the links a, b of `more`."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp")))
+    found = links(classes.select("fp"))
+    roots = components(found if more is None else found.union(more))
     linked = roots.join(classes, F.col("node") == F.col("fp"))
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
@@ -113,11 +132,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Rows with a null doc_id stay.
+    """docs with one document of each component of near_copies(): that of the smallest doc_id. Rows with a null doc_id stay.
 
     Rows that repeat a kept doc_id are reduced to one.
     """
-    found = written(near_duplicates(docs).where(F.col("doc_id").isNotNull()), "components")
+    found = written(near_copies(docs).where(F.col("doc_id").isNotNull()), "components")
     kept = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
     again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = written(again, "repeated")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tablewright.llm import components, decontamination, encoding, licenses, packing, simhash, token_counts, urls
+from tablewright.llm import components, decontamination, encoding, licenses, minhash, packing, simhash, token_counts, urls
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -287,3 +287,37 @@ def test_templates(spark):
         template, purity = want[shape[r.page_id]]
         assert r.template == template and abs(r.purity - purity) < 1e-9 and r.verdict == ("block" if purity < urls.PURITY else "allow")
     assert {r.verdict for r in got} == {"allow", "block"}
+
+
+# --- near copies of the pipeline's stage ---
+
+
+@pytest.mark.parametrize("most", [3, 64])
+def test_near_copies_at_a_similarity_of_four_fifths(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "MAX_BUCKET", most)
+    rng, rows = random.Random(11), []
+    for g in range(12):
+        base = [rng.choice(WORDS) for _ in range(150)]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(150)] = "other"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, None), (901, ""), (902, "two words"), (903, "Two\nwords"), (904, "two other")]
+
+    def plain(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, fps = [plain(t) for _, t in rows], [plain_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {rows[i][0]: rows[r][0] for i, r in enumerate(root)}
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted({rows[r][0] for r in root})
+    alone = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(set(alone.values())) > len(set(got.values()))
