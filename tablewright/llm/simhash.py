@@ -102,11 +102,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest; a group of such rows alone has a null component_id. Repeated rows come out as often as they went in.
     Copies meet in one distinct fingerprint before any pair is formed. An empty table gives an empty one.
     """
-    return _grouped(written(fingerprints(docs), "fingerprints"))
+    return _grouped(written(fingerprints(docs), "fingerprints")).drop("kept")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """near_duplicates() where texts of an exact 5-word Jaccard similarity of 0.8 (minhash.links) are linked as well."""
+    """near_duplicates() where texts of an exact 5-word Jaccard similarity of 0.8 (minhash.links) are linked as well.
+
+    kept: whether (doc_id, fp) is the smallest of its component, which holds for one such pair of each component with a doc_id.
+    """
     own = docs.select("doc_id", _fingerprints("text").alias("fp"), minhash.signature("text").alias("s"))
     fps = written(own.select("doc_id", "fp", "s.*"), "fingerprints")
     sets = written(fps.where("n > 0").groupBy("cls").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
@@ -119,28 +122,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """fps (doc_id, fp) with component_id, by links() and the links a, b of `more`."""
+    """fps (doc_id, fp) with component_id and kept, by links() and the links a, b of `more`."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = links(classes.select("fp"))
     roots = components(found if more is None else found.union(more))
     linked = roots.join(classes, F.col("node") == F.col("fp"))
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    moved = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    least = linked.groupBy("root").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "fp"))).alias("least"))
+    moved = linked.join(least, "root").select(F.col("node").alias("fp"), F.col("least.first").alias("least"), (F.col("least.fp") == F.col("node")).alias("chosen"))
+    ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
     # written apart from the aggregate, so that the join's large side isn't bound to its partitions and a hot fingerprint can be split
-    return fps.join(small(written(ids, "ids")), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(small(written(ids, "ids")), "fp").select("doc_id", "fp", "component_id", (F.col("chosen") & (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component of near_copies(): that of the smallest doc_id. Rows with a null doc_id stay.
+    """docs with one row of each component of near_copies(): that of the smallest (doc_id, fp). Rows with a null doc_id stay.
 
-    Rows that repeat a kept doc_id are reduced to one.
+    Rows that repeat a kept (doc_id, fp) are reduced to one; one doc_id may stay on texts of several components.
     """
     found = written(near_copies(docs).where(F.col("doc_id").isNotNull()), "components")
-    kept = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = written(again, "repeated")
+    again = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    gone = found.where("NOT kept").select("doc_id").union(again).distinct()
+    kept = without(docs, gone)
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(kept, again).unionByName(repeated.select(kept.columns))
+    # where an id stands on several rows, these are told apart by their fingerprints
+    rows = docs.join(small(again), "doc_id", "left_semi").withColumn("__fp", _fingerprints("text"))
+    chosen = found.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.col("fp").alias("__fp")).distinct()
+    return kept.unionByName(rows.join(chosen, ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"]).select(kept.columns))

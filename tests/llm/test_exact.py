@@ -321,3 +321,10 @@ def test_near_copies_at_a_similarity_of_four_fifths(spark, monkeypatch, most):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted({rows[r][0] for r in root})
     alone = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert len(set(alone.values())) > len(set(got.values()))
+
+
+def test_deduplicated_by_row_where_ids_repeat(spark):
+    a, b, c, d = texts(4, 77)
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (11, c), (11, d), (11, c), (12, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.deduplicated(docs).collect())
+    assert got == sorted([(3, a), (7, b), (11, c), (11, d)])
