@@ -1,6 +1,6 @@
 """License scans: exact set-similarity join of license templates with text blocks.
 
-Blocks are lines. Tokens are ordered by their frequency over all blocks, rarest first. A block that holds `need` of a
+Blocks are lines, and windows of words across line ends (wrapped_matches). Of lines, tokens are ordered by their frequency over all blocks, rarest first. A block that holds `need` of a
 template's tokens shares one of the template's first size - need + 1 (prefix filter), has `need` tokens itself (length
 filter), and after the first shared token both have enough left (positional filter). What passes is verified. Only
 built-in functions are used.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,13 +104,44 @@ def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = T
     return pairs.where(shared >= F.col("need")).groupBy("doc_id", "line", "label").agg(F.max(shared / F.col("size")).alias("containment"))
 
 
+def wrapped_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, label, containment: windows of words across line ends that hold `threshold` of a template's distinct tokens.
+
+    A window is as long as its template's words divided by `threshold`. Such a window holds one of the template's first
+    size - need + 1 tokens in any fixed order (longest first here), so only windows around these are compared.
+    """
+    rows, reach = [], 0
+    for label, text in templates:
+        own = [x for x in re.split(SEPARATORS, text.lower()) if x]
+        tokens = sorted(set(own), key=lambda x: (-len(x), x))
+        need, span = math.ceil(threshold * len(tokens) - 1e-9), math.ceil(len(own) / threshold - 1e-9)
+        reach = max(reach, span)
+        rows += [(label, tokens, len(tokens), need, span, x) for x in tokens[: len(tokens) - need + 1]]
+    prefixes = docs.sparkSession.createDataFrame(rows, "label string, tokens array<string>, size int, need int, span int, token string")
+    first = sorted({r[5] for r in rows})
+    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _low(F.col("text")).alias("__low"))
+    own = own.where(reduce(lambda c, x: c | F.contains("__low", F.lit(x)), first, F.lit(False)))
+
+    def around(w: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.get(w, i).isin(first))
+        begin = lambda i: F.greatest(i - F.lit(reach - 1), F.lit(0))
+        return F.transform(places, lambda i: F.struct(F.get(w, i).alias("token"), F.slice(w, begin(i) + 1, F.lit(2 * reach - 1)).alias("near"), (i - begin(i)).alias("at")))
+
+    near = own.select("doc_id", F.inline(F.transform(F.array(_tokens(F.col("__low"))), around)[0]))
+    pairs = near.join(small(prefixes), "token").where(F.size(F.array_intersect("near", "tokens")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("span") + 1, F.lit(0)), F.col("at"))
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.col("span")), F.col("tokens")))))
+    return pairs.select("doc_id", "label", "size", "need", best.alias("best")).where("best >= need").groupBy("doc_id", "label").agg(F.max(F.col("best") / F.col("size")).alias("containment"))
+
+
 def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score: 1 with a base place, else the best containment of a template, else 0. A null text counts as empty. Rows with a
     null doc_id get base labels only; rows that repeat a doc_id share the labels of their templates.
     """
-    matches = template_matches(docs, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    both = template_matches(docs, templates, threshold).select("doc_id", "label", "containment").union(wrapped_matches(docs, templates, threshold))
+    matches = both.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     matches = written(matches, "licenses")
     both = base(docs).join(small(matches), "doc_id", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
@@ -118,7 +150,7 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL of scanned() by comparing every line with every template."""
+    """DuckDB SQL of scanned() by comparing every line with every template; templates that are wrapped over lines are beyond it."""
     values = ", ".join(f"('{label}', '{text}')" for label, text in templates)
     places = {p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split(), 1)) for p in BASE}
     lists = ", ".join(f"list_filter(range(0, len(w)), lambda i: {cond}) AS p{k}" for k, cond in enumerate(places.values()))

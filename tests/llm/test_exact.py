@@ -328,3 +328,13 @@ def test_deduplicated_by_row_where_ids_repeat(spark):
     docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (11, c), (11, d), (11, c), (12, c)], "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in simhash.deduplicated(docs).collect())
     assert got == sorted([(3, a), (7, b), (11, c), (11, d)])
+
+
+def test_licenses_wrapped_over_lines(spark):
+    rows = [
+        (1, "x y\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"), (2, "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"),
+        (3, "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0."), (4, "you may not use this\nfile except in " + "other " * 40 + "\ncompliance with the license"),
+        (5, "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License"), (None, "you may not use this\nfile except in compliance with the license"),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit-text", 2: "bsd", 3: "mpl-2.0", 4: "", 5: "gpl,gpl-text", None: ""}
