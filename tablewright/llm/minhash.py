@@ -2,7 +2,8 @@
 
 BANDS bands of ROWS minima each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6, and
 more similar ones less. All pairs of a bucket are candidates; of a bucket over MAX_BUCKET entries, all pairs with its
-PIVOTS pivots, so rows grow in proportion to the bucket. Pivots differ from band to band.
+PIVOTS pivots, so rows grow in proportion to the bucket. Pivots differ from band to band, and a
+link in such a bucket can be missed where neither text is a pivot in any band.
 """
 
 from __future__ import annotations
