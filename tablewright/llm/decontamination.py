@@ -1,20 +1,23 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are partitioned by their number of distinct shingles. The sketch of an item is its k(size) smallest shingle hashes,
-with k = size - ceil(THRESHOLD * size) + 1: a document that holds THRESHOLD of the shingles lacks fewer than k of them, so
-it holds at least one of the sketch. The longer documents are, the lower the Jaccard similarity with a short item, and
-signatures of both sides would miss ever more; here only the items are sketched, and documents are looked up with all
-their hashes, so nothing is missed at any length. Every candidate is verified with the shingles themselves.
+Items are partitioned by their number of distinct shingles, with upper sizes of 8, 16, 32 and so on. Every partition has one
+signature length and one threshold of matches, both from its upper size. An item's MinHash signature is as many of its
+smallest shingle hashes. Only items are sketched, as containment MinHash does: a signature of a long document would hold
+next to nothing of a short item, so documents are looked up with all their hashes, and the matches of each signature are
+tallied. A document that holds THRESHOLD of an item's n shingles lacks at most (1 - THRESHOLD) * n of any of them, so with a
+signature longer than that by the partition's threshold no true pair stays below it. Candidates are verified exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, without, written
+from .common import small, written
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Upper size of the first partition, and shingles of a partition's upper size for each match that it asks for.
+FIRST, EACH = 8, 16
 
 
 def _let(value: Column, then) -> Column:
@@ -42,13 +45,27 @@ def _shingles(text: Column) -> Column:
     return _let(words(text), lambda w: _windows(w, lambda *part: F.concat_ws(" ", *part)))
 
 
-def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, hash: a row for each hash of each item's sketch, its length by the item's number of distinct shingles."""
+def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """item_id, hash, upper, least: a row for each hash of the signature of each of items (item_id, text), its partition's upper size and threshold of matches.
 
-    def smallest(h: Column) -> Column:
-        return F.slice(F.array_sort(h), F.lit(1), F.size(h) - F.ceil(F.lit(threshold) * F.size(h) - 1e-9).cast("int") + 1)
-
-    return items.select("item_id", F.explode(_let(_hashes(F.col("text")), lambda h: F.when(F.size(h) > 0, smallest(h)))).alias("hash"))
+    Rows that repeat an id are one item. A text without shingles has no rows. Where an item has fewer hashes than its
+    partition's signature length, all are its signature.
+    """
+    own = Window.partitionBy("item_id")
+    hashes = items.select("item_id", F.explode(_hashes(F.col("text"))).alias("hash")).distinct()
+    sized = hashes.select("item_id", "hash", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("hash")).alias("rank"))
+    upper = FIRST * F.pow(2.0, F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / FIRST) - 1e-9)))
+    sized = sized.withColumn("upper", upper.cast("int"))
+    least = F.least(F.ceil(F.col("upper") / EACH), F.greatest(F.lit(1), F.ceil(threshold * F.col("upper") / 2 - 1e-9)))
+    lacking = F.floor((1 - threshold) * F.col("upper") + 1e-9)
+    return sized.withColumn("least", least.cast("int")).where(F.col("rank") <= lacking + F.col("least")).select("item_id", "hash", "upper", "least")
+
+
+def candidates(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """doc_id, item_id of docs (doc_id, text) that hold at least `least` of the hashes of an item's signature."""
+    hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(_hashes(F.col("text"))).alias("hash"))
+    matched = hashed.join(small(sketch), "hash").groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("matches"), F.first("least").alias("least"))
+    return matched.where("matches >= least").select("doc_id", "item_id")
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -59,13 +76,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     """
     items = items.where(F.col("item_id").isNotNull()).select("item_id", "text")
     own = written(items.select("item_id", F.explode(_shingles(F.col("text"))).alias("shingle")).distinct(), "items")
-    sketch = written(sketches(items, threshold).select("hash", "item_id").distinct(), "sketches")
-    hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(_hashes(F.col("text"))).alias("hash"))
-    candidates = written(hashed.join(small(sketch), "hash").select("doc_id", "item_id").distinct(), "candidates")
+    sketch = written(signatures(items, threshold), "signatures")
+    pairs = written(candidates(docs, sketch), "candidates")
     # only candidates' texts are read again, and of their shingles only those of some item are kept before the pairs meet
-    texts = docs.select("doc_id", "text").join(small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     shingles = texts.select("doc_id", F.explode(_shingles(F.col("text"))).alias("shingle"))
-    held = shingles.join(small(own), "shingle").select("doc_id", "item_id", "shingle").join(small(candidates), ["doc_id", "item_id"], "left_semi")
+    held = shingles.join(small(own), "shingle").select("doc_id", "item_id", "shingle").join(small(pairs), ["doc_id", "item_id"], "left_semi")
     shared = held.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     sizes = own.groupBy("item_id").agg(F.count("*").alias("n_item"))
     share = F.col("n_shared") / F.col("n_item")
@@ -73,5 +89,11 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that contain an item; rows with a null doc_id stay."""
-    return without(docs, written(contained(docs, items, threshold).select("doc_id").distinct(), "leaks"))
+    """docs without the rows whose text contains an item.
+
+    Rows are told apart by the hash of id and text, so each row is judged by its own text, also where its id is null or
+    repeated; rows that repeat both go or stay together. Null and wordless texts stay, as does everything where there are no items.
+    """
+    key = F.xxhash64("doc_id", "text")
+    leaks = written(contained(docs.select(key.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(small(leaks), key == F.col("__leak"), "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -13,8 +14,8 @@ import regex
 
 from .common import release
 
-#: Words that one Python worker keeps at most (about 35 MB).
-KEPT_WORDS = 150_000
+#: Words that a task keeps at most (about 25 MB).
+KEPT_WORDS = 100_000
 #: Bytes of text that a task encodes at a time; a longer text stands alone.
 STEP_BYTES = 8 << 20
 # How word_bpe_49k cuts a text into words, as its file states.
@@ -42,15 +43,53 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
                 release()
 
 
+def cut(text: str, limit: int) -> Iterator[str]:
+    """Pieces of at most `limit` characters, cut at white space (within a word if it alone is longer)."""
+    at = 0
+    while len(text) - at > limit:
+        end = max(text.rfind(w, at + 1, at + limit) for w in " \n\t\r\x0b\x0c")
+        end = end if end > at else at + limit
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def parts(texts: pa.Array, limit: int = STEP_BYTES, whole: bool = False) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The texts (null: empty) in steps of about `limit` bytes, and the number of each one's text. A longer text comes alone, in pieces or whole."""
+    texts = pc.fill_null(texts, "")
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    long = sizes > limit
+    step = np.cumsum(np.where(long, 0, sizes)) // limit + np.cumsum(long) + np.cumsum(np.concatenate([[False], long[:-1]]))[: len(long)]
+    starts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
+    for i, j in zip(starts, starts[1:], strict=False):
+        if not whole and j == i + 1 and long[i]:
+            for piece in cut(texts[i].as_py(), limit):
+                yield pa.array([piece], pa.string()), np.array([i])
+                release()
+        elif j > i:
+            yield texts.slice(i, j - i), np.arange(i, j)
+            release()
+
+
+def chunked(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks between white space, the number of each chunk of the texts (no nulls), and where each text's begin."""
+    lists = pc.ascii_split_whitespace(texts)
+    found, bounds = lists.flatten(), lists.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    full = pc.not_equal(found, "")  # white space at an end leaves an empty chunk
+    if not pc.all(full, min_count=0).as_py():
+        bounds = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[bounds]
+        found = found.filter(full)
+    found = found.dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), bounds
+
+
 def coded(texts: pa.Array, make, whole=None) -> tuple[np.ndarray, np.ndarray]:
     """16-bit codes of the texts, one after the other, and where each text's begin: make(chunk), bytes, of each chunk between white space.
 
     whole(text): codes of a text, if some chunk of it matches OTHER.
     """
-    lists = pc.ascii_split_whitespace(texts)
-    found = lists.flatten().dictionary_encode()
-    codes, bounds = found.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    chunks = found.dictionary.to_pylist()
+    chunks, codes, bounds = chunked(texts)
     odd = np.zeros(len(chunks), bool)
     if whole and OTHER.search("\n".join(chunks)):
         odd = np.fromiter((OTHER.search(x) is not None for x in chunks), bool, len(chunks))
@@ -60,11 +99,11 @@ def coded(texts: pa.Array, make, whole=None) -> tuple[np.ndarray, np.ndarray]:
     n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
     ends = np.concatenate([[0], np.cumsum(n)])
     ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], n) + np.arange(ends[-1])] if len(codes) else flat
-    starts = ends[bounds - bounds[0]]
+    starts = ends[bounds]
     if odd.any():
-        with_odd = np.concatenate([[0], np.cumsum(odd[codes])])[bounds - bounds[0]]
-        parts = [np.array(whole(texts[i].as_py()), np.uint16) if with_odd[i + 1] > with_odd[i] else ids[starts[i] : starts[i + 1]] for i in range(len(texts))]
-        ids, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        with_odd = np.concatenate([[0], np.cumsum(odd[codes])])[bounds]
+        own = [np.array(whole(texts[i].as_py()), np.uint16) if with_odd[i + 1] > with_odd[i] else ids[starts[i] : starts[i + 1]] for i in range(len(texts))]
+        ids, starts = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
     return ids, starts
 
 
@@ -108,6 +147,16 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def _loaded(path: str) -> Encoder:
     """One for each Python worker, which serves many tasks."""
     return Encoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder; the words it has kept go with the task."""
+    try:
+        yield (own := _loaded(path))
+    finally:
+        own.words.clear()
+        release()

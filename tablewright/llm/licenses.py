@@ -1,15 +1,17 @@
 """License scans: exact set-similarity join of license templates with text blocks.
 
-Blocks are lines, and windows of words across line ends (wrapped_matches). Of lines, tokens are ordered by their frequency over all blocks, rarest first. A block that holds `need` of a
-template's tokens shares one of the template's first size - need + 1 (prefix filter), has `need` tokens itself (length
-filter), and after the first shared token both have enough left (positional filter). What passes is verified. Only
-built-in functions are used.
+Blocks are lines, and windows of words across line ends. The templates' tokens are ordered by their frequency over all texts,
+rarest first. A block that holds `need` of a template's tokens shares one of the template's first size - need + 1 (prefix
+filter), has `need` tokens itself (length filter), and after the first shared token both have enough left (positional
+filter). What passes is verified. Only built-in functions are used. The texts are read twice: for the frequencies, and for
+the base phrases and the blocks with a prefix token, which are written with a number of their row.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import small, written
 
 THRESHOLD = 0.9
+#: Up to so many strings are looked for in a text before it is cut into words.
+MAX_LOOKS = 64
 # Separators, base phrases, and sentences by which common licenses are stated.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -47,103 +51,120 @@ def _tokens(low: Column) -> Column:
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
+def _bound(value: Column, then) -> Column:
+    """then(value), with value computed once for a row, however often lambdas in `then` look at it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _places(words: Column, phrase: str) -> Column:
-    """Starts of the phrase in an array of words. The array is bound once, as a lambda's variable."""
+    """Starts of the phrase in an array of words."""
     parts = phrase.split()
+    here = lambda w, i: F.array(*(F.get(w, i + k) for k in range(len(parts)))) == F.array(*map(F.lit, parts))
+    return _bound(words, lambda w: F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: here(w, i)))
 
-    def at(w: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.array(*(F.get(w, i + k) for k in range(len(parts)))) == F.array(*map(F.lit, parts)))
 
-    return F.transform(F.array(words), at)[0]
+def _any(low: Column, parts: list[str]) -> Column:
+    """Whether the text holds one of the strings; true without looking where they are many."""
+    return reduce(lambda c, x: c | F.contains(low, F.lit(x)), parts, F.lit(False)) if len(parts) <= MAX_LOOKS else F.lit(True)
 
 
-def base(docs: DataFrame, phrases: dict[str, str] = BASE) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base: an array of labels. Texts without a phrase's last word aren't cut into words."""
-    low = _low(F.col("text"))
-    docs = docs.select("doc_id", low.alias("__low"))
-    maybe = F.lit(False)
-    for last in sorted({p.split()[-1] for p in phrases}):
-        maybe |= F.contains(F.col("__low"), F.lit(last))
-    none = F.array().cast("array<int>")
-    found = docs.select("doc_id", F.regexp_count("__low", F.lit("[^" + SEPARATORS[1:])).cast("long").alias("n_words"), *(F.when(maybe, _places(_tokens(F.col("__low")), p)).otherwise(none).alias(f"__{i}") for i, p in enumerate(phrases)))
-    places = F.concat(*(F.col(f"__{i}") for i in range(len(phrases))))
-    labels = F.array_compact(F.array(*(F.when(F.size(f"__{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
-    return found.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"),
-    )
+@dataclass
+class Template:
+    label: str
+    #: Words, distinct tokens that a block must have at least, and words of a window.
+    words: list[str]
+    need: int
+    span: int
+    #: The distinct tokens, rarest first.
+    tokens: list[str]
 
+    @property
+    def prefix(self) -> list[str]:
+        return self.tokens[: len(self.tokens) - self.need + 1]
 
-def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line (from 0), label, containment: every line of docs (doc_id, text) that holds `threshold` of a template's distinct tokens.
 
-    A label comes once for each line, with its best template. Null and empty texts have no lines with tokens; rows with a
-    null doc_id are left out. Only the templates' tokens, as many as `templates` states, are sent to and from the driver.
-    """
-    sets = [(label, frozenset(x for x in re.split(SEPARATORS, text.lower()) if x)) for label, text in templates]
-    vocabulary = sorted(set().union(*(s for _, s in sets)))
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(_low(F.col("text")), "\n")).alias("line", "block"))
-    # tokens outside the templates can't add to an overlap, so they are dropped at once
-    blocks = lines.select("doc_id", "line", F.array_intersect(F.split("block", SEPARATORS), F.array(*map(F.lit, vocabulary))).alias("tokens")).where(F.size("tokens") > 0)
-    blocks = written(blocks, "blocks")
-    counts = {r.token: r["count"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()}
+def ordered(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[Template], list[str]]:
+    """The templates, and their vocabulary by its frequency over docs (text), rarest first. One count for each token of the vocabulary reaches the driver."""
+    cut = [(label, [x for x in re.split(SEPARATORS, text.lower()) if x]) for label, text in templates]
+    vocabulary = sorted({x for _, own in cut for x in own})
+    seen = docs.select(F.explode(F.filter(_tokens(_low(F.col("text"))), lambda x: x.isin(vocabulary))).alias("token"))
+    counts = {r.token: r["count"] for r in seen.groupBy("token").count().collect()}
     order = sorted(vocabulary, key=lambda x: (counts.get(x, 0), x))
     rank = {x: i for i, x in enumerate(order)}
-    rows = []
-    for k, (label, tokens) in enumerate(sets):
-        ranks = sorted(rank[x] for x in tokens)
-        need = math.ceil(threshold * len(ranks) - 1e-9)
-        rows += [(k, label, ranks, len(ranks), need, i, ranks[i]) for i in range(len(ranks) - need + 1)]
-    prefixes = docs.sparkSession.createDataFrame(rows, "template int, label string, ranks array<int>, size int, need int, i int, rank int")
-    least = min(r[4] for r in rows)
-    first = sorted({order[r[6]] for r in rows})
-    near = blocks.where(F.size("tokens") >= least).where(F.arrays_overlap("tokens", F.array(*map(F.lit, first))))
-    ordered = near.select("doc_id", "line", F.array_sort(F.transform("tokens", lambda x: F.array_position(F.array(*map(F.lit, order)), x).cast("int") - 1)).alias("own"))
-    pairs = ordered.select("doc_id", "line", "own", F.posexplode("own").alias("j", "rank")).join(small(prefixes), "rank")
-    pairs = pairs.where(F.size("own") >= F.col("need")).where(1 + F.least(F.col("size") - F.col("i") - 1, F.size("own") - F.col("j") - 1) >= F.col("need"))
-    shared = F.size(F.array_intersect("ranks", "own"))
-    return pairs.where(shared >= F.col("need")).groupBy("doc_id", "line", "label").agg(F.max(shared / F.col("size")).alias("containment"))
+    made = []
+    for label, own in cut:
+        tokens = sorted(set(own), key=rank.__getitem__)
+        made.append(Template(label, own, math.ceil(threshold * len(tokens) - 1e-9), math.ceil(len(own) / threshold - 1e-9), tokens))
+    return made, order
 
 
-def wrapped_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, label, containment: windows of words across line ends that hold `threshold` of a template's distinct tokens.
+def blocks(docs: DataFrame, templates: list[Template], order: list[str], phrases: dict[str, str] = BASE) -> DataFrame:
+    """A row for each of docs (doc_id, text), with a number of its own:
 
-    A window is as long as its template's words divided by `threshold`. Such a window holds one of the template's first
-    size - need + 1 tokens in any fixed order (longest first here), so only windows around these are compared.
+    row, doc_id, n_words, n_base, first_word, last_word, base (labels), lines (line, its tokens of the vocabulary: of lines
+    with a prefix token and enough tokens), near (of each prefix token: token, near: the words around it, at: its place there).
     """
-    rows, reach = [], 0
-    for label, text in templates:
-        own = [x for x in re.split(SEPARATORS, text.lower()) if x]
-        tokens = sorted(set(own), key=lambda x: (-len(x), x))
-        need, span = math.ceil(threshold * len(tokens) - 1e-9), math.ceil(len(own) / threshold - 1e-9)
-        reach = max(reach, span)
-        rows += [(label, tokens, len(tokens), need, span, x) for x in tokens[: len(tokens) - need + 1]]
-    prefixes = docs.sparkSession.createDataFrame(rows, "label string, tokens array<string>, size int, need int, span int, token string")
-    first = sorted({r[5] for r in rows})
-    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _low(F.col("text")).alias("__low"))
-    own = own.where(reduce(lambda c, x: c | F.contains("__low", F.lit(x)), first, F.lit(False)))
+    first, least, reach = sorted({x for t in templates for x in t.prefix}), min(t.need for t in templates), max(t.span for t in templates)
+    low = F.col("__low")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _low(F.col("text")).alias("__low"))
+    ends, none = sorted({p.split()[-1] for p in phrases}), F.array().cast("array<int>")
+    found = [F.when(_any(low, ends), _places(_tokens(low), p)).otherwise(none).alias(f"__{i}") for i, p in enumerate(phrases)]
+    lines = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("line"), F.array_distinct(F.filter(F.split(x, SEPARATORS), lambda t: t.isin(order))).alias("tokens")))
+    lines = F.filter(lines, lambda x: (F.size(x.tokens) >= least) & F.exists(x.tokens, lambda t: t.isin(first)))
 
     def around(w: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.get(w, i).isin(first))
         begin = lambda i: F.greatest(i - F.lit(reach - 1), F.lit(0))
+        places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.get(w, i).isin(first))
         return F.transform(places, lambda i: F.struct(F.get(w, i).alias("token"), F.slice(w, begin(i) + 1, F.lit(2 * reach - 1)).alias("near"), (i - begin(i)).alias("at")))
 
-    near = own.select("doc_id", F.inline(F.transform(F.array(_tokens(F.col("__low"))), around)[0]))
-    pairs = near.join(small(prefixes), "token").where(F.size(F.array_intersect("near", "tokens")) >= F.col("need"))
+    some = _any(low, first)
+    own = own.select("row", "doc_id", F.regexp_count("__low", F.lit("[^" + SEPARATORS[1:])).cast("long").alias("n_words"), *found, F.when(some, lines).alias("lines"), F.when(some, _bound(_tokens(low), around)).alias("near"))
+    places = F.concat(*(F.col(f"__{i}") for i in range(len(phrases))))
+    labels = F.array_compact(F.array(*(F.when(F.size(f"__{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
+    return own.select(
+        "row", "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), "lines", "near",
+    )
+
+
+def line_matches(found: DataFrame, templates: list[Template], order: list[str]) -> DataFrame:
+    """row, line, label, containment: every line of blocks() that holds a template's share of distinct tokens, with the label's best template."""
+    spark, rank = found.sparkSession, {x: i for i, x in enumerate(order)}
+    ranks = spark.createDataFrame(list(rank.items()), "token string, rank int")
+    rows = [(t.label, own, len(own), t.need, i, own[i]) for t in templates for own in ([rank[x] for x in t.tokens],) for i in range(len(t.prefix))]
+    prefixes = spark.createDataFrame(rows, "label string, ranks array<int>, size int, need int, i int, rank int")
+    own = found.select("row", F.inline("lines")).select("row", "line", F.explode("tokens").alias("token")).join(small(ranks), "token")
+    own = own.groupBy("row", "line").agg(F.array_sort(F.collect_list("rank")).alias("own"))  # the vocabulary at most
+    pairs = own.select("row", "line", "own", F.posexplode("own").alias("j", "rank")).join(small(prefixes), "rank")
+    pairs = pairs.where(F.size("own") >= F.col("need")).where(1 + F.least(F.col("size") - F.col("i") - 1, F.size("own") - F.col("j") - 1) >= F.col("need"))
+    shared = F.size(F.array_intersect("ranks", "own"))
+    return pairs.where(shared >= F.col("need")).groupBy("row", "line", "label").agg(F.max(shared / F.col("size")).alias("containment"))
+
+
+def window_matches(found: DataFrame, templates: list[Template]) -> DataFrame:
+    """row, label, containment: windows of words of blocks() that hold a template's share of distinct tokens.
+
+    A window is as long as its template's words divided by the threshold. It holds one of the template's prefix tokens, so
+    only windows around these are compared.
+    """
+    rows = [(t.label, t.tokens, len(t.tokens), t.need, t.span, x) for t in templates for x in t.prefix]
+    prefixes = found.sparkSession.createDataFrame(rows, "label string, tokens array<string>, size int, need int, span int, token string")
+    pairs = found.select("row", F.inline("near")).join(small(prefixes), "token").where(F.size(F.array_intersect("near", "tokens")) >= F.col("need"))
     starts = F.sequence(F.greatest(F.col("at") - F.col("span") + 1, F.lit(0)), F.col("at"))
     best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.col("span")), F.col("tokens")))))
-    return pairs.select("doc_id", "label", "size", "need", best.alias("best")).where("best >= need").groupBy("doc_id", "label").agg(F.max(F.col("best") / F.col("size")).alias("containment"))
+    return pairs.select("row", "label", "size", "need", best.alias("best")).where("best >= need").groupBy("row", "label").agg(F.max(F.col("best") / F.col("size")).alias("containment"))
 
 
 def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """A row for each of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score: 1 with a base place, else the best containment of a template, else 0. A null text counts as empty. Rows with a
-    null doc_id get base labels only; rows that repeat a doc_id share the labels of their templates.
+    score: 1 with a base place, else the best containment of a template, else 0. A null text counts as empty. Every row is
+    scanned for itself, also where its doc_id is null or repeated; other columns are left out. An empty table gives no rows.
     """
-    both = template_matches(docs, templates, threshold).select("doc_id", "label", "containment").union(wrapped_matches(docs, templates, threshold))
-    matches = both.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    matches = written(matches, "licenses")
-    both = base(docs).join(small(matches), "doc_id", "left")
+    own, order = ordered(docs, templates, threshold)
+    found = written(blocks(docs, own, order), "blocks")
+    both = line_matches(found, own, order).select("row", "label", "containment").union(window_matches(found, own))
+    matches = written(both.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")), "licenses")
+    both = found.drop("lines", "near").join(small(matches), "row", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))

@@ -1,91 +1,50 @@
 """Quality rules: Viterbi decoding of a linear-chain conditional random field marks each line as content or boilerplate.
 
-The field is learned from documents with a quality label: lines of good ones count as content, lines of poor ones as
-boilerplate; the transitions learn how lines of a kind follow each other. The share of words in content lines decides.
+Labels are of documents, so the kinds of lines are learned by expectation and maximisation: first each line is judged by
+its own features, then lines take the kind that the field thinks likelier, so far as a good document keeps at least
+CONTENT_SHARE of its words in content lines and a poor one less, and the field is fitted to these kinds, ROUNDS times. So
+lines of both kinds stand in one document, and the transitions learn how kinds follow each other. The share of words in
+content lines decides.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled, release
+from .common import for_python, labelled, per_text, written
+from .encoding import parts
+from .line_features import FEATURES, NONE, WIDTH, measured
 
-#: Labelled documents that the field is fitted on at most, and lines of one of them; longer ones aren't learned from.
-FIT_ROWS, FIT_LINES = 6_000, 400
+#: Labelled documents that the field is fitted on at most, and about how many lines of them; beyond, fewer whole documents.
+FIT_ROWS, FIT_LINES = 6_000, 600_000
+#: Lines of a document that are looked at together in fitting; longer documents are several such chains.
+CHAIN = 400
 CONTENT_SHARE = 0.5
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 1e-4
+ROUNDS, EPOCHS, BATCH, RATE, DECAY = 3, 8, 64, 0.05, 1e-4
 # Fixed values of the base rules.
-SYMBOLS, WHITE, WINDOW, MIN_WORDS, MAX_REPEATED = b"#*$%&|<>", b" \t\n\x0b\x0c\r", 5, 10, 20
-ENDS = (b".", b"!", b"?", b":", '"'.encode(), "…".encode(), "»".encode(), "”".encode())
-UPPER, LOWER = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[a-zß-öø-ÿ]")
-MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-#: Upper bounds of the values of each of a line's measures; the number of the first bound not exceeded is a feature.
-BOUNDS = {
-    "words": (1, 2, 4, 9, 19, 49), "word length": (1, 2, 3.5, 6, 9, 14), "symbols": (0, 0.01, 0.03, 0.1), "marks": (0, 0.02, 0.05, 0.1, 0.2),
-    "upper": (0, 0.02, 0.05, 0.1, 0.3, 0.7), "digits": (0, 0.02, 0.1, 0.3), "distinct": (0.1, 0.3, 0.5, 0.7, 0.85, 0.99), "repeated pairs": (0, 0.05, 0.2, 0.5), "longest run": (1, 2, 4),
-}
-_first = np.cumsum([0, *(len(x) + 1 for x in BOUNDS.values())])
-#: After them: ends like a sentence, equal to an earlier line, always there.
-FEATURES = int(_first[-1]) + 3
-
-
-def line_features(line: bytes, again: bool) -> list[int]:
-    """Numbers of the features of a line with at least one word."""
-    words = line.split()
-    n, size = len(words), max(1, len(line))
-    plain = line.decode("utf-8", "replace")
-    pairs = list(zip(words, words[1:], strict=False))
-    run = longest = 1
-    for a, b in pairs:
-        run = run + 1 if a == b else 1
-        longest = run if run > longest else longest
-    upper = len(UPPER.findall(plain))
-    values = (
-        n, sum(map(len, words)) / n, (size - len(line.translate(None, SYMBOLS))) / size, (size - len(line.translate(None, MARKS))) / size, upper / max(1, upper + len(LOWER.findall(plain))),
-        (size - len(line.translate(None, b"0123456789"))) / size, len(set(words)) / n, 1 - len(set(pairs)) / len(pairs) if pairs else 0, longest,
-    )
-    found = []
-    for first, value, bounds in zip(_first.tolist(), values, BOUNDS.values(), strict=False):
-        k = 0
-        while k < len(bounds) and value > bounds[k]:
-            k += 1
-        found.append(first + k)
-    found.append(FEATURES - 1)
-    if line.rstrip().endswith(ENDS):
-        found.append(FEATURES - 3)
-    if again:
-        found.append(FEATURES - 2)
-    return found
-
-
-def _lines(text: bytes) -> list[tuple[bytes, bool]]:
-    """The \\n-split lines that have a word, and whether an equal line came before."""
-    seen: set[bytes] = set()
-    out = []
-    for line in text.split(b"\n"):
-        if line.strip():
-            out.append((line, line in seen))
-            seen.add(line)
-    return out
+MIN_WORDS, MAX_REPEATED = 10, 20
+#: Bytes of a task's step; a longer text stands alone.
+STEP = 2 << 20
 
 
 @dataclass
 class LineField:
-    """Log-linear weights: of each feature for boilerplate (0) and content (1), of each pair of kinds, and of the first kind."""
+    """Log-linear weights: of each feature (and none) for boilerplate (0) and content (1), of each pair of kinds, and of the first kind."""
 
     emit: np.ndarray
     step: np.ndarray
     first: np.ndarray
 
+    def emissions(self, features: np.ndarray) -> np.ndarray:
+        return self.emit[features].sum(1)
+
     def decode(self, emissions: Sequence[tuple[float, float]]) -> list[int]:
         """The likeliest kinds. On a tie, content."""
         (s00, s01), (s10, s11) = self.step.tolist()
@@ -100,117 +59,174 @@ class LineField:
             kinds.append(pair[kinds[-1]])
         return kinds[::-1]
 
-    def content_share(self, lines: list[tuple[bytes, bool]]) -> float:
-        """Share of the words that stand in content lines; 0 without lines."""
-        if not lines:
-            return 0.0
-        emit = self.emit
-        kinds = self.decode([tuple(emit[line_features(x, again)].sum(0).tolist()) for x, again in lines])
-        n = [len(x.split()) for x, _ in lines]
-        return sum(k for k, kind in zip(n, kinds, strict=True) if kind) / sum(n)
 
+@dataclass
+class Labelled:
+    """Features and words of the lines of a document, and whether it is a good one."""
+
+    features: np.ndarray
+    words: np.ndarray
+    good: int
+
+
+def fitted(documents: list[Labelled]) -> LineField:
+    """The field of documents with at least one line each."""
+    emit = np.zeros((FEATURES + 1, 2))
+    chains = [(d, i, min(i + CHAIN, len(doc.words))) for d, doc in enumerate(documents) for i in range(0, len(doc.words), CHAIN)]
+    chains.sort(key=lambda c: (c[2] - c[1], c))
+    batches = [chains[i : i + BATCH] for i in range(0, len(chains), BATCH)]
+    kinds = [np.full(len(doc.words), doc.good) for doc in documents]
+    params = [emit, np.zeros((2, 2)), np.zeros(2)]
+    for k in range(ROUNDS + 1):
+        params = _ascended(params, batches, documents, kinds, alone=not k)
+        if k < ROUNDS:
+            kinds = [_held(doc, p) for doc, p in zip(documents, _content(params, batches, documents), strict=True)]
+    return LineField(*params)
+
+
+def _held(doc: Labelled, p: np.ndarray) -> np.ndarray:
+    """The likelier kinds by the lines' probabilities of content, changed from the least sure on until the share of content fits the document's label."""
+    kinds = (p >= 0.5).astype(int)
+    share, total = int(doc.words[kinds == 1].sum()), int(doc.words.sum())
+    wrong = np.flatnonzero(kinds != doc.good)
+    for i in wrong[np.argsort(np.abs(p[wrong] - 0.5), kind="stable")].tolist():
+        if (share >= CONTENT_SHARE * total) == bool(doc.good):
+            break
+        kinds[i] = doc.good
+        share += int(doc.words[i]) if doc.good else -int(doc.words[i])
+    return kinds
+
+
+def _padded(batch, documents: list[Labelled]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a batch's chains, filled up with NONE, and which lines are there."""
+    most = max(j - i for _, i, j in batch)
+    x = np.full((len(batch), most, WIDTH), NONE)
+    for r, (d, i, j) in enumerate(batch):
+        x[r, : j - i] = documents[d].features[i:j]
+    return x, np.arange(most) < np.array([j - i for _, i, j in batch])[:, None]
 
-def train(documents: list[tuple[list[list[int]], int]]) -> LineField:
-    """Gradient ascent (Adam) on the log-likelihood of every line having its document's kind; documents: (features of each line, kind)."""
-    params = [np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
+
+def _passes(x, there, emit, step, first):
+    """Logarithms of forward and backward sums of a batch, its emissions, and the chains' totals."""
+    lse = lambda a, axis: np.log(np.exp(a - (top := a.max(axis, keepdims=True))).sum(axis)) + top.squeeze(axis)
+    e = emit[x].sum(2)
+    alpha, beta = np.zeros_like(e), np.zeros_like(e)
+    alpha[:, 0] = e[:, 0] + first
+    for i in range(1, e.shape[1]):
+        alpha[:, i] = np.where(there[:, i, None], lse(alpha[:, i - 1, :, None] + step, 1) + e[:, i], alpha[:, i - 1])
+    for i in range(e.shape[1] - 2, -1, -1):
+        beta[:, i] = np.where(there[:, i + 1, None], lse(step + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2), 0)
+    return e, alpha, beta, lse(alpha[:, -1], 1)
+
+
+def _gradient(x, there, kinds, emit, step, first):
+    """Observed minus expected counts of a batch, by line. kinds: the lines' kinds, anything where no line is."""
+    e, alpha, beta, total = _passes(x, there, emit, step, first)
+    p = np.exp(alpha + beta - total[:, None, None]) * there[:, :, None]
+    want = np.stack([(kinds == 0) & there, (kinds == 1) & there], 2).astype(float)
+    lines, gap = there.sum(), want - p
+    g_emit = np.stack([np.bincount(x.ravel(), np.repeat(gap[:, :, k].ravel(), x.shape[2]), len(emit)) for k in (0, 1)], 1)
+    g_emit[NONE] = 0
+    g_step = np.zeros((2, 2))
+    if x.shape[1] > 1:
+        both = np.exp(alpha[:, :-1, :, None] + step + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None])
+        seen = want[:, :-1, :, None] * want[:, 1:, None, :]
+        g_step = ((seen - both) * there[:, 1:, None, None]).sum((0, 1))
+    return g_emit / lines, g_step / lines, gap[:, 0].sum(0) / lines
+
+
+def _ascended(params, batches, documents, kinds, alone: bool):
+    """Gradient ascent (Adam) on the log-likelihood of the kinds. alone: each line for itself, without transitions."""
+    params = [p.copy() for p in params]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    documents = sorted((d for d in documents if d[0]), key=lambda d: len(d[0]))
-    batches = [documents[i : i + BATCH] for i in range(0, len(documents), BATCH)]
     rng = np.random.default_rng(8)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(batches)):
-            grads = _gradient(batches[k], *params)
+            x, there = _padded(batches[k], documents)
+            y = np.zeros(there.shape, int)
+            for r, (d, i, j) in enumerate(batches[k]):
+                y[r, : j - i] = kinds[d][i:j]
             t += 1
-            for i, g in enumerate(grads):
+            for i, g in enumerate(_gradient(x, there, y, *params)):
+                if alone and i:
+                    continue
                 g = g - DECAY * params[i]
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                 params[i] = params[i] + RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return LineField(*params)
+    return params
+
+
+def _content(params, batches, documents) -> list[np.ndarray]:
+    """By document: its lines' probabilities of being content."""
+    out = [np.zeros(len(doc.words)) for doc in documents]
+    for batch in batches:
+        x, there = _padded(batch, documents)
+        _, alpha, beta, total = _passes(x, there, *params)
+        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
+        for r, (d, i, j) in enumerate(batch):
+            out[d][i:j] = p[r, : j - i]
+    return out
 
 
-def _gradient(batch, emit, step, first):
-    """Observed minus expected counts of a batch, per line, by forward and backward passes over all its documents at once."""
-    n, most = len(batch), max(len(x) for x, _ in batch)
-    x = np.zeros((n, most, FEATURES), np.float32)
-    size, kind = np.array([len(f) for f, _ in batch]), np.array([y for _, y in batch])
-    for d, (f, _) in enumerate(batch):
-        for i, numbers in enumerate(f):
-            x[d, i, numbers] = 1
-    e = x @ emit
-    there = np.arange(most) < size[:, None]
-    lse = lambda a, axis: np.log(np.exp(a - (top := a.max(axis, keepdims=True))).sum(axis)) + top.squeeze(axis)
-    alpha, beta = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-    alpha[:, 0] = e[:, 0] + first
-    for i in range(1, most):
-        alpha[:, i] = np.where(there[:, i, None], lse(alpha[:, i - 1, :, None] + step, 1) + e[:, i], alpha[:, i - 1])
-    for i in range(most - 2, -1, -1):
-        beta[:, i] = np.where(there[:, i + 1, None], lse(step + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2), 0)
-    total = lse(alpha[:, -1], 1)
-    p = np.exp(alpha + beta - total[:, None, None]) * there[:, :, None]
-    want = np.zeros_like(p)
-    want[np.arange(n), :, kind] = there
-    lines = there.sum()
-    g_emit = np.einsum("dif,dik->fk", x, want - p) / lines
-    g_step = np.zeros((2, 2))
-    if most > 1:
-        both = np.exp(alpha[:, :-1, :, None] + step + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * there[:, 1:, None, None]
-        g_step = -both.sum((0, 1))
-        for y in (0, 1):
-            g_step[y, y] += (size[kind == y] - 1).sum()
-    return g_emit, g_step / lines, (want - p)[:, 0].sum(0) / lines
-
-
-def measures(text: str | None, field: LineField | None) -> tuple[int, int, int, int, int, bool, bool, float]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and content_share of a text; null counts as empty."""
-    text = text or ""
-    raw = text.encode("utf-8", "replace")
-    words = raw.split()  # bytes: only ASCII white space splits
-    n = len(words)
-    lines = _lines(raw)
-    repeated = 0
-    windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    if len(set(windows)) < len(windows):
-        often = Counter(windows)
-        end = 0  # words before it are counted
-        for i, w in enumerate(windows):
-            if often[w] > 1:
-                repeated += i + WINDOW - max(i, end)
-                end = i + WINDOW
-    failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
-    share = field.content_share(lines) if field else 1.0
-    chars = len(text) - (len(raw) - len(raw.translate(None, WHITE)))
-    return n, chars, len(raw) - len(raw.translate(None, SYMBOLS)), sum(again for _, again in lines), repeated, failed, not failed and share >= CONTENT_SHARE, share
-
-
-_RESULT = T.StructType(
-    [*(T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("content_share", T.DoubleType())]
-)
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_RESULT = T.StructType([*(T.StructField(x, T.LongType()) for x in _COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("content_share", T.DoubleType())])
+
+
+def measures(texts: pa.Array, field: LineField | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The _COUNTS of each text (null: empty), base_failed, kept and content_share: of the words in content lines, 0 without words."""
+    base, shares = [np.zeros((0, len(_COUNTS)), np.int64)], [np.zeros(0)]
+    for own, _ in parts(texts, STEP, whole=True):
+        m = measured(own)
+        base.append(m.base)
+        share = (np.diff(m.starts) > 0).astype(float)
+        if field:
+            emissions = list(map(tuple, field.emissions(m.features).tolist()))
+            starts = m.starts.tolist()
+            kinds = np.array([k for i, j in zip(starts, starts[1:], strict=False) if j > i for k in field.decode(emissions[i:j])], int)
+            content = np.concatenate([[0], np.cumsum(m.words * kinds)])[m.starts]
+            share = np.diff(content) / np.maximum(1, m.base[:, 0])
+        shares.append(share)
+    counts, share = np.concatenate(base), np.concatenate(shares)
+    failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEATED * counts[:, 0])
+    return counts, failed, ~failed & (share >= CONTENT_SHARE), share
 
 
 def judged(docs: DataFrame, field: LineField | None) -> DataFrame:
-    """A row for each of docs (doc_id, text): doc_id and the columns of measures(). Null and empty texts have no words and fail.
+    """A row for each of docs (doc_id, text): doc_id and the fields of _RESULT. Null and empty texts have no words and fail.
 
-    Without a field every line counts as content.
+    Without a field every line counts as content. Rows are judged each for itself, whatever their id; other columns are left out.
     """
 
-    @F.pandas_udf(_RESULT)
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        found = pd.DataFrame([measures(x, field) for x in texts], columns=_RESULT.names)
-        release()
-        return found
+    def work(texts: pa.Array) -> pa.Array:
+        counts, *rest = measures(texts, field)
+        return pa.StructArray.from_arrays([*(pa.array(counts[:, i]) for i in range(len(_COUNTS))), *map(pa.array, rest)], _RESULT.names)
 
-    return docs.select("doc_id", judge("text").alias("__judged")).select("doc_id", *(F.col(f"__judged.{x}").alias(x) for x in _RESULT.names))
+    made = for_python(docs).select("doc_id", per_text(_RESULT, lambda: work)("text").alias("__judged"))
+    return made.select("doc_id", *(F.col(f"__judged.{x}").alias(x) for x in _RESULT.names))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> LineField | None:
-    """A field from docs (doc_id, text) and labels (doc_id, quality) where `keep` holds, of FIT_ROWS at most; None without labels of both kinds."""
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def featured(texts: pd.Series) -> pd.Series:
-        return pd.Series([[line_features(x, again) for x, again in lines] if len(lines := _lines((text or "").encode("utf-8", "replace"))) <= FIT_LINES else [] for text in texts], dtype=object)
+    """A field from docs (doc_id, text) and labels (doc_id, quality) where `keep` holds, of FIT_ROWS at most; None without labels of both kinds.
 
-    sample = labelled(docs, labels, "quality", F.lit(True) if keep is None else keep, FIT_ROWS)
-    rows = sorted((r[0], int(r[1] > 0), r[2]) for r in sample.select("doc_id", "y", featured("text")).collect())  # FIT_ROWS x FIT_LINES short lists at most
-    if len({y for _, y, f in rows if f}) < 2:
-        return None
-    return train([(f, y) for _, y, f in rows])
+    Labels that are null or of a null id don't count; of several of one id the largest does. Texts without words aren't learned from.
+    """
+    kind = T.StructType([T.StructField("words", T.BinaryType()), T.StructField("features", T.BinaryType()), T.StructField("n", T.LongType())])
+
+    def work(texts: pa.Array) -> pa.Array:
+        words, features, n = [], [], []
+        for own, _ in parts(texts, STEP, whole=True):
+            m = measured(own)
+            for i, j in zip(m.starts.tolist(), m.starts[1:].tolist(), strict=False):
+                words.append(m.words[i:j].astype("<i4").tobytes())
+                features.append(m.features[i:j].tobytes())
+                n.append(j - i)
+        return pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(features, pa.binary()), pa.array(n, pa.int64())], ["words", "features", "n"])
+
+    sample = for_python(labelled(docs, labels, "quality", F.lit(True) if keep is None else keep, FIT_ROWS))
+    rows = written(sample.select("doc_id", "y", per_text(kind, lambda: work)("text").alias("x")).select("doc_id", "y", "x.*").where("n > 0"), "lines")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    if total > FIT_LINES:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1 << 30)) < int((1 << 30) * FIT_LINES / total))
+    found = sorted(tuple(r) for r in rows.select("doc_id", "y", "words", "features").collect())  # about FIT_LINES x (WIDTH + 4) bytes
+    documents = [Labelled(np.frombuffer(f, np.uint8).reshape(-1, WIDTH), np.frombuffer(w, "<i4").astype(np.int64), int(y > 0)) for _, y, w, f in found]
+    return fitted(documents) if len({d.good for d in documents}) > 1 else None

@@ -1,9 +1,9 @@
 """Near copies by exact 5-word Jaccard similarity: candidates from MinHash bands, confirmed on the sets of shingles.
 
 BANDS bands of ROWS minima each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6, and
-more similar ones less. All pairs of a bucket are candidates; of a bucket over MAX_BUCKET entries, all pairs with its
-PIVOTS pivots, so rows grow in proportion to the bucket. Pivots differ from band to band, and a
-link in such a bucket can be missed where neither text is a pivot in any band.
+more similar ones less. All pairs of a bucket are candidates. Of a bucket over MAX_BUCKET entries, these are first all
+pairs with its PIVOTS pivots; where the links found do not connect the whole bucket, every entry outside its largest
+component is then compared with all entries of other components, so no connection within a bucket is missed.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, small, written
+from .common import for_python, per_text, small, written
+from .components import components
+from .encoding import STEP_BYTES, cut
 
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 4
@@ -37,11 +39,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct 5-word shingles; of all words if they are fewer; none of a wordless or null text."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # as in simhash.fingerprint
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(_hash, words), np.uint64, len(words))
-    k = min(SHINGLE, len(words))
+    pieces = (piece.encode("utf-8", "replace").lower().split() for piece in cut(text or "", STEP_BYTES))  # as in simhash.fingerprint
+    own = np.concatenate([np.fromiter(map(_hash, words), np.uint64, len(words)) for words in pieces])
+    if not len(own):
+        return own
+    k = min(SHINGLE, len(own))
     total = np.full(len(own) - k + 1, k, np.uint64)
     for i in range(k):
         total = total * _STEP + own[i : len(own) - k + 1 + i]
@@ -63,45 +65,77 @@ def _class(hashes: np.ndarray) -> int:
     return int(np.uint64(_hash(hashes.tobytes())).astype(np.int64))
 
 
-@F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("cls", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
-def signature(texts: pd.Series) -> pd.DataFrame:
-    """Number of shingles, a number of their set, band keys (none without shingles)."""
-    found = [shingles(x) for x in texts]
-    out = pd.DataFrame({"n": [len(h) for h in found], "cls": [_class(h) for h in found], "bands": [bands(h).view(np.int64) if len(h) else [] for h in found]})
-    release()
-    return out
+def _signatures(texts: pa.Array) -> pa.Array:
+    found = [shingles(x.as_py()) for x in texts]
+    keys = [bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in found]
+    return pa.StructArray.from_arrays([pa.array([len(h) for h in found], pa.int32()), pa.array([_class(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["n", "cls", "bands"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("cls", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]))
-def hashed(texts: pd.Series) -> pd.DataFrame:
-    found = [shingles(x) for x in texts]
-    out = pd.DataFrame({"cls": [_class(h) for h in found], "hashes": [h.view(np.int64) for h in found]})
-    release()
-    return out
+def _sets(texts: pa.Array) -> pa.Array:
+    found = [shingles(x.as_py()) for x in texts]
+    return pa.StructArray.from_arrays([pa.array([_class(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["cls", "hashes"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """a, b: numbers of sets (cls, n, bands) that share a band, and whose sizes let them be THRESHOLD alike."""
+#: Of a text: number of shingles, a number of their set, band keys (none without shingles).
+signature = per_text(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("cls", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), lambda: _signatures)
+hashed = per_text(T.StructType([T.StructField("cls", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]), lambda: _sets)
+
+
+def _fitting(pairs: DataFrame) -> DataFrame:
+    """Distinct a < b of pairs (a, b, n, m: numbers of shingles) whose sizes let them be THRESHOLD alike."""
+    both = pairs.where("a <> b").where(F.least("n", "m") >= THRESHOLD * F.greatest("n", "m") - 1e-9)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _posted(classes: DataFrame) -> DataFrame:
+    """band, key, cls, n, size (of the bucket) of the sets of classes in buckets of several."""
     filed = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
     sizes = filed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    posted = written(filed.join(sizes, ["band", "key"]), "bands")
+    return written(filed.join(sizes, ["band", "key"]), "bands")
+
+
+def candidates(posted: DataFrame) -> DataFrame:
+    """a, b: numbers of sets that share a bucket of at most MAX_BUCKET entries, or a larger one of which one is a pivot."""
     cold, hot = posted.where(F.col("size") <= MAX_BUCKET), posted.where(F.col("size") > MAX_BUCKET)
     slot = F.pmod(F.xxhash64("cls", "band"), F.lit(PIVOTS))
     pivots = written(hot.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("band", "cls"), F.col("cls"), F.col("n"))).alias("p")), "pivots")
     pivots = pivots.select("band", "key", F.col("p.cls").alias("b"), F.col("p.n").alias("m"))
     pairs = cold.select("band", "key", F.col("cls").alias("a"), "n").join(cold.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("m")), ["band", "key"]).where("a < b")
-    stars = hot.select("band", "key", F.col("cls").alias("a"), "n").join(small(pivots), ["band", "key"]).where("a <> b")
-    both = pairs.select("a", "b", "n", "m").union(stars.select("a", "b", "n", "m")).where(F.least("n", "m") >= THRESHOLD * F.greatest("n", "m") - 1e-9)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = hot.select("band", "key", F.col("cls").alias("a"), "n").join(small(pivots), ["band", "key"])
+    return _fitting(pairs.select("a", "b", "n", "m").union(stars.select("a", "b", "n", "m")))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: sets of classes (cls, n, bands, first: a doc_id or null) of docs (doc_id, text) with a Jaccard similarity of THRESHOLD at least."""
-    pairs = written(candidates(classes), "candidates")
+def unconnected(posted: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: of the large buckets, each set outside its bucket's largest component by the links `found` (a, b) with all sets of other components."""
+    roots = components(found).withColumnRenamed("node", "cls")
+    hot = written(posted.where(F.col("size") > MAX_BUCKET).join(small(roots), "cls", "left").select("band", "key", "cls", "n", F.coalesce("root", "cls").alias("root")), "hot")
+    sizes = hot.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
+    split = sizes.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "root")).alias("most")).where("kinds > 1")
+    inside = written(hot.join(small(split.select("band", "key", F.col("most.root").alias("most"))), ["band", "key"]), "split")
+    loose = inside.where("root <> most").select("band", "key", F.col("cls").alias("a"), "n", F.col("root").alias("ra"))
+    others = inside.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
+    return _fitting(loose.join(others, ["band", "key"]).where("ra <> rb"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) with a Jaccard similarity of THRESHOLD at least."""
     nodes = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "nodes")
     ids = written(classes.join(nodes, "cls", "left_semi").select(F.col("first").alias("__id")).distinct(), "ids")
-    own = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(hashed("text").alias("h")).select("h.*")
+    own = for_python(docs).join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(hashed("text").alias("h")).select("h.*")
     sets = written(own.join(small(nodes), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     a, b = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").where(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    return written(pairs.join(a, "a").join(b, "b").where(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "alike")
+
+
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: sets of classes (cls, n, bands, first: a doc_id or null) of docs (doc_id, text) with a Jaccard similarity of THRESHOLD at least.
+
+    Of buckets over MAX_BUCKET entries, not all links are returned, but all that connect their entries.
+    """
+    posted = _posted(classes)
+    found = _confirmed(written(candidates(posted), "candidates"), docs, classes)
+    if posted.where(F.col("size") > MAX_BUCKET).isEmpty():
+        return found
+    more = written(unconnected(posted, found), "unconnected")
+    return found if more.isEmpty() else found.union(_confirmed(more, docs, classes))

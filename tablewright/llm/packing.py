@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import for_python, small, written
 from .encoding import default_tokenizer, encoder, steps
 
 LENGTH, END = 2048, 1
@@ -29,16 +29,17 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     end = np.array([END], "<u2").tobytes()
 
     def work(batches):
-        enc, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in steps(batches):
-            ids, starts = enc.batch(b.column("text"))
-            own = [ids[i:j].astype("<u2").tobytes() + end for i, j in zip(starts, starts[1:], strict=False)]
-            n = np.diff(starts) + 1
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), pa.array(own, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
-            at = int(ends[-1])
+        part, at = TaskContext.get().partitionId(), 0
+        with encoder(tokenizer) as enc:
+            for b in steps(batches):
+                ids, starts = enc.batch(b.column("text"))
+                own = [ids[i:j].astype("<u2").tobytes() + end for i, j in zip(starts, starts[1:], strict=False)]
+                n = np.diff(starts) + 1
+                ends = at + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), pa.array(own, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
+                at = int(ends[-1])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _ENCODED)
+    return for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _ENCODED)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,5 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
     totals = table.groupBy("part").agg(F.sum("n").alias("total"))
     # one row for each partition of the input; a window over these alone
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    bases = written(bases, "bases")
-    bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases
-    placed = table.join(bases, "part").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
+    placed = table.join(small(written(bases, "bases")), "part").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
     return placed.mapInArrow(lambda batches: _cut(batches, length), _PIECES)

@@ -12,43 +12,33 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, labelled
-from .encoding import coded, steps
+from .common import fold, for_python, labelled, per_text, with_results
+from .encoding import coded, parts
 
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 8192, 32, 4, 2
 #: Labelled rows that the network is fitted on at most; a fifth of them only for the temperature.
 FIT_ROWS = 16_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
-#: Numbers of a task's pass at a time; documents of a pooling step.
-PASS, DOCS = 400_000, 256
+#: Numbers of a task's pass at a time, bytes of its step, and chunks between white space that it keeps (about 10 MB).
+PASS, STEP, KEPT = 100_000, 2 << 20, 40_000
 UNIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
-class _Units(dict):
-    """Numbers of the units (words, digits, runs of marks) of a string, 16 bits each."""
+class Units(dict):
+    """Numbers of the units (words, digits, runs of marks) of a string, 16 bits each; made anew for each task."""
 
     def __missing__(self, chunk: str) -> bytes:
         found = b"".join([(zlib.crc32(u.encode("utf-8", "replace")) % BUCKETS).to_bytes(2, "little") for u in UNIT.findall(chunk)])
-        if len(self) < 50_000:
+        if len(self) < KEPT:
             self[chunk] = found
         return found
 
 
-_units = _Units()
-
-
-def _numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = pc.fill_null(texts, "")
-    return coded(texts, _units.__getitem__)
-
-
 def index_vectors() -> np.ndarray:
     """The fixed random vector of each number, and a last row of zeros."""
     rng, out = np.random.default_rng(20), np.zeros((BUCKETS + 1, DIMENSIONS), np.int8)
@@ -61,11 +51,11 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS x DIMENSIONS: unit-length context vectors over all of docs (text); zeros for what doesn't occur."""
 
     def work(batches):
-        fixed, sums = index_vectors(), np.zeros((BUCKETS + 1, DIMENSIONS), np.int64)
-        for b in steps(batches):
-            ids, starts = _numbers(b.column("text"))
-            padded = np.full(len(ids) + WINDOW * len(b), BUCKETS, np.uint16)  # so no window reaches into the next document
-            padded[np.arange(len(ids)) + np.repeat(np.arange(len(b)) * WINDOW, np.diff(starts))] = ids
+        fixed, sums, units = index_vectors(), np.zeros((BUCKETS + 1, DIMENSIONS), np.int64), Units()
+        for texts, _ in (x for b in batches for x in parts(b.column(0), STEP)):
+            ids, starts = coded(texts, units.__getitem__)
+            padded = np.full(len(ids) + WINDOW * len(texts), BUCKETS, np.uint16)  # so no window reaches into the next document
+            padded[np.arange(len(ids)) + np.repeat(np.arange(len(texts)) * WINDOW, np.diff(starts))] = ids
             for i in range(0, len(padded), PASS):
                 own = padded[i : i + PASS]
                 with_ends = np.concatenate([np.full(max(0, WINDOW - i), BUCKETS, np.uint16), padded[max(0, i - WINDOW) : i + PASS + WINDOW], np.full(WINDOW, BUCKETS, np.uint16)])
@@ -76,27 +66,28 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                 sums[own[order][at]] += np.add.reduceat(near[order], at, axis=0, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), *(pa.array(sums[:-1, d]) for d in range(DIMENSIONS))], ["bucket", *(f"v{d}" for d in range(DIMENSIONS))])
 
-    parts = docs.select("text").mapInArrow(work, "bucket int, " + ", ".join(f"v{d} long" for d in range(DIMENSIONS)))
-    rows = parts.groupBy("bucket").agg(*(F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMENSIONS))).collect()  # BUCKETS rows at most
+    made = for_python(docs).select("text").mapInArrow(work, "bucket int, " + ", ".join(f"v{d} long" for d in range(DIMENSIONS)))
+    rows = made.groupBy("bucket").agg(*(F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMENSIONS))).collect()  # BUCKETS rows at most
     table = np.zeros((BUCKETS, DIMENSIONS))
     for r in rows:
         table[r[0]] = r[1:]
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """A row for each text: mean and deviation of its words' vectors, and the logarithm of its length. Zeros if it has no word."""
-    both = np.concatenate([vectors, vectors**2], 1)
-    ids, starts = _numbers(texts)
-    out = np.zeros((len(texts), 2 * DIMENSIONS + 1), np.float32)
-    for i in range(0, len(texts), DOCS):
-        ends = starts[i : i + DOCS + 1]
-        n = np.diff(ends)
-        counts = np.bincount(np.repeat(np.arange(len(n)), n) * BUCKETS + ids[ends[0] : ends[-1]], minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS)
-        m = counts.astype(np.float32) @ both / np.maximum(n, 1)[:, None]
-        mean, square = m[:, :DIMENSIONS], m[:, DIMENSIONS:]
-        out[i : i + len(n)] = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n)[:, None]], 1)
-    return out
+def pooled(texts: pa.Array, vectors: np.ndarray, units: Units | None = None) -> np.ndarray:
+    """A row for each text: mean and deviation of its words' vectors, and the logarithm of its length. Zeros if it has no word; null counts as empty."""
+    units, both = Units() if units is None else units, np.concatenate([vectors, vectors**2], 1)
+    sums, n = np.zeros((len(texts), 2 * DIMENSIONS)), np.zeros(len(texts), np.int64)
+    for own, number in parts(texts, STEP):
+        ids, starts = coded(own, units.__getitem__)
+        n[number] += np.diff(starts)
+        of = np.repeat(number, np.diff(starts))
+        for i in range(0, len(ids), PASS):
+            at = np.flatnonzero(np.diff(of[i : i + PASS], prepend=-1))
+            sums[of[i + at]] += np.add.reduceat(both[ids[i : i + PASS]], at, axis=0, dtype=np.float64)
+    m = sums / np.maximum(n, 1)[:, None]
+    mean, square = m[:, :DIMENSIONS], m[:, DIMENSIONS:]
+    return np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n)[:, None]], 1).astype(np.float32)
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -152,30 +143,35 @@ class QualityModel:
     constant: float = 1.0
 
     def score(self, docs: DataFrame, name: str = "quality") -> DataFrame:
-        """docs with a column `name`, 0 to 1, higher: label 1 likelier. No row is dropped and nothing is shuffled."""
+        """docs with a column `name`, 0 to 1, higher: label 1 likelier. No row is dropped and nothing is shuffled.
+
+        Null and empty texts are scored as texts without words, repeated rows each; an input column `name` is replaced.
+        """
         if self.network is None:
-            return docs.withColumn(name, F.lit(self.constant))
+            return with_results(docs, F.struct(F.lit(self.constant)), [name])
         vectors, network = self.vectors, self.network
 
-        @F.pandas_udf(T.DoubleType())
-        def scores(texts: pd.Series) -> pd.Series:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-            return pd.Series(np.concatenate([network.scores(pooled(b.column("text"), vectors)) for b in steps([batch])] or [np.zeros(0)]))
+        def start():
+            units = Units()
+            return lambda texts: pa.array(network.scores(pooled(texts, vectors, units)))
 
-        return docs.withColumn(name, scores("text"))
+        return with_results(for_python(docs), F.struct(per_text(T.DoubleType(), start)("text")), [name])
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> QualityModel:
-    """A model from docs (doc_id, text) and labels (doc_id, quality) where `keep` holds; the vectors are from all of docs.
+    """A model from docs (doc_id, text) and labels (doc_id, quality) where `keep` holds, of FIT_ROWS at most; the vectors are from all of docs.
 
-    Without labels of both kinds every score is the share of label 1 (1 if there are no labels).
+    Without labels of both kinds every score is the share of label 1 (1 if there are no labels). Labels that are null or of
+    a null id don't count; of several of one id the largest does. Rows that repeat an id are learned from each; a null text
+    is an empty one. An empty table and an empty table of labels give the constant model.
     """
     vectors = context_vectors(docs)
 
-    @F.pandas_udf(T.BinaryType())
-    def pool(texts: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in pooled(pa.array(texts, pa.string()), vectors)], dtype=object)
+    def start():
+        units = Units()
+        return lambda texts: pa.array([x.tobytes() for x in pooled(texts, vectors, units)], pa.binary())
 
+    pool = per_text(T.BinaryType(), start)
     sample = labelled(docs, labels, "quality", F.lit(True) if keep is None else keep, FIT_ROWS)
     rows = sorted(tuple(r) for r in sample.select("doc_id", "y", pool("text")).collect())  # FIT_ROWS vectors at most
     y = np.array([r[1] for r in rows])

@@ -15,18 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of `documents` that holds 0.8 of the shingles of a `benchmark` item; see decontamination.contained() for nulls, repeats and empty texts."""
     return decontamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every row of `documents`, base phrases and templates; null texts count as empty, and every row stands for itself."""
     return licenses.scanned(_table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length table of all rows of `documents`, null and empty texts with length 0."""
     return token_counts.length_table(_table(spark, sf_dir, "documents"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of `documents`, learned from those that are not held out; a null doc_id is held out, a null text or one without a letter is und."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, language.fit_rows(F.col("doc_id")))
     held = F.coalesce(~language.fit_rows(F.col("doc_id")), F.lit(True)).alias("held_out")
@@ -34,10 +38,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all rows of `documents` in sequences of 2048 tokens; a null or empty text is its END id alone."""
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every row of `documents`, labels learned from those that are not held out; a null doc_id is held out, null texts count as empty."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), quality.fit_rows(F.col("doc_id")))
     held = F.coalesce(~quality.fit_rows(F.col("doc_id")), F.lit(True)).alias("held_out")
@@ -45,16 +51,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every row of `pages`, by rule or by the purity of its template; null urls have an empty host and path."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judged(pages, urls.labels_by_number(pages, _table(spark, sf_dir, "labels")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the share of content lines of every row of `documents`; null texts count as empty and fail."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.judged(docs, lines.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every row of `documents`, labels learned from those that are not held out; a null doc_id is held out, null texts count as empty."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.fit_rows(F.col("doc_id")))
     held = F.coalesce(~toxicity.fit_rows(F.col("doc_id")), F.lit(True)).alias("held_out")
@@ -62,6 +71,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of `documents`; null and wordless texts have fingerprint zero, see simhash.near_duplicates() for null and repeated ids."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

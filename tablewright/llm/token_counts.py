@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import for_python, written
 from .encoding import default_tokenizer, encoder, steps
 
 #: Lengths in one block of the suffix sums.
@@ -19,10 +19,11 @@ def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def work(batches):
-        for b in steps(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(encoder(path).batch(b.column("text"))[1]))], ["length"])
+        with encoder(path) as enc:
+            for b in steps(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(enc.batch(b.column("text"))[1]))], ["length"])
 
-    return docs.select("text").mapInArrow(work, "length long")
+    return for_python(docs).select("text").mapInArrow(work, "length long")
 
 
 def length_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -15,65 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, labelled, release
+from .common import fold, for_python, labelled, per_text, with_results
+from .toxic_features import NAMES, PREFIXES, Chunks, features
 
 #: Labelled rows that the model is fitted on at most: half for the lexicon, three tenths for the trees, the rest for calibration.
 FIT_ROWS = 16_000
 #: Units (words, and beginnings of words marked with ^) that the learned lexicon has at most.
 LEXICON, MIN_TOXIC, MIN_LOG_ODDS = 1000, 4, math.log(4)
-PREFIXES = (3, 6)
-NEAR = 3
-# Common insults, and pronouns of address in the corpus's languages.
-SEEDS = frozenset("idiot idiots stupid moron morons loser losers scum trash garbage pathetic worthless disgusting clown dumb ugly hate fool jerk filth idiota estúpido estúpida imbécil basura asco inútil dummkopf idioten blöd widerlich abschaum connard imbécile débile ordure nul".split())
-SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
-LEET = str.maketrans("013457@$!", "oieastasi")
-WORDS = re.compile(r"\w+")
-HIDDEN = re.compile(r"[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)+")
-SEED, LEARNED, PREFIX, SECOND = 1, 2, 4, 8
-NAMES = "seed learned prefix lexicon_count near_second second capitals exclamations questions punctuation hidden hidden_lexicon repeats log_words".split()
-
-
-class _Flags(dict):
-    """SEED, LEARNED, PREFIX and SECOND of a lower-case word."""
-
-    def __init__(self, lexicon: frozenset[str]):
-        self.lexicon = lexicon
-
-    def __missing__(self, word: str) -> int:
-        found = SEED * (word in SEEDS) | LEARNED * (word in self.lexicon) | SECOND * (word in SECOND_PERSON)
-        found |= PREFIX * any(f"^{word[:k]}" in self.lexicon for k in range(PREFIXES[0], min(PREFIXES[1], len(word) - 1) + 1))
-        if len(self) < 50_000:
-            self[word] = found
-        return found
-
-
-def features(text: str | None, flags: _Flags) -> list[float]:
-    """The values of NAMES. Densities are by word or character, so they don't depend on a text's length; a null text counts as empty."""
-    text = text or ""
-    low = text.lower()
-    words = WORDS.findall(low)
-    n, chars = max(1, len(words)), max(1, len(text))
-    f = np.fromiter(map(flags.__getitem__, words), np.uint8, len(words))
-    toxic = np.flatnonzero(f & (SEED | LEARNED | PREFIX))
-    second = np.flatnonzero(f & SECOND)
-    near = 0
-    if len(toxic) and len(second):
-        at = np.searchsorted(second, toxic)
-        gap = np.minimum(np.abs(toxic - second[np.minimum(at, len(second) - 1)]), np.abs(toxic - second[np.maximum(at - 1, 0)]))
-        near = int((gap <= NEAR).sum())
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    upper = int((((points >= 65) & (points <= 90)) | ((points >= 0xC0) & (points <= 0xDE) & (points != 0xD7))).sum())
-    marks = ((points >= 33) & (points <= 47)) | ((points >= 58) & (points <= 64)) | ((points >= 91) & (points <= 96)) | ((points >= 123) & (points <= 126))
-    hidden = [x.translate(LEET) for x in HIDDEN.findall(low)]
-    same = points[1:] == points[:-1]
-    return [
-        float(x)
-        for x in (
-            np.count_nonzero(f & SEED) / n, np.count_nonzero(f & LEARNED) / n, np.count_nonzero(f & PREFIX) / n, math.log1p(len(toxic)), near / n, len(second) / n,
-            upper / chars, text.count("!") / chars, text.count("?") / chars, marks.sum() / chars, len(hidden) / n, sum(flags[x] & (SEED | LEARNED) > 0 for x in hidden) / n,
-            np.count_nonzero(same[2:] & same[1:-1] & same[:-2]) / chars, math.log1p(len(words)),
-        )
-    ]
 
 
 def _lexicon(sample: DataFrame) -> frozenset[str]:
@@ -97,32 +44,40 @@ class ToxicityModel:
     constant: float = 0.0
 
     def with_features(self, df: DataFrame) -> DataFrame:
-        lexicon, kept = self.lexicon, {}
+        lexicon = self.lexicon
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def dense(texts: pd.Series) -> pd.Series:
-            flags = kept.setdefault(0, _Flags(lexicon))
-            found = pd.Series([features(x, flags) for x in texts], dtype=object)
-            release()
-            return found
+        def start():
+            chunks = Chunks(lexicon)
 
-        return df.withColumn("__tox_x", array_to_vector(dense("text")))
+            def work(texts: pa.Array) -> pa.Array:
+                found = features(texts, chunks)
+                return pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(NAMES), dtype=np.int32), pa.array(found.ravel()))
+
+            return work
+
+        return for_python(df).withColumn("__tox_x", array_to_vector(per_text(T.ArrayType(T.DoubleType()), start)("text")))
 
     def score(self, docs: DataFrame, name: str = "toxicity") -> DataFrame:
-        """docs with a column `name`, 0 to 1, higher: likelier toxic. No row is dropped and nothing is shuffled."""
+        """docs with a column `name`, 0 to 1, higher: likelier toxic. No row is dropped and nothing is shuffled.
+
+        Null and empty texts are scored as texts without words, repeated rows each; an input column `name` is replaced.
+        """
         if self.trees is None:
-            return docs.withColumn(name, F.lit(self.constant))
+            return with_results(docs, F.struct(F.lit(self.constant)), [name])
         raw = self.trees.transform(self.with_features(docs)).withColumn("__tox_p", vector_to_array("__tox_prob")[1])
         score = F.col("__tox_p")
         if self.isotonic is not None:
             raw, score = self.isotonic.transform(raw), F.col("__tox_iso")
-        return raw.withColumn("__tox_s", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__tox_s").alias(name))
+        kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+        return raw.withColumn("__tox_s", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).select(*kept, F.col("__tox_s").alias(name))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> ToxicityModel:
     """A model from docs (doc_id, text) and labels (doc_id, toxic) where `keep` holds, of FIT_ROWS at most.
 
-    Without labels of both kinds every score is the share of toxic ones (0 if there are none).
+    Without labels of both kinds every score is the share of toxic ones (0 if there are none, as in empty tables). Labels
+    that are null or of a null id don't count; of several of one id the largest does. Rows that repeat an id are learned
+    from each; a null text is an empty one.
     """
     sample = labelled(docs, labels, "toxic", F.lit(True) if keep is None else keep, FIT_ROWS).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)))
     model = ToxicityModel(_lexicon(sample.where("part < 5")))

@@ -91,7 +91,10 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     kept = simhash.deduplicated(odd)
     assert kept.columns == odd.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
-    assert ids == [1, 4, 6, 7, 8, None]
+    assert ids == [1, 4, 6, 7, 8]
+    nameless = spark.createDataFrame([(None, "a b c"), (None, "A b c"), (None, "x y z"), (5, "x y z"), (6, "p q")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in simhash.deduplicated(nameless).collect())
+    assert got == [(0, "a b c"), (5, "x y z"), (6, "p q")]
     twice = simhash.deduplicated(odd.where("doc_id = 5"))
     assert twice.count() == 1 and simhash.deduplicated(none).columns == none.columns
 
@@ -129,7 +132,25 @@ def test_containment(spark, odd, none):
     assert all(abs(r.containment - len(shingles(items[r.item_id]) & own[r.doc_id]) / len(shingles(items[r.item_id]))) < 1e-12 for r in got)
     assert decontamination.contained(a.limit(0), b).count() == 0 and decontamination.contained(a, b.limit(0)).count() == 0
     clean = decontamination.decontaminated(odd, odd.where("doc_id = 4").select(F.lit(0).alias("item_id"), "text"))
-    assert sorted((r.doc_id for r in clean.collect()), key=lambda x: (x is None, x)) == [1, 2, 3, 6, 7, 8, None] and clean.columns == odd.columns
+    assert sorted((r.doc_id for r in clean.collect()), key=lambda x: (x is None, x)) == [1, 2, 3, 6, 7, 8] and clean.columns == odd.columns
+    rows = spark.createDataFrame([(1, items[3]), (1, "w1 w2 w3"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in decontamination.decontaminated(rows, b).collect()) == [(1, "w1 w2 w3"), (2, None)]
+
+
+def test_signatures_by_partitions_of_sizes(spark):
+    sizes = (1, 8, 9, 16, 17, 33, 64, 65, 300)
+    items = spark.createDataFrame([(n, " ".join(f"a{i}" for i in range(n + 4))) for n in sizes], "item_id long, text string")
+    for threshold in (0.8, 0.3):
+        made = {}
+        for r in decontamination.signatures(items, threshold).collect():
+            made.setdefault(r.item_id, []).append((r.hash, r.upper, r.least))
+        for n, rows in made.items():
+            upper = max(8, 1 << (n - 1).bit_length())
+            lacking, least = int((1 - threshold) * upper + 1e-9), rows[0][2]
+            assert {r[1:] for r in rows} == {(upper, least)} and len(rows) == min(n, lacking + least)
+            # whatever a true pair lacks, so many matches are left
+            most = n - -int(-(threshold * n) // 1)
+            assert len(rows) - most >= least >= 1 and (upper < 32 or threshold < 0.8 or least > 1)
 
 
 # --- licenses ---
@@ -218,30 +239,37 @@ def test_rules_and_parts(spark):
 
 
 def brute_templates(pages, bad):
-    """shape -> (template, purity) in plain Python."""
+    """shape -> (template, purity) in plain Python, and page -> shape."""
     import re
     from math import sqrt
 
-    shapes = {}
+    def alike(g, k, ag, ak):
+        rk = ak - k
+        return k == 0 or rk == 0 or ag in (0, ak) or abs(g / k - (ag - g) / rk) / sqrt(ag / ak * (1 - ag / ak) * (1 / k + 1 / rk)) < urls.SIMILAR
+
+    shapes, own = {}, {}
     for page, host, path in pages:
-        s = ["*" if re.search("[0-9]", x) else x for x in path.split("/") if x]
-        s = [*s[: urls.DEPTH - 1], "**"] if len(s) > urls.DEPTH else s + [""] * (urls.DEPTH - len(s))
-        c = shapes.setdefault((host, *s), [0, 0, 0])
+        own[page] = (host, *("*" if re.search("[0-9]", x) else x for x in path.split("/") if x))
+        c = shapes.setdefault(own[page], [0, 0, 0])
         c[0] += 1
         if page in bad:
             c[1] += not bad[page]
             c[2] += 1
-    tree = {k: list(k) for k in shapes}
-    for i in range(1, urls.DEPTH + 1):
+    tree, most = {k: list(k) for k in shapes}, max(map(len, shapes))
+    for i in range(1, most):
         kinds = {}
         for k, t in tree.items():
-            if t[i]:
-                kinds.setdefault(tuple(t[:i]), Counter())[t[i]] += shapes[k][0]
+            if len(t) > i:
+                c = kinds.setdefault(tuple(t[:i]), {}).setdefault(t[i], [0, 0, 0])
+                for j in range(3):
+                    c[j] += shapes[k][j]
         for t in tree.values():
-            c = kinds.get(tuple(t[:i]))
-            if t[i] and len(c) > urls.MAX_CHILDREN and c[t[i]] * urls.MAX_CHILDREN < sum(c.values()):
+            c = kinds.get(tuple(t[:i]), {})
+            total = sum(x[0] for x in c.values())
+            rare = {x for x, v in c.items() if v[0] * urls.MAX_CHILDREN < total}
+            if len(t) > i and len(c) > urls.MAX_CHILDREN and t[i] in rare and alike(*c[t[i]][1:], sum(c[x][1] for x in rare), sum(c[x][2] for x in rare)):
                 t[i] = "*"
-    for i in range(urls.DEPTH, 0, -1):
+    for i in range(most - 1, 0, -1):
         nodes = {}
         for k, t in tree.items():
             n = nodes.setdefault(tuple(t), [0, 0])
@@ -249,17 +277,13 @@ def brute_templates(pages, bad):
             n[1] += shapes[k][2]
         around = {}
         for t, n in nodes.items():
-            if t[i]:
-                a = around.setdefault(t[:i] + t[i + 1 :], [0, 0, 0])
+            if len(t) > i:
+                a = around.setdefault((t[:i], t[i + 1 :]), [0, 0, 0])
                 for j, x in enumerate((*n, 1)):
                     a[j] += x
         for t in tree.values():
             key = tuple(t)
-            if not key[i] or around[key[:i] + key[i + 1 :]][2] < 2:
-                continue
-            (g, k), (ag, ak, _) = nodes[key], around[key[:i] + key[i + 1 :]]
-            rk = ak - k
-            if k == 0 or rk == 0 or ag in (0, ak) or abs(g / k - (ag - g) / rk) / sqrt(ag / ak * (1 - ag / ak) * (1 / k + 1 / rk)) < urls.SIMILAR:
+            if len(key) > i and around[key[:i], key[i + 1 :]][2] > 1 and alike(*nodes[key], *around[key[:i], key[i + 1 :]][:2]):
                 t[i] = "*"
     nodes = {}
     for k, t in tree.items():
@@ -267,7 +291,7 @@ def brute_templates(pages, bad):
         n[0] += shapes[k][1]
         n[1] += shapes[k][2]
     good, seen = sum(n[0] for n in nodes.values()), sum(n[1] for n in nodes.values())
-    return {k: ("/".join(x for x in t if x), (nodes[tuple(t)][0] + urls.STRENGTH * good / seen) / (nodes[tuple(t)][1] + urls.STRENGTH)) for k, t in tree.items()}, {page: (host, *([*s[: urls.DEPTH - 1], "**"] if len(s) > urls.DEPTH else s + [""] * (urls.DEPTH - len(s)))) for page, host, path in pages for s in [["*" if re.search("[0-9]", x) else x for x in path.split("/") if x]]}
+    return {k: ("/".join(t), (nodes[tuple(t)][0] + urls.STRENGTH * good / seen) / (nodes[tuple(t)][1] + urls.STRENGTH)) for k, t in tree.items()}, own
 
 
 def test_templates(spark):
@@ -276,9 +300,11 @@ def test_templates(spark):
     for i in range(1500):
         host = rng.choice(["hot.org"] * 5 + [f"h{rng.randint(0, 9)}.org"])
         first = rng.choice(["news", "shop", "u" + "".join(rng.choice("abcdefgh") for _ in range(5)), "tag"])
-        rest = rng.choice(["", f"/{rng.randint(1, 99)}", "/a/b/c/d/e", "/list/x"])
+        rest = rng.choice(["", f"/{rng.randint(1, 99)}", "/a/b/c/d/e", "/list/x", "/a/b/c/d/spam/x/" + rng.choice("yz")])
         pages.append((i, host, f"/{first}{rest}"))
-    bad = {p: rng.random() < (0.9 if "/shop" in path and host == "hot.org" else 0.1) for p, host, path in pages if rng.random() < 0.6}
+    # of many small directories of a host, a few are bad ones
+    pages += [(2000 + i, "big.org", f"/{chr(97 + i % 26)}{'good' if i % 26 else 'bad'}/{chr(97 + i // 26 % 3)}") for i in range(1300)]
+    bad = {p: rng.random() < (0.9 if "/shop" in path and host == "hot.org" or "spam" in path or "bad" in path else 0.1) for p, host, path in pages if rng.random() < 0.6}
     frame = spark.createDataFrame([(p, f"https://{h}{path}?q") for p, h, path in pages], "page_id long, url string")
     got = urls.judged(frame, spark.createDataFrame(list(bad.items()), "page_id long, bad boolean")).collect()
     want, shape = brute_templates(pages, bad)
@@ -286,7 +312,9 @@ def test_templates(spark):
     for r in got:
         template, purity = want[shape[r.page_id]]
         assert r.template == template and abs(r.purity - purity) < 1e-9 and r.verdict == ("block" if purity < urls.PURITY else "allow")
-    assert {r.verdict for r in got} == {"allow", "block"}
+    assert {r.verdict for r in got if "/spam/" in r.path and r.host == "hot.org" and "/news/" in r.path} == {"block"}
+    assert {r.verdict for r in got if r.path == "/news/a/b/c/d/e"} == {"allow"}
+    assert {r.verdict for r in got if r.path.startswith("/abad/")} == {"block"} and {r.verdict for r in got if r.path.startswith("/bgood/")} == {"allow"}
 
 
 # --- near copies of the pipeline's stage ---
@@ -337,4 +365,11 @@ def test_licenses_wrapped_over_lines(spark):
         (5, "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License"), (None, "you may not use this\nfile except in compliance with the license"),
     ]
     got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "mit-text", 2: "bsd", 3: "mpl-2.0", 4: "", 5: "gpl,gpl-text", None: ""}
+    assert got == {1: "mit-text", 2: "bsd", 3: "mpl-2.0", 4: "", 5: "gpl,gpl-text", None: "apache-2.0"}
+
+
+def test_licenses_by_row(spark):
+    text = "you may not use this file except in compliance with the license"
+    rows = [(1, "nothing"), (1, text), (None, "x"), (None, text), (2, None)]
+    got = [(r.doc_id, r.labels, r.n_words) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "", 1), (1, "apache-2.0", 12), (None, "", 1), (None, "apache-2.0", 12), (2, "", 0)], key=str)
