@@ -1,9 +1,11 @@
 """Near copies by exact 5-word Jaccard similarity: candidates from MinHash bands, confirmed on the sets of shingles.
 
-BANDS bands of ROWS minima each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6, and
+BANDS bands of ROWS minima each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^14 = 6e-4, and
 more similar ones less. All pairs of a bucket are candidates. Of a bucket over MAX_BUCKET entries, these are first all
-pairs with its PIVOTS pivots; where the links found do not connect the whole bucket, every entry outside its largest
-component is then compared with all entries of other components, so no connection within a bucket is missed.
+pairs with its PIVOTS pivots, those that share most buckets with other entries, as the original of a group of copies does.
+Where the links found do not connect the whole bucket, the entries outside its largest component are then looked up in an
+exact set-similarity join: a pair at the threshold shares a shingle among the rarest few of both (prefix filter), and an
+entry that has many shingles of its own has only these there, so it meets nothing. No connection within a bucket is missed.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +24,7 @@ from .components import components
 from .encoding import STEP_BYTES, cut
 
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 14, 4
 MAX_BUCKET, PIVOTS = 64, 8
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _random = np.random.default_rng(SEED)
@@ -61,23 +63,15 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _class(hashes: np.ndarray) -> int:
+def number(hashes: np.ndarray) -> int:
     return int(np.uint64(_hash(hashes.tobytes())).astype(np.int64))
 
 
-def _signatures(texts: pa.Array) -> pa.Array:
-    found = [shingles(x.as_py()) for x in texts]
-    keys = [bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in found]
-    return pa.StructArray.from_arrays([pa.array([len(h) for h in found], pa.int32()), pa.array([_class(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["n", "cls", "bands"])
-
-
 def _sets(texts: pa.Array) -> pa.Array:
     found = [shingles(x.as_py()) for x in texts]
-    return pa.StructArray.from_arrays([pa.array([_class(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["cls", "hashes"])
+    return pa.StructArray.from_arrays([pa.array([number(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["cls", "hashes"])
 
 
-#: Of a text: number of shingles, a number of their set, band keys (none without shingles).
-signature = per_text(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("cls", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), lambda: _signatures)
 hashed = per_text(T.StructType([T.StructField("cls", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]), lambda: _sets)
 
 
@@ -98,31 +92,49 @@ def candidates(posted: DataFrame) -> DataFrame:
     """a, b: numbers of sets that share a bucket of at most MAX_BUCKET entries, or a larger one of which one is a pivot."""
     cold, hot = posted.where(F.col("size") <= MAX_BUCKET), posted.where(F.col("size") > MAX_BUCKET)
     slot = F.pmod(F.xxhash64("cls", "band"), F.lit(PIVOTS))
-    pivots = written(hot.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("band", "cls"), F.col("cls"), F.col("n"))).alias("p")), "pivots")
+    degrees = hot.groupBy("cls").agg(F.sum("size").alias("degree"))
+    pivots = hot.join(small(degrees), "cls").groupBy("band", "key", slot.alias("slot")).agg(F.max(F.struct("degree", "cls", "n")).alias("p"))
+    pivots = written(pivots, "pivots")
     pivots = pivots.select("band", "key", F.col("p.cls").alias("b"), F.col("p.n").alias("m"))
     pairs = cold.select("band", "key", F.col("cls").alias("a"), "n").join(cold.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("m")), ["band", "key"]).where("a < b")
     stars = hot.select("band", "key", F.col("cls").alias("a"), "n").join(small(pivots), ["band", "key"])
     return _fitting(pairs.select("a", "b", "n", "m").union(stars.select("a", "b", "n", "m")))
 
 
-def unconnected(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """a, b: of the large buckets, each set outside its bucket's largest component by the links `found` (a, b) with all sets of other components."""
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, hashes: the sets whose numbers are in nodes (cls)."""
+    ids = written(classes.join(nodes, "cls", "left_semi").select(F.col("first").alias("__id")).distinct(), "ids")
+    own = for_python(docs).join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(hashed("text").alias("h")).select("h.*")
+    return written(own.join(small(nodes), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+
+def loose_entries(posted: DataFrame, found: DataFrame) -> DataFrame:
+    """cls, n, low, loose: the sets of large buckets that the links `found` (a, b) leave in several components, the fewest shingles of a set
+
+    that shares such a bucket, and whether the set is outside the largest component of one.
+    """
     roots = components(found).withColumnRenamed("node", "cls")
     hot = written(posted.where(F.col("size") > MAX_BUCKET).join(small(roots), "cls", "left").select("band", "key", "cls", "n", F.coalesce("root", "cls").alias("root")), "hot")
-    sizes = hot.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
-    split = sizes.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "root")).alias("most")).where("kinds > 1")
-    inside = written(hot.join(small(split.select("band", "key", F.col("most.root").alias("most"))), ["band", "key"]), "split")
-    loose = inside.where("root <> most").select("band", "key", F.col("cls").alias("a"), "n", F.col("root").alias("ra"))
-    others = inside.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    return _fitting(loose.join(others, ["band", "key"]).where("ra <> rb"))
+    sizes = hot.groupBy("band", "key", "root").agg(F.count("*").alias("c"), F.min("n").alias("low"))
+    split = sizes.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "root")).alias("most"), F.min("low").alias("low")).where("kinds > 1")
+    inside = hot.join(small(written(split.select("band", "key", F.col("most.root").alias("most"), "low"), "split")), ["band", "key"])
+    return inside.groupBy("cls").agg(F.first("n").alias("n"), F.min("low").alias("low"), F.max(F.col("root") != F.col("most")).alias("loose"))
+
 
+def unconnected(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: of the sets (cls, hashes) of loose_entries(), each loose one and what it shares one of the rarest shingles of both with, as pairs of THRESHOLD do."""
+    tokens = sets.select("cls", F.explode("hashes").alias("token"))
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
+    ranked = ranked.select("cls", "token", F.row_number().over(Window.partitionBy("cls").orderBy("df", "token")).alias("rank"))
+    least = F.greatest(F.ceil(THRESHOLD * F.col("n") - 1e-9), F.col("low"))  # shingles of a partner
+    shared = F.ceil(THRESHOLD / (1 + THRESHOLD) * (F.col("n") + least) - 1e-9)
+    prefix = written(ranked.join(small(members), "cls").where(F.col("rank") <= F.col("n") - shared + 1).select("token", "cls", "n", "loose"), "prefixes")
+    others = prefix.select("token", F.col("cls").alias("b"), F.col("n").alias("m"))
+    return _fitting(prefix.where("loose").select("token", F.col("cls").alias("a"), "n").join(others, "token"))
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) with a Jaccard similarity of THRESHOLD at least."""
-    nodes = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "nodes")
-    ids = written(classes.join(nodes, "cls", "left_semi").select(F.col("first").alias("__id")).distinct(), "ids")
-    own = for_python(docs).join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(hashed("text").alias("h")).select("h.*")
-    sets = written(own.join(small(nodes), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     a, b = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return written(pairs.join(a, "a").join(b, "b").where(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "alike")
@@ -134,8 +146,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     Of buckets over MAX_BUCKET entries, not all links are returned, but all that connect their entries.
     """
     posted = _posted(classes)
-    found = _confirmed(written(candidates(posted), "candidates"), docs, classes)
+    pairs = written(candidates(posted), "candidates")
+    nodes = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "nodes")
+    found = _confirmed(pairs, _sets_of(nodes, docs, classes))
     if posted.where(F.col("size") > MAX_BUCKET).isEmpty():
         return found
-    more = written(unconnected(posted, found), "unconnected")
-    return found if more.isEmpty() else found.union(_confirmed(more, docs, classes))
+    members = written(loose_entries(posted, found), "members")
+    if members.isEmpty():
+        return found
+    sets = _sets_of(members.select("cls"), docs, classes)
+    return found.union(_confirmed(written(unconnected(members, sets), "unconnected"), sets))

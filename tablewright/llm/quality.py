@@ -25,7 +25,7 @@ BUCKETS, DIMENSIONS, NONZERO, WINDOW = 8192, 32, 4, 2
 FIT_ROWS = 16_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
 #: Numbers of a task's pass at a time, bytes of its step, and chunks between white space that it keeps (about 10 MB).
-PASS, STEP, KEPT = 100_000, 2 << 20, 40_000
+PASS, STEP, KEPT = 50_000, 1 << 20, 30_000
 UNIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 

@@ -51,6 +51,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
+def _signatures(texts: pa.Array) -> pa.Array:
+    """Fingerprint, number of 5-word shingles, a number of their set, and its band keys (none without shingles)."""
+    own = [x.as_py() for x in texts]
+    sets = [minhash.shingles(x) for x in own]
+    bands = pa.array([minhash.bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([pa.array(list(map(fingerprint, own)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(minhash.number, sets)), pa.int64()), bands], ["fp", "n", "cls", "bands"])
+
+
+#: One function for both, so that a task has one Python worker.
+_signature = per_text(T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cls", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), lambda: _signatures)
 _fingerprints = per_text(T.LongType(), lambda: lambda texts: pa.array([fingerprint(x.as_py()) for x in texts], pa.int64()))
 
 
@@ -113,8 +123,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     kept: whether (doc_id, fp) is the smallest of its component, which holds for one such pair of each component with a doc_id.
     """
-    own = for_python(docs).select("doc_id", _fingerprints("text").alias("fp"), minhash.signature("text").alias("s"))
-    fps = written(own.select("doc_id", "fp", "s.*"), "fingerprints")
+    fps = written(for_python(docs).select("doc_id", _signature("text").alias("s")).select("doc_id", "s.*"), "fingerprints")
     sets = written(fps.where("n > 0").groupBy("cls").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
     alike = minhash.links(docs, sets)
     at = sets.select("cls", F.col("fp").alias("least"))
