@@ -109,16 +109,16 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def loose_entries(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """cls, n, low, loose: the sets of large buckets that the links `found` (a, b) leave in several components, the fewest shingles of a set
+    """cls, n, root, low, loose: the sets of large buckets that the links `found` (a, b) leave in several components; of each its
 
-    that shares such a bucket, and whether the set is outside the largest component of one.
+    component, the fewest shingles of a set that shares such a bucket, and whether it is outside the largest component of one.
     """
     roots = components(found).withColumnRenamed("node", "cls")
     hot = written(posted.where(F.col("size") > MAX_BUCKET).join(small(roots), "cls", "left").select("band", "key", "cls", "n", F.coalesce("root", "cls").alias("root")), "hot")
     sizes = hot.groupBy("band", "key", "root").agg(F.count("*").alias("c"), F.min("n").alias("low"))
     split = sizes.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "root")).alias("most"), F.min("low").alias("low")).where("kinds > 1")
     inside = hot.join(small(written(split.select("band", "key", F.col("most.root").alias("most"), "low"), "split")), ["band", "key"])
-    return inside.groupBy("cls").agg(F.first("n").alias("n"), F.min("low").alias("low"), F.max(F.col("root") != F.col("most")).alias("loose"))
+    return inside.groupBy("cls").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("low").alias("low"), F.max(F.col("root") != F.col("most")).alias("loose"))
 
 
 def unconnected(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -128,9 +128,12 @@ def unconnected(members: DataFrame, sets: DataFrame) -> DataFrame:
     ranked = ranked.select("cls", "token", F.row_number().over(Window.partitionBy("cls").orderBy("df", "token")).alias("rank"))
     least = F.greatest(F.ceil(THRESHOLD * F.col("n") - 1e-9), F.col("low"))  # shingles of a partner
     shared = F.ceil(THRESHOLD / (1 + THRESHOLD) * (F.col("n") + least) - 1e-9)
-    prefix = written(ranked.join(small(members), "cls").where(F.col("rank") <= F.col("n") - shared + 1).select("token", "cls", "n", "loose"), "prefixes")
-    others = prefix.select("token", F.col("cls").alias("b"), F.col("n").alias("m"))
-    return _fitting(prefix.where("loose").select("token", F.col("cls").alias("a"), "n").join(others, "token"))
+    prefix = written(ranked.join(small(members), "cls").where(F.col("rank") <= F.col("n") - shared + 1).select("token", "cls", "n", "rank", "root", "loose"), "prefixes")
+    loose = prefix.where("loose").select("token", F.col("cls").alias("a"), "n", "rank", F.col("root").alias("root_a"))
+    others = prefix.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rank").alias("rank_b"), F.col("root").alias("root_b"))
+    need = F.ceil(THRESHOLD / (1 + THRESHOLD) * (F.col("n") + F.col("m")) - 1e-9)
+    # of two components, with enough shingles left in both from the shared one on (positional filter)
+    return _fitting(loose.join(others, "token").where("root_a <> root_b").where(1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("rank_b")) >= need))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
