@@ -120,10 +120,10 @@ def group_folds(spark, d):
     return prepare.group_folds(_orders(spark, d), "customer").select("key", "fold")
 
 
-@query(f"WITH {SQL_ORDERS} SELECT customer, count(*) AS n FROM ords WHERE {FOLD} = 4 AND customer NOT IN (SELECT customer FROM ords WHERE {FOLD} <> 4) GROUP BY 1")
+@query(f"WITH {SQL_ORDERS} SELECT floor(total / 20)::bigint AS band, count(*) AS n FROM ords WHERE {FOLD} = 4 AND floor(total / 20) NOT IN (SELECT floor(total / 20) FROM ords WHERE {FOLD} <> 4) GROUP BY 1")
 def unseen_labels(spark, d):
-    df = _orders(spark, d).withColumn("f", md5fold(F.col("key"), 5))
-    return prepare.unseen_labels(df.where("f <> 4"), df.where("f = 4"), "customer")
+    df = _orders(spark, d).select(F.floor(F.col("total") / 20).alias("band"), md5fold(F.col("key"), 5).alias("f"))
+    return prepare.unseen_labels(df.where("f <> 4"), df.where("f = 4"), "band")
 
 
 @query(f"WITH {SQL_ORDERS} SELECT key, total, 0.0::double AS discount FROM ords")
@@ -209,17 +209,24 @@ def step_variation(spark, d):
     return _r(profile.step_variation(_orders(spark, d), ["key", "total"]))
 
 
-@query("""SELECT 'key' AS "column", 'monotonic' AS reason""")
+@query("""SELECT 'key' AS "column", 'monotonic' AS reason FROM customer HAVING count(DISTINCT c_custkey) = count(*) AND count(*) > 10""")
 def id_columns(spark, d):
     return profile.id_columns(_users(spark, d), "key")
 
 
-@query("""SELECT * FROM (VALUES ('key', 'ID', true), ('name', 'Categorical', false), ('nation', 'Numerical', false), ('balance', 'Numerical', false), ('segment', 'Categorical', false)) AS v("column", detected, drop_suggested)""")
+_KINDS = "kinds AS (" + " UNION ALL ".join(
+    f"""SELECT '{name}' AS "column", CASE WHEN count(DISTINCT {c}) <= 1 THEN 'Constant' WHEN {"true" if name == "key" else "false"} AND count(DISTINCT {c}) = count(*) AND count(*) > 10 THEN 'ID'
+        WHEN avg(length({c}::varchar)) > 30 AND count(DISTINCT {c}) > 0.1 * count(*) THEN 'Free Text' WHEN count(DISTINCT {c}) <= 2 THEN 'Binary' ELSE '{kind}' END AS detected FROM customer"""
+    for name, c, kind in (("key", "c_custkey", "Numerical"), ("name", "c_name", "Categorical"), ("nation", "c_nationkey", "Numerical"), ("balance", "c_acctbal", "Numerical"), ("segment", "c_mktsegment", "Categorical"))
+) + ")"
+
+
+@query(f"""WITH {_KINDS} SELECT "column", detected, detected IN ('Constant', 'ID') AS drop_suggested FROM kinds""")
 def column_types(spark, d):
     return profile.column_types(_users(spark, d), "key")
 
 
-@query("SELECT detected, count(*) AS n FROM (VALUES ('ID'), ('Categorical'), ('Numerical'), ('Numerical'), ('Categorical')) AS v(detected) GROUP BY 1")
+@query(f"WITH {_KINDS} SELECT detected, count(*) AS n FROM kinds GROUP BY 1")
 def type_counts(spark, d):
     return profile.type_counts(profile.column_types(_users(spark, d), "key"))
 
@@ -229,7 +236,8 @@ def top_shares(spark, d):
     return _r(profile.top_shares(_items(spark, d), ["quantity", "gap", "flag"]))
 
 
-@query("""SELECT * FROM (VALUES ('twin', 'leakage'), ('one', 'constant'), ('row_id', 'id')) AS v("column", reason)""")
+@query("""SELECT 'twin' AS "column", 'leakage' AS reason FROM lineitem HAVING abs(corr(CASE WHEN l_returnflag = 'R' THEN 2.5 ELSE 1.0 END, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)) > 0.95
+    UNION ALL SELECT 'one', 'constant' FROM lineitem HAVING count(DISTINCT 1) <= 1 UNION ALL SELECT 'row_id', 'id' FROM lineitem HAVING count(l_orderkey) > 0""")
 def pruned_columns(spark, d):
     df = _table(spark, d, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label", "CASE WHEN l_returnflag = 'R' THEN 2.5 ELSE 1.0 END AS twin", "1 AS one", "l_orderkey AS row_id", "l_quantity AS quantity")
     return profile.pruned(df, "label")
@@ -831,16 +839,38 @@ def pair_pools(spark, d):
     return candidates.pair_pool(own).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "kind")
 
 
-@query("""WITH n AS (SELECT CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN 'rare' ELSE l_returnflag END AS label, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT count(*) AS k, max(n) / min(n) AS ratio, max(n) / sum(n) AS dominant FROM n) SELECT 'class_weight_balance' AS method, CASE WHEN k = 2 THEN 'binary' WHEN ratio > 15 OR dominant > 0.65 THEN 'none' ELSE 'multiclass_moderate' END AS strategy, ratio, k <> 2 AND NOT (ratio > 15 OR dominant > 0.65) AS auto_checked FROM o WHERE ratio >= 5""")
+@query("""WITH n AS (SELECT CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN 'rare' ELSE l_returnflag END AS label, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT count(*) AS k, max(n) / min(n) AS ratio, max(n) / sum(n) AS dominant FROM n) SELECT 'imbalance' AS type, '(model parameter)' AS "column", 'class_weight_balance' AS method, 1.0::double AS predicted_delta, 0.0::double AS predicted_delta_raw, true AS pinned, dominant, CASE WHEN k = 2 THEN 'binary' WHEN ratio > 15 OR dominant > 0.65 THEN 'none' ELSE 'multiclass_moderate' END AS strategy, ratio, k <> 2 AND NOT (ratio > 15 OR dominant > 0.65) AS auto_checked FROM o WHERE ratio >= 5""")
 def imbalance_suggestion(spark, d):
     df = _table(spark, d, "lineitem").selectExpr("CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN 'rare' ELSE l_returnflag END AS label")
-    return candidates.imbalance_suggestion(prepare.class_counts(df, "label"))
+    return candidates.imbalance_suggestion(prepare.class_counts(df, "label")).drop("column_b")
+
+
+_SUGGESTED = """SELECT "column", method, round(delta::double, 6) AS predicted_delta, 0.0::double AS predicted_delta_raw, pinned FROM d JOIN (VALUES {rows}) AS v(kind, method, delta, pinned) USING (kind)"""
+_DATES = ", ".join(f"('{k}', 'date_{m}', {x}, {str(m == 'features').lower()})" for k, own in (("date", ("month", "dow", "dom")), ("datetime", ("month", "dow", "dom", "hour")), ("time", ("hour",))) for m, x in (("features", 0.5), *((f"cyclical_{p}", round(0.49 - 0.001 * i, 6)) for i, p in enumerate(own, 1))))
+
 
+def _fixed_deltas(found: DataFrame) -> DataFrame:
+    return found.select("column", "method", F.round("predicted_delta", 6).alias("predicted_delta"), "predicted_delta_raw", "pinned")
 
-@query("""WITH d AS (SELECT 'moment' AS "column", 'datetime' AS kind UNION ALL SELECT 'day', 'date') SELECT "column", m AS method, r::double AS predicted_delta_raw, m = 'date_features' AS pinned FROM d, (VALUES ('date_features', 0.5, ''), ('date_cyclical_month', 0.49, ''), ('date_cyclical_dow', 0.489, ''), ('date_cyclical_dom', 0.488, ''), ('date_cyclical_hour', 0.487, 'datetime')) AS v(m, r, k) WHERE k = '' OR k = kind""")
+
+@query(f"""WITH s AS (SELECT count(*) AS n, count(DISTINCT ts::date) AS days, avg((hour(ts) <> 0)::int) AS hours FROM events),
+    d AS (SELECT 'moment' AS "column", CASE WHEN hours >= 0.2 AND days < greatest(3, floor(0.02 * n)) THEN 'time' WHEN hours >= 0.2 THEN 'datetime' ELSE 'date' END AS kind FROM s UNION ALL SELECT 'day', 'date' FROM s WHERE n >= 5)
+    {_SUGGESTED.format(rows=_DATES)}""")
 def date_suggestions(spark, d):
     df = _table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("kind"))
-    return candidates.date_suggestions(profile.date_stats(df)).select("column", "method", F.round("predicted_delta_raw", 6).alias("predicted_delta_raw"), "pinned")
+    return _fixed_deltas(candidates.date_suggestions(profile.date_stats(df)))
+
+
+@query(f"""WITH d AS (SELECT 'day' AS "column", 'weekday' AS kind FROM orders HAVING count(*) >= 3) {_SUGGESTED.format(rows="('weekday', 'dow_ordinal', 0.5, true), ('weekday', 'dow_cyclical', 0.49, false)")}""")
+def weekday_suggestions(spark, d):
+    df = _table(spark, d, "orders").select(F.date_format("o_orderdate", "EEEE").alias("day"), "o_orderpriority")
+    return _fixed_deltas(candidates.weekday_suggestions(profile.weekday_stats(df)))
+
+
+@query(f"""WITH d AS (SELECT 'text' AS "column", 'text' AS kind FROM documents HAVING avg(length(text)) > 30 AND count(DISTINCT text) > 0.1 * count(*)
+    UNION ALL SELECT 'source', 'text' FROM documents HAVING avg(length(source)) > 30 AND count(DISTINCT source) > 0.1 * count(*)) {_SUGGESTED.format(rows="('text', 'text_stats', 0.5, true), ('text', 'text_tfidf', 0.5, true)")}""")
+def text_suggestions(spark, d):
+    return _fixed_deltas(candidates.text_suggestions(profile.text_stats(_table(spark, d, "documents").select("text", "source"))))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,6 @@ def md5fold(key: Column, folds: int, salt: str = "") -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 8), 16, 10).cast("long") % folds).cast("int")
 
 
-def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
-    return F.when(b != 0, a / b).otherwise(F.lit(otherwise))
-
-
 def corr(a: Column, b: Column) -> Column:
     """Pearson's correlation over complete rows; null if a side doesn't vary (where the built-in one fails in ANSI mode)."""
     both = a.isNotNull() & b.isNotNull()
@@ -63,18 +59,13 @@ def corr(a: Column, b: Column) -> Column:
     return F.when(spread > 0, F.covar_pop(x, y) / spread)
 
 
-def entropy(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, h: entropy in bits of the column `value` within each group; nulls of `value` don't count. Only counts meet in the window."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    p = F.col("__n") / F.sum("__n").over(Window.partitionBy(*(by or [F.lit(0)])))
-    return counts.withColumn("__p", p).groupBy(*by).agg(F.sum(-F.col("__p") * F.log2("__p")).alias("h"))
+#: A table of keys is broadcast up to this many counted rows, each with a text and a number or two.
+MAP_ROWS = 100_000
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value, n, rank: the average rank of each distinct value in its group; the window runs over distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("rank", upto - (F.col("n") - 1) / 2)
+def hinted(table: DataFrame) -> DataFrame:
+    """table with a broadcast hint if its rows, counted up to MAP_ROWS, are few enough; as it is otherwise."""
+    return F.broadcast(table) if table.limit(MAP_ROWS + 1).count() <= MAP_ROWS else table
 
 
 @lru_cache(1)

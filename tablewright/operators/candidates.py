@@ -115,39 +115,43 @@ def pinned_row_families(s: DataFrame) -> DataFrame:
     return s.withColumn("pinned", row | F.coalesce("pinned", F.lit(False))).withColumn("predicted_delta_raw", F.when(row, F.greatest("predicted_delta_raw", F.lit(0.0))).otherwise(F.col("predicted_delta_raw")))
 
 
-def _rows(source: DataFrame, kind: str, methods: list[tuple[str, float, bool]]) -> DataFrame:
-    made = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(d).alias("predicted_delta_raw"), F.lit(p).alias("pinned")) for m, d, p in methods))
-    return source.select(F.lit(kind).alias("type"), "column", F.lit(None).cast("string").alias("column_b"), F.inline(made)).withColumn("auto_checked", F.col("pinned"))
+def _rows(source: DataFrame, kind: str, methods: list[tuple[str, float, bool, bool | None]]) -> DataFrame:
+    """A row for each of source (column) and each method, with its fixed predicted_delta, pinned and auto_checked; nothing is predicted, so the raw delta is 0."""
+    made = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(d).alias("predicted_delta"), F.lit(0.0).alias("predicted_delta_raw"), F.lit(p).alias("pinned"), F.lit(c).cast("boolean").alias("auto_checked")) for m, d, p, c in methods))
+    return source.select(F.lit(kind).alias("type"), "column", F.lit(None).cast("string").alias("column_b"), F.inline(made))
 
 
 def date_suggestions(dates: DataFrame) -> DataFrame:
     """Of rows (column, kind): date_features, and the cyclic parts that the kind has, in their order."""
     parts = {"date": ("month", "dow", "dom"), "datetime": ("month", "dow", "dom", "hour"), "time": ("hour",)}
-    out = [_rows(dates.where(F.col("kind") == k), "date", [("date_features", 0.50, True), *((f"date_cyclical_{p}", 0.49 - 0.001 * i, False) for i, p in enumerate(own))]) for k, own in parts.items()]
+    out = [_rows(dates.where(F.col("kind") == k), "date", [("date_features", 0.50, True, True), *((f"date_cyclical_{p}", 0.49 - 0.001 * i, False, False) for i, p in enumerate(own, 1))]) for k, own in parts.items()]
     return reduce(DataFrame.unionByName, out)
 
 
 def weekday_suggestions(days: DataFrame) -> DataFrame:
-    return _rows(days.where("is_weekday"), "date", [("dow_ordinal", 0.50, True), ("dow_cyclical", 0.49, False)])
+    return _rows(days.where("is_weekday"), "date", [("dow_ordinal", 0.50, True, True), ("dow_cyclical", 0.49, False, False)])
 
 
 def text_suggestions(texts: DataFrame) -> DataFrame:
-    return _rows(texts.where("is_text"), "text", [("text_stats", 0.50, True), ("text_tfidf", 0.50, True)])
+    return _rows(texts.where("is_text"), "text", [("text_stats", 0.50, True, None), ("text_tfidf", 0.50, True, None)])
 
 
 def imbalance_suggestion(counts: DataFrame) -> DataFrame:
-    """method, strategy, ratio, auto_checked if the largest class of (label, n) has 5 times the smallest or more."""
+    """One pinned row, with strategy, ratio and dominant, if the largest class of (label, n) has 5 times the smallest or more; else none."""
     one = counts.agg(F.count("*").alias("k"), (F.max("n") / F.min("n")).alias("ratio"), (F.max("n") / F.sum("n")).alias("dominant"))
     strategy = F.when(F.col("k") == 2, "binary").when((F.col("ratio") > 15) | (F.col("dominant") > 0.65), "none").otherwise("multiclass_moderate")
-    return one.where("ratio >= 5").select(F.lit("class_weight_balance").alias("method"), strategy.alias("strategy"), "ratio", (strategy == "multiclass_moderate").alias("auto_checked"))
+    fixed = {"type": F.lit("imbalance"), "column": F.lit("(model parameter)"), "column_b": F.lit(None).cast("string"), "method": F.lit("class_weight_balance"), "predicted_delta": F.lit(1.0), "predicted_delta_raw": F.lit(0.0), "pinned": F.lit(True)}
+    return one.where("ratio >= 5").select(*(v.alias(k) for k, v in fixed.items()), (strategy == "multiclass_moderate").alias("auto_checked"), strategy.alias("strategy"), "ratio", "dominant")
 
 
 def normalised(s: DataFrame) -> DataFrame:
-    """s with predicted_delta: the z-score of the raw one within its type. Pinned rows and dates, texts, imbalance keep theirs and don't count."""
-    free = ~F.col("pinned") & ~F.col("type").isin("date", "text", "imbalance")
+    """s with predicted_delta: the z-score of the raw one within its type. Dates, texts and imbalance keep their predicted_delta, pinned rows their raw one; none of these counts."""
+    fixed = F.col("type").isin("date", "text", "imbalance")
+    free = ~F.col("pinned") & ~fixed
     x, w = F.when(free, F.col("predicted_delta_raw")), Window.partitionBy("type")
     std = F.stddev_pop(x).over(w)
-    return s.withColumn("predicted_delta", F.when(free, F.when(std > 1e-9, (x - F.avg(x).over(w)) / std).otherwise(F.lit(0.0))).otherwise(F.col("predicted_delta_raw")))
+    own = F.when(fixed, F.col("predicted_delta")) if "predicted_delta" in s.columns else F.lit(None).cast("double")
+    return s.withColumn("predicted_delta", F.when(free, F.when(std > 1e-9, (x - F.avg(x).over(w)) / std).otherwise(F.lit(0.0))).otherwise(F.coalesce(own, "predicted_delta_raw")))
 
 
 def deduplicated(s: DataFrame) -> DataFrame:

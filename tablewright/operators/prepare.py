@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import category, md5fold, number, numeric_columns, quoted
+from ..functions.columns import category, hinted, md5fold, number, numeric_columns, quoted
 
 
 def encode_target(df: DataFrame, label: str, to: str = "label") -> DataFrame:
@@ -15,7 +15,7 @@ def encode_target(df: DataFrame, label: str, to: str = "label") -> DataFrame:
         return df.withColumn(to, number(label))
     names = df.select(quoted(label).cast("string").alias("__v")).where("__v IS NOT NULL").distinct()
     codes = names.withColumn("__code", (F.dense_rank().over(Window.orderBy("__v")) - 1).cast("double"))  # over distinct labels only
-    return df.join(F.broadcast(codes), quoted(label).cast("string") == F.col("__v"), "left").withColumn(to, F.col("__code")).drop("__v", "__code")
+    return df.join(hinted(codes), quoted(label).cast("string") == F.col("__v"), "left").withColumn(to, F.col("__code")).drop("__v", "__code")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -25,7 +25,7 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def filter_rare_classes(df: DataFrame, label: str, folds: int, repeats: int) -> DataFrame:
     """Rows of classes that have at least folds x repeats + 1 rows."""
     kept = class_counts(df, label).where(F.col("n") >= folds * repeats + 1).select(F.col(label).alias("__kept"))
-    return df.join(F.broadcast(kept), quoted(label) == F.col("__kept"), "left_semi")
+    return df.join(hinted(kept), quoted(label) == F.col("__kept"), "left_semi")
 
 
 def scale_pos_weight(df: DataFrame, label: str) -> DataFrame:
@@ -85,7 +85,7 @@ def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
 
 def unseen_labels(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """label, n: labels of test, with their rows, that train hasn't."""
-    return class_counts(test, label).join(F.broadcast(class_counts(train, label).select(label)), label, "left_anti")
+    return class_counts(test, label).join(hinted(class_counts(train, label).select(label)), label, "left_anti")
 
 
 def aligned(test: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str], list[str]]:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import category_columns, corr, number, numeric_columns, present, quoted
 
 # Names that mark an ID, weekday names, date formats and thresholds.
-ID_NAMES = ("id", "index", "key", "row_id", "row_number", "rownum", "uuid", "guid")
-ID_PARTS = ("_id", "id_", "_key", "uuid", "guid", "identifier")
+ID_NAMES = ("id", "idx", "index", "key", "no", "num", "number", "row", "#")
+ID_PARTS = ("_id", "id_", "_idx", "idx_", "_index", "index_", "_key", "key_", "_no", "_num", "_number", "rownum", "row_num", "record_id", "sample_id", "obs_id", "entry_id")
+#: Of the collectors: names, and an ending.
+COLLECTED_IDS, COLLECTED_END = ("id", "index", "row_num", "record_id", "pk", "key"), "_id"
 WEEKDAYS = {name: i for i, names in enumerate((("monday", "mon", "mo"), ("tuesday", "tue", "tu"), ("wednesday", "wed", "we"), ("thursday", "thu", "th"), ("friday", "fri", "fr"), ("saturday", "sat", "sa"), ("sunday", "sun", "su"))) for name in names}
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "HH:mm:ss", "HH:mm")
 #: Distinct counts and other aggregates of so many columns go in one pass.
@@ -125,7 +127,7 @@ def step_variation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def named_like_id(column: Column) -> Column:
-    low = F.lower(column)
+    low = F.trim(F.lower(column))
     found = low.isin(*ID_NAMES)
     for part in ID_PARTS:
         found |= F.contains(low, F.lit(part))
@@ -133,7 +135,7 @@ def named_like_id(column: Column) -> Column:
 
 
 def id_columns(df: DataFrame, order_by: str | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """column, reason of columns that look like IDs; without order_by the monotonic test isn't made."""
+    """column, reason of columns that look like IDs; without order_by the monotonic test isn't made. Date and text columns are none."""
     stats = stats if stats is not None else base_stats(df)
     numeric = numeric_columns(df, include_bool=False)
     lengths = text_stats(df, category_columns(df)).select("column", "mean_length", "is_text") if category_columns(df) else None
@@ -141,12 +143,16 @@ def id_columns(df: DataFrame, order_by: str | None = None, stats: DataFrame | No
     found = found.join(F.broadcast(order_flags(df, numeric, order_by)), "column", "left") if order_by and numeric else found.select("*", F.lit(False).alias("rising"), F.lit(False).alias("falling"))
     found = found.join(F.broadcast(step_variation(df, numeric)), "column", "left") if numeric else found.withColumn("cv", F.lit(None).cast("double"))
     found = found.join(F.broadcast(lengths), "column", "left") if lengths is not None else found.select("*", F.lit(None).cast("double").alias("mean_length"), F.lit(False).alias("is_text"))
-    whole = (F.col("n_unique") == F.col("n_rows")) & (F.col("n_unique") > 10)
+    # dates are looked for only in columns whose names look like an ID's
+    named = [c for c in category_columns(df) if (low := c.lower().strip()) in ID_NAMES or any(x in low for x in ID_PARTS)]
+    found = found.join(F.broadcast(date_stats(df, named).select("column", F.col("kind").isNotNull().alias("is_date"))), "column", "left") if named else found.withColumn("is_date", F.lit(False))
+    known = F.coalesce(F.col("is_text"), F.lit(False)) | F.coalesce(F.col("is_date"), F.lit(False))
+    whole = F.col("n_unique") == F.col("n_rows") - F.col("n_missing")
     reason = (
-        F.when(F.col("numeric") & whole & (F.col("rising") | F.col("falling")), "monotonic")
-        .when(F.col("numeric") & (F.col("unique_ratio") >= 0.95) & (F.col("n_unique") > 10) & (F.col("cv") < 0.05), "even steps")
-        .when(F.col("numeric") & named_like_id(F.col("column")) & (F.col("unique_ratio") >= 0.95), "name")
-        .when(~F.col("numeric") & named_like_id(F.col("column")) & (F.col("unique_ratio") >= 0.80) & (F.col("mean_length") <= 25), "name, short text")
+        F.when(F.col("numeric") & (F.col("n_unique") > 10) & whole & (F.col("rising") | F.col("falling")), "monotonic")
+        .when(F.col("numeric") & (F.col("n_unique") > 10) & (F.col("unique_ratio") >= 0.95) & (F.col("cv") < 0.05), "even steps")
+        .when(F.col("numeric") & (F.col("n_unique") > 10) & named_like_id(F.col("column")) & (F.col("unique_ratio") >= 0.80), "name")
+        .when(~F.col("numeric") & ~known & named_like_id(F.col("column")) & (F.col("unique_ratio") >= 0.80) & (F.col("mean_length") <= 25), "name, short text")
     )
     return found.select("column", reason.alias("reason")).where("reason IS NOT NULL")
 
@@ -207,12 +213,12 @@ def pruned(df: DataFrame, label: str, order_by: str | None = None) -> DataFrame:
     both = [F.when(number(c).isNotNull() & number(label).isNotNull(), F.lit(1)) for c in numeric]
     leaks = df.agg(*(F.struct(F.lit(c).alias("column"), F.abs(corr(number(c), number(label))).alias("r"), F.count(b).alias("pairs")).alias(f"__{i}") for i, (c, b) in enumerate(zip(numeric, both, strict=True)))).select(F.inline(F.array(*(F.col(f"__{i}") for i in range(len(numeric)))))) if numeric else None
     found = found.join(F.broadcast(leaks), "column", "left") if leaks is not None else found.select("*", F.lit(None).alias("r"), F.lit(0).alias("pairs"))
-    low = F.lower("column")
-    like_id = low.isin(*ID_NAMES) | F.endswith(low, F.lit("_id")) | (~F.col("numeric") & (F.col("unique_ratio") > 0.95))
+    low = F.trim(F.lower("column"))
+    like_id = low.isin(*COLLECTED_IDS) | F.endswith(low, F.lit(COLLECTED_END)) | (~F.col("numeric") & (F.col("unique_ratio") > 0.95))
     if order_by and numeric:
         flags = order_flags(df, numeric, order_by).select("column", (F.col("rising") | F.col("falling")).alias("monotonic"))
         found = found.join(F.broadcast(flags), "column", "left")
-        like_id |= F.coalesce(F.col("monotonic"), F.lit(False)) & (F.col("n_unique") == F.col("n_rows")) & (F.col("n_rows") > 10)
+        like_id |= F.coalesce(F.col("monotonic"), F.lit(False)) & (F.col("n_unique") == F.col("n_rows") - F.col("n_missing")) & (F.col("n_unique") > 10)
     reason = F.when(like_id, "id").when(F.col("n_unique") <= 1, "constant").when(F.col("share") > 0.99, "near-constant").when((F.col("r") > 0.95) & (F.col("pairs") > 10), "leakage")
     return found.select("column", reason.alias("reason")).where("reason IS NOT NULL")
 

@@ -13,7 +13,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import category, md5fold, number, numeric_columns, quoted, without_accents
+from ..functions.columns import category, hinted, md5fold, number, numeric_columns, quoted, without_accents
 from .profile import WEEKDAYS, parsed_date
 
 # Fixed values of the methods.
@@ -23,8 +23,8 @@ DATE_PARTS = {"year": 0, "month": 1, "day": 1, "dayofweek": 0, "is_weekend": 0,
 TEXT_STATS = ("word_count", "char_count", "avg_word_len", "uppercase_ratio", "digit_ratio", "punct_ratio")
 PERIODS = {"month": ("month", 12), "dow": ("dayofweek", 7), "dom": ("day", 31), "hour": ("hour", 24)}
 ORDER = {"missing_indicator": 0, "impute_median": 1}
-#: A map is broadcast up to this many rows; beyond, Spark chooses (a shuffle join).
-MAP_ROWS = 200_000
+#: Values of a column that one-hot encoding makes columns of at most; more are an error.
+ONEHOT_MOST = 1_000
 
 
 @dataclass
@@ -39,10 +39,6 @@ class Step:
     table: DataFrame | None = None
 
 
-def _hinted(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(MAP_ROWS + 1).count() <= MAP_ROWS else table
-
-
 def _lookup(df: DataFrame, key: Column, table: DataFrame, value: str, to: str, otherwise: Column) -> DataFrame:
     """df with `to`: table's value for the key, or `otherwise`. A left join, so it holds for streams."""
     own = table.select(F.col("key").alias("__key"), F.col(value).alias("__value"))
@@ -113,26 +109,29 @@ def _fit_one(train: DataFrame, s: Step, found: dict, label: str, key: str) -> No
         s.params["edges"] = sorted(set(found[f"edges:{c}"] or []))
     elif m == "frequency_encoding":
         n = train.count()
-        s.table = _hinted(train.groupBy(category(c).alias("key")).agg((F.count("*") / max(1, n)).alias("value")))
+        s.table = hinted(train.groupBy(category(c).alias("key")).agg((F.count("*") / max(1, n)).alias("value")))
     elif m == "target_encoding":
         sums = train.groupBy(category(c).alias("key")).agg(F.count("*").alias("n"), F.sum(number(label)).alias("s"))
         s.params["mean"] = train.agg(F.avg(number(label))).first()[0] or 0.0
         gm = F.lit(s.params["mean"])
-        s.table = _hinted(sums.select("key", ((F.col("s") + SMOOTHING * gm) / (F.col("n") + SMOOTHING)).alias("value")))
+        s.table = hinted(sums.select("key", ((F.col("s") + SMOOTHING * gm) / (F.col("n") + SMOOTHING)).alias("value")))
     elif m == "onehot_encoding":
-        s.params["values"] = [r[0] for r in train.select(category(c).alias("v")).distinct().orderBy("v").limit(200).collect()][1:]
+        values = [r[0] for r in train.select(category(c).alias("v")).distinct().orderBy("v").limit(ONEHOT_MOST + 1).collect()]
+        if len(values) > ONEHOT_MOST:
+            raise ValueError(f"{c} has more than {ONEHOT_MOST} values, each of which would be a column")
+        s.params["values"] = values[1:]
     elif m in ("group_mean", "group_std"):
         num, cat = s.params["roles"] = _roles(train, s)
         s.params["name"] = f"{'grpmean' if m == 'group_mean' else 'grpstd'}_{num}_by_{cat}"
         value = F.avg(number(num)) if m == "group_mean" else F.stddev_samp(number(num))
         table = train.groupBy(category(cat).alias("key")).agg(value.alias("value"))
         s.params["otherwise"] = found[f"mean:{num}"] if m == "group_mean" else table.agg(F.avg("value")).first()[0]
-        s.table = _hinted(table)
+        s.table = hinted(table)
     elif m == "cat_concat":
         from pyspark.sql import Window
 
         kinds = train.select(F.concat_ws("_", category(c), category(s.column_b)).alias("key")).distinct()
-        s.table = _hinted(kinds.select("key", (F.dense_rank().over(Window.orderBy("key")) - 1).alias("value")))  # over distinct pairs, few by the gate
+        s.table = hinted(kinds.select("key", (F.dense_rank().over(Window.orderBy("key")) - 1).alias("value")))  # over distinct pairs, few by the gate
     elif m == "row_numeric_stats":
         s.params["medians"] = {x: found[f"median:{x}"] or 0.0 for x in s.params["columns"]}
     elif m == "date_features":
@@ -178,7 +177,7 @@ def out_of_fold(train: DataFrame, s: Step, label: str, key: str) -> DataFrame:
     total = by_fold.groupBy("__cat").agg(F.sum("__n").alias("__tn"), F.sum("__s").alias("__ts"))
     n, t = F.col("__tn") - F.col("__n"), F.col("__ts") - F.col("__s")
     maps = by_fold.join(total, "__cat").select("__cat", "__fold", F.when(n > 0, (t + SMOOTHING * gm) / (n + SMOOTHING)).otherwise(gm).alias("__value"))
-    return keyed.join(_hinted(maps), ["__cat", "__fold"], "left").withColumn(s.column, F.col("__value")).drop("__cat", "__fold", "__value")
+    return keyed.join(hinted(maps), ["__cat", "__fold"], "left").withColumn(s.column, F.col("__value")).drop("__cat", "__fold", "__value")
 
 
 def _dow(c: str) -> Column:
@@ -326,5 +325,5 @@ def fit_and_apply(train: DataFrame, steps: list[Step], label: str = "label", key
 
 def fitted_table(spark, steps: list[Step]) -> DataFrame:
     """The applied transforms as a report table: method, column, column_b, params as text."""
-    rows = [(s.method, s.column, s.column_b, ", ".join(f"{k}={v}" for k, v in sorted(s.params.items()))[:500]) for s in steps]
+    rows = [(s.method, s.column, s.column_b, ", ".join(f"{k}={v}" for k, v in sorted(s.params.items()))) for s in steps]
     return spark.createDataFrame(rows, "method string, column string, column_b string, params string")

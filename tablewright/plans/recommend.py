@@ -3,31 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import category_columns, number, numeric_columns
+from ..functions.columns import category, category_columns, number, numeric_columns, quoted
 from ..operators import candidates, meta, metrics, models, prepare, profile
 from ..operators.transforms import Step, fit, fit_and_apply
 from ..operators.transforms import apply as replay
 
 
-def suggestions(df: DataFrame, label: str, importances: DataFrame, score: Callable[[DataFrame, str], DataFrame], order_by: str | None = None) -> DataFrame:
-    """All candidates of single columns and rows, scored, normalised and deduplicated.
+def suggestions(
+    df: DataFrame, label: str, importances: DataFrame, score: Callable[[DataFrame, str], DataFrame], order_by: str | None = None, overrides: dict[str, str] | None = None, include_imbalance: bool = True
+) -> DataFrame:
+    """All candidates of single columns, pairs and rows, and the imbalance of the classes: scored, normalised, deduplicated, ranked, the first ones checked.
 
     importances: (column, importance). score(candidates, family) adds predicted_delta_raw; a family's candidates are scored
-    in one batch, as by the family model's transform or by any column expression.
+    in one batch, as by the family model's transform or by any column expression. overrides: types that the user has set.
+    Pairs are those of the most important columns; near bijections are left out.
     """
-    types = profile.column_types(df.drop(label), order_by).cache()
-    kinds = {r.column: r.detected for r in types.collect()}
+    types = profile.column_types(df.drop(label), order_by)
+    types = profile.reassigned(types, overrides) if overrides else types
+    kinds = {r.column: r.detected for r in types.collect()}  # a row for each column
     numeric = [c for c in numeric_columns(df) if kinds.get(c) in ("Numerical", "Binary")]
     cats = [c for c in category_columns(df) if kinds.get(c) in ("Categorical", "Binary")]
     ranks = F.broadcast(meta.importance_ranks(importances))
     parts = []
 
     def rows(found: DataFrame, kind: str) -> DataFrame:
-        return score(found, kind).select(F.lit(kind).alias("type"), "column", F.lit(None).cast("string").alias("column_b"), "method", "predicted_delta_raw", F.lit(kind == "row").alias("pinned"), F.lit(None).cast("boolean").alias("auto_checked"))
+        return score(found, kind).select(F.lit(kind).alias("type"), "column", (F.col("column_b") if kind == "interaction" else F.lit(None).cast("string")).alias("column_b"), "method", F.col("predicted_delta_raw").alias("predicted_delta"), "predicted_delta_raw", F.lit(kind == "row").alias("pinned"), F.lit(None).cast("boolean").alias("auto_checked"))
 
     if numeric:
         least = df.agg(*(F.struct(F.lit(c).alias("column"), F.min(number(c)).alias("min_value")).alias(f"__{i}") for i, c in enumerate(numeric))).select(F.inline(F.array(*(F.col(f"__{i}") for i in range(len(numeric))))))
@@ -35,14 +40,35 @@ def suggestions(df: DataFrame, label: str, importances: DataFrame, score: Callab
         parts.append(rows(candidates.numerical_candidates(found), "numerical"))
     if cats:
         parts.append(rows(candidates.categorical_candidates(meta.categorical_column_meta(df, cats, label).join(ranks, "column", "left")), "categorical"))
+    if (pairs := _pairs(df, types, numeric, cats, importances)) is not None:
+        parts.append(rows(pairs, "interaction"))
     facts = meta.row_meta(df, label).select(F.lit(len(numeric)).alias("n_numeric"), F.col("pct_cells_zero").alias("pct_zero"), F.col("pct_rows_with_any_missing").alias("pct_missing"), F.lit("").alias("column"))
     parts.append(candidates.pinned_row_families(rows(candidates.row_family_candidates(facts), "row")))
     if texts := [c for c in category_columns(df) if c != label]:
         parts += [x.select(parts[0].columns) for x in (candidates.date_suggestions(profile.date_stats(df, texts)), candidates.weekday_suggestions(profile.weekday_stats(df, texts)), candidates.text_suggestions(profile.text_stats(df, texts)))]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return candidates.deduplicated(candidates.normalised(every))
+    if include_imbalance:
+        parts.append(candidates.imbalance_suggestion(prepare.class_counts(df, label)).select(parts[0].columns))
+    every = candidates.deduplicated(candidates.normalised(reduce(DataFrame.unionByName, parts)))
+    k = df.agg(candidates.recommended_top_k(F.count("*"), F.lit(len(df.columns) - 1))).first()[0]
+    return candidates.selected(every, k)
+
+
+def _pairs(df: DataFrame, types: DataFrame, numeric: list[str], cats: list[str], importances: DataFrame) -> DataFrame | None:
+    """column, column_b, method and the gates' values of the pairs of the most important columns, without near bijections; None without pairs."""
+    own = types.where(F.col("column").isin(*numeric, *cats)).select("column", F.col("column").isin(*numeric).alias("numeric"))
+    pool = candidates.pair_pool(own.join(F.broadcast(importances.select("column", "importance")), "column"))
+    found = [tuple(r) for r in pool.select("a", "b", "kind").collect()]  # capped by kind
+    found = [(a, b, kind) for a, b, kind in found if kind != "cc" or not candidates.near_bijection(df, a, b).first().near_bijection]
+    if not found:
+        return None
+    n_rows, used = df.count(), sorted({c for a, b, _ in found for c in (a, b)})
+    # one aggregate for all columns and pairs: distinct values, zeros or nulls among them, distinct pairs
+    sides = [F.count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(used)] + [F.count_if((number(c) == 0) | quoted(c).isNull() if c in numeric else quoted(c).isNull()).alias(f"z{i}") for i, c in enumerate(used)]
+    joint = [F.count_distinct(F.struct(category(a), category(b))).alias(f"j{i}") for i, (a, b, kind) in enumerate(found) if kind == "cc"]
+    one, at = df.agg(*sides, *joint).first(), {c: i for i, c in enumerate(used)}
+    rows = [(a, b, kind, one[f"u{at[a]}"], one[f"u{at[b]}"], one[f"u{at[a]}"] / max(1, n_rows), one[f"u{at[b]}"] / max(1, n_rows), one[f"z{at[b]}"] > 0, one[f"j{i}"] if kind == "cc" else 0) for i, (a, b, kind) in enumerate(found)]
+    made = df.sparkSession.createDataFrame(rows, "column string, column_b string, kind string, a_unique long, b_unique long, a_ratio double, b_ratio double, b_has_zero boolean, joint_cardinality long")
+    return candidates.pair_candidates(made, n_rows)
 
 
 def leakage(meta_rows: DataFrame, entropy_y: float) -> DataFrame:

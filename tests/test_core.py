@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import md5fold, numeric_columns
-from tablewright.operators import candidates, experiments, meta, metrics, models, prepare, profile, verdicts
+from tablewright.operators import candidates, experiments, meta, metrics, models, prepare, profile, transforms, verdicts
 from tablewright.operators.transforms import Step, apply, fit, fit_and_apply, fitted_table
 from tablewright.plans import collect, recommend
 from tablewright.sources import tables
@@ -235,3 +235,39 @@ def test_evaluation_and_report(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     evaluate.write_report(evaluate.report_tables(df.drop("kind"), "label", sugg, steps, got["metrics"], got["metrics"], "key"), folder)
     assert spark.read.parquet(f"{folder}/metrics").where("winner = 'tie'").count() == len(values)
+
+
+def test_ids_by_name(spark):
+    rows = [(i, i * i % 97 + 100 * (i % 9), f"2024-01-{i % 28 + 1:02d} 10:00:0{i % 9}", f"x{i}", i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, user_no long, seen_id string, entry_id string, uuid long")
+    got = {r.column: r.reason for r in profile.id_columns(df).collect()}
+    # a date column is none, whatever its name, and uuid is no name of an ID
+    assert got["entry_id"] == "name, short text" and got["user_no"] == "name" and "seen_id" not in got and "uuid" not in got
+
+
+def test_onehot_has_no_silent_cap(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"v{i:03d}", i % 2) for i in range(260)], "key long, c string, label int")
+    made, _ = transforms.fit_and_apply(df, [transforms.Step("onehot_encoding", "c")], "label", "key")
+    assert len(made.columns) >= 259
+    monkeypatch.setattr(transforms, "ONEHOT_MOST", 200)
+    with pytest.raises(ValueError, match="more than 200 values"):
+        transforms.fit(df, [transforms.Step("onehot_encoding", "c")], "label", "key")
+
+
+def test_suggestions_of_all_kinds(spark):
+    rows = [(float(i % 17), float(i * 7 % 23), "abcd"[i % 4], "wxyz"[i % 4], "pqr"[i * 5 % 3], f"2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}", "yes" if i % 8 == 0 else "no") for i in range(400)]
+    df = spark.createDataFrame(rows, "n1 double, n2 double, c1 string, c2 string, c3 string, day string, label string")
+    given = spark.createDataFrame([(c, 1.0 + i) for i, c in enumerate(df.columns[:-1])], "column string, importance double")
+    coded = df.withColumn("label", (F.col("label") == "yes").cast("int"))
+    got = recommend.suggestions(coded, "label", given, lambda found, kind: found.withColumn("predicted_delta_raw", F.length("method") / 100.0)).collect()
+    by = {(r.type, r.column, r.column_b, r.method): r for r in got}
+    pairs = {frozenset((r.column, r.column_b)) for r in got if r.type == "interaction"}
+    assert frozenset(("n1", "n2")) in pairs and frozenset(("c1", "c3")) in pairs and frozenset(("c1", "c2")) not in pairs  # c1 and c2 say the same
+    imbalance = by["imbalance", "(model parameter)", None, "class_weight_balance"]
+    assert imbalance.predicted_delta == 1.0 and imbalance.predicted_delta_raw == 0.0 and imbalance.pinned and not imbalance.auto_checked
+    date = by["date", "day", None, "date_features"]
+    assert date.predicted_delta == 0.5 and date.predicted_delta_raw == 0.0 and date.auto_checked and abs(by["date", "day", None, "date_cyclical_month"].predicted_delta - 0.489) < 1e-9
+    ordered = [r.predicted_delta for r in sorted(got, key=lambda r: r.rank)]
+    assert ordered == sorted(ordered, reverse=True) and sorted(r.rank for r in got) == list(range(1, len(got) + 1))
+    changed = recommend.suggestions(coded, "label", given, lambda found, kind: found.withColumn("predicted_delta_raw", F.lit(0.1)), overrides={"n2": "Categorical"}, include_imbalance=False)
+    assert changed.where("type = 'imbalance' OR (type = 'numerical' AND column = 'n2')").isEmpty()
