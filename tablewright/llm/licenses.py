@@ -42,13 +42,21 @@ TEMPLATES = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_MARKS = "".join(c for c in map(chr, range(128)) if re.match(SEPARATORS, c) and c not in _UPPER and c != "\n")
+
+
 def _low(text: Column) -> Column:
-    """A-Z in lower case; null as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    """A-Z in lower case, every separator but line ends as a space; null as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), _UPPER + _MARKS, _LOWER + " " * len(_MARKS))
+
+
+def _flat(low: Column) -> Column:
+    """The same without line ends, and with a space at both ends."""
+    return F.concat(F.lit(" "), F.replace(low, F.lit("\n"), F.lit(" ")), F.lit(" "))
 
 
-def _tokens(low: Column) -> Column:
-    return F.array_remove(F.split(low, SEPARATORS), "")
+def _tokens(flat: Column) -> Column:
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def _bound(value: Column, then) -> Column:
@@ -63,9 +71,9 @@ def _places(words: Column, phrase: str) -> Column:
     return _bound(words, lambda w: F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: here(w, i)))
 
 
-def _any(low: Column, parts: list[str]) -> Column:
-    """Whether the text holds one of the strings; true without looking where they are many."""
-    return reduce(lambda c, x: c | F.contains(low, F.lit(x)), parts, F.lit(False)) if len(parts) <= MAX_LOOKS else F.lit(True)
+def _any(flat: Column, words: list[str]) -> Column:
+    """Whether the text holds one of the words; true without looking where they are many."""
+    return reduce(lambda c, x: c | F.contains(flat, F.lit(f" {x} ")), words, F.lit(False)) if len(words) <= MAX_LOOKS else F.lit(True)
 
 
 @dataclass
@@ -87,8 +95,8 @@ def ordered(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     """The templates, and their vocabulary by its frequency over docs (text), rarest first. One count for each token of the vocabulary reaches the driver."""
     cut = [(label, [x for x in re.split(SEPARATORS, text.lower()) if x]) for label, text in templates]
     vocabulary = sorted({x for _, own in cut for x in own})
-    seen = docs.select(F.explode(F.filter(_tokens(_low(F.col("text"))), lambda x: x.isin(vocabulary))).alias("token"))
-    counts = {r.token: r["count"] for r in seen.groupBy("token").count().collect()}
+    seen = docs.select(F.explode(F.split(_flat(_low(F.col("text"))), " ")).alias("token"))
+    counts = {r.token: r["count"] for r in seen.where(F.col("token").isin(vocabulary)).groupBy("token").count().collect()}
     order = sorted(vocabulary, key=lambda x: (counts.get(x, 0), x))
     rank = {x: i for i, x in enumerate(order)}
     made = []
@@ -105,11 +113,11 @@ def blocks(docs: DataFrame, templates: list[Template], order: list[str], phrases
     with a prefix token and enough tokens), near (of each prefix token: token, near: the words around it, at: its place there).
     """
     first, least, reach = sorted({x for t in templates for x in t.prefix}), min(t.need for t in templates), max(t.span for t in templates)
-    low = F.col("__low")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _low(F.col("text")).alias("__low"))
+    low, flat = F.col("__low"), F.col("__flat")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _low(F.col("text")).alias("__low")).withColumn("__flat", _flat(low))
     ends, none = sorted({p.split()[-1] for p in phrases}), F.array().cast("array<int>")
-    found = [F.when(_any(low, ends), _places(_tokens(low), p)).otherwise(none).alias(f"__{i}") for i, p in enumerate(phrases)]
-    lines = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("line"), F.array_distinct(F.filter(F.split(x, SEPARATORS), lambda t: t.isin(order))).alias("tokens")))
+    found = [F.when(_any(flat, ends), _places(_tokens(flat), p)).otherwise(none).alias(f"__{i}") for i, p in enumerate(phrases)]
+    lines = F.transform(F.split(low, "\n"), lambda x, i: F.struct(i.alias("line"), F.array_distinct(F.filter(F.split(x, " "), lambda t: t.isin(order))).alias("tokens")))
     lines = F.filter(lines, lambda x: (F.size(x.tokens) >= least) & F.exists(x.tokens, lambda t: t.isin(first)))
 
     def around(w: Column) -> Column:
@@ -117,8 +125,8 @@ def blocks(docs: DataFrame, templates: list[Template], order: list[str], phrases
         places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.get(w, i).isin(first))
         return F.transform(places, lambda i: F.struct(F.get(w, i).alias("token"), F.slice(w, begin(i) + 1, F.lit(2 * reach - 1)).alias("near"), (i - begin(i)).alias("at")))
 
-    some = _any(low, first)
-    own = own.select("row", "doc_id", F.regexp_count("__low", F.lit("[^" + SEPARATORS[1:])).cast("long").alias("n_words"), *found, F.when(some, lines).alias("lines"), F.when(some, _bound(_tokens(low), around)).alias("near"))
+    some = _any(flat, first)
+    own = own.select("row", "doc_id", F.regexp_count("__flat", F.lit("[^ ]+")).cast("long").alias("n_words"), *found, F.when(some, lines).alias("lines"), F.when(some, _bound(_tokens(flat), around)).alias("near"))
     places = F.concat(*(F.col(f"__{i}") for i in range(len(phrases))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"__{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
     return own.select(
