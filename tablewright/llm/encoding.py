@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -14,8 +13,8 @@ import regex
 
 from .common import release
 
-#: Words that a task keeps at most (about 25 MB).
-KEPT_WORDS = 100_000
+#: Words that one Python worker keeps at most, over all its tasks (about 35 MB).
+KEPT_WORDS = 150_000
 #: Bytes of text that a task encodes at a time; a longer text stands alone.
 STEP_BYTES = 8 << 20
 # How word_bpe_49k cuts a text into words, as its file states.
@@ -147,16 +146,6 @@ class Encoder:
 
 
 @lru_cache(1)
-def _loaded(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One for each Python worker, which serves many tasks."""
     return Encoder(path)
-
-
-@contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
-    """The worker's encoder; the words it has kept go with the task."""
-    try:
-        yield (own := _loaded(path))
-    finally:
-        own.words.clear()
-        release()

@@ -19,9 +19,9 @@ def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def work(batches):
-        with encoder(path) as enc:
-            for b in steps(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(enc.batch(b.column("text"))[1]))], ["length"])
+        enc = encoder(path)
+        for b in steps(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(enc.batch(b.column("text"))[1]))], ["length"])
 
     return for_python(docs).select("text").mapInArrow(work, "length long")
 
