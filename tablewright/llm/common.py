@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +73,9 @@ def per_text(kind: T.DataType, start: Callable[[], Callable[[pa.Array], pa.Array
         for texts in batches:
             yield work(texts)
             release()
+        work = None
+        gc.collect()  # what a task has unpickled and kept can hang together in cycles
+        release()
 
     return each
 
