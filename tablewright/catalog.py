@@ -822,7 +822,7 @@ def baseline_importances(spark, d):
 @query()
 def experiment_results(spark, d):
     df = _table(spark, d, "orders").selectExpr("o_orderkey AS key", "o_totalprice AS total", "o_orderpriority AS priority", "CASE WHEN o_totalprice + 50000 * (o_custkey % 3) > 250000 THEN 1 ELSE 0 END AS label")
-    return collect.results(collect.collect(df, "label", "key", "orders", ("categorical",), 2, 1, {"maxIter": 2, "maxDepth": 3}, max_cells=1))
+    return collect.results(collect.collect(df, "label", "key", "orders", folds=3, repeats=1, params={"maxIter": 2, "maxDepth": 3}))
 
 
 @query()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import category, category_columns, corr, number, numeric_columns, present, quoted
+from ..functions.quantiles import quantiles
 from .profile import _one_row_each
 
 ONE_STEP, TWO_STEPS = -10.0, -20.0
@@ -61,8 +62,8 @@ def row_meta(df: DataFrame, label: str | None = None) -> DataFrame:
     k = len(numeric)
     if not k:
         return df.agg(F.lit(0).alias("n_numeric_cols_used"))
-    medians = df.agg(*(F.percentile(number(c), 0.5).alias(f"__{i}") for i, c in enumerate(numeric))).first()
-    filled = [F.coalesce(number(c), F.lit(float(m or 0.0))) for c, m in zip(numeric, medians, strict=True)]
+    medians = quantiles(df, {c: (0.5,) for c in numeric})
+    filled = [F.coalesce(number(c), F.lit(float(medians[c][0]) if medians[c] else 0.0)) for c in numeric]
     bins = min(10, k)
     x = F.array(*filled)
     base = df.select(x.alias("x"), *(number(c).alias(f"n{i}") for i, c in enumerate(numeric)), sum((present(df, c).isNull().cast("int") for c in features), F.lit(0)).alias("gone"))
@@ -136,13 +137,13 @@ def _weighted_corr() -> Column:
 
 def binned_mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 20) -> DataFrame:
     """column, mi: mutual information, in nats, of quantile bins and the label over complete rows."""
-    edges = df.agg(*(F.percentile(number(c), F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias(f"__{i}") for i, c in enumerate(columns))).first()
+    edges = quantiles(df, {c: tuple(i / bins for i in range(1, bins)) for c in columns})
 
-    def place(c, i):
-        own = sorted(set(edges[i] or []))
+    def place(c):
+        own = sorted(set(edges[c] or []))
         return sum(((number(c) > e).cast("int") for e in own), F.lit(0))
 
-    rows = df.select(quoted(label).cast("string").alias("y"), F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.when(number(c).isNotNull(), place(c, i)).alias("v")) for i, c in enumerate(columns))))).where("v IS NOT NULL AND y IS NOT NULL")
+    rows = df.select(quoted(label).cast("string").alias("y"), F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.when(number(c).isNotNull(), place(c)).alias("v")) for c in columns)))).where("v IS NOT NULL AND y IS NOT NULL")
     return mutual_information(rows)
 
 
@@ -159,11 +160,11 @@ def numeric_column_meta(df: DataFrame, columns: list[str], label: str, with_mi:
 
     Columns of fewer than 5 values get null shape features. Normality is the Jarque-Bera p-value.
     """
-    q = df.agg(*(F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__{i}") for i, c in enumerate(columns))).first()
+    q = quantiles(df, {c: (0.25, 0.75) for c in columns})
 
     def measures(c):
         x = number(c)
-        q1, q3 = q[columns.index(c)] or (0.0, 0.0)
+        q1, q3 = q[c] or (0.0, 0.0)
         reach = 1.5 * (q3 - q1)
         n = F.greatest(F.count(x), F.lit(1))
         return (
@@ -257,14 +258,15 @@ def mic_score(df: DataFrame, a: str, b: str) -> DataFrame:
     """mic_score: min(MI in nats / entropy of b in bits, 1) over quantile bins after median fill; the units are the definition's."""
     n = df.count()
     bins = min(20, max(5, int(n**0.4)))
-    points = F.array(F.lit(0.5), *(F.lit(i / bins) for i in range(1, bins)))
-    row = df.agg(F.percentile(number(a), points), F.percentile(number(b), points)).first()
+    points = (0.5, *(i / bins for i in range(1, bins)))
+    q = quantiles(df, {a: points, b: points})
 
-    def place(c, q):
-        x = F.coalesce(number(c), F.lit(q[0]))
-        return sum(((x > e).cast("int") for e in sorted(set(q[1:]))), F.lit(0))
+    def place(c):
+        own = q[c] or [0.0]
+        x = F.coalesce(number(c), F.lit(own[0]))
+        return sum(((x > e).cast("int") for e in sorted(set(own[1:]))), F.lit(0))
 
-    rows = df.select(F.lit("p").alias("column"), place(a, row[0]).alias("v"), place(b, row[1]).alias("y"))
+    rows = df.select(F.lit("p").alias("column"), place(a).alias("v"), place(b).alias("y"))
     h = _entropy_of(rows.select("column", "y"), "y")
     return mutual_information(rows).join(h, "column").select(F.when(F.col("entropy") > 0, F.least(F.col("mi") / F.col("entropy"), F.lit(1.0))).otherwise(F.lit(0.0)).alias("mic_score"))
 

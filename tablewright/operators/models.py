@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import category, category_columns, md5fold, number, numeric_columns, quoted
+from ..functions.quantiles import quantiles
 from . import metrics, prepare
 
 # Presets: library and collector.
@@ -39,8 +40,7 @@ def fit_encoders(train: DataFrame, label: str, extra: DataFrame | None = None, s
     cats = [c for c in category_columns(train) if c != label and c not in skip]
     enc = Encoders([c for c in train.columns if c in numeric or c in cats], cats)
     if numeric:
-        row = train.agg(*(F.percentile(number(c), 0.5).alias(f"__{i}") for i, c in enumerate(numeric))).first()
-        enc.medians = {c: float(m or 0.0) for c, m in zip(numeric, row, strict=True)}
+        enc.medians = {c: float(m[0]) if m else 0.0 for c, m in quantiles(train, {c: (0.5,) for c in numeric}).items()}
     for c in cats:
         values = train.select(category(c).alias("v"))
         values = (values.unionByName(extra.select(category(c).alias("v"))) if extra is not None and c in extra.columns else values).distinct()

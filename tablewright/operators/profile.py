@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import category_columns, corr, number, numeric_columns, present, quoted
+from ..functions.quantiles import quantiles
 
 # Names that mark an ID, weekday names, date formats and thresholds.
 ID_NAMES = ("id", "idx", "index", "key", "no", "num", "number", "row", "#")
@@ -237,13 +238,13 @@ def advisories(df: DataFrame, label: str) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, mean, std, lo, hi, skew, outliers: share outside 1.5 interquartile ranges. Quartiles in one pass, the rest in a second."""
+    """column, mean, std, lo, hi, skew, outliers: share outside 1.5 interquartile ranges. Quartiles are found first, the rest in one pass."""
     columns = columns or numeric_columns(df, include_bool=False)
-    q = df.agg(*(F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__{i}") for i, c in enumerate(columns))).first()
+    q = quantiles(df, {c: (0.25, 0.75) for c in columns})
 
     def measures(c):
         x = number(c)
-        q1, q3 = q[columns.index(c)] or (None, None)
+        q1, q3 = q[c] or (None, None)
         reach = 1.5 * ((q3 or 0.0) - (q1 or 0.0))
         out = F.count_if((x < (q1 or 0.0) - reach) | (x > (q3 or 0.0) + reach)) / F.greatest(F.count(x), F.lit(1))
         return F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.skewness(x).alias("skew"), out.alias("outliers")

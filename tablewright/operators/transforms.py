@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import category, hinted, md5fold, number, numeric_columns, quoted, without_accents
+from ..functions.quantiles import quantiles
 from .profile import WEEKDAYS, parsed_date
 
 # Fixed values of the methods.
@@ -50,17 +51,17 @@ def _roles(df: DataFrame, s: Step) -> tuple[str, str]:
     return (s.column, s.column_b) if s.column in numeric_columns(df) else (s.column_b, s.column)
 
 
-def _needs(df: DataFrame, s: Step) -> list[tuple[str, Column]]:
-    """Names and aggregates of the scalars that a step needs."""
+def _needs(df: DataFrame, s: Step) -> list[tuple[str, Column | tuple[float, ...]]]:
+    """Names of the scalars that a step needs, and their aggregates or the quantiles of the column behind the colon."""
     def median(c):
-        return (f"median:{c}", F.percentile(number(c), 0.5))
+        return (f"median:{c}", (0.5,))
 
     if s.method in ("log_transform", "sqrt_transform"):
         return [median(s.column), (f"min:{s.column}", F.min(number(s.column)))]
     if s.method in ("polynomial_square", "polynomial_cube", "reciprocal_transform", "impute_median"):
         return [median(s.column)]
     if s.method == "quantile_binning":
-        return [(f"edges:{s.column}", F.percentile(number(s.column), F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))))]
+        return [(f"edges:{s.column}", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0))]
     if s.method.endswith("_interaction"):
         return [median(s.column), median(s.column_b)]
     if s.method in ("group_mean", "group_std"):
@@ -87,8 +88,18 @@ def fit(train: DataFrame, steps: list[Step], label: str = "label", key: str = "k
         if s.method == "row_missing_stats":
             s.params["columns"] = [c for c in train.columns if c not in (label, key)]
     wanted = dict(x for s in steps for x in _needs(train, s))
-    row = train.agg(*(a.alias(f"__{i}") for i, a in enumerate(wanted.values()))).first() if wanted else []
-    found = dict(zip(wanted, row, strict=True))
+    plain = {name: a for name, a in wanted.items() if not isinstance(a, tuple)}
+    row = train.agg(*(a.alias(f"__{i}") for i, a in enumerate(plain.values()))).first() if plain else []
+    found = dict(zip(plain, row, strict=True))
+    points: dict[str, tuple[float, ...]] = {}
+    for name in wanted.keys() - plain.keys():
+        c = name.split(":", 1)[1]
+        points[c] = tuple(sorted({*points.get(c, ()), *wanted[name]}))
+    made = quantiles(train, points)
+    for name in wanted.keys() - plain.keys():
+        c = name.split(":", 1)[1]
+        of = dict(zip(points[c], made[c] or [None] * len(points[c]), strict=True))
+        found[name] = of[0.5] if name.startswith("median:") else [of[p] for p in wanted[name] if of[p] is not None]
     for s in steps:
         _fit_one(train, s, found, label, key)
     return steps

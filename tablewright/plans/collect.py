@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import category_columns, number, numeric_columns
-from ..operators import candidates, experiments, meta, metrics, models, prepare, profile
+from ..operators import candidates, experiments, meta, metrics, models, prepare
 from ..operators.transforms import Step, apply, fit
+from .recommend import candidates_of_pairs
 
 RESULT = "dataset_name string, family string, column string, column_b string, method string, repeat int, fold int, baseline double, changed double"
 
@@ -61,29 +64,18 @@ def cells(df: DataFrame, label: str, key: str, families: tuple[str, ...] = model
         if cats:
             more = meta.categorical_column_meta(own, cats, label).select("column", F.lit(False).alias("numeric"), F.col("mutual_info_score").alias("importance"))
             imp = more if imp is None else imp.unionByName(more)
-        pairs = candidates.pair_pool(imp)
-        stats = profile.base_stats(own)
-        zeros = {r["column"]: r.z for r in profile._one_row_each(own, numeric, lambda c: (F.max(F.coalesce(number(c) == 0, F.lit(True))).alias("z"),)).collect()} if numeric else {}
-        facts = {r.column: r for r in stats.collect()}
-        n = own.count()
-        rows = []
-        for p in pairs.collect():  # CAPS pairs at most
-            a, b = facts[p.a], facts[p.b]
-            joint = own.select(p.a, p.b).distinct().count() if p.kind == "cc" else 0
-            rows.append((p.a, p.b, p.kind, a.n_unique, b.n_unique, a.unique_ratio, b.unique_ratio, bool(zeros.get(p.b, False)), joint))
-        if rows:
-            table = df.sparkSession.createDataFrame(rows, "a string, b string, kind string, a_unique long, b_unique long, a_ratio double, b_ratio double, b_has_zero boolean, joint_cardinality long")
-            found += [("interaction", Step(r.method, r.a, r.b)) for r in candidates.pair_candidates(table, n).select("a", "b", "method").collect()]
+        if (pairs := candidates_of_pairs(own, numeric, cats, imp)) is not None:
+            found += [("interaction", Step(r.method, r.column, r.column_b)) for r in pairs.select("column", "column_b", "method").collect()]
     if "row" in families and numeric:
         facts = meta.row_meta(own, label).select("n_numeric_cols_used", "pct_cells_zero", "pct_rows_with_any_missing").toDF("n_numeric", "pct_zero", "pct_missing")
         found += [("row", Step(r.method)) for r in candidates.row_family_candidates(facts).select("method").collect()]
     return sorted(found, key=lambda x: (x[0], x[1].column, x[1].column_b, x[1].method))
 
 
-def collect(df: DataFrame, label: str, key: str, dataset: str, families: tuple[str, ...] = models.FAMILIES, folds: int = 5, repeats: int = 3, params: dict | None = None, done: DataFrame | None = None, seconds: float = 7200, max_cells: int | None = None) -> DataFrame:
+def collect(df: DataFrame, label: str, key: str, dataset: str, families: tuple[str, ...] = models.FAMILIES, folds: int = 5, repeats: int = 3, params: dict | None = None, done: DataFrame | None = None, seconds: float = 7200, at_once: int = 4) -> DataFrame:
     """Fold rows (RESULT) of every candidate of a dataset. Cells with rows in `done` are skipped, and none is begun after `seconds`.
 
-    A dataset whose baseline is at the ceiling gives no rows. The driver starts jobs; tables stay in the executors.
+    `at_once` cells run side by side, as a fold's jobs alone don't fill a cluster. A dataset whose baseline is at the ceiling gives no rows. The driver starts jobs; tables stay in the executors.
     """
     spark, began = df.sparkSession, time.time()
     base = {(r.repeat, r.fold): r.score for r in evaluate_model(df, label, key, folds, repeats, params).collect()}
@@ -91,12 +83,17 @@ def collect(df: DataFrame, label: str, key: str, dataset: str, families: tuple[s
     if not known or sum(known) / len(known) >= experiments.SKIP_FROM:
         return spark.createDataFrame([], RESULT)
     had = {(r.column, r.column_b, r.method) for r in done.select("column", "column_b", "method").distinct().collect()} if done is not None else set()
-    rows = []
-    for k, (family, s) in enumerate(c for c in cells(df, label, key, families) if (c[1].column, c[1].column_b, c[1].method) not in had):
-        if time.time() - began > seconds or (max_cells is not None and k >= max_cells):
-            break
+
+    def one(cell: tuple[str, Step]) -> list[tuple]:
+        family, s = cell
+        if time.time() - began > seconds:
+            return []
         got = evaluate_with_intervention(df, label, key, [s], folds, repeats, params).collect()
-        rows += [(dataset, family, s.column, s.column_b, s.method, r.repeat, r.fold, base[(r.repeat, r.fold)], r.score) for r in got]
+        return [(dataset, family, s.column, s.column_b, s.method, r.repeat, r.fold, base[(r.repeat, r.fold)], r.score) for r in got]
+
+    todo = [c for c in cells(df, label, key, families) if (c[1].column, c[1].column_b, c[1].method) not in had]
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [row for made in pool.map(inheritable_thread_target(spark)(one), todo) for row in made]
     return spark.createDataFrame(rows, RESULT)
 
 

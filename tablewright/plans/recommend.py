@@ -40,7 +40,7 @@ def suggestions(
         parts.append(rows(candidates.numerical_candidates(found), "numerical"))
     if cats:
         parts.append(rows(candidates.categorical_candidates(meta.categorical_column_meta(df, cats, label).join(ranks, "column", "left")), "categorical"))
-    if (pairs := _pairs(df, types, numeric, cats, importances)) is not None:
+    if (pairs := candidates_of_pairs(df, numeric, cats, importances)) is not None:
         parts.append(rows(pairs, "interaction"))
     facts = meta.row_meta(df, label).select(F.lit(len(numeric)).alias("n_numeric"), F.col("pct_cells_zero").alias("pct_zero"), F.col("pct_rows_with_any_missing").alias("pct_missing"), F.lit("").alias("column"))
     parts.append(candidates.pinned_row_families(rows(candidates.row_family_candidates(facts), "row")))
@@ -53,10 +53,10 @@ def suggestions(
     return candidates.selected(every, k)
 
 
-def _pairs(df: DataFrame, types: DataFrame, numeric: list[str], cats: list[str], importances: DataFrame) -> DataFrame | None:
+def candidates_of_pairs(df: DataFrame, numeric: list[str], cats: list[str], importances: DataFrame) -> DataFrame | None:
     """column, column_b, method and the gates' values of the pairs of the most important columns, without near bijections; None without pairs."""
-    own = types.where(F.col("column").isin(*numeric, *cats)).select("column", F.col("column").isin(*numeric).alias("numeric"))
-    pool = candidates.pair_pool(own.join(F.broadcast(importances.select("column", "importance")), "column"))
+    own = importances.where(F.col("column").isin(*numeric, *cats)).select("column", F.col("column").isin(*numeric).alias("numeric"), "importance")
+    pool = candidates.pair_pool(own)
     found = [tuple(r) for r in pool.select("a", "b", "kind").collect()]  # capped by kind
     found = [(a, b, kind) for a, b, kind in found if kind != "cc" or not candidates.near_bijection(df, a, b).first().near_bijection]
     if not found:

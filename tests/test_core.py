@@ -3,6 +3,8 @@
 import math
 import tempfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,9 +212,9 @@ def test_models_and_experiments(spark):
     assert math.isclose(sum(imp.values()), 100.0) and imp["x"] > 10
     assert models.tree_guided_pairs(df.drop("key"), "label", tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/m").first().n > 0
     df = df.withColumn("label", (F.col("x") + F.col("key") * 31 % 97 > 100).cast("int"))
-    folds = collect.collect(df, "label", "key", "d", ("row", "numerical"), 2, 1, {"maxIter": 2, "maxDepth": 1}, max_cells=2)
-    assert folds.count() == 4
-    assert collect.collect(df, "label", "key", "d", ("numerical",), 2, 1, {"maxIter": 2, "maxDepth": 1}, done=folds, max_cells=0).count() == 0
+    folds = collect.collect(df, "label", "key", "d", ("numerical",), 2, 1, {"maxIter": 2, "maxDepth": 1})
+    assert folds.count() == 2 * len(collect.cells(df, "label", "key", ("numerical",))) > 0
+    assert collect.collect(df, "label", "key", "d", ("numerical",), 2, 1, {"maxIter": 2, "maxDepth": 1}, done=folds).count() == 0
     enc = models.fit_encoders(df, "label", skip=("key",))
     new = spark.createDataFrame([(1, "zzz")], "key long, c string")
     assert models.matrix(new, enc, ["key"]).first().features.toArray().tolist() == [0.0, 0.0]
@@ -271,3 +273,17 @@ def test_suggestions_of_all_kinds(spark):
     assert ordered == sorted(ordered, reverse=True) and sorted(r.rank for r in got) == list(range(1, len(got) + 1))
     changed = recommend.suggestions(coded, "label", given, lambda found, kind: found.withColumn("predicted_delta_raw", F.lit(0.1)), overrides={"n2": "Categorical"}, include_imbalance=False)
     assert changed.where("type = 'imbalance' OR (type = 'numerical' AND column = 'n2')").isEmpty()
+
+
+def test_quantiles(spark, monkeypatch):
+    from tablewright.functions import quantiles as module
+
+    monkeypatch.setattr(module, "BRACKET", 10)
+    rng, points = np.random.default_rng(3), (0.0, 0.02, 0.25, 0.5, 0.77, 1.0)
+    even, heavy, few = rng.normal(size=30_000), np.exp(6 * rng.normal(size=30_000)), rng.integers(0, 3, 30_000).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"even": even, "heavy": heavy, "few": few, "none": np.nan})).withColumn("some", F.when(F.col("few") > 0, F.col("even")))
+    got = module.quantiles(df, {c: points for c in ("even", "heavy", "few", "none", "some")})
+    assert got["none"] is None
+    for c, values in (("even", even), ("heavy", heavy), ("few", few), ("some", even[few > 0])):
+        assert np.allclose(got[c], np.quantile(values, points), rtol=1e-12)
+    assert module.quantiles(df.limit(0), {"even": (0.5,)}) == {"even": None} and module.quantiles(df, {}) == {}
