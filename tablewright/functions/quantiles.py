@@ -31,13 +31,15 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[float, ...]]) -> dict[str,
     size = [counts[c] for c, _ in live]
     todo = [k for k in range(len(live)) if size[k] > ACCURACY]
     while todo:
-        inside = {k: F.when(number(live[k][0]).between(lo[k], hi[k]), number(live[k][0])) for k in todo}
-        ends = []
+        alike: dict[tuple, list[int]] = {}  # targets of one column with the same bracket share a sketch
         for k in todo:
-            place = (live[k][1] - below[k]) / size[k]
-            ends += [F.percentile_approx(inside[k], [max(0.0, place - 3 / ACCURACY), min(1.0, place + 3 / ACCURACY)], ACCURACY).alias(f"e{k}")]
-        found = df.agg(*ends).first()
-        reach = {k: (found[f"e{k}"][0], found[f"e{k}"][1]) for k in todo}
+            alike.setdefault((live[k][0], lo[k], hi[k]), []).append(k)
+        ends = []
+        for (c, least, most), ks in alike.items():
+            places = [(live[k][1] - below[k]) / size[k] for k in ks]
+            inside = F.when(number(c).between(least, most), number(c))
+            ends.append(F.percentile_approx(inside, [min(1.0, max(0.0, p + gap)) for p in places for gap in (-3 / ACCURACY, 3 / ACCURACY)], ACCURACY).alias(f"e{len(ends)}"))
+        reach = {k: (e[2 * j], e[2 * j + 1]) for ks, e in zip(alike.values(), df.agg(*ends).first(), strict=True) for j, k in enumerate(ks)}
         row = df.agg(*(x for k in todo for x in (F.count_if(number(live[k][0]) < reach[k][0]).alias(f"b{k}"), F.count_if(number(live[k][0]).between(*reach[k])).alias(f"s{k}")))).first()
         again = []
         for k in todo:
