@@ -19,8 +19,11 @@ COLUMNS = {
     "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_substrings": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
-WHOLE = {"op2_licenses", "op4_language", "op6_quality", "op8_quality_rules", "op9_toxicity", "op10_simhash"}
+WHOLE = {"op2_licenses", "op4_language", "op6_quality", "op8_quality_rules", "op9_toxicity", "op10_simhash", "op12_substrings"}
 #: folds, remainder that is held out, least score of a prediction of 1
 FOLDS = {"op4_language": (3, 1, None), "op6_quality": (3, 1, 0.5), "op9_toxicity": (4, 2, 0.3)}
 
