@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer: each string between white space is encoded once a batch, each word once a worker."""
+"""Token ids of whole texts by a public tokenizer: each string between white space is encoded once a batch, each word once a task."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import regex
 
 from .common import release
 
-#: Words that one Python worker keeps at most, over all its tasks (about 35 MB).
+#: Words that a task keeps at most (about 50 MB).
 KEPT_WORDS = 150_000
 #: Bytes of text that a task encodes at a time; a longer text stands alone.
 STEP_BYTES = 8 << 20
@@ -139,6 +139,11 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.words.__getitem__, WORD.findall(chunk.lower())))
 
+    def forget(self) -> None:
+        """Gives the kept words back, for the end of a task: a worker that waits holds the tokenizer only."""
+        self.words.clear()
+        release()
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other (16 bits), and where each text's begin (one more than texts). Null: no ids."""
         texts = pc.fill_null(texts, "")

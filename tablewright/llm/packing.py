@@ -37,6 +37,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), pa.array(own, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
             at = int(ends[-1])
+        enc.forget()
 
     return for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _ENCODED)
 

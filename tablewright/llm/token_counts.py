@@ -22,6 +22,7 @@ def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         enc = encoder(path)
         for b in steps(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(enc.batch(b.column("text"))[1]))], ["length"])
+        enc.forget()
 
     return for_python(docs).select("text").mapInArrow(work, "length long")
 
