@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import dates
 from .functions.columns import md5fold, number, quoted
 from .operators import candidates, experiments, meta, metrics, models, prepare, profile, verdicts
 from .operators.transforms import Step, apply, fit, fit_and_apply
@@ -186,6 +189,29 @@ def date_columns(spark, d):
     return _r(profile.date_stats(df))
 
 
+#: name, Spark's pattern, and to what DuckDB's original is cut. The last ones mix shapes by row.
+_SHAPES = [
+    ("micros", "yyyy-MM-dd HH:mm:ss.SSSSSS", "microsecond"), ("iso", "yyyy-MM-dd'T'HH:mm:ss'Z'", "second"), ("zone", "yyyy-MM-dd HH:mm:ss'+02:00'", "second"), ("minutes", "yyyy-MM-dd HH:mm", "minute"), ("slashes", "yyyy/MM/dd", "day"), ("one_digit", "M/d/yyyy", "day"), ("dots", "dd.MM.yyyy", "day"),
+    ("short", "d/M/yy HH:mm", "minute"), ("name", "MMM d, yyyy", "day"), ("full_name", "d MMMM yyyy h:mm a", "minute"), ("mail", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "second"), ("digits", "yyyyMMdd", "day"),
+]
+_DAY_FIRST = ("dots", "short")
+
+
+@query(
+    "WITH src AS (SELECT event_id, ts FROM events), s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS shape, date_trunc('{u}', ts) AS t FROM src" for n, _, u in _SHAPES)
+    + " UNION ALL SELECT 'mixed', CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('minute', ts) ELSE NULL END FROM src) SELECT shape, count(t) AS parsed, min(epoch_us(t)) AS first, max(epoch_us(t)) AS last, sum(epoch_us(t) // 1000000)::bigint AS total, shape IN ('dots', 'short') AS day_first FROM s GROUP BY shape"
+)
+def parsed_dates(spark, d):
+    """Dates of the events as text of many shapes, read back; day and month are told apart once for each column."""
+    ts = _table(spark, d, "events")
+    mixed = F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 4 == 1, F.date_format("ts", "MMM d, yyyy")).when(F.col("event_id") % 4 == 2, F.date_format("ts", "M/d/yyyy h:mm a")).otherwise(F.lit("no date"))
+    df = ts.select(*(F.date_format("ts", f).alias(n) for n, f, _ in _SHAPES), mixed.alias("mixed"))
+    first = dates.day_first(df, df.columns)
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("shape"), dates.parsed_date(F.col(c), first[c]).alias("t"), F.lit(first[c]).alias("day_first")) for c in df.columns))))
+    us = F.unix_micros("t")
+    return long.groupBy("shape", "day_first").agg(F.count("t").alias("parsed"), F.min(us).alias("first"), F.max(us).alias("last"), F.sum(F.floor(us / 1_000_000)).alias("total"))
+
+
 @query("""WITH src AS (SELECT dayname(o_orderdate) AS day, o_orderpriority AS priority FROM orders),
     s AS (SELECT 'day' AS "column", count(day) AS n, avg((lower(day) IN ('monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'))::int) AS recognised FROM src UNION ALL SELECT 'priority', count(priority), 0.0 FROM src)
     SELECT "column", n, recognised, recognised >= 1 AS is_weekday FROM s""")
@@ -262,9 +288,19 @@ def class_balance(spark, d):
     return _r(profile.class_balance(_items(spark, d), "flag"))
 
 
-@query("""WITH r AS (SELECT count(*) AS n, (2 * count(*) - count(nullif(l_tax, 0.0)) - count(CASE WHEN l_linenumber > 3 THEN NULL ELSE l_quantity END)) / (2 * count(*)) AS m FROM lineitem) SELECT 'missing' AS category, 'medium' AS severity, 'many missing values' AS title, printf('%.4f missing', m) AS detail FROM r WHERE m > 0.2 UNION ALL SELECT 'size', 'high', 'few rows', n || ' rows' FROM r WHERE n < 500""")
+@query("""WITH l AS (SELECT count(*) AS n, (2 * count(*) - count(nullif(l_tax, 0.0)) - count(CASE WHEN l_linenumber > 3 THEN NULL ELSE l_quantity END)) / (2 * count(*)) AS m FROM lineitem),
+    t AS (SELECT 'lineitem' AS name, n, 2 AS k, m FROM l UNION ALL SELECT 'supplier', count(*), 2, 0 FROM supplier UNION ALL SELECT 'region', count(*), 60, 0 FROM region)
+    SELECT name, 'Small Dataset' AS category, 'medium' AS severity, n || ' rows' AS detail, 'colsample_bytree=0.7,min_child_samples=30.0,num_leaves=15.0,reg_alpha=0.1,reg_lambda=0.1,subsample=0.7' AS params FROM t WHERE n < 500
+    UNION ALL SELECT name, 'High Dimensionality', 'medium', k || ' features', 'colsample_bytree=0.5,min_child_samples=20.0,reg_alpha=0.5' FROM t WHERE k > 0.5 * n AND k > 50
+    UNION ALL SELECT name, 'High Missingness', 'low', printf('%.4f missing', m), '' FROM t WHERE m > 0.2""")
 def dataset_advisories(spark, d):
-    return profile.advisories(_table(spark, d, "lineitem").selectExpr("l_returnflag AS flag", "nullif(l_tax, 0.0) AS tax", "CASE WHEN l_linenumber > 3 THEN NULL ELSE l_quantity END AS gap"), "flag")
+    own = {
+        "lineitem": _table(spark, d, "lineitem").selectExpr("l_returnflag AS flag", "nullif(l_tax, 0.0) AS tax", "CASE WHEN l_linenumber > 3 THEN NULL ELSE l_quantity END AS gap"),
+        "supplier": _table(spark, d, "supplier").selectExpr("s_nationkey AS flag", "s_suppkey", "s_acctbal"), "region": _table(spark, d, "region").selectExpr("r_name AS flag", *(f"r_regionkey + {i} AS c{i}" for i in range(60))),
+    }
+    params = F.concat_ws(",", F.transform(F.array_sort(F.map_entries("suggested_params")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    parts = [profile.advisories(df, "flag").select(F.lit(name).alias("name"), "category", "severity", "detail", params.alias("params")) for name, df in own.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query()
@@ -606,7 +642,7 @@ def suggestions_by_type(spark, d):
     return _r(candidates.summary_by_type(candidates.normalised(_suggested(spark, d))).drop("best_column", "best_method"))
 
 
-@query(f"""{_SUGG}, p AS (SELECT z, CASE {' '.join(f"WHEN method IN ({', '.join(repr(m) for m in ms)}) THEN '{n}'" for n, ms in candidates.PROBLEMS.items())} ELSE 'other' END AS problem FROM z) SELECT problem, count(*) AS n, round(max(z), 6) AS best_delta FROM p GROUP BY 1""")
+@query(f"""{_SUGG}, p AS (SELECT z, CASE WHEN method IN ('impute_median', 'missing_indicator') THEN 'missing_values' WHEN method IN ('log_transform', 'sqrt_transform', 'reciprocal_transform', 'quantile_binning') THEN 'skewed' WHEN method LIKE 'polynomial%' THEN 'nonlinear' END AS problem FROM z) SELECT problem, count(*) AS n, round(max(z), 6) AS best_delta FROM p GROUP BY 1""")
 def suggestions_by_problem(spark, d):
     return _r(candidates.grouped_by_problem(candidates.normalised(_suggested(spark, d))).drop("best_method"))
 
@@ -633,10 +669,13 @@ def categorical_candidates(spark, d):
     return candidates.categorical_candidates(meta.categorical_column_meta(df, ["priority", "bucket"], "label")).select("column", "method")
 
 
-@query("""WITH p AS (SELECT l_returnflag AS x, l_returnflag || '!' AS y FROM lineitem) SELECT 'x' AS a, 'y' AS b, count(DISTINCT x) >= 3 AND count(DISTINCT x) = count(DISTINCT y) AS near_bijection FROM p UNION ALL SELECT 'x', 'z', false""")
+_BI = [("flag", "copy"), ("flag", "status"), ("part", "price"), ("part", "other"), ("part", "supplier"), ("other", "price")]
+_BI_COLUMNS = ["l_returnflag AS flag", "concat(l_returnflag, '!') AS copy", "l_linestatus AS status", "l_partkey AS part", "3 * l_partkey + 1 AS price", "CASE WHEN l_partkey % 50 = 0 AND l_linenumber > 3 THEN -l_partkey ELSE 7 * l_partkey END AS other", "l_suppkey AS supplier"]
+
+
+@query(f"WITH src AS (SELECT {', '.join(_BI_COLUMNS)} FROM lineitem), r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, (SELECT count(DISTINCT {a}) FROM src) AS ua, (SELECT count(DISTINCT {b}) FROM src) AS ub, (SELECT avg((k = 1)::int) FROM (SELECT count(DISTINCT {b}) AS k FROM src GROUP BY {a}) AS x) AS sa, (SELECT avg((k = 1)::int) FROM (SELECT count(DISTINCT {a}) AS k FROM src GROUP BY {b}) AS x) AS sb" for a, b in _BI) + ") SELECT a, b, least(ua, ub) >= 3 AND least(ua, ub) / greatest(ua, ub) >= 0.8 AND sa >= 0.95 AND sb >= 0.95 AS near_bijection FROM r")
 def near_bijections(spark, d):
-    df = _table(spark, d, "lineitem").selectExpr("l_returnflag AS x", "concat(l_returnflag, '!') AS y", "l_linestatus AS z")
-    return candidates.near_bijection(df, "x", "y").unionByName(candidates.near_bijection(df, "x", "z"))
+    return candidates.near_bijections(_table(spark, d, "lineitem").selectExpr(*_BI_COLUMNS), _BI)
 
 
 # --- experiments: folds of lineitem by supplier stand for datasets ---
@@ -753,10 +792,52 @@ def transform_verdicts(spark, d):
     return _r(verdicts.transform_verdicts(_made(spark, d), e, b, 10))
 
 
-@query(f"""{_VERD} SELECT transform, "column", round(es.share, 6) AS share FROM made JOIN es USING ("column") WHERE transform IN (SELECT transform FROM w WHERE verdict = 'good') AND es.share < 1.25""")
+_KIND = "CASE WHEN p_brand LIKE 'Brand#1%' THEN 'date_features' WHEN p_brand LIKE 'Brand#2%' THEN 'row_numeric_stats' ELSE 'text_stats' END"
+
+
+@query(f"""WITH {_IMP}, made AS (SELECT DISTINCT {_KIND} AS method, p_brand AS "column" FROM part), g AS (SELECT method FROM made JOIN es USING ("column") GROUP BY 1 HAVING sum(share) >= 12.5)
+    SELECT method AS transform, "column", round(share, 6) AS share FROM made JOIN es USING ("column") WHERE method IN (SELECT method FROM g) AND method IN ('date_features', 'row_numeric_stats') AND share < 12.5""")
 def bad_parts(spark, d):
     e, b = _imps(spark, d)
-    return _r(verdicts.bad_parts(_made(spark, d), e, verdicts.transform_verdicts(_made(spark, d), e, b, 10), 10))
+    made = _table(spark, d, "part").select(F.expr(_KIND).alias("transform"), F.col("p_brand").alias("column")).distinct()
+    return _r(verdicts.bad_parts(made, e, verdicts.transform_verdicts(made, e, b, 4), 4))
+
+
+_SIDES = "WITH r AS (SELECT l_suppkey % 50 AS g, (l_returnflag = 'R')::int AS y, (l_extendedprice + 40000 * (l_returnflag = 'R')::int * (l_suppkey % 3) >= 60000)::int AS b, (l_extendedprice + 40000 * (l_returnflag = 'R')::int * (l_suppkey % 3) >= 30000 + 1000 * (l_suppkey % 50))::int AS e FROM lineitem), c AS (SELECT g, sum(y * b) AS tb, sum(y * e) AS te, sum(b) AS pb, sum(e) AS pe, sum(y) AS n FROM r GROUP BY g), m AS (SELECT g, tb / pb AS pb, te / pe AS pe, tb / n AS rb, te / n AS re, 2 * tb / (pb + n) AS fb, 2 * te / (pe + n) AS fe FROM c)"
+
+
+def _sides(spark, d):
+    """f1, precision and recall of two sets of predictions, by group of suppliers."""
+    score = "l_extendedprice + 40000 * CAST(l_returnflag = 'R' AS INT) * (l_suppkey % 3)"
+    rows = _table(spark, d, "lineitem").selectExpr("l_suppkey % 50 AS g", "CAST(l_returnflag = 'R' AS INT) AS y", f"CAST({score} >= 60000 AS INT) AS baseline", f"CAST({score} >= 30000 + 1000 * (l_suppkey % 50) AS INT) AS enhanced")
+    hit, said, n = (lambda k: F.sum(F.col("y") * F.col(k))), F.sum, F.sum("y")
+    parts = [x for k in ("baseline", "enhanced") for x in ((hit(k) / said(k)).alias(f"{k}_precision"), (hit(k) / n).alias(f"{k}_recall"), (2 * hit(k) / (said(k) + n)).alias(f"{k}_f1"))]
+    return rows.groupBy("g").agg(*parts)
+
+
+@query(f"""{_SIDES} SELECT g, round(fb, 6) AS baseline_f1, round(fe, 6) AS enhanced_f1,
+    CASE WHEN fb >= 0.9 AND pb >= 0.9 AND rb >= 0.9 AND fe <= fb + 0.005 THEN 'marginal' WHEN fe < fb - 0.02 THEN 'bad' WHEN re > rb + 0.15 AND pe < pb - 0.15 THEN 'marginal' WHEN fe >= fb - 0.005 THEN 'good' ELSE 'marginal' END AS verdict FROM m""")
+def imbalance_verdicts(spark, d):
+    return _r(verdicts.imbalance_verdict(_sides(spark, d)).select("g", "baseline_f1", "enhanced_f1", "verdict"))
+
+
+_TESTED = """t AS (SELECT avg(fb) AS fb, avg(fe) AS fe, avg(pb) AS pb, avg(rb) AS rb FROM m), u AS (SELECT 1 - avg(1 - fb) AS ab, 1 - avg(1 - fe) AS ae FROM m),
+    v AS (SELECT count(*) FILTER (share < 5) AS n FROM (SELECT p_brand, 100 * sum(p_retailprice) / sum(sum(p_retailprice)) OVER () AS share FROM part GROUP BY 1) AS x)"""
+
+
+@query(f"""{_SIDES}, {_TESTED} SELECT CASE WHEN n > 0 THEN 'run again without' ELSE 'all contributed' END AS rule, n || ' transforms' AS detail FROM v
+    UNION ALL SELECT CASE WHEN least(fb, pb, rb) < 0.8 THEN 'enable class weights' ELSE 'class weights not needed' END, concat_ws(', ', CASE WHEN fb < 0.8 THEN 'f1' END, CASE WHEN pb < 0.8 THEN 'precision' END, CASE WHEN rb < 0.8 THEN 'recall' END) FROM t
+    UNION ALL SELECT 'tuning', CASE WHEN (ae - ab) / greatest(1 - ab, 0.001) >= 0.2 THEN 'likely worth while' ELSE 'moderate headroom' END FROM u WHERE (ae - ab) / greatest(1 - ab, 0.001) >= 0.05
+    UNION ALL SELECT 'class weights', CASE WHEN fe - fb > 0.02 THEN 'effective' WHEN fe > fb THEN 'marginal' ELSE 'ineffective' END FROM t""")
+def model_recommendations(spark, d):
+    """The rules where class weights were offered, and that on their effect where they were applied."""
+    own = _table(spark, d, "part").groupBy(F.col("p_brand").alias("column")).agg(F.sum("p_retailprice").alias("importance"))
+    found = verdicts.transform_verdicts(own.select(F.col("column").alias("transform"), "column"), own, own, 10)
+    means = _sides(spark, d).agg(*(F.avg(f"{k}_{m}").alias(f"{k}_{m}") for k in ("baseline", "enhanced") for m in ("f1", "precision", "recall")))
+    each = [(m, F.col(f"baseline_{m}"), F.col(f"enhanced_{m}")) for m in ("f1", "precision", "recall")] + [("roc_auc", F.col("baseline_f1"), F.col("enhanced_f1"))]
+    test = means.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), b.alias("baseline"), e.alias("enhanced")) for m, b, e in each))))
+    none = own.select("column").where("importance < 0")
+    return verdicts.recommendations(found, none, test, offered=True).unionByName(verdicts.recommendations(found, none, test, applied=True).where("rule = 'class weights'"))
 
 
 @query(f"""WITH {_IMP} SELECT "column", round(share, 6) AS share FROM es WHERE share < 0.5 AND "column" IN (SELECT "column" FROM bs)""")
@@ -832,11 +913,22 @@ def tree_accuracies(spark, d):
     return spark.createDataFrame(rows, "measure string, value double")
 
 
-@query(f"WITH {SQL_ITEMS}, i AS (SELECT * FROM (VALUES ('quantity', true, 0.1), ('gap', true, 0.2), ('price', true, 0.3), ('flag', false, 0.4), ('status', false, 0.1)) AS v(c, num, imp)), f AS (SELECT count(*) AS n FROM items) SELECT least(a.c, b.c) AS x, greatest(a.c, b.c) AS y, CASE WHEN a.num AND b.num THEN 'nn' WHEN a.num OR b.num THEN 'nc' ELSE 'cc' END AS kind FROM i AS a JOIN i AS b ON a.c < b.c, f WHERE n > 0")
+_POOL = ["l_partkey AS part", "3 * l_partkey + 1 AS code", "l_suppkey AS supplier", "l_quantity AS quantity", "l_discount AS discount", "l_returnflag AS flag", "concat(l_returnflag, '!') AS copy", "l_linestatus AS status", "CAST(l_shipdate AS DATE) AS day", "concat(l_partkey, '/', l_suppkey, '/', l_extendedprice) AS line"]
+_POOL_NUM = ["part", "code", "supplier", "quantity", "discount"]
+_POOL_ALL = [x.rsplit(" ", 1)[1] for x in _POOL]
+
+
+@query(f"""WITH src AS (SELECT {', '.join(_POOL)} FROM lineitem), u AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {c in _POOL_NUM} AS num, count(DISTINCT {c}) AS u, count(*) AS n FROM src" for c in _POOL_ALL)}),
+    t AS (SELECT *, u / n AS imp, row_number() OVER (PARTITION BY num ORDER BY u DESC, c) AS k FROM u),
+    p AS (SELECT a.c AS a, b.c AS b, CASE WHEN a.num AND b.num THEN 'nn' WHEN a.num THEN 'nc' ELSE 'cc' END AS kind, a.k AS ak, b.k AS bk, greatest(a.imp, b.imp) AS top FROM t AS a JOIN t AS b ON (a.num = b.num AND a.k < b.k) OR (a.num AND NOT b.num))
+    SELECT a, b, kind, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'nc' THEN bk ELSE ak END, CASE WHEN kind = 'nc' THEN ak ELSE bk END) AS rank FROM p
+    WHERE (a, b) NOT IN (('code', 'part'), ('part', 'code'), ('flag', 'copy'), ('copy', 'flag')) AND (kind <> 'cc' OR top <= 0.5) QUALIFY rank <= CASE kind WHEN 'nn' THEN 30 WHEN 'nc' THEN 20 ELSE 10 END""")
 def pair_pools(spark, d):
-    given = spark.createDataFrame([("quantity", True, 0.1), ("gap", True, 0.2), ("price", True, 0.3), ("flag", False, 0.4), ("status", False, 0.1)], "column string, numeric boolean, importance double")
-    own = profile.base_stats(_items(spark, d)).select("column").join(F.broadcast(given), "column")
-    return candidates.pair_pool(own).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "kind")
+    """Pairs by importances that are the columns' shares of distinct values; near bijections don't count against the caps."""
+    df = _table(spark, d, "lineitem").selectExpr(*_POOL)
+    own = profile.base_stats(df).select("column", F.col("column").isin(*_POOL_NUM).alias("numeric"), F.col("unique_ratio").alias("importance"), "unique_ratio")
+    near = candidates.near_bijections(df, list(combinations(sorted(_POOL_ALL), 2))).where("near_bijection")
+    return candidates.pair_pool(own, near)
 
 
 @query("""WITH n AS (SELECT CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN 'rare' ELSE l_returnflag END AS label, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT count(*) AS k, max(n) / min(n) AS ratio, max(n) / sum(n) AS dominant FROM n) SELECT 'imbalance' AS type, '(model parameter)' AS "column", 'class_weight_balance' AS method, 1.0::double AS predicted_delta, 0.0::double AS predicted_delta_raw, true AS pinned, dominant, CASE WHEN k = 2 THEN 'binary' WHEN ratio > 15 OR dominant > 0.65 THEN 'none' ELSE 'multiclass_moderate' END AS strategy, ratio, k <> 2 AND NOT (ratio > 15 OR dominant > 0.65) AS auto_checked FROM o WHERE ratio >= 5""")

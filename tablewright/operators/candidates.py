@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import quoted
+from ..functions.columns import present
 
 # Method names by family, caps of pairs, groups by problem, limits.
 NUMERICAL = ("log_transform", "sqrt_transform", "polynomial_square", "polynomial_cube", "reciprocal_transform", "quantile_binning", "impute_median", "missing_indicator")
@@ -21,8 +21,9 @@ ROW_FAMILIES = ("row_numeric_stats", "row_zero_stats", "row_missing_stats")
 ADDITIVE = ("missing_indicator", "polynomial_square", "polynomial_cube", "reciprocal_transform")
 TOP_NUMERIC, TOP_CATEGORY, CAPS = 8, 6, {"nn": 30, "nc": 20, "cc": 10}
 PROBLEMS = {
-    "missing values": ("impute_median", "missing_indicator", "row_missing_stats"), "skew and outliers": ("log_transform", "sqrt_transform", "quantile_binning"), "curved relations": ("polynomial_square", "polynomial_cube", "reciprocal_transform"),
-    "categories": ("frequency_encoding", "target_encoding", "onehot_encoding", "hashing_encoding"), "relations of columns": (*NUM_NUM, *NUM_CAT, *CAT_CAT), "patterns in rows": ("row_numeric_stats", "row_zero_stats"),
+    "imbalance": ("class_weight_balance",), "missing_values": ("impute_median", "missing_indicator"), "skewed": ("log_transform", "sqrt_transform", "reciprocal_transform", "quantile_binning"), "nonlinear": ("polynomial_square", "polynomial_cube"),
+    "categorical": ("frequency_encoding", "target_encoding", "onehot_encoding", "hashing_encoding"), "interactions": (*NUM_NUM, *NUM_CAT, *CAT_CAT), "row_patterns": ROW_FAMILIES,
+    "date_features": ("date_features", "date_cyclical", "date_cyclical_month", "date_cyclical_dow", "date_cyclical_dom", "date_cyclical_hour", "dow_ordinal", "dow_cyclical"), "text_features": ("text_stats", "text_tfidf"),
 }
 SUGGESTION = "type string, column string, column_b string, method string, predicted_delta_raw double, pinned boolean, auto_checked boolean"
 
@@ -60,25 +61,56 @@ def categorical_candidates(meta: DataFrame) -> DataFrame:
     return _methods(meta, CATEGORICAL).where(categorical_gate())
 
 
-def pair_pool(profile: DataFrame) -> DataFrame:
-    """a, b, kind (nn, nc, cc) of a profile (column, numeric, importance): pairs of the most important columns, capped by kind."""
-    top = profile.withColumn("k", F.row_number().over(Window.partitionBy("numeric").orderBy(F.desc("importance"), "column"))).where(F.col("k") <= F.when(F.col("numeric"), TOP_NUMERIC).otherwise(TOP_CATEGORY))
-    l = top.select(F.col("column").alias("a"), F.col("numeric").alias("an"), F.col("k").alias("ak"), F.col("importance").alias("ai"))
-    r = top.select(F.col("column").alias("b"), F.col("numeric").alias("bn"), F.col("k").alias("bk"), F.col("importance").alias("bi"))
+def top_columns(profile: DataFrame) -> DataFrame:
+    """profile (column, numeric, importance ..) with k, its place by importance (then by name), of the TOP_NUMERIC and TOP_CATEGORY most important columns."""
+    order = Window.partitionBy("numeric").orderBy(F.desc("importance"), "column")
+    return profile.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("numeric"), TOP_NUMERIC).otherwise(TOP_CATEGORY))
+
+
+def pair_pool(profile: DataFrame, alike: DataFrame | None = None) -> DataFrame:
+    """a, b, kind (nn, nc, cc), rank of a profile (column, numeric, importance, and unique_ratio where known): pairs of the most important columns.
+
+    Pairs in `alike` (a, b in any order: near bijections) are left out, and so are pairs of category columns of which one
+    has a unique_ratio over 0.5; the caps by kind count what is left. Numeric pairs and pairs of category columns are walked
+    by the more important side first, mixed ones by the category column; ties of importance go by name. In a mixed pair b is the category column.
+    """
+    top = top_columns(profile if "unique_ratio" in profile.columns else profile.withColumn("unique_ratio", F.lit(0.0)))
+    l = top.select(F.col("column").alias("a"), F.col("numeric").alias("an"), F.col("k").alias("ak"), F.col("unique_ratio").alias("au"))
+    r = top.select(F.col("column").alias("b"), F.col("numeric").alias("bn"), F.col("k").alias("bk"), F.col("unique_ratio").alias("bu"))
     both = l.join(r, ((F.col("an") == F.col("bn")) & (F.col("ak") < F.col("bk"))) | (F.col("an") & ~F.col("bn")))  # 14 rows at most on each side
     kind = F.when(F.col("an") & F.col("bn"), "nn").when(F.col("an"), "nc").otherwise("cc")
-    order = Window.partitionBy("kind").orderBy(F.desc(F.col("ai") + F.col("bi")), "a", "b")
+    both = both.withColumn("kind", kind).where((F.col("kind") != "cc") | (F.greatest("au", "bu") <= 0.5))
+    if alike is not None:
+        known = alike.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        both = both.join(F.broadcast(known), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")  # pairs of top columns only
+    mixed = F.col("kind") == "nc"
+    order = Window.partitionBy("kind").orderBy(F.when(mixed, F.col("bk")).otherwise(F.col("ak")), F.when(mixed, F.col("ak")).otherwise(F.col("bk")))
     cap = reduce(lambda c, k: c.when(F.col("kind") == k, CAPS[k]), CAPS, F)
-    return both.withColumn("kind", kind).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("a", "b", "kind", "rank")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("a", "b", "kind", "rank")
+
+
+def near_bijections(df: DataFrame, pairs: list[tuple[str, str]], share: float = 0.95) -> DataFrame:
+    """a, b, near_bijection of each pair: both columns have 3 values or more, in numbers within 80 %, over 10 rows or more, and `share` of each one's values meet one value of the other.
+
+    Distinct values are counted first, for all columns at once; what could still be a bijection is grouped by (pair, a, b) in one job for all pairs.
+    """
+    used = sorted({c for p in pairs for c in p})
+    one = df.agg(*(F.count_distinct(present(df, c)).alias(f"u{i}") for i, c in enumerate(used))).first()
+    kinds = {c: one[i] for i, c in enumerate(used)}
+    close = [(a, b) for a, b in pairs if min(kinds[a], kinds[b]) >= 3 and min(kinds[a], kinds[b]) / max(kinds[a], kinds[b]) >= 0.80]
+    every = df.sparkSession.createDataFrame([(a, b) for a, b in pairs], "a string, b string")
+    if not close:
+        return every.withColumn("near_bijection", F.lit(False))
+    values = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), present(df, a).cast("string").alias("x"), present(df, b).cast("string").alias("y")) for a, b in close))
+    cells = df.select(F.inline(values)).where("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    one = lambda k: cells.groupBy("a", "b", k).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).groupBy("a", "b").agg(F.avg((F.col("kinds") == 1).cast("double")).alias(f"s{k}"), F.sum("n").alias(f"n{k}"))
+    both = one("x").join(one("y"), ["a", "b"]).select("a", "b", ((F.col("nx") >= 10) & (F.col("sx") >= share) & (F.col("sy") >= share)).alias("ok"))
+    return every.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("ok", F.lit(False)).alias("near_bijection"))
 
 
 def near_bijection(df: DataFrame, a: str, b: str, share: float = 0.95) -> DataFrame:
-    """a, b, near_bijection: both have 3 values or more, in numbers within 80 %, over 10 rows or more, and `share` of each one's values meet one value of the other."""
-    pairs = df.where(quoted(a).isNotNull() & quoted(b).isNotNull()).groupBy(quoted(a).alias("x"), quoted(b).alias("y")).agg(F.count("*").alias("n"))
-    one = lambda k, v: pairs.groupBy(k).agg(F.count(v).alias("kinds"), F.sum("n").alias("n")).agg(F.count("*").alias(f"u{k}"), F.avg((F.col("kinds") == 1).cast("double")).alias(f"s{k}"), F.sum("n").alias(f"n{k}"))
-    both = one("x", "y").join(F.broadcast(one("y", "x")))
-    ok = (F.least("ux", "uy") >= 3) & (F.least("ux", "uy") / F.greatest("ux", "uy") >= 0.80) & (F.col("nx") >= 10) & (F.col("sx") >= share) & (F.col("sy") >= share)
-    return both.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(ok, F.lit(False)).alias("near_bijection"))
+    """near_bijections() of one pair."""
+    return near_bijections(df, [(a, b)], share)
 
 
 def pair_candidates(pairs: DataFrame, n_rows: int) -> DataFrame:

@@ -6,26 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import category_columns, corr, number, numeric_columns, present, quoted
+from ..functions.dates import parsed_date
 from ..functions.quantiles import quantiles
 
-# Names that mark an ID, weekday names, date formats and thresholds.
+# Names that mark an ID, weekday names and thresholds.
 ID_NAMES = ("id", "idx", "index", "key", "no", "num", "number", "row", "#")
 ID_PARTS = ("_id", "id_", "_idx", "idx_", "_index", "index_", "_key", "key_", "_no", "_num", "_number", "rownum", "row_num", "record_id", "sample_id", "obs_id", "entry_id")
 #: Of the collectors: names, and an ending.
 COLLECTED_IDS, COLLECTED_END = ("id", "index", "row_num", "record_id", "pk", "key"), "_id"
 WEEKDAYS = {name: i for i, names in enumerate((("monday", "mon", "mo"), ("tuesday", "tue", "tu"), ("wednesday", "wed", "we"), ("thursday", "thu", "th"), ("friday", "fri", "fr"), ("saturday", "sat", "sa"), ("sunday", "sun", "su"))) for name in names}
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "HH:mm:ss", "HH:mm")
+SMALL_PARAMS = {"num_leaves": 15.0, "min_child_samples": 30.0, "reg_alpha": 0.1, "reg_lambda": 0.1, "subsample": 0.7, "colsample_bytree": 0.7}
+WIDE_PARAMS = {"colsample_bytree": 0.5, "reg_alpha": 0.5, "min_child_samples": 20.0}
 #: Distinct counts and other aggregates of so many columns go in one pass.
 FUSED = 40
 
 
-def parsed_date(text: Column) -> Column:
-    """The first format that fits, without its zone; null where none does."""
-    plain = F.regexp_replace(F.trim(text), r"(?<=[0-9:])\s*(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$", "")
-    plain = F.when(F.regexp_like(F.trim(text), F.lit(":")), plain).otherwise(F.trim(text))
-    return F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in DATE_FORMATS))
-
-
 def _one_row_each(df: DataFrame, columns: list[str], measures) -> DataFrame:
     """measures(column): named aggregates; a row for each column, in passes of FUSED columns."""
     parts = []
@@ -225,15 +220,17 @@ def pruned(df: DataFrame, label: str, order_by: str | None = None) -> DataFrame:
 
 
 def advisories(df: DataFrame, label: str) -> DataFrame:
-    """category, severity, title, detail: too few rows, too many features, many missing values."""
+    """category, severity, title, detail, suggested_params (map of a model's parameters, or null): too few rows, too many features, many missing values."""
     columns = [c for c in df.columns if c != label]
     missing = sum((F.count_if(present(df, c).isNull()) for c in columns), F.lit(0)) / (F.greatest(F.count("*"), F.lit(1)) * max(1, len(columns)))
     row = df.agg(F.count("*").alias("n"), missing.alias("m"))
-    rules = [
-        F.when(F.col("n") < 500, F.struct(F.lit("size").alias("category"), F.lit("high").alias("severity"), F.lit("few rows").alias("title"), F.format_string("%d rows", F.col("n")).alias("detail"))),
-        F.when((F.lit(len(columns)) > 0.5 * F.col("n")) & F.lit(len(columns) > 50), F.struct(F.lit("width").alias("category"), F.lit("medium").alias("severity"), F.lit("many features").alias("title"), F.lit(f"{len(columns)} features").alias("detail"))),
-        F.when(F.col("m") > 0.20, F.struct(F.lit("missing").alias("category"), F.lit("medium").alias("severity"), F.lit("many missing values").alias("title"), F.format_string("%.4f missing", F.col("m")).alias("detail"))),
-    ]
+    advice = {  # category: when, severity, title, detail, suggested parameters
+        "Small Dataset": (F.col("n") < 500, "medium", "few rows: keep the model simple", F.format_string("%d rows", F.col("n")), SMALL_PARAMS),
+        "High Dimensionality": ((F.lit(len(columns)) > 0.5 * F.col("n")) & F.lit(len(columns) > 50), "medium", "many features for the rows: risk of overfitting", F.lit(f"{len(columns)} features"), WIDE_PARAMS),
+        "High Missingness": (F.col("m") > 0.20, "low", "many missing values: impute first", F.format_string("%.4f missing", F.col("m")), None),
+    }
+    params = lambda p: (F.create_map(*(F.lit(x) for kv in p.items() for x in kv)) if p else F.lit(None)).cast("map<string,double>")
+    rules = [F.when(when, F.struct(F.lit(c).alias("category"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), detail.alias("detail"), params(p).alias("suggested_params"))) for c, (when, severity, title, detail, p) in advice.items()]
     return row.select(F.inline(F.array_compact(F.array(*rules))))
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import category, hinted, md5fold, number, numeric_columns, quoted, without_accents
+from ..functions.dates import day_first, parsed_date
 from ..functions.quantiles import quantiles
-from .profile import WEEKDAYS, parsed_date
+from .profile import WEEKDAYS
 
 # Fixed values of the methods.
 EPS, SMOOTHING, FOLDS, BUCKETS, TFIDF_TERMS = 1e-5, 10.0, 5, 32, 20
@@ -70,13 +71,13 @@ def _needs(df: DataFrame, s: Step) -> list[tuple[str, Column | tuple[float, ...]
     if s.method == "row_numeric_stats":
         return [median(c) for c in s.params["columns"]]
     if s.method == "date_features":
-        return [(f"first:{s.column}", F.min(F.unix_micros(_moment(df, s.column))))]
+        return [(f"first:{s.column}", F.min(F.unix_micros(_moment(df, s.column, s.params["day_first"]))))]
     return []
 
 
-def _moment(df: DataFrame, c: str) -> Column:
+def _moment(df: DataFrame, c: str, day_first: bool = False) -> Column:
     kind = df.schema[c].dataType.typeName()
-    return parsed_date(quoted(c)) if kind == "string" else F.to_timestamp(quoted(c).cast("timestamp"))
+    return parsed_date(quoted(c), day_first) if kind == "string" else F.to_timestamp(quoted(c).cast("timestamp"))
 
 
 def fit(train: DataFrame, steps: list[Step], label: str = "label", key: str = "key") -> list[Step]:
@@ -87,6 +88,11 @@ def fit(train: DataFrame, steps: list[Step], label: str = "label", key: str = "k
             s.params["columns"] = [c for c in numeric_columns(train) if c not in (label, key)]
         if s.method == "row_missing_stats":
             s.params["columns"] = [c for c in train.columns if c not in (label, key)]
+    # which of day and month comes first is decided once for a column, from the training table
+    days = day_first(train, [s.column for s in steps if s.method == "date_features" and train.schema[s.column].dataType.typeName() == "string"])
+    for s in steps:
+        if s.method == "date_features":
+            s.params["day_first"] = days.get(s.column, False)
     wanted = dict(x for s in steps for x in _needs(train, s))
     plain = {name: a for name, a in wanted.items() if not isinstance(a, tuple)}
     row = train.agg(*(a.alias(f"__{i}") for i, a in enumerate(plain.values()))).first() if plain else []
@@ -296,7 +302,7 @@ def _apply_one(df: DataFrame, s: Step, fitted_on: tuple[str, str] | None) -> Dat
         gone = sum(((number(x) if x in numeric_columns(df) else quoted(x)).isNull().cast("int") for x in own), F.lit(0))
         return df.withColumns({"row_missing_count": gone, "row_missing_percentage": gone / max(1, len(own))})
     if m == "date_features":
-        made = date_parts(_moment(df, c), p["first"])
+        made = date_parts(_moment(df, c, p["day_first"]), p["first"])
         return df.withColumns({f"{c}_{k}": made[k] for k in (s.options or DATE_PARTS)}).drop(c)
     if m.startswith("date_cyclical"):
         own = [m.removeprefix("date_cyclical_")] if m != "date_cyclical" else ["month", "dow"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def suggestions(
 
     importances: (column, importance). score(candidates, family) adds predicted_delta_raw; a family's candidates are scored
     in one batch, as by the family model's transform or by any column expression. overrides: types that the user has set.
-    Pairs are those of the most important columns; near bijections are left out.
+    Pairs are those of the most important columns, without near bijections.
     """
     types = profile.column_types(df.drop(label), order_by)
     types = profile.reassigned(types, overrides) if overrides else types
@@ -56,9 +57,10 @@ def suggestions(
 def candidates_of_pairs(df: DataFrame, numeric: list[str], cats: list[str], importances: DataFrame) -> DataFrame | None:
     """column, column_b, method and the gates' values of the pairs of the most important columns, without near bijections; None without pairs."""
     own = importances.where(F.col("column").isin(*numeric, *cats)).select("column", F.col("column").isin(*numeric).alias("numeric"), "importance")
-    pool = candidates.pair_pool(own)
-    found = [tuple(r) for r in pool.select("a", "b", "kind").collect()]  # capped by kind
-    found = [(a, b, kind) for a, b, kind in found if kind != "cc" or not candidates.near_bijection(df, a, b).first().near_bijection]
+    own = own.join(F.broadcast(profile.base_stats(df, [*numeric, *cats]).select("column", "unique_ratio")), "column") if numeric or cats else own
+    top = {r.column: r.numeric for r in candidates.top_columns(own).collect()}  # 14 rows at most
+    near = candidates.near_bijections(df, list(combinations(sorted(top), 2))).where("near_bijection") if len(top) > 1 else None
+    found = [tuple(r) for r in candidates.pair_pool(own, near).select("a", "b", "kind").collect()]  # capped by kind
     if not found:
         return None
     n_rows, used = df.count(), sorted({c for a, b, _ in found for c in (a, b)})

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions import dates
 from tablewright.functions.columns import md5fold, numeric_columns
 from tablewright.operators import candidates, experiments, meta, metrics, models, prepare, profile, transforms, verdicts
 from tablewright.operators.transforms import Step, apply, fit, fit_and_apply, fitted_table
@@ -162,6 +163,38 @@ def test_candidates(spark):
     assert v == [1.0, -999.0, -999.0, 1.0, 0.0]
     nb = spark.createDataFrame([(f"a{i % 5}", f"b{i % 5}", i % 2) for i in range(50)], "a string, b string, c int")
     assert candidates.near_bijection(nb, "a", "b").first().near_bijection and not candidates.near_bijection(nb, "a", "c").first().near_bijection
+    # caps count what is left without near bijections; walked by the more important side
+    own = spark.createDataFrame([(f"n{i}", True, 10.0 - i) for i in range(9)] + [(f"c{i}", False, 10.0 - i) for i in range(7)], "column string, numeric boolean, importance double")
+    alike = spark.createDataFrame([("n1", "n0"), ("n0", "c0")], "a string, b string")
+    pool = candidates.pair_pool(own, alike).orderBy("kind", "rank").collect()
+    by = {k: [(r.a, r.b) for r in pool if r.kind == k] for k in ("nn", "nc", "cc")}
+    assert by["nn"] == [(f"n{i}", f"n{j}") for i in range(8) for j in range(i + 1, 8) if (i, j) != (0, 1)]
+    assert by["nc"] == [(f"n{j}", f"c{i}") for i in range(6) for j in range(8) if (i, j) != (0, 0)][:20] and by["cc"] == [(f"c{i}", f"c{j}") for i in range(6) for j in range(i + 1, 6)][:10]
+
+
+def test_linear_copies_make_no_pairs(spark):
+    df = spark.range(200).selectExpr("id AS a", "3 * id + 1 AS b", "id % 7 AS c", "concat('g', id % 7) AS g", "CAST(id % 2 AS INT) AS label")
+    imps = spark.createDataFrame([("a", 4.0), ("b", 3.0), ("c", 2.0), ("g", 1.0)], "column string, importance double")
+    found = recommend.candidates_of_pairs(df, ["a", "b", "c"], ["g"], imps)
+    assert {tuple(sorted((r.column, r.column_b))) for r in found.collect()} == {("a", "c"), ("b", "c"), ("a", "g"), ("b", "g")}
+
+
+def test_dates(spark):
+    cases = {
+        "2024-01-02 10:01:00.000001": "2024-01-02 10:01:00.000001", "2024-01-02 10:00": "2024-01-02 10:00:00", "Jan 2, 2024": "2024-01-02 00:00:00", "1/3/2024": "2024-01-03 00:00:00", "2024/01/02": "2024-01-02 00:00:00", "25/12/2024": "2024-12-25 00:00:00",
+        "2024-01-02T03:04:05Z": "2024-01-02 03:04:05", "2024-01-02 03:04:05+01:00": "2024-01-02 03:04:05", "13.1.24": "2024-01-13 00:00:00", "1/2/69": "1969-01-02 00:00:00", "20240131": "2024-01-31 00:00:00", "31 Jan 2024 12:00 AM": "2024-01-31 00:00:00", "January 31, 2024 5:06 PM": "2024-01-31 17:06:00",
+        "Mon, 02 Jan 2024 10:00:00 GMT": "2024-01-02 10:00:00", "10:30": "1970-01-01 10:30:00", "Sept 5, 2021": "2021-09-05 00:00:00", "12/31/99 1:02:03.5 pm": "1999-12-31 13:02:03.5", "2024-02-29": "2024-02-29 00:00:00", "2023-02-29": None, "2024-13-01": None, "1/32/2024": None, "2024-01-02 25:00": None, "13:00 PM": None, "hello 10:00": None, "x": None, "": None,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "s string, want string")
+    for r in df.select("s", "want", dates.parsed_date(F.col("s")).cast("string").alias("got")).collect():
+        assert r.got == r.want, r.s
+    days = spark.createDataFrame([("1/2/2024", "1/2/2024", "2024-01-02"), ("25/2/2024", "2/25/2024", "2024-01-02")], "a string, b string, c string")
+    assert dates.day_first(days, ["a", "b", "c"]) == {"a": True, "b": False, "c": False} and dates.day_first(days, []) == {}
+    train = days.select(F.lit(1).alias("label"), F.col("a"), F.monotonically_increasing_id().alias("key"))
+    made, fitted = fit_and_apply(train, [Step("date_features", "a")])
+    assert sorted((r.a_month, r.a_day) for r in made.collect()) == [(2, 1), (2, 25)]
+    # the order is the training table's, also where a later table leaves it open
+    assert apply(train.where("a = '1/2/2024'"), fitted).first().a_month == 2
 
 
 def test_student_and_effects(spark):
@@ -179,11 +212,25 @@ def test_verdicts(spark):
     e = spark.createDataFrame([("a", 90.0), ("b", 9.9), ("c", 0.1)], "column string, importance double")
     made = spark.createDataFrame([("t1", "a"), ("t2", "c"), ("t3", "gone")], "transform string, column string")
     assert {r.transform: r.verdict for r in verdicts.transform_verdicts(made, e, e, 100).collect()} == {"t1": "good", "t2": "bad", "t3": "bad"}
-    m = spark.createDataFrame([(0.95, 0.0, 0.0, 0.0), (0.5, 0.01, 0.0, 0.0), (0.5, -0.01, 0.0, 0.2), (0.5, -0.5, 0.0, 0.0)], "baseline_f1 double, f1_delta double, precision_delta double, recall_delta double")
-    assert [r.verdict for r in verdicts.imbalance_verdict(m).collect()] == ["already strong", "helpful", "trade-off", "harmful"]
-    test = spark.createDataFrame([("f1", 0.5, 0.6), ("roc_auc", 0.7, 0.75)], "metric string, baseline double, enhanced double")
-    rules = {(r.rule, r.detail) for r in verdicts.recommendations(verdicts.transform_verdicts(made, e, e, 100), e, test).collect()}
-    assert {("imbalance", "effective"), ("tuning", "much headroom"), ("weak metric", "f1"), ("run again without", "2 transforms")} <= rules
+    cases = {  # baseline and enhanced f1, precision, recall
+        "marginal": [(0.95, 0.95, 0.95, 0.95, 0.95, 0.95), (0.95, 0.95, 0.95, 0.5, 0.5, 0.5), (0.5, 0.6, 0.4, 0.5, 0.4, 0.6), (0.5, 0.5, 0.5, 0.49, 0.5, 0.5)],
+        "good": [(0.95, 0.95, 0.95, 0.96, 0.95, 0.95), (0.95, 0.95, 0.85, 0.95, 0.95, 0.85), (0.5, 0.5, 0.5, 0.496, 0.5, 0.5), (None, None, None, 0.1, 0.1, 0.1)], "bad": [(0.5, 0.5, 0.5, 0.47, 0.5, 0.7), (0.95, 0.95, 0.85, 0.9, 0.9, 0.9)],
+    }
+    for verdict, rows in cases.items():
+        m = spark.createDataFrame(rows, ", ".join(f"{k}_{x} double" for k in ("baseline", "enhanced") for x in ("f1", "precision", "recall")))
+        assert {r.verdict for r in verdicts.imbalance_verdict(m).collect()} == {verdict}
+    test = spark.createDataFrame([("f1", 0.5, 0.6), ("precision", 0.9, 0.9), ("recall", None, 0.9), ("roc_auc", 0.7, 0.76)], "metric string, baseline double, enhanced double")
+    own = verdicts.transform_verdicts(made, e, e, 100)
+    rules = lambda v, low=e, **k: {(r.rule, r.detail) for r in verdicts.recommendations(v, low, test, **k).collect()}
+    assert rules(own, applied=True) == {("run again without", "2 transforms"), ("drop columns", "3 columns"), ("class weights", "effective"), ("tuning", "likely worth while")}
+    assert rules(own, offered=True) - rules(own) == {("enable class weights", "f1")}
+    assert rules(own.where("verdict = 'good'"), e.limit(0)) == {("all contributed", "0 transforms"), ("tuning", "likely worth while")}
+    typed = own.where("verdict = 'bad'").limit(1).withColumn("type", F.lit("imbalance"))
+    assert ("all contributed", "0 transforms") in rules(typed)
+    parts = spark.createDataFrame([("date_features:d", "d_year"), ("date_features:d", "d_month"), ("date_features:d", "d_gone"), ("date_cyclical_month:d", "d_month"), ("row_numeric_stats", "row_sum")], "transform string, column string")
+    imp = spark.createDataFrame([("d_year", 50.0), ("d_month", 1.0), ("row_sum", 49.0)], "column string, importance double")
+    found = verdicts.bad_parts(parts, imp, verdicts.transform_verdicts(parts, imp, imp, 10), 10)
+    assert {(r.transform, r.column) for r in found.collect()} == {("date_features:d", "d_month"), ("date_features:d", "d_gone")}
     flags = verdicts.executive_flags(spark.createDataFrame([(100, 0.9995)], "n_rows long, auc double"), spark.createDataFrame([("high",), ("low",)], "severity string"))
     assert [r.flag for r in flags.collect()] == ["few rows", "suspicious auc", "high advisories", "low advisories"]
 
