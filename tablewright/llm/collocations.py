@@ -125,10 +125,11 @@ def graph(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     edges = for_python(docs.select("lang", "text")).mapInArrow(_edges(frequent), EDGES).repartition("w1", "w2").groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
     pairs = edges.groupBy("w1", "w2").agg(F.sum("n").alias("n"))
     rest = pairs.groupBy("w1", F.when((F.col("n") >= least) & (F.col("w2") > RARE), F.col("w2")).alias("w2")).agg(F.sum("n").alias("n"))
-    found = written(edges.where((F.col("n") >= least) & (F.col("w3") > RARE)).unionByName(rest, allowMissingColumns=True), "graph")
+    # a condition on w3 would be pushed below the exchange, which then couldn't serve both
+    found = written(edges.where(F.col("n") >= least).unionByName(rest, allowMissingColumns=True), "graph")
     if frequent is not None:
         frequent.unpersist()
-    return found
+    return found.where(F.col("w3").isNull() | (F.col("w3") > RARE))
 
 
 def compacted(edges: DataFrame, pairs: DataFrame) -> DataFrame:
