@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates
 from .functions.columns import md5fold, number, quoted
-from .operators import candidates, experiments, meta, metrics, models, prepare, profile, verdicts
+from .operators import candidates, experiments, meta, metrics, models, pairs, prepare, profile, verdicts
 from .operators.transforms import Step, apply, fit, fit_and_apply
 from .plans import collect, recommend
 from .sources import tables
@@ -420,6 +420,75 @@ def mixed_pair_meta(spark, d):
     return out.select(F.round("eta_squared", 8).alias("eta_squared"), "n_groups", F.round("anova_f_stat", 4).alias("anova_f_stat"))
 
 
+_KINDS = ["quantity", "gap", "price", "tax", "flag", "status", "mode"]
+_KIND_PAIRS = [("quantity", "gap"), ("gap", "tax"), ("price", "quantity"), ("flag", "tax"), ("gap", "mode"), ("flag", "mode"), ("status", "flag"), ("status", "late")]
+_KIND_SRC = [*ITEMS, "CASE WHEN l_linenumber = 3 THEN NULL ELSE concat('m', l_linenumber) END AS mode", "CASE WHEN l_linenumber > 5 THEN 'late' ELSE 'soon' END AS late"]
+_KIND_NUM = ("quantity", "gap", "price", "tax")
+
+
+def _pair_features() -> str:
+    """SQL of all features of the pairs, with a CTE for each column's codes and facts."""
+    points = ", ".join(str(i / 20) for i in range(1, 20))
+    columns = sorted({c for p in _KIND_PAIRS for c in p})
+    code = {c: f"len(list_filter((SELECT list_distinct(quantile_cont(f_{c}, [{points}])) FROM filled), lambda e: f_{c} > e))::varchar" if c in _KIND_NUM else f"coalesce({c}, 'nan')" for c in columns}
+    mi = "(SELECT greatest(0, sum(c / n * ln(c * n / (x * y)))) FROM (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY {a}) AS x, sum(c) OVER (PARTITION BY {b}) AS y FROM (SELECT {a}, {b}, count(*) AS c FROM coded GROUP BY 1, 2) AS g) AS h)"
+    h = "(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM {t} GROUP BY {k}) AS g)"
+    ranks = "(SELECT abs(corr(rx, ry)) FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS rx, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS ry FROM src WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS x)"
+    facts = []
+    for i, c in enumerate(columns):
+        if c in _KIND_NUM:
+            e = h.format(t=f"(SELECT least(b - 1, floor(({c} - lo) / ((hi - lo) / b))) AS k FROM src, (SELECT min({c}) AS lo, max({c}) AS hi, least(50, greatest(floor(sqrt(count({c}))), 5)) AS b FROM src) AS r WHERE {c} IS NOT NULL) AS z", k="k")
+            own = f"avg({c}) AS mean, stddev_samp({c}) AS std, abs(avg(pow({c} - (SELECT avg({c}) FROM src), 3)) / pow(stddev_pop({c}), 3)) AS skew, {ranks.format(a=c, b='label')} AS tc"
+        else:
+            e, own = h.format(t=f"(SELECT {c} AS k FROM src WHERE {c} IS NOT NULL) AS z", k="k"), "0.0 AS mean, 0.0 AS std, 0.0 AS skew, 0.0 AS tc"
+        facts.append(f"SELECT '{c}' AS k, {c in _KIND_NUM} AS num, {i / 10} AS imp, 1 - count({c}) / count(*) AS g, count(DISTINCT {c}) AS u, count(DISTINCT {c}) / count(*) AS ur, {own}, {e} AS e, {mi.format(a=f'c_{c}', b='label')} AS mi FROM src")
+    pairs = []
+    for a, b in _KIND_PAIRS:
+        na, nb = a in _KIND_NUM, b in _KIND_NUM
+        m = mi.format(a=f"c_{a}", b=f"c_{b}")
+        own = {"mutual_info_pair": m, "mic_score": f"least(1, {m} / {h.format(t='coded', k=f'c_{b}')})"}
+        if na and nb:
+            own |= {"pearson_corr": f"(SELECT abs(corr({a}, {b})) FROM src)", "spearman_corr": ranks.format(a=a, b=b), "sign_concordance": f"(SELECT avg((({a} >= 0) = ({b} >= 0))::int) FROM src WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"}
+        elif na or nb:
+            v, g = (a, b) if na else (b, a)
+            groups = f"(SELECT {g} AS g, count(*) AS n, avg({v}) AS m, var_pop({v}) AS s FROM src WHERE {v} IS NOT NULL GROUP BY 1) AS x"
+            known = f"(SELECT * FROM {groups} WHERE g IS NOT NULL AND n > 1) AS y, (SELECT sum(n * m) / sum(n) AS bm FROM {groups} WHERE g IS NOT NULL AND n > 1) AS z"
+            own |= {
+                "eta_squared": f"(SELECT sum(n * pow(m - (SELECT avg({v}) FROM src), 2)) FILTER (g IS NOT NULL) / ((SELECT var_pop({v}) * count({v}) FROM src) + 1e-10) FROM {groups})",
+                "anova_f_stat": f"(SELECT (sum(n * pow(m - bm, 2)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) FROM {known})", "n_groups": f"(SELECT count(DISTINCT {g}) FROM src)",
+            }
+        else:
+            cell = f"(SELECT c_{a} AS x, c_{b} AS y, count(*) AS c FROM coded GROUP BY 1, 2) AS c"
+            every = f"(SELECT r.x, t.y, r.r, t.t, coalesce(c.c, 0) AS c, (SELECT count(*) FROM src) AS n FROM (SELECT c_{a} AS x, count(*) AS r FROM coded GROUP BY 1) AS r CROSS JOIN (SELECT c_{b} AS y, count(*) AS t FROM coded GROUP BY 1) AS t LEFT JOIN {cell} ON c.x = r.x AND c.y = t.y) AS w"
+            k = f"(SELECT least(count(DISTINCT c_{a}), count(DISTINCT c_{b})) - 1 FROM coded)"
+            two = f"(SELECT count(DISTINCT c_{a}) = 2 AND count(DISTINCT c_{b}) = 2 FROM coded)"
+            own |= {"cramers_v": f"(SELECT least(1, sqrt(sum(CASE WHEN {two} THEN pow(abs(c - r * t / n) - least(0.5, abs(c - r * t / n)), 2) ELSE pow(c - r * t / n, 2) END / (r * t / n)) / (max(n) * {k}))) FROM {every})", "observed": f"(SELECT count(*) FROM {cell})"}
+        pairs.append(f"SELECT '{a}' AS a, '{b}' AS b, " + ", ".join(f"{own.get(c, '0.0')} AS {c}" for c in ("mutual_info_pair", "mic_score", "pearson_corr", "spearman_corr", "sign_concordance", "eta_squared", "anova_f_stat", "n_groups", "cramers_v", "observed")))
+    n = "(x.num::int + y.num::int)"
+    step = lambda k, v: f"CASE WHEN {n} = {k} THEN {v} WHEN abs({n} - {k}) = 1 THEN -10 ELSE -20 END"
+    cv = lambda k: f"{k}.std / (abs({k}.mean) + 1e-8)"
+    made = {
+        "n_numerical_cols": n, "mutual_info_pair": "mutual_info_pair", "mic_score": "mic_score", "max_importance": "greatest(x.imp, y.imp)", "min_importance": "least(x.imp, y.imp)", "max_null_pct": "greatest(x.g, y.g)", "both_binary": "(x.u <= 2 AND y.u <= 2)::int",
+        **{f"sum_{k}": f"x.{c} + y.{c}" for k, c in (("importance", "imp"), ("null_pct", "g"), ("unique_ratio", "ur"), ("entropy", "e"), ("mi_target", "mi"))}, **{f"abs_diff_{k}": f"abs(x.{c} - y.{c})" for k, c in (("unique_ratio", "ur"), ("entropy", "e"), ("mi_target", "mi"))},
+        **{k: step(2, v) for k, v in {
+            "pearson_corr": "pearson_corr", "spearman_corr": "spearman_corr", "scale_ratio": "greatest(x.std, y.std) / least(x.std, y.std)", "sum_target_corr": "x.tc + y.tc", "abs_diff_target_corr": "abs(x.tc - y.tc)", "product_of_means": "x.mean * y.mean", "abs_mean_ratio": "greatest(abs(x.mean), abs(y.mean)) / (least(abs(x.mean), abs(y.mean)) + 1e-8)",
+            "sum_cv": f"{cv('x')} + {cv('y')}", "abs_diff_cv": f"abs({cv('x')} - {cv('y')})", "sum_skewness": "x.skew + y.skew", "abs_diff_skewness": "abs(x.skew - y.skew)", "sign_concordance": "sign_concordance", "n_positive_means": "(x.mean > 0)::int + (y.mean > 0)::int"}.items()},
+        **{k: step(1, k) for k in ("eta_squared", "anova_f_stat", "n_groups")}, "cramers_v": step(0, "cramers_v"), "joint_cardinality": step(0, "x.u * y.u"), "cardinality_ratio": step(0, "least(x.u, y.u) / (greatest(x.u, y.u) + 1e-10)"), "joint_sparsity": step(0, "1 - observed / greatest(x.u * y.u, 1)"),
+    }
+    filled = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM src)) AS f_{c}" for c in columns if c in _KIND_NUM)
+    return (
+        f"WITH src AS (SELECT {', '.join(_KIND_SRC)} FROM lineitem), filled AS (SELECT *, {filled} FROM src), coded AS MATERIALIZED (SELECT label, {', '.join(f'{v} AS c_{c}' for c, v in code.items())} FROM filled), f AS MATERIALIZED ({' UNION ALL '.join(facts)}), p AS MATERIALIZED ({' UNION ALL '.join(pairs)}) "
+        f"SELECT p.a, p.b, {', '.join(f'round(({v})::double, 4) AS {k}' for k, v in made.items())} FROM p JOIN f AS x ON p.a = x.k JOIN f AS y ON p.b = y.k"
+    )
+
+
+@query(_pair_features())
+def pair_features(spark, d):
+    df = _table(spark, d, "lineitem").selectExpr(*_KIND_SRC)
+    imps = spark.createDataFrame([(c, i / 10) for i, c in enumerate(sorted({c for p in _KIND_PAIRS for c in p}))], "column string, importance double")
+    return _r(pairs.pair_meta(df, _KIND_PAIRS, "label", imps), 4)
+
+
 _V = """c AS (SELECT {a} AS a, {b} AS b, count(*) AS c FROM {t} GROUP BY 1, 2), x AS (SELECT a.a, b.b, a.r, b.s, coalesce(c.c, 0) AS c, (SELECT sum(c) FROM c) AS n FROM (SELECT a, sum(c) AS r FROM c GROUP BY 1) AS a CROSS JOIN (SELECT b, sum(c) AS s FROM c GROUP BY 1) AS b LEFT JOIN c ON c.a = a.a AND c.b = b.b),
     k AS (SELECT count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM x), chi AS (SELECT sum(CASE WHEN ka = 2 AND kb = 2 THEN pow(abs(c - r * s / n) - least(0.5, abs(c - r * s / n)), 2) ELSE pow(c - r * s / n, 2) END / (r * s / n)) AS chi, max(n) AS n FROM x, k)
     SELECT round(least(1, sqrt(chi / (n * (least(ka, kb) - 1)))), 6)::double AS cramers_v, (SELECT count(*) FROM c) AS joint_cardinality, round(least(ka, kb) / greatest(ka, kb), 6)::double AS cardinality_ratio, round(1 - (SELECT count(*) FROM c) / (ka * kb), 6)::double AS joint_sparsity FROM chi, k"""
