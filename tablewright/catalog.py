@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates
 from .functions.columns import md5fold, number, quoted
-from .operators import candidates, experiments, meta, metrics, models, pairs, prepare, profile, verdicts
+from .operators import candidates, experiments, families, meta, metrics, models, pairs, prepare, profile, verdicts
 from .operators.transforms import Step, apply, fit, fit_and_apply
 from .plans import collect, recommend
 from .sources import tables
@@ -27,6 +30,15 @@ SCORED = ["CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label", "round(l_ex
 NUM, CAT = ["quantity", "gap", "price", "discount", "tax"], ["flag", "status"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new one in /tmp in local mode, an error on a cluster."""
+    if path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -949,12 +961,93 @@ def disagreement_rate(spark, d):
 # --- plans that fit models: rows only ---
 
 
-@query()
+# --- suggestions by family models: linear ones, fitted on experiments that follow a formula, saved and loaded again ---
+
+#: feature: weight, by family; a method adds a tenth of its place in the family's list.
+_WEIGHTS = {
+    "numerical": {"null_pct": 0.7, "unique_ratio": -0.4, "importance_rank_pct": -0.3, "relative_headroom": 0.5}, "categorical": {"n_unique": 0.02, "top_category_dominance": -0.6},
+    "interaction": {"sum_null_pct": -0.5, "sum_importance": 0.9, "n_numerical_cols": 0.05}, "row": {"pct_rows_with_any_missing": 0.4, "n_numeric_cols_used": -0.05},
+}
+_SUGGESTED_ON = ["l_quantity AS quantity", "l_extendedprice AS price", "nullif(l_tax, 0.0) AS tax", "l_returnflag AS flag", "l_linestatus AS status", "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label"]
+_IMPORTANT = {"quantity": 0.1, "price": 0.4, "tax": 0.2, "flag": 0.25, "status": 0.05}
+
+
+def _experiments(spark, d, family: str) -> DataFrame:
+    """Results of experiments: a row for each part, whose change in quality follows the family's formula exactly."""
+    methods = families.METHODS[family]
+    features = {f: f"((p_partkey * {7 * i + 3}) % 101) / 101.0D" for i, f in enumerate(_WEIGHTS[family])}
+    place = f"p_partkey % {len(methods)}"
+    target = " + ".join(f"{w} * {features[f]}" for f, w in _WEIGHTS[family].items()) + f" + ({place} + 1) / 10.0D"
+    return _table(spark, d, "part").selectExpr(f"array({', '.join(repr(m) for m in methods)})[{place}] AS method", "concat('d', p_partkey % 20) AS dataset_name", *(f"{x} AS {f}" for f, x in features.items()), f"{target} AS cohens_d")
+
+
+def _family_store(spark, d) -> str:
+    """A store with a linear model of each family, in the folder that driver and executors share."""
+    folder = f"{shared_folder(spark)}/families-{uuid.uuid4().hex}"
+    for family, weights in _WEIGHTS.items():
+        order = [*weights, *(f"method_{m}" for m in families.METHODS[family])]
+        families.train(_experiments(spark, d, family), family, "cohens_d", order, LinearRegression(fitIntercept=False)).save(folder)
+    return folder
+
+
+def _suggestion_sql() -> str:
+    effect = lambda f: "CASE method " + " ".join(f"WHEN '{m}' THEN {(i + 1) / 10}" for i, m in enumerate(families.METHODS[f])) + " END"
+    values = lambda f: "(VALUES " + ", ".join(f"('{m}')" for m in families.METHODS[f]) + ") AS v(method)"
+    num, cats = ("quantity", "price", "tax"), ("flag", "status")
+    one = _each(list(num), "SELECT '{c}' AS \"column\", 1 - count({c}) / count(*) AS g, count(DISTINCT {c}) AS n_u, count(DISTINCT {c}) / count(*) AS u, min({c}) AS lo, count(*) FILTER ({c} = 0 OR {c} IS NULL) AS z FROM src")
+    cat = _each(list(cats), "SELECT '{c}' AS \"column\", 1 - count({c}) / count(*) AS g, count(DISTINCT {c}) AS u, (SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM src GROUP BY {c}) AS x) AS top FROM src")
+    imps = "(VALUES " + ", ".join(f"('{c}', {v}, {sorted(_IMPORTANT.values(), reverse=True).index(v) + 1} / 5)" for c, v in _IMPORTANT.items()) + ') AS i("column", imp, pct)'
+    gate = "CASE WHEN method IN ('impute_median', 'missing_indicator') THEN g > 0 WHEN g > 0.5 OR n_u = 2 THEN false WHEN method = 'sqrt_transform' THEN lo >= 0 WHEN method = 'quantile_binning' THEN u >= 0.01 ELSE true END"
+    additive = ", ".join(f"'{m}'" for m in candidates.ADDITIVE)
+    return f"""WITH src AS (SELECT {', '.join(_SUGGESTED_ON)} FROM lineitem), one AS ({one}), cat AS ({cat}), imps AS (SELECT * FROM {imps}),
+        sides AS (SELECT "column", g, n_u AS u, z, imp, true AS num FROM one JOIN imps USING ("column") UNION ALL SELECT "column", g, u, 0, imp, false FROM cat JOIN imps USING ("column")),
+        rows AS (SELECT avg((tax IS NULL)::int) AS missing FROM src),
+        c AS (SELECT 'numerical' AS type, "column", NULL AS column_b, method, 0.7 * g - 0.4 * u - 0.3 * pct + 0.5 * 0.2 + {effect('numerical')} AS raw FROM one JOIN imps USING ("column"), {values('numerical')} WHERE {gate}
+            UNION ALL SELECT 'categorical', "column", NULL, method, 0.02 * u - 0.6 * top + {effect('categorical')} FROM cat, {values('categorical')} WHERE CASE method WHEN 'missing_indicator' THEN g > 0 WHEN 'onehot_encoding' THEN u BETWEEN 2 AND 10 WHEN 'hashing_encoding' THEN u > 10 ELSE true END
+            UNION ALL SELECT 'interaction', a."column", b."column", method, -0.5 * (a.g + b.g) + 0.9 * (a.imp + b.imp) + 0.05 * (a.num::int + b.num::int) + {effect('interaction')} FROM sides AS a JOIN sides AS b ON (a.num = b.num AND a.imp > b.imp) OR (a.num AND NOT b.num), {values('interaction')}
+                WHERE CASE WHEN method = 'division_interaction' THEN a.num AND b.num AND b.z = 0 WHEN method LIKE 'group%' THEN a.num AND NOT b.num WHEN method = 'cat_concat' THEN NOT a.num ELSE a.num AND b.num END
+            UNION ALL SELECT 'row', '(all numeric cols)', NULL, method, greatest(0, 0.4 * missing - 0.05 * 3 + {effect('row')}) FROM rows, {values('row')} WHERE method <> 'row_missing_stats' OR missing > 0),
+        z AS (SELECT *, CASE WHEN type = 'row' THEN raw ELSE (raw - avg(raw) OVER (PARTITION BY type)) / stddev_pop(raw) OVER (PARTITION BY type) END AS delta FROM c)
+        SELECT type, "column", column_b, method, round(raw::double, 5) AS predicted_delta_raw, round(delta::double, 5) AS predicted_delta FROM z
+        QUALIFY type IN ('interaction', 'row') OR method IN ({additive}) OR row_number() OVER (PARTITION BY type, "column", method IN ({additive}) ORDER BY delta DESC) = 1"""
+
+
+@query(_suggestion_sql())
 def suggestions(spark, d):
-    df = _orders(spark, d).drop("key")
-    given = spark.createDataFrame([(c, float(i)) for i, c in enumerate(("customer", "total", "status", "priority"))], "column string, importance double")
-    score = lambda rows, kind: rows.withColumn("predicted_delta_raw", F.length("method") / 100 - F.length("column") / 50)
-    return recommend.suggestions(df, "label", given, score)
+    """Suggestions for lineitem, scored by the models of the store."""
+    given = spark.createDataFrame(list(_IMPORTANT.items()), "column string, importance double")
+    found = recommend.suggestions(_table(spark, d, "lineitem").selectExpr(*_SUGGESTED_ON), "label", given, families.load(spark, _family_store(spark, d)), baseline=(0.8, 0.02))
+    return _r(found.select("type", "column", "column_b", "method", "predicted_delta_raw", "predicted_delta"), 5)
+
+
+@query(
+    f"WITH src AS (SELECT {', '.join(_SUGGESTED_ON)} FROM lineitem), s AS (SELECT count(*) AS n, (SELECT 'leakage') AS category FROM src) SELECT category, 'high' AS severity, '1 columns may give the label away' AS title, 'copy: rank correlation' AS detail FROM s UNION ALL SELECT 'Small Dataset', 'medium', 'few rows: keep the model simple', n || ' rows' FROM s WHERE n < 500"
+)
+def leakage_advisories(spark, d):
+    """What the plan advises where a column follows the label."""
+    df = _table(spark, d, "lineitem").selectExpr(*_SUGGESTED_ON, "CASE WHEN l_returnflag = 'R' THEN 7 ELSE 0 END AS copy").select("quantity", "copy", "label")
+    related = meta.spearman_with_target(df, ["quantity", "copy"], "label").select("column", F.col("spearman").alias("spearman_corr_target"), F.lit(0.0).alias("mutual_info_score"))
+    return recommend.advisories(df, "label", [related]).select("category", "severity", "title", "detail")
+
+
+@query(
+    """WITH r AS (SELECT p_partkey % 3 AS fold, p_size / 10.0 AS label, (p_retailprice - 900) / 40 AS said FROM part), s AS (SELECT *, (label > 2)::int AS y, (said > 2)::int AS yes, rank() OVER (PARTITION BY fold ORDER BY said) + (count(*) OVER (PARTITION BY fold, said) - 1) / 2 AS r FROM r)
+    SELECT fold::int AS fold, round(avg(abs(label - said)), 5) AS mae, round(sqrt(avg(pow(label - said, 2))), 5) AS rmse, round(1 - avg(pow(label - said, 2)) / var_pop(label), 5) AS r2, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 5) AS auc,
+    round(2 * sum(y * yes) / (sum(y) + sum(yes)), 5) AS f1, round(sum(y * yes) / sum(yes), 5) AS precision, round(sum(y * yes) / sum(y), 5) AS recall, round(avg((y = yes)::int), 5) AS accuracy FROM s GROUP BY fold"""
+)
+def family_measures(spark, d):
+    rows = _table(spark, d, "part").selectExpr("CAST(p_partkey % 3 AS INT) AS fold", "p_size / 10.0D AS label", "(p_retailprice - 900) / 40 AS said").selectExpr("*", "CAST(label > 2 AS DOUBLE) AS positive", "said AS rank", "said > 2 AS yes")
+    return _r(families.measures(rows).drop("median_ae"), 5)
+
+
+@query()
+def family_cross_validation(spark, d):
+    """Regression and classification of the interaction family over folds of whole datasets, with the default trees."""
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = _experiments(spark, d, "interaction").withColumn("cohens_d", F.col("cohens_d") - 1)
+    order = [*_WEIGHTS["interaction"], *(f"method_{m}" for m in families.METHODS["interaction"])]
+    return families.cross_validated(rows, "interaction", "cohens_d", "dataset_name", order, classifier=GBTClassifier(seed=42, maxIter=20, maxDepth=4))
 
 
 @query()

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import present
@@ -28,6 +28,11 @@ PROBLEMS = {
 SUGGESTION = "type string, column string, column_b string, method string, predicted_delta_raw double, pinned boolean, auto_checked boolean"
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    """No suggestions, in the columns in which families, dates, texts and imbalance meet."""
+    return spark.createDataFrame([], "type string, column string, column_b string, method string, predicted_delta double, predicted_delta_raw double, pinned boolean, auto_checked boolean")
+
+
 def _methods(df: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """Each row with each method: an array of constants, exploded."""
     return df.select("*", F.explode(F.array(*map(F.lit, methods))).alias("method"))

@@ -6,11 +6,14 @@ Single statistics of all columns come from fused aggregates. What needs the valu
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import add as add_columns
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import joint
 from ..functions.columns import category, category_columns, corr, number, numeric_columns, present, quoted
 from ..functions.quantiles import quantiles
 from .profile import _one_row_each
@@ -36,59 +39,63 @@ def long_categories(df: DataFrame, columns: list[str], label: str | None = None)
 # --- the whole table ---
 
 
+def _absolute(df: DataFrame, pairs: list[joint.Pair]) -> DataFrame:
+    """One row: total_f, most_f, total_t, most_t of the absolute correlations of pairs whose id begins with f or t, 0 where a side doesn't vary."""
+    if not pairs:
+        return df.sparkSession.range(1).select(*(F.lit(0.0).alias(c) for c in ("total_f", "most_f", "total_t", "most_t")))
+    r = F.coalesce(F.abs("pearson"), F.lit(0.0))
+    own = {k: F.when(F.col("id").startswith(k), r).otherwise(F.lit(0.0)) for k in ("f", "t")}
+    return joint.correlations(df, pairs).agg(*(x for k, v in own.items() for x in (F.sum(v).alias(f"total_{k}"), F.max(v).alias(f"most_{k}"))))
+
+
 def dataset_meta(df: DataFrame, label: str) -> DataFrame:
-    """One row: sizes, kinds, missing ratio, class imbalance, |correlation| of features with each other (diagonal as zero) and with the label."""
+    """One row: sizes, kinds, missing ratio, class imbalance, |correlation| of features with each other (diagonal as zero) and with the label (a number)."""
     features = [c for c in df.columns if c != label]
     numeric = [c for c in numeric_columns(df, include_bool=False) if c != label]
-    pairs = list(combinations(numeric, 2))
-    r = [F.coalesce(F.abs(corr(number(a), number(b))), F.lit(0.0)) for a, b in pairs]
-    t = [F.coalesce(F.abs(corr(number(c), number(label))), F.lit(0.0)) for c in numeric]
-    gone = [F.count_if(present(df, c).isNull()) for c in features]
-    row = df.agg(F.count("*").alias("n_rows"), F.count_distinct(quoted(label)).alias("n_classes"), F.array(*r, F.lit(0.0)).alias("r"), F.array(*t, F.lit(0.0)).alias("t"), F.array(*gone).alias("gone"))
-    counts = df.where(quoted(label).isNotNull()).groupBy(quoted(label)).count().agg((F.max("count") / F.min("count")).alias("class_imbalance_ratio"))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    gone = sum((F.count_if(present(df, c).isNull()) for c in features), F.lit(0))
+    row = df.agg(F.count("*").alias("n_rows"), gone.alias("gone"))
+    counts = df.where(quoted(label).isNotNull()).groupBy(quoted(label)).count().agg(F.count("*").alias("n_classes"), (F.max("count") / F.min("count")).alias("class_imbalance_ratio"))
+    pairs = [(f"f{i}", number(a), number(b)) for i, (a, b) in enumerate(combinations(numeric, 2))] + [(f"t{i}", number(c), number(label)) for i, c in enumerate(numeric)]
     k, n = len(numeric), len(features)
-    return row.join(F.broadcast(counts)).select(
+    return row.join(F.broadcast(counts)).join(F.broadcast(_absolute(df, pairs))).select(
         "n_rows", F.lit(n).alias("n_cols"), F.lit(k).alias("n_numeric_cols"), F.lit(n - k).alias("n_cat_cols"), F.lit((n - k) / max(1, n)).alias("cat_ratio"), (F.col("n_rows") / max(1, n)).alias("row_col_ratio"), "n_classes",
-        (F.aggregate("gone", F.lit(0).cast("long"), lambda a, v: a + v) / (F.col("n_rows") * max(1, n))).alias("missing_ratio"), "class_imbalance_ratio",
-        (2 * total("r") / max(1, k * k)).alias("avg_feature_corr"), F.array_max("r").alias("max_feature_corr"), (total("t") / max(1, k)).alias("avg_target_corr"), F.array_max("t").alias("max_target_corr"),
+        (F.col("gone") / (F.col("n_rows") * max(1, n))).alias("missing_ratio"), "class_imbalance_ratio",
+        (2 * F.col("total_f") / max(1, k * k)).alias("avg_feature_corr"), F.col("most_f").alias("max_feature_corr"), (F.col("total_t") / max(1, k)).alias("avg_target_corr"), F.col("most_t").alias("max_target_corr"),
     )
 
 
 def row_meta(df: DataFrame, label: str | None = None) -> DataFrame:
-    """One row: what the rows' numbers look like together. Medians fill nulls; every row counts."""
+    """One row: what the rows' numbers look like together. Medians fill nulls; every row counts. All of a row is plain expressions, worked out step by step."""
     features = [c for c in df.columns if c != label]
     numeric = [c for c in numeric_columns(df, include_bool=False) if c != label]
     k = len(numeric)
     if not k:
         return df.agg(F.lit(0).alias("n_numeric_cols_used"))
     medians = quantiles(df, {c: (0.5,) for c in numeric})
-    filled = [F.coalesce(number(c), F.lit(float(medians[c][0]) if medians[c] else 0.0)) for c in numeric]
-    bins = min(10, k)
-    x = F.array(*filled)
-    base = df.select(x.alias("x"), *(number(c).alias(f"n{i}") for i, c in enumerate(numeric)), sum((present(df, c).isNull().cast("int") for c in features), F.lit(0)).alias("gone"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    mean = total("x") / k
-    base = base.withColumn("mean", mean).withColumn("lo", F.array_min("x")).withColumn("hi", F.array_max("x"))
-    variance = F.aggregate("x", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean"))) / max(1, k - 1)
-    place = F.transform("x", lambda v: F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)))).otherwise(F.lit(bins // 2)).cast("int"))
-    base = base.withColumn("place", place)
-    shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter("place", lambda p: p == b)) / F.lit(float(k)))
-    h = F.aggregate(shares, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0)))
-    zeros = sum((F.coalesce((F.col(f"n{i}") == 0).cast("int"), F.lit(0)) for i in range(k)), F.lit(0))
-    pairs = list(combinations(range(k), 2))
-    r = [F.coalesce(F.abs(corr(F.col("x")[a], F.col("x")[b])), F.lit(0.0)) for a, b in pairs]
-    agg = base.withColumn("h", h).withColumn("var", variance).withColumn("zeros", zeros).agg(
-        F.count("*").alias("n"), F.array(*(F.avg(f"n{i}") for i in range(k))).alias("means"), F.array(*(F.stddev_samp(f"n{i}") for i in range(k))).alias("stds"), F.array(*(F.avg(F.col(f"n{i}").isNull().cast("double")) for i in range(k))).alias("gone"),
+    bins, xs, ns = min(10, k), [F.col(f"x{i}") for i in range(k)], [F.col(f"n{i}") for i in range(k)]
+    add = lambda parts: reduce(add_columns, parts)
+    base = df.select(*(number(c).alias(f"n{i}") for i, c in enumerate(numeric)), add([present(df, c).isNull().cast("int") for c in features]).alias("gone"))
+    filled = base.select("*", *(F.coalesce(ns[i], F.lit(float(medians[c][0]) if medians[c] else 0.0)).alias(f"x{i}") for i, c in enumerate(numeric)))
+    ends = filled.select("*", (add(xs) / k).alias("mean"), (F.least(*xs) if k > 1 else xs[0]).alias("lo"), (F.greatest(*xs) if k > 1 else xs[0]).alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    placed = ends.select("*", *(F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((x - F.col("lo")) / width))).otherwise(F.lit(bins // 2)).cast("int").alias(f"b{i}") for i, x in enumerate(xs)))
+    shares = placed.select("*", *((add([(F.col(f"b{i}") == b).cast("int") for i in range(k)]) / F.lit(float(k))).alias(f"s{b}") for b in range(bins)))
+    variance = add([(x - F.col("mean")) * (x - F.col("mean")) for x in xs]) / max(1, k - 1)
+    h = add([F.when(F.col(f"s{b}") > 0, -F.col(f"s{b}") * F.log2(f"s{b}")).otherwise(F.lit(0.0)) for b in range(bins)])
+    zeros = add([F.coalesce((x == 0).cast("int"), F.lit(0)) for x in ns])
+    each = shares.select("*", h.alias("h"), variance.alias("var"), zeros.alias("zeros"))
+    agg = each.agg(
+        F.count("*").alias("n"), F.array(*map(F.avg, ns)).alias("means"), F.array(*map(F.stddev_samp, ns)).alias("stds"), F.array(*(F.avg(x.isNull().cast("double")) for x in ns)).alias("gone"),
         F.avg("var").alias("avg_row_variance"), F.avg((F.col("gone") > 0).cast("double")).alias("pct_rows_with_any_missing"), (F.sum("zeros") / (F.count("*") * k)).alias("pct_cells_zero"), F.avg((F.col("zeros") > 0).cast("double")).alias("pct_rows_with_any_zero"),
-        F.array(*r, F.lit(0.0)).alias("r"), F.avg("h").alias("avg_row_entropy"), F.array(*(F.max(F.col("x")[i]) - F.min(F.col("x")[i]) for i in range(k))).alias("ranges"),
-        F.sum(total("x")).alias("s"), F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("q"),
+        F.avg("h").alias("avg_row_entropy"), F.array(*(F.max(x) - F.min(x) for x in xs)).alias("ranges"), F.sum(add(xs)).alias("s"), F.sum(add([x * x for x in xs])).alias("q"),
     )
+    related = _absolute(filled, [(f"f{i}", xs[a], xs[b]) for i, (a, b) in enumerate(combinations(range(k), 2))])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     cells = F.col("n") * k
     spread = F.sqrt(F.greatest(F.col("q") / cells - (F.col("s") / cells) * (F.col("s") / cells), F.lit(0.0)))
-    return agg.select(
+    return agg.join(F.broadcast(related)).select(
         F.lit(k).alias("n_numeric_cols_used"), (total("means") / k).alias("avg_numeric_mean"), (total("stds") / k).alias("avg_numeric_std"), (total("gone") / k).alias("avg_missing_pct"), F.array_max("gone").alias("max_missing_pct"),
-        "avg_row_variance", "pct_rows_with_any_missing", "pct_cells_zero", "pct_rows_with_any_zero", (2 * total("r") / (k * k)).alias("numeric_col_corr_mean"), F.array_max("r").alias("numeric_col_corr_max"), "avg_row_entropy", (total("ranges") / k / (spread + 1e-8)).alias("numeric_range_ratio"),
+        "avg_row_variance", "pct_rows_with_any_missing", "pct_cells_zero", "pct_rows_with_any_zero", (2 * F.col("total_f") / (k * k)).alias("numeric_col_corr_mean"), F.col("most_f").alias("numeric_col_corr_max"), "avg_row_entropy", (total("ranges") / k / (spread + 1e-8)).alias("numeric_range_ratio"),
     )
 
 
@@ -112,27 +119,9 @@ def _entropy_of(rows: DataFrame, value: str) -> DataFrame:
 
 
 def spearman_with_target(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """column, spearman: absolute rank correlation with the label over complete rows; 0 if there are 10 or fewer.
-
-    From the counts of (value, label) pairs: ranks of both sides are found over distinct values within each column.
-    """
-    pairs = long_numbers(df, columns, label).where("y IS NOT NULL").groupBy("column", "v", "y").agg(F.count("*").alias("c"))
-    upto = lambda x: Window.partitionBy("column").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    rv = pairs.groupBy("column", "v").agg(F.sum("c").alias("n")).select("column", "v", (F.sum("n").over(upto("v")) - (F.col("n") - 1) / 2).alias("rv"))
-    ry = pairs.groupBy("column", "y").agg(F.sum("c").alias("n")).select("column", "y", (F.sum("n").over(upto("y")) - (F.col("n") - 1) / 2).alias("ry"))
-    both = pairs.join(rv, ["column", "v"]).join(F.broadcast(ry), ["column", "y"])
-    return both.groupBy("column").agg(*_weighted_corr_sums("rv", "ry", "c")).select("column", F.when(F.col("n") > 10, F.coalesce(F.abs(_weighted_corr()), F.lit(0.0))).otherwise(F.lit(0.0)).alias("spearman"))
-
-
-def _weighted_corr_sums(a: str, b: str, c: str) -> list[Column]:
-    w, x, y = F.col(c), F.col(a).cast("double"), F.col(b).cast("double")
-    return [F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy")]
-
-
-def _weighted_corr() -> Column:
-    n, sx, sy, sxx, syy, sxy = map(F.col, ("n", "sx", "sy", "sxx", "syy", "sxy"))
-    under = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    return F.when(under > 0, (n * sxy - sx * sy) / F.sqrt(under))
+    """column, spearman: absolute rank correlation with the label over complete rows; 0 if there are 10 or fewer. All columns in one job, ranks by ranges of values."""
+    found = joint.rank_correlations(joint.counts(df, [(c, number(c), number(label)) for c in columns]))
+    return found.select(F.col("id").alias("column"), F.when(F.col("n") > 10, F.coalesce(F.abs("spearman"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("spearman"))
 
 
 def binned_mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 20) -> DataFrame:
@@ -240,18 +229,8 @@ def numeric_pair_meta(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def pair_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """spearman_corr of two numeric columns, absolute, over complete rows; 0 if there are 10 or fewer."""
-    pairs = df.select(F.lit(0).alias("column"), number(a).alias("v"), number(b).alias("y")).where("v IS NOT NULL AND y IS NOT NULL").groupBy("column", "v", "y").agg(F.count("*").alias("c"))
-
-    def ranks(x: str) -> DataFrame:
-        # distinct values are dealt to ranges; each range is ranked by itself and gets the count of the ranges below
-        parts = pairs.groupBy(x).agg(F.sum("c").alias("n")).repartitionByRange(x).withColumn("p", F.spark_partition_id())
-        own = parts.select(x, "n", "p", F.sum("n").over(Window.partitionBy("p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-        sums = own.groupBy("p").agg(F.max("upto").alias("t"))
-        below = sums.select("p", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
-        return own.join(F.broadcast(below), "p").select(x, (F.col("below") + F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{x}"))
-
-    both = pairs.join(ranks("v"), "v").join(ranks("y"), "y").agg(*_weighted_corr_sums("rv", "ry", "c"))
-    return both.select(F.when(F.col("n") > 10, F.coalesce(F.abs(_weighted_corr()), F.lit(0.0))).otherwise(F.lit(0.0)).alias("spearman_corr"))
+    found = joint.rank_correlations(joint.counts(df, [("p", number(a), number(b))]))
+    return found.select(F.when(F.col("n") > 10, F.coalesce(F.abs("spearman"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("spearman_corr"))
 
 
 def mic_score(df: DataFrame, a: str, b: str) -> DataFrame:

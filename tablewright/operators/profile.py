@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import category_columns, corr, number, numeric_columns, present, quoted
 from ..functions.dates import parsed_date
@@ -34,16 +35,36 @@ def _one_row_each(df: DataFrame, columns: list[str], measures) -> DataFrame:
     return out
 
 
+def _identity(df: DataFrame, name: str) -> Column:
+    """The column as text that differs exactly where values do."""
+    kind, x = df.schema[name].dataType, present(df, name)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (x + 0.0).cast("string")  # -0.0 is 0.0
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(x.cast("timestamp")).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(x)
+    return F.to_json(F.struct(x.alias("v"))) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else x.cast("string")
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n_unique of the values that aren't null, from the distinct (column, value)."""
+    values = F.array(*(F.struct(F.lit(c).alias("column"), _identity(df, c).alias("v")) for c in columns))
+    return df.select(F.inline(values)).distinct().groupBy("column").agg(F.count("v").alias("n_unique"))
+
+
 def base_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """column, numeric, n_rows, n_unique, n_missing, missing, unique_ratio, sample (the smallest value as text, 50 characters)."""
-    numeric = set(numeric_columns(df))
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    numeric, columns = set(numeric_columns(df)), columns or df.columns
 
     def measures(c):
         x = present(df, c)
-        return F.lit(c in numeric).alias("numeric"), F.count("*").alias("n_rows"), distinct(x).alias("n_unique"), F.count_if(x.isNull()).alias("n_missing"), F.substring(F.min(x).cast("string"), 1, 50).alias("sample")
+        more = [F.approx_count_distinct(x).alias("n_unique")] if approx else []
+        return F.lit(c in numeric).alias("numeric"), F.count("*").alias("n_rows"), F.count_if(x.isNull()).alias("n_missing"), F.substring(F.min(x).cast("string"), 1, 50).alias("sample"), *more
 
-    found = _one_row_each(df, columns or df.columns, measures)
+    found = _one_row_each(df, columns, measures)
+    if not approx:  # a row for each column on the right
+        found = found.join(F.broadcast(distinct_counts(df, columns)), "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
     n = F.greatest(F.col("n_rows"), F.lit(1))
     return found.select("column", "numeric", "n_rows", "n_unique", "n_missing", (F.col("n_missing") / n).alias("missing"), (F.col("n_unique") / n).alias("unique_ratio"), "sample")
 

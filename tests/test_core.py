@@ -6,12 +6,13 @@ import tempfile
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions import dates
+from tablewright.functions import dates, joint
 from tablewright.functions.columns import md5fold, numeric_columns
-from tablewright.operators import candidates, experiments, meta, metrics, models, prepare, profile, transforms, verdicts
+from tablewright.operators import candidates, experiments, families, meta, metrics, models, pairs, prepare, profile, transforms, verdicts
 from tablewright.operators.transforms import Step, apply, fit, fit_and_apply, fitted_table
 from tablewright.plans import collect, recommend
 from tablewright.sources import tables
@@ -172,6 +173,81 @@ def test_candidates(spark):
     assert by["nc"] == [(f"n{j}", f"c{i}") for i in range(6) for j in range(8) if (i, j) != (0, 0)][:20] and by["cc"] == [(f"c{i}", f"c{j}") for i in range(6) for j in range(i + 1, 6)][:10]
 
 
+def test_family_store(spark):
+    rows = spark.createDataFrame([(f"d{i % 6}", ["log_transform", "sqrt_transform"][i % 2], i / 50.0, None if i % 5 == 0 else float(i % 7), 2 * i / 50.0 + (i % 2) / 2) for i in range(50)] + [("d0", "log_transform", 1.0, 1.0, None)], "dataset_name string, method string, null_pct double, normality_p_value double, cohens_d double")
+    order = ["null_pct", "shapiro_p_value", "gone", "method_log_transform", "method_sqrt_transform"]
+    # renamed, null, absent, and a place for each method
+    v = families.vector(rows.limit(2), order).orderBy("null_pct").collect()
+    assert [list(r.features) for r in v] == [[0.0, -999.0, -999.0, 1.0, 0.0], [0.02, 1.0, -999.0, 0.0, 1.0]]
+    model = families.train(rows, "numerical", "cohens_d", ["null_pct", "method_log_transform", "method_sqrt_transform"], LinearRegression(fitIntercept=False))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    assert families.load(spark, folder) == {}
+    model.save(folder)
+    model.save(folder)  # a store can be written again
+    again = families.load(spark, folder)
+    assert list(again) == ["numerical"] and again["numerical"].features == model.features and again["numerical"].methods == ["log_transform", "sqrt_transform"]
+    asked = spark.createDataFrame([("x", "log_transform", 0.5), ("x", "sqrt_transform", 0.5), ("x", "unknown", 0.5)], "column string, method string, null_pct double")
+    assert {r.method: round(r.predicted_delta_raw, 6) for r in again["numerical"].score(asked).collect()} == {"log_transform": 1.0, "sqrt_transform": 1.5}
+    folds = families.cross_validated(rows, "numerical", "cohens_d", "dataset_name", model.features, 3, LinearRegression(fitIntercept=False)).collect()
+    assert len(folds) == 3 and all(r.mae < 1e-6 and r.r2 > 0.999 and r.f1 > 0.9 for r in folds)
+    assert families.cross_validated(rows.limit(0), "numerical", "cohens_d", "dataset_name", model.features, 3).collect() == []
+    for f in families.OWN:
+        assert len(families.vector_order(f)) == {"numerical": 43, "categorical": 38, "interaction": 59, "row": 33}[f]
+
+
+def test_dataset_facts(spark):
+    df = spark.createDataFrame([(1, 2.0, 0), (2, 3.0, 1), (3, None, 0), (4, 1.0, 1)], "k long, x double, label int")
+    facts = meta.dataset_meta(df, "label")
+    r = families.dataset_facts(facts, (0.9995, 0.01), n_rows=1000).first()
+    assert (r.n_rows, r.row_col_ratio, r.relative_headroom, r.landmarking_score) == (1000, 500.0, 0.001, None)
+    r = families.dataset_facts(facts, (0.75, 0.01), 0.6, n_rows=2).first()
+    assert (r.n_rows, r.row_col_ratio, r.relative_headroom, r.landmarking_score) == (4, 2.0, 0.25, 0.6)
+
+
+def test_recommendation_parts(spark):
+    df = spark.range(300).selectExpr("id AS row_id", "id % 17 AS a", "(id * 7) % 23 AS b", "1 AS one", "CAST(id % 2 AS INT) AS label", "5 * CAST(id % 2 AS INT) AS leak")
+    got = recommend.recommendation(df, "label", spark.createDataFrame([("a", 2.0), ("b", 1.0), ("leak", 3.0)], "column string, importance double"), lambda rows, kind: rows.withColumn("predicted_delta_raw", F.length("method") / 100.0), order_by="row_id")
+    assert {tuple(r) for r in got.skipped.collect()} == {("row_id", "id"), ("one", "constant")}
+    said = got.advisories.collect()
+    assert [r.category for r in said] == ["leakage", "Small Dataset"] and said[0].severity == "high" and "leak: rank correlation" in said[0].detail and said[1].suggested_params["num_leaves"] == 15
+    named = recommend.recommendation(df.withColumn("label", F.concat(F.lit("class "), "label")), "label", spark.createDataFrame([("a", 2.0)], "column string, importance double"), {})
+    assert {r.type for r in named.suggestions.collect()} <= {"date", "text"} and named.advisories.count() == 1
+    assert got.dataset.first().baseline_score == 0.5 and not {"row_id", "one"} & {r.column for r in got.suggestions.collect()}
+
+
+def test_pair_meta_edges(spark):
+    rows = [(1.0, None, "a", None, 0), (2.0, None, "b", "x", 1), (None, None, None, "y", 0), (4.0, None, "a", "x", 1)]
+    df = spark.createDataFrame(rows, "u double, v double, g string, h string, label int")
+    none = spark.createDataFrame([], "column string, importance double")
+    got = {(r.a, r.b): r for r in pairs.pair_meta(df, [("u", "v"), ("g", "u"), ("g", "h")], "label", none).collect()}
+    r = got["u", "v"]
+    assert (r.pearson_corr, r.spearman_corr, r.eta_squared, r.cramers_v, r.sum_importance) == (0.0, 0.0, -10.0, -20.0, 0.0)
+    r = got["g", "u"]  # groups a: 1, 4 and b: 2; the mean is that of all numbers
+    assert (r.pearson_corr, r.cramers_v, r.n_groups) == (-10.0, -10.0, 2.0) and math.isclose(r.eta_squared, (2 * (2.5 - 7 / 3) ** 2 + (2 - 7 / 3) ** 2) / (14 / 3), rel_tol=1e-9) and r.anova_f_stat == 0.0
+    r = got["g", "h"]
+    assert (r.pearson_corr, r.eta_squared, r.joint_cardinality, r.joint_sparsity) == (-20.0, -20.0, 4.0, 0.0) and 0 < r.cramers_v <= 1
+
+
+def test_joint_measures(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 30, 400).astype(float), rng.normal(size=400)
+    y = np.round(y + x / 10, 1)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": np.where(x > 5, y, np.nan)}))
+    df = df.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    asked = [("xy", F.col("x"), F.col("y")), ("xz", F.col("x"), F.col("z"))]
+    want = {i: pd.DataFrame({"a": x, "b": b}).dropna() for i, b in (("xy", y), ("xz", np.where(x > 5, y, np.nan)))}
+    for r in joint.rank_correlations(joint.counts(df, asked)).collect():
+        assert r.n == len(want[r.id]) and math.isclose(r.spearman, want[r.id].rank().corr().iloc[0, 1], rel_tol=1e-9)
+    for r in joint.correlations(df, asked).collect():
+        assert r.n == len(want[r.id]) and math.isclose(r.pearson, want[r.id].corr().iloc[0, 1], rel_tol=1e-9)
+    for r in joint.information(joint.counts(df, asked)).collect():
+        t = pd.crosstab(want[r.id].a, want[r.id].b).to_numpy() / len(want[r.id])
+        e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True)
+        assert math.isclose(r.mi, (t[t > 0] * np.log(t[t > 0] / e[t > 0])).sum(), rel_tol=1e-9) and math.isclose(r.entropy_y, -(t.sum(0) * np.log2(t.sum(0))).sum(), rel_tol=1e-9)
+    flat = joint.correlations(df.withColumn("c", F.lit(3.3)), [("xc", F.col("x"), F.col("c"))]).first()
+    assert flat.pearson is None
+
+
 def test_linear_copies_make_no_pairs(spark):
     df = spark.range(200).selectExpr("id AS a", "3 * id + 1 AS b", "id % 7 AS c", "concat('g', id % 7) AS g", "CAST(id % 2 AS INT) AS label")
     imps = spark.createDataFrame([("a", 4.0), ("b", 3.0), ("c", 2.0), ("g", 1.0)], "column string, importance double")
