@@ -195,8 +195,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     long = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where(F.octet_length("text") >= 2 * WINDOW - 1)
     keys = long.select("doc_id", "text_hash", F.md5("text").alias("key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")
-    copied = keys.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first.doc_id")
-    others = keys.join(copied.withColumnRenamed("doc_id", "first"), "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    # written apart from the aggregate, so that the join isn't bound to its partitions and a hot text can be split
+    copied = written(keys.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", F.col("first.doc_id").alias("first")), "copied")
+    others = keys.join(small(copied), "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     wholes = written(others.select("doc_id", "text_hash").distinct(), "copies")
     gone = small(wholes.toDF("__gone", "__gone_hash"))
     own = long.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("text_hash") == F.col("__gone_hash")), "left_anti")
