@@ -119,10 +119,16 @@ def exact_stratified_split(spark, d):
     return prepare.exact_stratified_split(_orders(spark, d), "priority", "key").select("key", "is_test")
 
 
-@query()
+@query(f"""WITH {SQL_ORDERS}, n AS (SELECT priority, count(*) AS n, sum(count(*)) OVER () AS t FROM ords GROUP BY 1), z AS (SELECT *, CASE WHEN t <= least(20000, greatest(2000, t // 10)) THEN t ELSE least(20000, greatest(2000, t // 10)) END AS size FROM n),
+    q AS (SELECT priority, n * size // t + (row_number() OVER (ORDER BY (n * size) % t DESC, priority) <= size - sum(n * size // t) OVER ())::int AS quota FROM z)
+    SELECT key, priority FROM (SELECT key, priority, quota, row_number() OVER (PARTITION BY priority ORDER BY md5(key::varchar), key) AS k FROM ords JOIN q USING (priority)) AS r WHERE k <= quota""")
 def quick_sample(spark, d):
-    df = _orders(spark, d)
-    return prepare.quick_sample(df, "status", df.count()).groupBy("status").agg(F.count("*").alias("n"))
+    return prepare.quick_sample(_orders(spark, d), "priority", "key").select("key", "priority")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT key FROM ords QUALIFY row_number() OVER (ORDER BY md5(key::varchar), key) <= 3000 // 6")
+def capped_cells(spark, d):
+    return prepare.cap_cells(_orders(spark, d), "key", 3_000).select("key")
 
 
 @query(f"WITH {SQL_ORDERS} SELECT key, " + ", ".join(f"({SQL_FOLD.format(k=f"'r{r}:' || key::varchar", n=5)})::int AS fold_{r}" for r in range(3)) + " FROM ords")
@@ -418,7 +424,9 @@ def pair_spearman(spark, d):
     return _r(meta.pair_spearman(_items(spark, d), "gap", "price"))
 
 
-@query()
+@query(f"""WITH {SQL_ITEMS}, c AS (SELECT len(list_filter((SELECT list_distinct(quantile_cont(quantity, [{_QS}])) FROM items), lambda e: quantity > e)) AS x, len(list_filter((SELECT list_distinct(quantile_cont(price, [{_QS}])) FROM items), lambda e: price > e)) AS y, count(*) AS c FROM items GROUP BY 1, 2),
+    w AS (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY x) AS a, sum(c) OVER (PARTITION BY y) AS b FROM c), h AS (SELECT -sum(p * log2(p)) AS h FROM (SELECT sum(c) / sum(sum(c)) OVER () AS p FROM c GROUP BY y) AS g)
+    SELECT round(least(1, greatest(0, sum(c / n * ln(c * n / (a * b)))) / any_value(h)), 6)::double AS mic_score FROM w, h""")
 def mic_score(spark, d):
     return _r(meta.mic_score(_items(spark, d), "quantity", "price"))
 

@@ -41,6 +41,11 @@ def average_ranks(values: DataFrame, key: str, v: str, n: str, to: str) -> DataF
     return own.join(F.broadcast(below), [key, "__p"]).select(key, v, (F.col("__below") + F.col("__upto") - (F.col(n) - 1) / 2).alias(to))
 
 
+def places(values: DataFrame, v: str, to: str) -> DataFrame:
+    """v and `to` (double): the place of each of the distinct values, from 0, in order."""
+    return average_ranks(values.select(F.lit("").alias("id"), v, F.lit(1).alias("n")), "id", v, "n", "r").select(v, (F.col("r") - 1).cast("double").alias(to))
+
+
 def rank_correlations(cells: DataFrame) -> DataFrame:
     """id, n, spearman (null if a side doesn't vary) of counts()."""
     rx, ry = (average_ranks(cells.groupBy("id", k).agg(F.sum("c").alias("n")), "id", k, "n", f"r{k}") for k in ("x", "y"))

@@ -113,9 +113,9 @@ def histogram_entropy(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _entropy_of(rows: DataFrame, value: str) -> DataFrame:
+    """column, entropy in bits, from the sums of c and c log c over the counts c of its values."""
     counts = rows.groupBy("column", value).agg(F.count("*").alias("c"))
-    p = F.col("c") / F.sum("c").over(Window.partitionBy("column"))
-    return counts.withColumn("p", p).groupBy("column").agg(F.sum(-F.col("p") * F.log2("p")).alias("entropy"))
+    return counts.groupBy("column").agg(F.greatest(F.lit(0.0), F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy"))
 
 
 def spearman_with_target(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -138,10 +138,8 @@ def binned_mutual_information(df: DataFrame, columns: list[str], label: str, bin
 
 def mutual_information(rows: DataFrame) -> DataFrame:
     """column, mi in nats of rows (column, v, y), from contingency counts."""
-    cells = rows.groupBy("column", "v", "y").agg(F.count("*").alias("c"))
-    over = lambda *k: F.sum("c").over(Window.partitionBy("column", *k))
-    cells = cells.select("column", "c", over().alias("n"), over("v").alias("a"), over("y").alias("b"))
-    return cells.groupBy("column").agg(F.greatest(F.lit(0.0), F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("a") * F.col("b"))))).alias("mi"))
+    cells = rows.groupBy(F.col("column").alias("id"), F.col("v").alias("x"), "y").agg(F.count("*").alias("c"))
+    return joint.information(cells).select(F.col("id").alias("column"), "mi")
 
 
 def numeric_column_meta(df: DataFrame, columns: list[str], label: str, with_mi: bool = False) -> DataFrame:
@@ -182,16 +180,18 @@ def categorical_column_meta(df: DataFrame, columns: list[str], label: str) -> Da
     cells = long_categories(df, columns, label).groupBy("column", "v", "y").agg(F.count("*").alias("c"))
     values = cells.groupBy("column", "v").agg(F.sum("c").alias("n"))
     rows = values.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "v")
-    own = values.where("v IS NOT NULL").withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("column"))).withColumn("k", F.row_number().over(order))
+    known = values.where("v IS NOT NULL")
+    own = known.join(F.broadcast(known.groupBy("column").agg(F.sum("n").alias("t"))), "column").withColumn("p", F.col("n") / F.col("t"))  # a row for each column
+    # only the first three of a column leave a task
+    first = own.withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "v"))).where("k <= 3").groupBy("column").agg(F.sum("p").alias("top3_category_concentration"))
     shape = own.groupBy("column").agg(
-        F.count("*").alias("n_unique"), F.max("p").alias("top_category_dominance"), F.sum(F.when(F.col("k") <= 3, F.col("p"))).alias("top3_category_concentration"), F.avg((F.col("p") < 0.01).cast("double")).alias("rare_category_pct"), F.sum(-F.col("p") * F.log2("p")).alias("entropy"),
-    )
+        F.count("*").alias("n_unique"), F.max("p").alias("top_category_dominance"), F.avg((F.col("p") < 0.01).cast("double")).alias("rare_category_pct"), F.sum(-F.col("p") * F.log2("p")).alias("entropy"),
+    ).join(F.broadcast(first), "column", "left")
     inner = cells.where("v IS NOT NULL AND y IS NOT NULL").withColumn("t", F.sum("c").over(Window.partitionBy("column", "v")))
     h = inner.groupBy("column", "v").agg(F.max("t").alias("t"), F.sum(-F.col("c") / F.col("t") * F.log2(F.col("c") / F.col("t"))).alias("h"))
     conditional = h.join(F.broadcast(rows.select("column", "n_rows")), "column").groupBy("column").agg(F.sum(F.col("t") / F.col("n_rows") * F.col("h")).alias("conditional_entropy"))
-    over = lambda *k: F.sum("c").over(Window.partitionBy("column", *k))
-    mi = cells.where("v IS NOT NULL AND y IS NOT NULL").select("column", "c", over().alias("n"), over("v").alias("a"), over("y").alias("b")).groupBy("column").agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("a") * F.col("b")))).alias("mutual_info_score"))
+    told = joint.information(cells.where("v IS NOT NULL AND y IS NOT NULL").select(F.col("column").alias("id"), F.col("v").alias("x"), "y", "c"))
+    mi = told.select(F.col("id").alias("column"), F.col("mi").alias("mutual_info_score"))
     every = rows.join(shape, "column", "left").join(conditional, "column", "left").join(mi, "column", "left").fillna(0)
     u = F.col("n_unique")
     return every.select(
@@ -235,19 +235,11 @@ def pair_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def mic_score(df: DataFrame, a: str, b: str) -> DataFrame:
     """mic_score: min(MI in nats / entropy of b in bits, 1) over quantile bins after median fill; the units are the definition's."""
-    n = df.count()
-    bins = min(20, max(5, int(n**0.4)))
-    points = (0.5, *(i / bins for i in range(1, bins)))
-    q = quantiles(df, {a: points, b: points})
-
-    def place(c):
-        own = q[c] or [0.0]
-        x = F.coalesce(number(c), F.lit(own[0]))
-        return sum(((x > e).cast("int") for e in sorted(set(own[1:]))), F.lit(0))
+    from .pairs import coded  # it builds on this module
 
-    rows = df.select(F.lit("p").alias("column"), place(a).alias("v"), place(b).alias("y"))
-    h = _entropy_of(rows.select("column", "y"), "y")
-    return mutual_information(rows).join(h, "column").select(F.when(F.col("entropy") > 0, F.least(F.col("mi") / F.col("entropy"), F.lit(1.0))).otherwise(F.lit(0.0)).alias("mic_score"))
+    codes = coded(df, [a, b])
+    found = joint.information(joint.counts(df, [("p", codes[a], codes[b])]))
+    return found.select(F.when(F.col("entropy_y") > 0, F.least(F.col("mi") / F.col("entropy_y"), F.lit(1.0))).otherwise(F.lit(0.0)).alias("mic_score"))
 
 
 def mixed_pair_meta(df: DataFrame, num: str, cat: str) -> DataFrame:

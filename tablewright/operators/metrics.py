@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import joint
+
 STEPS, LOW, HIGH = 200, 0.01, 0.99
 
 
@@ -99,8 +101,9 @@ def multiclass_auc(scored: DataFrame, classes: list[str], label: str = "label")
     """roc_auc: one against the rest, weighted by the classes' shares. Scores of class c are in prob_c; one pass over all classes."""
     long = scored.select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), (F.col(label) == c).cast("int").alias("y"), F.col(f"prob_{c}").alias("s")) for c in classes))))
     counts = long.groupBy("c", "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    under = F.sum("q").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q") / 2
-    each = counts.withColumn("u", F.col("p") * under).groupBy("c").agg(F.sum("u").alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    # the average rank of a score among the negatives is half a place above their number below, ties counting half
+    ranks = joint.average_ranks(counts.select("c", "s", "q"), "c", "s", "q", "r")
+    each = counts.join(ranks, ["c", "s"]).withColumn("u", F.col("p") * (F.col("r") - 0.5)).groupBy("c").agg(F.sum("u").alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return each.where("np > 0 AND nq > 0").agg((F.sum(F.col("u") / F.col("nq")) / F.sum("np")).alias("roc_auc"))
 
 

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import joint
 from ..functions.columns import category, category_columns, md5fold, number, numeric_columns, quoted
 from ..functions.quantiles import quantiles
 from . import metrics, prepare
@@ -34,8 +35,6 @@ class Encoders:
 
 def fit_encoders(train: DataFrame, label: str, extra: DataFrame | None = None, skip: tuple[str, ...] = ()) -> Encoders:
     """Codes over the union of train and extra, in alphabetical order from 0; medians from train."""
-    from pyspark.sql import Window
-
     numeric = [c for c in numeric_columns(train) if c != label and c not in skip]
     cats = [c for c in category_columns(train) if c != label and c not in skip]
     enc = Encoders([c for c in train.columns if c in numeric or c in cats], cats)
@@ -44,7 +43,7 @@ def fit_encoders(train: DataFrame, label: str, extra: DataFrame | None = None, s
     for c in cats:
         values = train.select(category(c).alias("v"))
         values = (values.unionByName(extra.select(category(c).alias("v"))) if extra is not None and c in extra.columns else values).distinct()
-        enc.codes[c] = values.select("v", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("double").alias("code"))  # distinct values only
+        enc.codes[c] = joint.places(values, "v", "code")
     return enc
 
 

@@ -51,26 +51,57 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fold: int = 4, fo
     return df.withColumn("is_test", md5fold(quoted(key), folds) == test_fold)
 
 
+def _first_by_hash(df: DataFrame, label: str | None, key: str, quota: DataFrame) -> DataFrame:
+    """df with __in: of each class in quota (label, quota), the rows whose key's md5 is smallest, then by key, as many as its quota.
+
+    Rows are counted by class and the first digits of the hash; that decides all but the one group of each class in which the quota
+    ends, so only that group is put in order.
+    """
+    digits = F.substring(F.md5(quoted(key).cast("string")), 1, 3)
+    rows = df.withColumn("__class", quoted(label).cast("string") if label else F.lit("")).withColumn("__digits", digits)
+    counts = rows.groupBy("__class", "__digits").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__class").orderBy("__digits").rowsBetween(Window.unboundedPreceding, 0))  # 4096 rows a class at most
+    own = counts.withColumn("upto", upto).join(F.broadcast(quota), F.col("__class").eqNullSafe(F.col("label")))
+    ends = own.where(F.col("upto") >= F.col("quota")).groupBy("__class").agg(F.min(F.struct("__digits", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))).alias("e"))
+    ends = ends.select(F.col("__class").alias("__at"), F.col("e.__digits").alias("__end"), F.col("e.rest").alias("__rest"))
+    told = rows.join(hinted(ends), F.col("__class").eqNullSafe(F.col("__at")), "left")
+    order = Window.partitionBy("__class").orderBy(F.md5(quoted(key).cast("string")), quoted(key))
+    last = F.col("__digits") == F.col("__end")
+    tied = told.where(last).withColumn("__in", F.row_number().over(order) <= F.col("__rest"))
+    sure = told.where(~F.coalesce(last, F.lit(False))).withColumn("__in", F.coalesce(F.col("__digits") < F.col("__end"), F.lit(False)))
+    return sure.unionByName(tied).drop("__class", "__digits", "__at", "__end", "__rest")
+
+
 def exact_stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2) -> DataFrame:
     """df with is_test: of each class with two rows or more, the floor(share x n) rows whose key's hash is smallest (the key decides ties)."""
-    order = Window.partitionBy(quoted(label)).orderBy(F.md5(quoted(key).cast("string")), quoted(key))
-    n = F.count("*").over(Window.partitionBy(quoted(label)))
-    return df.withColumn("is_test", (n >= 2) & (F.row_number().over(order) <= F.floor(n * share)))
+    counts = df.groupBy(quoted(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    return _first_by_hash(df, label, key, counts.select("label", F.when(F.col("n") >= 2, F.floor(F.col("n") * share)).otherwise(F.lit(0)).alias("quota"))).withColumnRenamed("__in", "is_test")
 
 
-def quick_sample(df: DataFrame, label: str, n_rows: int, seed: int = 42) -> DataFrame:
-    """A stratified sample of min(20000, max(2000, n/10)) rows, as the expected size; all rows if there are fewer."""
-    size = min(20_000, max(2_000, n_rows // 10))
-    if n_rows <= size:
+def quick_sample(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Exactly min(20000, max(2000, n/10)) rows, each class with its share, those whose key's hash is smallest; all rows if there are fewer.
+
+    Classes get the whole part of their share; those with the largest rest (then by name) one more, until the size is reached.
+    """
+    counts = df.groupBy(quoted(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = min(20_000, max(2_000, total // 10))
+    if total <= size:
         return df
-    classes = [r[0] for r in class_counts(df, label).select(label).collect()]
-    return df.sampleBy(quoted(label), {c: size / n_rows for c in classes}, seed)
+    whole = F.expr(f"n * {size}L div {total}L")
+    each = counts.withColumn("whole", whole).withColumn("rest", F.col("n") * size - F.col("whole") * total)
+    missing = F.lit(size) - F.sum("whole").over(Window.partitionBy(F.lit(0)))  # a row for each class
+    extra = F.row_number().over(Window.orderBy(F.desc("rest"), "label")) <= missing
+    return _first_by_hash(df, label, key, each.select("label", (F.col("whole") + extra.cast("long")).alias("quota"))).where("__in").drop("__in")
 
 
-def cap_cells(df: DataFrame, n_rows: int, max_cells: int = 100_000_000, seed: int = 42) -> DataFrame:
-    """A sample of max_cells / columns rows, as the expected size."""
+def cap_cells(df: DataFrame, key: str, max_cells: int = 100_000_000) -> DataFrame:
+    """The max_cells / columns rows whose key's hash is smallest; all rows if there are no more."""
     size = max_cells // max(1, len(df.columns))
-    return df if n_rows <= size else df.sample(size / n_rows, seed)
+    if df.count() <= size:
+        return df
+    quota = df.sparkSession.range(1).select(F.lit("").alias("label"), F.lit(size).cast("long").alias("quota"))
+    return _first_by_hash(df, None, key, quota).where("__in").drop("__in")
 
 
 def repeated_folds(df: DataFrame, key: str, folds: int = 5, repeats: int = 3) -> DataFrame:

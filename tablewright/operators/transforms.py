@@ -13,6 +13,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import joint
 from ..functions.columns import category, hinted, md5fold, number, numeric_columns, quoted, without_accents
 from ..functions.dates import day_first, parsed_date
 from ..functions.quantiles import quantiles
@@ -145,10 +146,8 @@ def _fit_one(train: DataFrame, s: Step, found: dict, label: str, key: str) -> No
         s.params["otherwise"] = found[f"mean:{num}"] if m == "group_mean" else table.agg(F.avg("value")).first()[0]
         s.table = hinted(table)
     elif m == "cat_concat":
-        from pyspark.sql import Window
-
         kinds = train.select(F.concat_ws("_", category(c), category(s.column_b)).alias("key")).distinct()
-        s.table = hinted(kinds.select("key", (F.dense_rank().over(Window.orderBy("key")) - 1).alias("value")))  # over distinct pairs, few by the gate
+        s.table = hinted(joint.places(kinds, "key", "value").withColumn("value", F.col("value").cast("int")))
     elif m == "row_numeric_stats":
         s.params["medians"] = {x: found[f"median:{x}"] or 0.0 for x in s.params["columns"]}
     elif m == "date_features":
