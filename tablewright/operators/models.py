@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
+import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
@@ -20,6 +23,12 @@ from . import metrics, prepare
 # Presets: library and collector.
 LIBRARY = {"maxIter": 60, "stepSize": 0.1, "maxDepth": 5}
 COLLECTOR = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5}
+#: Rounds without gain after which boosting stops.
+PATIENCE = 20
+#: Ranges of the search: of whole numbers, or of numbers on a logarithmic scale.
+RANGES = {
+    "maxIter": (20, 120), "maxDepth": (3, 9), "minInstancesPerNode": (1, 50), "maxBins": (32, 256), "stepSize": (0.01, 0.3), "subsamplingRate": (0.5, 1.0), "minInfoGain": (1e-6, 1e-2), "minWeightFractionPerNode": (1e-5, 1e-2), "featureShare": (0.3, 1.0),
+}
 FAMILIES = ("numerical", "categorical", "interaction", "row")
 
 
@@ -63,16 +72,42 @@ def matrix(df: DataFrame, enc: Encoders, keep: list[str], unseen: float = 0.0) -
     return VectorAssembler(inputCols=[f"__x{i}" for i in range(len(values))], outputCol="features").transform(own).select(*keep, "features")
 
 
+def kept_rounds(losses: list[float], patience: int = PATIENCE) -> int:
+    """How many rounds to keep: up to the least loss before `patience` rounds in a row have brought no gain; 1 at least."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def train_classifier(rows: DataFrame, n_classes: int, label: str = "label", params: dict | None = None, weight: str | None = None, validation: str | None = None, seed: int = 42):
-    """Boosted trees for two classes (with early stopping if `validation` marks rows), a forest for more (it has probabilities of its own)."""
+    """Boosted trees for two classes, a forest for more (it has probabilities of its own).
+
+    validation: a boolean column of rows that are only looked at. The loss on these is found after every round; the model is
+    then that of the rounds up to the best one, after PATIENCE rounds without gain (trees are grown one after the other from
+    one seed, so the shorter model is the beginning of the longer one). Without rows on both sides nothing is cut.
+    """
     p = LIBRARY | (params or {})
-    if n_classes == 2:
-        model = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, maxBins=256, **p)
-        if validation:
-            model.setValidationIndicatorCol(validation)
-    else:
+    if n_classes != 2:
         model = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, maxBins=256, numTrees=p["maxIter"], maxDepth=p["maxDepth"])
-    return (model.setWeightCol(weight) if weight else model).fit(rows)
+        return (model.setWeightCol(weight) if weight else model).fit(rows)
+    model = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **({"maxBins": 256} | p))
+    model = model.setWeightCol(weight) if weight else model
+    if not validation:
+        return model.fit(rows)
+    own, held = rows.where(~F.coalesce(F.col(validation), F.lit(False))).cache(), rows.where(F.col(validation)).cache()
+    try:
+        if own.isEmpty() or held.isEmpty():
+            return model.fit(rows)
+        fitted = model.fit(own)
+        rounds = kept_rounds(fitted.evaluateEachIteration(held))
+        return fitted if rounds == fitted.getNumTrees else model.copy({model.maxIter: rounds}).fit(own)
+    finally:
+        own.unpersist()
+        held.unpersist()
 
 
 def scored(model, rows: DataFrame, n_classes: int) -> DataFrame:
@@ -162,6 +197,46 @@ def search(rows: DataFrame, key: str, grid: list[dict], label: str = "label") ->
     return json.loads(max(got, key=lambda x: (x[1], x[0]))[0]), rows.sparkSession.createDataFrame(got, "params string, auc double")
 
 
+def trials(n: int, seed: int = 42, ranges: dict[str, tuple] | None = None) -> list[dict]:
+    """n sets of parameters from RANGES, the same ones for a seed; whole numbers evenly, others evenly on a logarithmic scale."""
+    rng = random.Random(seed)
+    one = lambda low, high: rng.randint(low, high) if isinstance(low, int) else math.exp(rng.uniform(math.log(low), math.log(high)))
+    made = [{k: one(*r) for k, r in (ranges or RANGES).items()} for _ in range(n)]
+    return [{k: v for k, v in t.items() if k != "featureShare"} | ({"featureSubsetStrategy": f"{t['featureShare']:.3f}"} if t.get("featureShare", 1.0) < 1 else {}) for t in made]
+
+
+def search_ranges(rows: DataFrame, key: str, n: int = 27, label: str = "label", seed: int = 42, ranges: dict[str, tuple] | None = None, keep: int = 3, side_by_side: int = 3) -> tuple[dict, DataFrame]:
+    """The best of n trials() by AUC on one fixed fifth of the rows, and the table of all runs (trial, rounds, auc, params).
+
+    Successive halving: all trials run with a ninth of their rounds, the best third of them with a third, the best third of
+    those with all. side_by_side trials are fitted at a time. A trial that can't be fitted has an AUC of 0.5; ties go to the earlier trial.
+    """
+    split = rows.withColumn("__test", md5fold(quoted(key), 5) == 4).cache()
+    asked, found = dict(enumerate(trials(n, seed, ranges))), []
+
+    def run(trial: int, share: float) -> tuple[int, int, float]:
+        p = asked[trial]
+        rounds = max(1, math.ceil(p["maxIter"] * share))
+        held = scored(train_classifier(split.where("NOT __test"), 2, label, p | {"maxIter": rounds}), split.where("__test"), 2)
+        return trial, rounds, metrics.ranking_metrics(held, label).first().roc_auc or 0.5
+
+    try:
+        split.count()  # cached before the trials share it
+        left, share = list(asked), 1 / keep**2
+        with ThreadPoolExecutor(side_by_side) as pool:
+            while True:
+                done = list(pool.map(lambda t: run(t, share), left))
+                found += done
+                left = [t for t, _, _ in sorted(done, key=lambda x: (-x[2], x[0]))]
+                if share >= 1:
+                    break
+                left, share = left[: max(1, math.ceil(len(left) / keep))], min(1.0, share * keep)
+    finally:
+        split.unpersist()
+    table = rows.sparkSession.createDataFrame([(t, r, a, json.dumps(asked[t], sort_keys=True)) for t, r, a in found], "trial int, rounds int, auc double, params string")
+    return asked[left[0]], table
+
+
 def train_family_model(results: DataFrame, features: list[str], target: str, group: str, folds: int = 5, params: dict | None = None) -> tuple[object, DataFrame]:
     """A regressor on all results, and its grouped cross-validation: fold, mae, rmse, r2, median_ae."""
     x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(-999.0)) if f in results.columns else F.lit(-999.0) for f in features))

@@ -173,6 +173,40 @@ def test_candidates(spark):
     assert by["nc"] == [(f"n{j}", f"c{i}") for i in range(6) for j in range(8) if (i, j) != (0, 0)][:20] and by["cc"] == [(f"c{i}", f"c{j}") for i in range(6) for j in range(i + 1, 6)][:10]
 
 
+def test_early_stopping_and_search(spark):
+    assert models.kept_rounds([5, 4, 3, 3.5, 2]) == 5 and models.kept_rounds([5, 4, 3, 3.5, 3.5, 2], 2) == 3 and models.kept_rounds([1.0]) == 1
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + 1.5 * rng.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i])) for i in range(400)], "key long, a double, b double, c double, label int")
+    enc = models.fit_encoders(df, "label", skip=("key",))
+    rows = models.matrix(df, enc, ["key", "label"]).withColumn("held", F.col("key") % 4 == 0)
+    long = models.train_classifier(rows.where("NOT held"), 2, params={"maxIter": 40, "stepSize": 0.3})
+    cut = models.train_classifier(rows, 2, params={"maxIter": 40, "stepSize": 0.3}, validation="held")
+    held = rows.where("held")
+    losses = long.evaluateEachIteration(held)
+    assert cut.getNumTrees < 40 and cut.getNumTrees == models.kept_rounds(losses) and cut.evaluateEachIteration(held)[-1] <= losses[-1]
+    assert models.train_classifier(rows.withColumn("held", F.lit(False)), 2, params={"maxIter": 2}, validation="held").getNumTrees == 2
+    assert models.trials(3) == models.trials(3) != models.trials(3, 1) and all(set(t) >= {"maxIter", "maxDepth", "stepSize"} for t in models.trials(5))
+    # a planted best: only deep trees can follow the sign of a product
+    planted = df.withColumn("label", (F.col("a") * F.col("b") > 0).cast("int"))
+    rows = models.matrix(planted, models.fit_encoders(planted, "label", skip=("key",)), ["key", "label"])
+    best, table = models.search_ranges(rows, "key", 4, ranges={"maxIter": (6, 6), "maxDepth": (1, 5)}, side_by_side=2)
+    told = table.collect()
+    assert best["maxDepth"] >= 3 and len(told) == 4 + 2 + 1 and {r.rounds for r in told} == {1, 2, 6} and max(r.auc for r in told if r.rounds == 6) > 0.85
+
+
+def test_exact_samples(spark):
+    df = spark.range(5000).selectExpr("id AS key", "CASE WHEN id % 100 = 0 THEN NULL WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS label", "id % 7 AS x")
+    got = prepare.quick_sample(df, "label", "key")
+    assert got.columns == df.columns and got.count() == 2000 and {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {None: 20, "a": 660, "b": 1320}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, prepare.quick_sample(df.repartition(7), "label", "key").collect()), key=str)
+    assert prepare.quick_sample(df.limit(100), "label", "key").count() == 100 and prepare.cap_cells(df, "key", 3000).count() == 1000 and prepare.cap_cells(df, "key").count() == 5000
+    split = prepare.exact_stratified_split(df, "label", "key")
+    assert {r.label: r.n for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {None: 10, "a": 330, "b": 660} and split.count() == 5000
+    assert prepare.exact_stratified_split(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "key long, label string"), "label", "key", 0.5).where("is_test").count() == 1
+
+
 def test_family_store(spark):
     rows = spark.createDataFrame([(f"d{i % 6}", ["log_transform", "sqrt_transform"][i % 2], i / 50.0, None if i % 5 == 0 else float(i % 7), 2 * i / 50.0 + (i % 2) / 2) for i in range(50)] + [("d0", "log_transform", 1.0, 1.0, None)], "dataset_name string, method string, null_pct double, normality_p_value double, cohens_d double")
     order = ["null_pct", "shapiro_p_value", "gone", "method_log_transform", "method_sqrt_transform"]
