@@ -15,7 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ from .encoding import STEP_BYTES, cut
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
 BANDS, ROWS = 14, 4
 MAX_BUCKET, PIVOTS = 64, 8
+#: Bits of the number of a counter of shingles, at most, and within a block.
+COUNTER_BITS, COUNTER_BLOCK = 22, 12
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _random = np.random.default_rng(SEED)
 _MASKS, _FACTORS = _random.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -121,14 +123,66 @@ def loose_entries(posted: DataFrame, found: DataFrame) -> DataFrame:
     return inside.groupBy("cls").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("low").alias("low"), F.max(F.col("root") != F.col("most")).alias("loose"))
 
 
+def frequencies(sets: DataFrame, bits: int) -> np.ndarray:
+    """How often shingles of the sets (hashes) fall in each of 2^bits counters, by their first bits: never less than a shingle's own number of sets.
+
+    Each task counts what it reads; the counts of all tasks are added up in blocks of counters. 4 << bits bytes reach the driver.
+    """
+    low = min(bits, COUNTER_BLOCK)
+
+    def counted(batches):
+        own = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            at, n = np.unique(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - bits), return_counts=True)
+            own[at.astype(np.int64)] += n
+        at = np.flatnonzero(own)
+        part = at >> low
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        bounds = pa.array(np.append(starts, len(at)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((at & (1 << low) - 1).astype(np.int32), own[at])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *lists], ["part", "counters", "counts"])
+
+    def added(part: pa.Table) -> pa.Table:
+        at, n = (part.column(c).combine_chunks().flatten().to_numpy() for c in ("counters", "counts"))
+        total = np.minimum(np.bincount(at, weights=n, minlength=1 << low), (1 << 31) - 1).astype("<i4")
+        return pa.table({"part": part.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    found = np.zeros((1 << bits - low, 1 << low), np.int32)
+    rows = for_python(sets).select("hashes").mapInArrow(counted, "part long, counters array<int>, counts array<long>").groupBy("part").applyInArrow(added, "part long, counts binary")
+    for part, counts in rows.collect():
+        found[part] = np.frombuffer(counts, "<i4")
+    return found.ravel()
+
+
+def _rarest(bits: int, counts):
+    """The first `take` hashes of a set by their counters (a broadcast of frequencies()), then by value: one order for all sets."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def first(hashes: pa.Array, take: pa.Array) -> pa.Array:
+        made = []
+        for own, n in zip(hashes, take.to_pylist(), strict=True):
+            x = own.values.to_numpy()
+            made.append(x[np.lexsort((x, counts.value[(x.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)]))[:n]])
+        return pa.array(made, pa.list_(pa.int64()))
+
+    return first
+
+
 def unconnected(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: of the sets (cls, hashes) of loose_entries(), each loose one and what it shares one of the rarest shingles of both with, as pairs of THRESHOLD do."""
-    tokens = sets.select("cls", F.explode("hashes").alias("token"))
-    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
-    ranked = ranked.select("cls", "token", F.row_number().over(Window.partitionBy("cls").orderBy("df", "token")).alias("rank"))
+    """a, b: of the sets (cls, hashes) of loose_entries(), each loose one and what it shares one of the rarest shingles of both with, as pairs of THRESHOLD do.
+
+    Rare is what has few sets by counters of the shingles' first bits; any one order of all shingles is exact, and this one needs
+    no table of them: only the prefixes are taken out of the sets.
+    """
+    size = members.agg(F.sum("n")).first()[0] or 1
+    bits = max(10, min(COUNTER_BITS, (4 * size).bit_length()))
+    counts = members.sparkSession.sparkContext.broadcast(frequencies(sets, bits))
     least = F.greatest(F.ceil(THRESHOLD * F.col("n") - 1e-9), F.col("low"))  # shingles of a partner
     shared = F.ceil(THRESHOLD / (1 + THRESHOLD) * (F.col("n") + least) - 1e-9)
-    prefix = written(ranked.join(small(members), "cls").where(F.col("rank") <= F.col("n") - shared + 1).select("token", "cls", "n", "rank", "root", "loose"), "prefixes")
+    taken = for_python(sets).join(small(members), "cls").withColumn("tokens", _rarest(bits, counts)("hashes", (F.col("n") - shared + 1).cast("int")))
+    # rank: the place of a shingle in its set, from 1
+    prefix = written(taken.select("cls", "n", "root", "loose", F.posexplode("tokens").alias("at", "token")).withColumn("rank", F.col("at") + 1), "prefixes")
+    counts.unpersist()
     loose = prefix.where("loose").select("token", F.col("cls").alias("a"), "n", "rank", F.col("root").alias("root_a"))
     others = prefix.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rank").alias("rank_b"), F.col("root").alias("root_b"))
     need = F.ceil(THRESHOLD / (1 + THRESHOLD) * (F.col("n") + F.col("m")) - 1e-9)
