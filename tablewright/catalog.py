@@ -321,13 +321,17 @@ def dataset_advisories(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query()
+@query("""WITH src AS (SELECT o_orderpriority AS p, dayname(o_orderdate) AS day FROM orders), v AS (
+        SELECT 'day' AS "column", 'Day-of-Week' AS wanted, count(DISTINCT day) FILTER (lower(day) IN ('monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday')) / count(DISTINCT day) AS value FROM src
+        UNION ALL SELECT 'o_orderpriority', 'Numerical', count(try_cast(p AS DOUBLE)) / count(p) FROM src UNION ALL SELECT 'o_orderpriority', 'Binary', count(DISTINCT p) FROM src
+        UNION ALL SELECT 'day', 'Date', count(try_cast(day AS DATE)) / count(day) FROM src UNION ALL SELECT 'day', 'Free Text', avg(length(day)) FROM src UNION ALL SELECT 'day', 'Categorical', count(DISTINCT day) FROM src)
+    SELECT "column", wanted, CASE WHEN wanted IN ('Date', 'Day-of-Week') AND value < 0.5 THEN 'warning' WHEN wanted = 'Numerical' AND value < 0.7 THEN 'error' WHEN wanted = 'Numerical' AND value < 0.95 THEN 'warning' WHEN wanted = 'Free Text' AND value < 10 THEN 'warning' WHEN wanted = 'Binary' AND value > 2 THEN 'error' WHEN wanted = 'Categorical' AND value > 500 THEN 'warning' ELSE 'ok' END AS severity, round(value::double, 6) AS value FROM v""")
 def override_checks(spark, d):
     df = _table(spark, d, "orders").select("o_orderpriority", F.date_format("o_orderdate", "EEEE").alias("day"))
     out = profile.override_check(df, "day", "Day-of-Week")
     for c, k in (("o_orderpriority", "Numerical"), ("o_orderpriority", "Binary"), ("day", "Date"), ("day", "Free Text"), ("day", "Categorical")):
         out = out.unionByName(profile.override_check(df, c, k))
-    return out
+    return _r(out)
 
 
 # --- meta-features ---
@@ -645,6 +649,14 @@ _G, _T, _S = _MED.format(c="gap"), _MED.format(c="total"), _MED.format(c="signed
 _transform("log_transform", [Step("log_transform", "signed")], ["signed"], f"round(ln(1 + {_S} + (SELECT CASE WHEN min(signed) <= 0 THEN abs(min(signed)) + 1 ELSE 0 END FROM train)), 6) AS signed")
 _transform("sqrt_transform", [Step("sqrt_transform", "gap")], ["gap"], f"round(sqrt({_G} + (SELECT CASE WHEN min(gap) < 0 THEN abs(min(gap)) ELSE 0 END FROM train)), 6) AS gap")
 _transform("polynomials", [Step("polynomial_square", "signed"), Step("polynomial_cube", "signed"), Step("reciprocal_transform", "signed")], ["signed_sq", "signed_recip"], f"round({_S} * {_S}, 6) AS signed_sq, round(1 / (abs({_S}) + 1e-5), 6) AS signed_recip")
+
+
+@query(f"{_SQL_OWN} SELECT key, round({_S} * {_S} * {_S} / 1e12, 6) AS signed_cube FROM test")
+def polynomial_cube(spark, d):
+    train, test = _own(spark, d)
+    return _r(apply(test, fit(train, [Step("polynomial_cube", "signed")])).select("key", (F.col("signed_cube") / 1e12).alias("signed_cube")))
+
+
 _transform("quantile_binning", [Step("quantile_binning", "gap")], ["gap"], "CASE WHEN gap IS NOT NULL THEN (" + " + ".join(f"(gap > (SELECT quantile_cont(gap, {q}) FROM train))::int" for q in (0.2, 0.4, 0.6, 0.8)) + ")::double END AS gap")
 _transform("impute_and_indicate", [Step("impute_median", "gap"), Step("missing_indicator", "gap"), Step("missing_indicator", "level")], ["gap", "gap_is_na", "level_is_na"], f"round({_G}, 6) AS gap, (gap IS NULL)::int AS gap_is_na, (level IS NULL)::int AS level_is_na")
 _LEVEL = "coalesce({t}.level, 'nan')"
@@ -683,6 +695,14 @@ def date_features(spark, d):
     return _r(fit_and_apply(df, [Step("date_features", "ts"), *(Step(f"date_cyclical_{k}", "ts") for k in ("month", "dow", "dom", "hour"))], key="event_id")[0])
 
 
+@query("SELECT event_id, " + ", ".join(f"round(sin(2 * pi() * {x} / {p}), 6) AS ts_{k}_sin, round(cos(2 * pi() * {x} / {p}), 6) AS ts_{k}_cos" for k, x, p in (("month", "month(ts)", 12), ("dow", "(isodow(ts) - 1)", 7))) + " FROM events")
+def legacy_date_waves(spark, d):
+    """Month and weekday together, of dates in text."""
+    df = _table(spark, d, "events").select("event_id", F.date_format("ts", "MMM d, yyyy h:mm a").alias("ts"))
+    made = fit_and_apply(df, [Step("date_features", "ts"), Step("date_cyclical", "ts")], key="event_id")[0]
+    return _r(made.select("event_id", *(f"ts_{k}_{f}" for k in ("month", "dow") for f in ("sin", "cos"))))
+
+
 @query("""SELECT o_orderkey AS key, (isodow(o_orderdate) - 1)::int AS day_dow, round(sin(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS day_dow_sin, round(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS day_dow_cos FROM orders""")
 def weekday_features(spark, d):
     df = _table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.date_format("o_orderdate", "EEEE").alias("day"))
@@ -736,6 +756,11 @@ def suggestions_by_problem(spark, d):
     return _r(candidates.grouped_by_problem(candidates.normalised(_suggested(spark, d))).drop("best_method"))
 
 
+@query(f"""{_SUGG}, r AS (SELECT min(z) AS lo, max(z) AS hi FROM z), b AS (SELECT least(29, floor((z - lo) / ((hi - lo) / 30)))::int AS bin, count(*) AS n FROM z, r GROUP BY 1) SELECT bin, n, round(lo + bin * (hi - lo) / 30, 6) AS low FROM b, r""")
+def delta_histogram(spark, d):
+    return _r(candidates.delta_histogram(candidates.normalised(_suggested(spark, d))))
+
+
 @query("SELECT CASE WHEN n < 500 THEN 3 WHEN n < 2000 THEN 5 WHEN n < 10000 THEN 8 WHEN n < 50000 THEN 12 ELSE 15 END + 1 AS k FROM (SELECT count(*) AS n FROM lineitem) AS x")
 def recommended_top_k(spark, d):
     return _table(spark, d, "lineitem").agg(F.count("*").alias("n")).select(candidates.recommended_top_k(F.col("n"), F.lit(20)).alias("k"))
@@ -787,7 +812,9 @@ def fold_effects(spark, d):
     return e.select("dataset_name", "method", "n", r("delta", 8), r("delta_normalized", 6), r("noise_floor", 8), r("calibrated_delta", 5), r("cohens_d", 5), r("t_stat", 5))
 
 
-@query()
+#: Seven folds leave six degrees of freedom, for which Student's distribution has a closed form.
+@query(f"""{_EFFECT}, t AS (SELECT *, atan(abs(delta / (sd / sqrt(n))) / sqrt(6)) AS th FROM g WHERE n = 7), p AS (SELECT *, 1 - sin(th) * (1 + pow(cos(th), 2) / 2 + 3 * pow(cos(th), 4) / 8) AS p FROM t)
+    SELECT dataset_name, method, round(p, 8) AS p_value, round(least(1, p * count(*) OVER (PARTITION BY dataset_name)), 8) AS p_bonferroni, p < 0.05 AS is_significant FROM p""")
 def fold_significance(spark, d):
     e = experiments.fold_effects(_folds(spark, d), ["dataset_name", "method"])
     return experiments.bonferroni(e).select("dataset_name", "method", F.round("p_value", 8).alias("p_value"), F.round("p_bonferroni", 8).alias("p_bonferroni"), "is_significant")

@@ -236,3 +236,11 @@ def summary_by_type(s: DataFrame) -> DataFrame:
     """type, evaluated, positive, best_column, best_method, best_delta."""
     best = F.max(F.struct("predicted_delta", "column", "method"))
     return s.groupBy("type").agg(F.count("*").alias("evaluated"), F.count_if(F.col("predicted_delta_raw") > 0).alias("positive"), best.getField("column").alias("best_column"), best.getField("method").alias("best_method"), best.getField("predicted_delta").alias("best_delta"))
+
+
+def delta_histogram(s: DataFrame, bins: int = 30) -> DataFrame:
+    """bin, low, n: how many suggestions have a predicted_delta in each of `bins` bins of equal width that isn't empty; one bin if all are alike."""
+    ends = s.agg(F.min("predicted_delta").alias("lo"), F.max("predicted_delta").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("predicted_delta") - F.col("lo")) / width))).otherwise(F.lit(0)).cast("int")
+    return s.where("predicted_delta IS NOT NULL").join(F.broadcast(ends)).groupBy(place.alias("bin"), "lo", "hi").agg(F.count("*").alias("n")).select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), "n")

@@ -52,9 +52,9 @@ def imbalance_verdict(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("__v", first).select(*metrics.columns, "__v.verdict", "__v.reason")
 
 
-def low_importance(enhanced: DataFrame, originals: DataFrame, limit: float = 0.5) -> DataFrame:
-    """column, share of original columns under `limit` percent."""
-    return shares(enhanced).join(originals.select("column"), "column", "left_semi").where(F.col("share") < limit)
+def low_importance(baseline: DataFrame, originals: DataFrame, limit: float = 0.5) -> DataFrame:
+    """column, share of original columns that hold less than `limit` percent of the baseline model's importance."""
+    return shares(baseline).join(originals.select("column"), "column", "left_semi").where(F.col("share") < limit)
 
 
 def split_by_origin(enhanced: DataFrame, originals: DataFrame) -> DataFrame:
