@@ -489,7 +489,8 @@ def _pair_features() -> str:
             own |= {"cramers_v": f"(SELECT least(1, sqrt(sum(CASE WHEN {two} THEN pow(abs(c - r * t / n) - least(0.5, abs(c - r * t / n)), 2) ELSE pow(c - r * t / n, 2) END / (r * t / n)) / (max(n) * {k}))) FROM {every})", "observed": f"(SELECT count(*) FROM {cell})"}
         pairs.append(f"SELECT '{a}' AS a, '{b}' AS b, " + ", ".join(f"{own.get(c, '0.0')} AS {c}" for c in ("mutual_info_pair", "mic_score", "pearson_corr", "spearman_corr", "sign_concordance", "eta_squared", "anova_f_stat", "n_groups", "cramers_v", "observed")))
     n = "(x.num::int + y.num::int)"
-    step = lambda k, v: f"CASE WHEN {n} = {k} THEN {v} WHEN abs({n} - {k}) = 1 THEN -10 ELSE -20 END"
+    # what needs a number and a category is one step from two numbers and two from two categories
+    step = lambda k, v: f"CASE WHEN {n} = {k} THEN {v} WHEN {n} = {2 if k == 1 else 1} THEN -10 ELSE -20 END"
     cv = lambda k: f"{k}.std / (abs({k}.mean) + 1e-8)"
     made = {
         "n_numerical_cols": n, "mutual_info_pair": "mutual_info_pair", "mic_score": "mic_score", "max_importance": "greatest(x.imp, y.imp)", "min_importance": "least(x.imp, y.imp)", "max_null_pct": "greatest(x.g, y.g)", "both_binary": "(x.u <= 2 AND y.u <= 2)::int",

@@ -150,5 +150,6 @@ def _features(out: DataFrame) -> dict[str, Column]:
     n = F.col("n_numerical_cols")
     for names, own in ((_TWO_NUMBERS, 2), (_MIXED, 1), (_TWO_CATEGORIES, 0)):
         for c in names:
-            found[c] = F.when(n == own, found[c]).when(F.abs(n - own) == 1, F.lit(ONE_STEP)).otherwise(F.lit(TWO_STEPS))
+            near = {2: 1, 1: 2, 0: 1}[own]  # numeric columns of the kind that is one step away
+            found[c] = F.when(n == own, found[c]).when(n == near, F.lit(ONE_STEP)).otherwise(F.lit(TWO_STEPS))
     return {c: found[c].cast("double") for c in FEATURES}
