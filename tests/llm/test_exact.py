@@ -373,3 +373,16 @@ def test_licenses_by_row(spark):
     rows = [(1, "nothing"), (1, text), (None, "x"), (None, text), (2, None)]
     got = [(r.doc_id, r.labels, r.n_words) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted(got, key=str) == sorted([(1, "", 1), (1, "apache-2.0", 12), (None, "", 1), (None, "apache-2.0", 12), (2, "", 0)], key=str)
+
+
+def test_frequencies_of_shingles(spark):
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 64, 50, np.uint64)
+    sets = [np.unique(rng.choice(values, 20)) for _ in range(30)]
+    df = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sets)], "cls long, hashes array<long>").repartition(3)
+    for bits in (4, 14):
+        found = minhash.frequencies(df, bits)
+        plain = Counter(int(v) >> 64 - bits for x in sets for v in x)
+        assert len(found) == 1 << bits and {i: n for i, n in enumerate(found.tolist()) if n} == plain
+    own = Counter(int(v) for x in sets for v in x)
+    assert all(found[v >> 64 - bits] >= n for v, n in own.items())
