@@ -123,11 +123,13 @@ def usable_target(results: DataFrame, expression: str, group: str) -> DataFrame:
 def cross_validated(df: DataFrame, folds: int, repeats: int, evaluate: Callable[[DataFrame, DataFrame], float | None]) -> DataFrame:
     """repeat, fold, score: evaluate(train, validation) of every fold column fold_0 .. of df; a fold of one class gives null.
 
-    df is cached while its folds are in use; the loop on the driver only starts jobs.
+    df is cached while its folds are in use, unless the caller holds it for several calls; the loop on the driver only starts jobs.
     """
-    df = df.cache()
+    held = df.storageLevel.useMemory or df.storageLevel.useDisk
+    df = df if held else df.cache()
     try:
         rows = [(r, k, evaluate(df.where(F.col(f"fold_{r}") != k), df.where(F.col(f"fold_{r}") == k))) for r in range(repeats) for k in range(folds)]
     finally:
-        df.unpersist()
+        if not held:
+            df.unpersist()
     return df.sparkSession.createDataFrame(rows, "repeat int, fold int, score double")

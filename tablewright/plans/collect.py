@@ -77,6 +77,14 @@ def collect(df: DataFrame, label: str, key: str, dataset: str, families: tuple[s
 
     `at_once` cells run side by side, as a fold's jobs alone don't fill a cluster. A dataset whose baseline is at the ceiling gives no rows. The driver starts jobs; tables stay in the executors.
     """
+    held = prepare.repeated_folds(df, key, folds, repeats).cache()  # one copy for all cells, side by side
+    try:
+        return _collected(df, label, key, dataset, families, folds, repeats, params, done, seconds, at_once)
+    finally:
+        held.unpersist()
+
+
+def _collected(df: DataFrame, label: str, key: str, dataset: str, families: tuple[str, ...], folds: int, repeats: int, params: dict | None, done: DataFrame | None, seconds: float, at_once: int) -> DataFrame:
     spark, began = df.sparkSession, time.time()
     base = {(r.repeat, r.fold): r.score for r in evaluate_model(df, label, key, folds, repeats, params).collect()}
     known = [x for x in base.values() if x is not None]

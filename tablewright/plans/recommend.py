@@ -148,7 +148,10 @@ def compare_models(df: DataFrame, label: str, key: str, steps: list[Step], param
         model = models.train_classifier(models.matrix(tr, enc, [label]), 2, label, params)
         scored = models.scored(model, models.matrix(te, enc, [label]), 2).select(F.col(label).alias("label"), "score", "prediction").cache()
         one = metrics.metrics_at_threshold(scored, 0.5).join(metrics.ranking_metrics(scored)).join(metrics.log_loss(scored))
-        return one.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "f1", "precision", "recall", "roc_auc", "log_loss")))))
+        long = one.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "f1", "precision", "recall", "roc_auc", "log_loss")))))
+        found = df.sparkSession.createDataFrame(long.collect(), long.schema)  # a row for each metric
+        scored.unpersist()
+        return found
 
     return metrics.compared(evaluated(train, test), evaluated(made, replay(test, fitted)))
 
