@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import joint
 from ..functions.columns import category, number, numeric_columns, quoted
-from ..functions.quantiles import quantiles
-from .meta import ONE_STEP, TWO_STEPS, _entropy_of, histogram_entropy, long_categories
-from .profile import _one_row_each
+from ..functions.quantiles import counted, counted_quantiles
+from .meta import ONE_STEP, TWO_STEPS, _entropy, _kept, bin_edges, counted_entropy, moments
 
 # Names of the features, in the order of the family's vector.
 FEATURES = (
@@ -26,43 +25,48 @@ _MIXED, _TWO_CATEGORIES = ("eta_squared", "anova_f_stat", "n_groups"), ("cramers
 _FEW = 10
 
 
-def coded(df: DataFrame, columns: list[str]) -> dict[str, Column]:
-    """Each column as text of few values for information(): the quantile bin of a number, nulls filled by the median, or the value itself, nulls as `nan`."""
-    numeric = [c for c in columns if c in numeric_columns(df)]
-    bins = min(20, max(5, int(df.count() ** 0.4)))
-    medians = quantiles(df, {c: (0.5,) for c in numeric}) if numeric else {}
-    filled = {c: F.coalesce(number(c), F.lit(float(medians[c][0]) if medians[c] else 0.0)) for c in numeric}
-    edges = quantiles(df.select(*(filled[c].alias(c) for c in numeric)), {c: tuple(i / bins for i in range(1, bins)) for c in numeric}) if numeric else {}
-    place = {c: sum(((filled[c] > float(e)).cast("int") for e in sorted(set(edges[c] or []))), F.lit(0)).cast("string") for c in numeric}
-    return {c: place[c] if c in place else category(c) for c in columns}
-
-
-def _column_facts(df: DataFrame, columns: list[str], label: str, codes: dict[str, Column]) -> DataFrame:
-    """column, and what a pair's features take from one side."""
-    numeric = [c for c in columns if c in numeric_columns(df)]
-    cats = [c for c in columns if c not in numeric]
-
-    def measures(c):
-        x = number(c) if c in numeric else F.lit(None).cast("double")
-        own = number(c) if c in numeric else quoted(c)
-        return F.count("*").alias("n_rows"), F.count(own).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.coalesce(F.skewness(x), F.lit(0.0)).alias("skew"), F.var_pop(x).alias("var")
-
-    facts = _one_row_each(df, columns, measures)
-    # distinct values by (column, value), not by a copy of every row for each count
-    values = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), (number(c) if c in numeric else quoted(c)).cast("string").alias("v")) for c in columns)))).where("v IS NOT NULL").distinct()
-    facts = facts.join(F.broadcast(values.groupBy("column").agg(F.count("*").alias("n_unique"))), "column", "left")
-    entropy = [histogram_entropy(df, numeric)] if numeric else []
-    entropy += [_entropy_of(long_categories(df, cats).where("v IS NOT NULL"), "v")] if cats else []
-    both = entropy[0] if len(entropy) == 1 else entropy[0].unionByName(entropy[1])
-    told = joint.information(joint.counts(df, [(c, codes[c], quoted(label).cast("string")) for c in columns])).select(F.col("id").alias("column"), F.col("mi").alias("mi_target"))
-    facts = facts.join(F.broadcast(both), "column", "left").join(F.broadcast(told), "column", "left")
+def coded(df: DataFrame, columns: list[str], values: DataFrame | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """df with a code of each column, and the codes: text of few values for information(). It is the quantile bin of a number, nulls filled by the median, or the value itself, nulls as `nan`.
+
+    values: counted() numbers of df (column, v, n), where they are known.
+    """
+    numbers = set(numeric_columns(df))
+    numeric = [c for c in columns if c in numbers]
+    place = {c: category(c) for c in columns if c not in numbers}
     if numeric:
-        ranks = joint.rank_correlations(joint.counts(df, [(c, number(c), number(label)) for c in numeric]))
-        own = ranks.select(F.col("id").alias("column"), F.when(F.col("n") > _FEW, F.coalesce(F.abs("spearman"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("target_corr"))
-        facts = facts.join(F.broadcast(own), "column", "left")
-    else:
-        facts = facts.withColumn("target_corr", F.lit(0.0))
-    return facts.fillna(0.0, ["entropy", "mi_target", "target_corr"]).fillna(0, ["n_unique"])
+        own = counted(df, {c: number(c) for c in numeric}).persist() if values is None else values
+        try:
+            total = own.where(F.col("column") == numeric[0]).agg(F.sum("n")).first()[0] or 0
+            bins = min(20, max(5, int(total**0.4)))
+            medians = {c: float(m[0]) if m else 0.0 for c, m in counted_quantiles(own, {c: (0.5,) for c in numeric}).items()}
+            middle = F.create_map(*(F.lit(x) for pair in medians.items() for x in pair))[F.col("column")]
+            edges = bin_edges(own.groupBy("column", F.coalesce("v", middle).alias("v")).agg(F.sum("n").alias("n")), numeric, bins)
+        finally:
+            if values is None:
+                own.unpersist()
+        place |= {c: _below(F.coalesce(number(c), F.lit(medians[c])), edges[c]).cast("string") for c in numeric}
+    names = {c: f"__code{i}" for i, c in enumerate(columns)}
+    return df.select("*", *(place[c].alias(names[c]) for c in columns)), {c: F.col(names[c]) for c in columns}
+
+
+def _below(x: Column, edges: list[float]) -> Column:
+    """How many of the edges are below x. A constant array keeps the code of many columns short enough to be compiled."""
+    return F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: x > e))
+
+
+def _column_facts(cells: DataFrame, values: DataFrame, texts: DataFrame | None, told: DataFrame) -> DataFrame:
+    """column, and what a pair's features take from one side. cells (column, v, y, n) and values (column, v, n) of the numbers, texts (column, v, n) of the others, told: column and mi_target of all."""
+    names = ("column", "n_rows", "n", "n_unique", "mean", "std", "skew", "entropy", "target_corr")
+    target = cells.select(F.col("column").alias("id"), F.col("v").alias("x"), number("y").alias("y"), F.col("n").alias("c")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("id", "x", "y").agg(F.sum("c").alias("c"))
+    ranks = joint.rank_correlations(target).select(F.col("id").alias("column"), F.when(F.col("n") > _FEW, F.coalesce(F.abs("spearman"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("target_corr"))
+    facts = moments(values).join(F.broadcast(counted_entropy(values)), "column", "left").join(F.broadcast(ranks), "column", "left").withColumn("skew", F.coalesce("skewness", F.lit(0.0))).select(*names)
+    if texts is not None:
+        known = texts.where("v IS NOT NULL")
+        own = texts.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.count("v").alias("n_unique"))
+        own = own.join(F.broadcast(_entropy(known.withColumnRenamed("n", "c"))), "column", "left")
+        none = F.lit(None).cast("double")
+        facts = facts.unionByName(own.withColumns({"mean": none, "std": none, "skew": F.lit(0.0), "target_corr": F.lit(0.0)}).select(*names))
+    return facts.join(F.broadcast(told), "column", "left").fillna(0.0, ["entropy", "mi_target", "target_corr"]).fillna(0, ["n_unique"])
 
 
 def _groups(df: DataFrame, mixed: list[tuple[str, str, str]]) -> DataFrame:
@@ -105,16 +109,29 @@ def pair_meta(df: DataFrame, pairs: list[tuple[str, str]], label: str, importanc
     A numeric label is ranked; what is not a number has no rank correlation. The jobs are one for the columns and one for each
     measure of all pairs; the rows of groups, cells and bins meet by (pair, value).
     """
-    numbers = set(numeric_columns(df))
+    used, numbers = sorted({c for p in pairs for c in p}), set(numeric_columns(df))
+    numeric, cats = [c for c in used if c in numbers], [c for c in used if c not in numbers]
+    # without a number among the columns, one without values keeps the steps alike
+    cells = counted(df, {c: number(c) for c in numeric}, quoted(label)).persist() if numeric else df.sparkSession.createDataFrame([], "column string, v double, y double, n long")
+    try:
+        return _kept(_pair_meta(df, pairs, label, importances, cells, used, cats, numbers))
+    finally:
+        cells.unpersist()
+
+
+def _pair_meta(df: DataFrame, pairs: list[tuple[str, str]], label: str, importances: DataFrame, cells: DataFrame, used: list[str], cats: list[str], numbers: set[str]) -> DataFrame:
     ids = {f"{i}": p for i, p in enumerate(pairs)}
-    used = sorted({c for p in pairs for c in p})
-    codes = coded(df, used)
-    facts = _column_facts(df, used, label, codes).join(F.broadcast(importances.select("column", "importance")), "column", "left").fillna(0.0, ["importance"])
+    values = cells.groupBy("column", "v").agg(F.sum("n").alias("n"))
+    texts = counted(df, {c: quoted(c).cast("string") for c in cats}) if cats else None
+    own, codes = coded(df, used, values)
+    told = joint.information(joint.counts(own, [(c, codes[c], quoted(label).cast("string")) for c in used])).select(F.col("id").alias("column"), F.col("mi").alias("mi_target"))
+    facts = _column_facts(cells, values, texts, told).join(F.broadcast(importances.select("column", "importance")), "column", "left").fillna(0.0, ["importance"])
+    facts = _kept(facts)
     known = df.sparkSession.createDataFrame([(i, a, b, (a in numbers) + (b in numbers), a in numbers) for i, (a, b) in ids.items()], "id string, a string, b string, n_numerical_cols int, a_numeric boolean")
     side = lambda k: facts.select(F.col("column").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in facts.columns if c != "column"))
     out = known.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
-    cells = joint.counts(df, [(i, codes[a], codes[b]) for i, (a, b) in ids.items()])
-    shared = joint.information(cells).select("id", F.col("mi").alias("mutual_info_pair"), F.when(F.col("entropy_y") > 0, F.least(F.lit(1.0), F.col("mi") / F.col("entropy_y"))).otherwise(F.lit(0.0)).alias("mic_score"))
+    both = joint.counts(own, [(i, codes[a], codes[b]) for i, (a, b) in ids.items()])
+    shared = joint.information(both).select("id", F.col("mi").alias("mutual_info_pair"), F.when(F.col("entropy_y") > 0, F.least(F.lit(1.0), F.col("mi") / F.col("entropy_y"))).otherwise(F.lit(0.0)).alias("mic_score"))
     out = out.join(F.broadcast(shared), "id", "left")
     kind = {n: [(i, *p) for i, p in ids.items() if (p[0] in numbers) + (p[1] in numbers) == n] for n in (0, 1, 2)}
     if kind[2]:
