@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontamination, packing, quality, simhash, toxicity
-from tablewright.llm.common import shared_dir
+from tablewright.llm.common import narrow_reads, shared_dir
 
 #: A document from this toxicity on goes; a document below this quality goes.
 TOXIC, POOR = 0.3, 0.5
@@ -41,7 +43,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("toxicity", remove_toxic), ("quality", keep_quality), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("packing", pack)]
+def _narrow(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        narrow_reads(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _narrow(stage)) for name, stage in (("toxicity", remove_toxic), ("quality", keep_quality), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("packing", pack))]
 
 #: The stages' models and tokenizer are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

@@ -21,6 +21,9 @@ BROADCAST_BYTES = 24 << 20
 #: Bytes of one Arrow batch that a task sends to its Python worker, unless the session sets another number.
 ARROW_BYTES = 2 << 20
 
+#: Rows that a Parquet reader holds at once in the pipeline, unless the session sets another number.
+READ_ROWS = 512
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new folder in /tmp in local mode, an error on a cluster."""
@@ -42,6 +45,12 @@ def for_python(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def narrow_reads(spark: SparkSession) -> None:
+    """Limits the rows that a Parquet reader holds at once, unless the session sets a number: 4,096 texts take arrays of tens of MB, for which an executor's heap grows."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(key, spark.conf.get(key, str(READ_ROWS)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: a lost executor costs no recomputation."""
     spark = df.sparkSession

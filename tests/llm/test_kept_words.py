@@ -36,3 +36,16 @@ def test_ids_are_those_of_the_tokenizer():
     texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1 '{chr(c)} don't{chr(c)}WE'LL" for c in range(1, 0x3000)] + ["a\xa0b \xa0 c", "--'s 12½²", "<|endoftext|> x", "Straße ÀÉŸ", " ", ""]
     ids, starts = enc.batch(pa.array(texts))
     assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:], strict=False)] == [enc.whole(t) for t in texts]
+
+
+def test_pipeline_stages_read_few_rows_at_once(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a few words")], "doc_id long, text string")
+    key, before = "spark.sql.parquet.columnarReaderBatchSize", spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    try:
+        spark.conf.unset(key)
+        assert dict(corpus_pipeline.STAGES)["packing"](spark, docs, "").count() == 1
+        assert spark.conf.get(key) == "512"
+    finally:
+        spark.conf.set(key, before)
