@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import joint
 from ..functions.columns import category, number, numeric_columns, quoted
 from ..functions.quantiles import counted, counted_quantiles
-from .meta import ONE_STEP, TWO_STEPS, _entropy, _kept, bin_edges, counted_entropy, moments
+from .meta import ONE_STEP, TWO_STEPS, _entropy, bin_edges, counted_entropy, kept, moments
 
 # Names of the features, in the order of the family's vector.
 FEATURES = (
@@ -114,7 +114,7 @@ def pair_meta(df: DataFrame, pairs: list[tuple[str, str]], label: str, importanc
     # without a number among the columns, one without values keeps the steps alike
     cells = counted(df, {c: number(c) for c in numeric}, quoted(label)).persist() if numeric else df.sparkSession.createDataFrame([], "column string, v double, y double, n long")
     try:
-        return _kept(_pair_meta(df, pairs, label, importances, cells, used, cats, numbers))
+        return kept(_pair_meta(df, pairs, label, importances, cells, used, cats, numbers))
     finally:
         cells.unpersist()
 
@@ -126,7 +126,7 @@ def _pair_meta(df: DataFrame, pairs: list[tuple[str, str]], label: str, importan
     own, codes = coded(df, used, values)
     told = joint.information(joint.counts(own, [(c, codes[c], quoted(label).cast("string")) for c in used])).select(F.col("id").alias("column"), F.col("mi").alias("mi_target"))
     facts = _column_facts(cells, values, texts, told).join(F.broadcast(importances.select("column", "importance")), "column", "left").fillna(0.0, ["importance"])
-    facts = _kept(facts)
+    facts = kept(facts)
     known = df.sparkSession.createDataFrame([(i, a, b, (a in numbers) + (b in numbers), a in numbers) for i, (a, b) in ids.items()], "id string, a string, b string, n_numerical_cols int, a_numeric boolean")
     side = lambda k: facts.select(F.col("column").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in facts.columns if c != "column"))
     out = known.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
